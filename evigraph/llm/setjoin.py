@@ -41,21 +41,28 @@ def least_overlap(n1: np.ndarray, n2: np.ndarray, num: int, den: int) -> np.ndar
     return -(-(n1 + n2) * num // (num + den))
 
 
-def common_elements(counts: DataFrame, keep: int, least: int = 32) -> np.ndarray:
-    """The most frequent elements (h, c), at most ``keep`` of them, sorted by value.
+def common_elements(counts: DataFrame, keep: int, least: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent elements of (h, c), at most ``keep`` of them: values, sorted, and ranks.
 
     ``keep`` bounds what is broadcast. The choice only shapes the order of
     elements; results do not depend on it.
     """
     top = counts.groupBy("h").agg(F.sum("c").alias("c")).filter(F.col("c") >= least)
-    rows = top.orderBy(F.desc("c"), "h").limit(keep).select("h").toPandas()["h"]
-    return np.sort(rows.to_numpy(np.int64).view(np.uint64))
+    rows = top.orderBy(F.desc("c"), "h").limit(keep).toPandas()
+    values = rows["h"].to_numpy(np.int64).view(np.uint64)
+    ranks = np.minimum(4 * np.log2(rows["c"].to_numpy(float)), 127).astype(np.uint8)
+    order = np.argsort(values)
+    return values[order], ranks[order]
 
 
-def repeats(values: np.ndarray) -> pa.RecordBatch:
-    """(h, c) of the values that occur more than once in a chunk of distinct-per-set values."""
+def repeats(values: np.ndarray, least: int = 2) -> pa.RecordBatch:
+    """(h, c) of the values that at least ``least`` sets of a chunk have.
+
+    An element of C sets over M chunks is seen once C*C/2M is a few, so longer
+    unseen posting lists grow as the root of the number of chunks only.
+    """
     found, count = np.unique(values, return_counts=True)
-    keep = count > 1
+    keep = count >= least
     return pa.RecordBatch.from_arrays([pa.array(found[keep].view(np.int64)), pa.array(count[keep])], ["h", "c"])
 
 

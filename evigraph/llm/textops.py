@@ -132,23 +132,23 @@ class Words:
         return np.concatenate(out), np.concatenate(of)
 
 
-def distinct_sets(values: np.ndarray, unit: np.ndarray, n_units: int, common: np.ndarray | None = None):
+def distinct_sets(values: np.ndarray, unit: np.ndarray, n_units: int, common: tuple[np.ndarray, np.ndarray] | None = None):
     """Distinct values of each unit in the global order (rare first, then by value).
 
-    Returns (values, first) in CSR form. ``common`` is a sorted array of values
-    known to be frequent, most frequent last in ``rank`` order; they sort after
-    all others. Any such array gives right results; a good one gives short
-    posting lists.
+    Returns (values, first) in CSR form. ``common`` has values known to be
+    frequent, sorted, and their ranks (1 to 127, higher: more frequent); they
+    sort after all others, by rank. Any such table gives right results; a good
+    one gives short posting lists.
     """
-    late = np.zeros(len(values), np.uint8)
-    if common is not None and len(common) and len(values):
-        at = np.minimum(np.searchsorted(common, values), len(common) - 1)
-        late = (common[at] == values).astype(np.uint8)
+    late = np.zeros(len(values), np.uint64)
+    if common is not None and len(common[0]) and len(values):
+        at = np.minimum(np.searchsorted(common[0], values), len(common[0]) - 1)
+        late = np.where(common[0][at] == values, common[1][at], 0).astype(np.uint64)
     bits = np.uint64(max(1, int(n_units).bit_length()))
-    key = (unit.astype(np.uint64) << (np.uint64(64) - bits)) | (late.astype(np.uint64) << (np.uint64(63) - bits)) | (values >> (bits + np.uint64(1)))
+    key = (unit.astype(np.uint64) << (np.uint64(64) - bits)) | (late << (np.uint64(57) - bits)) | (values >> (bits + np.uint64(7)))
     order = np.argsort(key)
-    key, sorted_values = key[order], values[order]
-    if np.any((key[1:] == key[:-1]) & (sorted_values[1:] != sorted_values[:-1])):  # the shortened key ties: sort by all bits
+    key, tied = key[order], values[order]
+    if np.any((key[1:] == key[:-1]) & (tied[1:] != tied[:-1])):  # the shortened key ties: sort by all bits
         order = np.lexsort((values, late, unit))
     values, unit = values[order], unit[order]
     keep = np.ones(len(values), bool)
@@ -157,6 +157,13 @@ def distinct_sets(values: np.ndarray, unit: np.ndarray, n_units: int, common: np
     return values, np.searchsorted(unit, np.arange(n_units + 1))
 
 
+def heads(values: np.ndarray, first: np.ndarray, length: np.ndarray):
+    """The first ``length`` values of each unit, as an Arrow list column."""
+    ends = np.concatenate(([0], np.cumsum(length)))
+    at = np.repeat(first[:-1] - ends[:-1], length) + np.arange(ends[-1])
+    return pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(values[at].view(np.int64)))
+
+
 def fingerprints(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two independent 64-bit sums over each unit's set: equal sets have equal fingerprints."""
     with np.errstate(over="ignore"):
