@@ -9,26 +9,30 @@ from pyspark.sql import functions as F
 
 from . import setjoin
 from .shared import Workspace
-from .textops import Words, distinct_sets, fingerprints, heads, pieces
+from .textops import Words, block_sizes, distinct_sets, fingerprints, heads, pieces
 
-#: Frequent words told to every task, at most: 1.8 MB.
+#: Frequent tokens told to every task, at most: 1.8 MB.
 COMMON = 200_000
+#: Column blocks whose sizes bound the overlap of two lines.
+BLOCKS = 16
 
 
-def _lines(batch: pa.RecordBatch):
+def _lines(batch: pa.RecordBatch, k: int):
+    """The lines of a batch's texts, and (token, line) of their k-word shingles."""
     words = Words(batch.column("text"), lines=True)
-    return words, np.repeat(np.arange(len(words.unit_start)), words.counts())
+    return words, *words.shingles(k)
 
 
-def similar_lines(docs: DataFrame, num: int = 80, den: int = 100, work: Workspace | None = None) -> DataFrame:
+def similar_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, work: Workspace | None = None) -> DataFrame:
     """(doc_id, n_lines long, n_removed long, removed array<int>): lines that repeat earlier ones.
 
-    Texts are cut at newlines. A line's set holds its distinct words (runs of
-    characters other than space and 0x09-0x0D, A-Z lower-cased). A line goes if
-    a line at an earlier place, by (doc_id, line number from 0), has Jaccard
-    similarity >= num/den with it, whether that one stays or goes itself.
+    Texts are cut at newlines. A line's tokens are its distinct k-word shingles
+    (words: runs of characters other than space and 0x09-0x0D, A-Z lower-cased;
+    fewer words than k give one token). A line goes if a line at an earlier
+    place, by (doc_id, line number from 0), has Jaccard similarity >= num/den
+    with it, whether that one stays or goes itself.
 
-    Equal sets are one class at its first place. Words are ordered by rarity;
+    Equal sets are one class at its first place. Tokens are ordered by rarity;
     the prefix filter keeps only those of which a similar line must share one,
     then length and positional filters and a count on the whole sets decide.
 
@@ -43,48 +47,47 @@ def similar_lines(docs: DataFrame, num: int = 80, den: int = 100, work: Workspac
     def count(batches):
         for batch in batches:
             for part in pieces(batch):
-                words, unit = _lines(part)
-                values, _ = distinct_sets(words.hash, unit, len(words.unit_start))
-                yield setjoin.repeats(values, 6)
+                words, tokens, line = _lines(part, k)
+                yield setjoin.repeats(distinct_sets(tokens, line, len(words.unit_start))[0])
 
     common = setjoin.common_elements(docs.mapInArrow(count, "h long, c long"), COMMON)
 
     def sketch(batches):
         for batch in batches:
             for part in pieces(batch):
-                words, unit = _lines(part)
-                values, first = distinct_sets(words.hash, unit, len(words.unit_start), common)
+                words, tokens, line = _lines(part, k)
+                values, first = distinct_sets(tokens, line, len(words.unit_start), common)
                 n = np.diff(first)
                 fp1, fp2 = fingerprints(values, first)
                 length = np.where(n > 0, setjoin.prefix_length(n, num, den), 0)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(words.unit_text)), pa.array(words.unit_no.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(fp1), pa.array(fp2), heads(values, first, length)],
-                    ["d", "l", "n", "fp1", "fp2", "prefix"],
+                    [part.column("doc_id").take(pa.array(words.unit_text)), pa.array(words.unit_no.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(fp1), pa.array(fp2), block_sizes(values, first, BLOCKS), heads(values, first, length)],
+                    ["d", "l", "n", "fp1", "fp2", "sizes", "prefix"],
                 )
 
-    sketches = work.written(docs.mapInArrow(sketch, "d long, l int, n int, fp1 long, fp2 long, prefix array<long>"), "sketches")
+    sketches = work.written(docs.mapInArrow(sketch, "d long, l int, n int, fp1 long, fp2 long, sizes binary, prefix array<long>"), "sketches")
     key = ["fp1", "fp2", "n"]
-    one = sketches.filter("n > 0 and d is not null").groupBy(*key).agg(F.min(F.struct("d", "l", "prefix")).alias("x"))
-    classes = work.written(one.select(*key, "x.d", "x.l", "x.prefix"), "classes")
+    one = sketches.filter("n > 0 and d is not null").groupBy(*key).agg(F.min(F.struct("d", "l", "sizes", "prefix")).alias("x"))
+    classes = work.written(one.select(*key, "x.d", "x.l", "x.sizes", "x.prefix"), "classes")
 
     def load(bitmap):
         def some(batches):
             for batch in batches:
                 batch = batch.filter(batch.column("doc_id").is_valid())
                 for part in pieces(batch):
-                    words, unit = _lines(part)
+                    words, tokens, line = _lines(part, k)
                     d = part.column("doc_id").to_numpy()[words.unit_text]
                     hit = setjoin.is_wanted(bitmap, d, words.unit_no.astype(np.int32))
-                    at = hit[unit]
-                    values, first = distinct_sets(words.hash[at], unit[at], len(hit))
+                    at = hit[line]
+                    values, first = distinct_sets(tokens[at], line[at], len(hit))
                     rows = np.flatnonzero(hit)
                     ends = np.append(first[:-1][hit], first[-1])
-                    tokens = pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(values.view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([pa.array(d[rows]), pa.array(words.unit_no[rows].astype(np.int32)), tokens], ["d", "l", "tokens"])
+                    sets = pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(values.view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array(d[rows]), pa.array(words.unit_no[rows].astype(np.int32)), sets], ["d", "l", "tokens"])
 
         return docs.mapInArrow(some, "d long, l int, tokens array<long>")
 
-    later = work.written(setjoin.later_matches(classes.select("d", "l", "n", "prefix"), load, num, den, work), "later")
+    later = work.written(setjoin.later_matches(classes.select("d", "l", "n", "sizes", "prefix"), load, num, den, work), "later")
     heads_ = classes.select(*key, F.col("d").alias("d0"), F.col("l").alias("l0"))
     lines = sketches.select("d", "l", *key).hint("shuffle_merge").join(heads_.hint("shuffle_merge"), key, "left")
     copies = lines.withColumn("copy", F.col("d0").isNotNull() & ((F.col("d") != F.col("d0")) | (F.col("l") != F.col("l0"))))
@@ -98,13 +101,13 @@ def similar_lines(docs: DataFrame, num: int = 80, den: int = 100, work: Workspac
     )
 
 
-def line_dedup(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
+def line_dedup(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs without the lines that similar_lines removes; n_chars, if there, follows the text.
 
     A document that loses its last line with words goes. One that had none
     stays. Rows with a null doc_id stay as they are.
     """
-    found = similar_lines(docs, num, den).filter("n_removed > 0").select(F.col("doc_id").alias("_doc_id"), F.col("removed").alias("_removed"))
+    found = similar_lines(docs, k, num, den).filter("n_removed > 0").select(F.col("doc_id").alias("_doc_id"), F.col("removed").alias("_removed"))
     joined = docs.hint("shuffle_merge").join(found.hint("shuffle_merge"), F.col("doc_id") == F.col("_doc_id"), "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_removed", i)), "\n")
     out = joined.withColumn("text", F.when(F.col("_removed").isNull(), F.col("text")).otherwise(kept))

@@ -1,8 +1,8 @@
 """Exact similarity join of many small sets, shared by the n-gram join and line dedup.
 
-A set is a row ``(d long, l int, n int, prefix array<long>)``: its key, its size
-and, in one global order, the elements that a similar partner must share one
-of. ``prefix_length`` bounds that number from the size alone. Rows of
+A set is a row ``(d long, l int, n int, sizes binary, prefix array<long>)``: its
+key, its size, its sizes in blocks of columns and, in one global order, the
+elements that a similar partner must share one of. ``prefix_length`` bounds that number from the size alone. Rows of
 ``prefix`` are the non-zero entries of a sparse incidence matrix; grouping them
 by element is the blocked product whose non-zero cells are candidate pairs.
 
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Workspace
-from .textops import mix
+from .textops import block_overlap, mix
 
 #: Sets of one element that meet in one task; more are split into blocks.
 BLOCK = 2_000
@@ -216,18 +216,41 @@ def is_wanted(bitmap: np.ndarray, d: np.ndarray, l: np.ndarray) -> np.ndarray:
     return (bitmap[s >> 6] >> (s & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 
-def verified(pairs: DataFrame, load: Callable[[np.ndarray], DataFrame], num: int, den: int) -> DataFrame:
+def bounded(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs whose sizes in each column block still allow Jaccard >= num/den.
+
+    The overlap of two rows is at most the sum, over column blocks of the
+    incidence matrix, of the smaller of their sizes there.
+    """
+    sizes = sets.select("d", "l", "n", "sizes")
+    joined = pairs
+    for k in (1, 2):
+        side = sizes.select(F.col("d").alias(f"d{k}"), F.col("l").alias(f"l{k}"), F.col("n").alias(f"n{k}"), F.col("sizes").alias(f"s{k}"))
+        joined = joined.hint("shuffle_merge").join(side.hint("shuffle_merge"), [f"d{k}", f"l{k}"])
+
+    def keep(batches):
+        for b in batches:
+            if b.num_rows:
+                n1, n2 = b.column("n1").to_numpy().astype(np.int64), b.column("n2").to_numpy().astype(np.int64)
+                ok = block_overlap(b.column("s1"), b.column("s2")) >= least_overlap(n1, n2, num, den)
+                yield b.select(["d1", "l1", "d2", "l2"]).filter(pa.array(ok))
+
+    return joined.mapInArrow(keep, _PAIR_DDL)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, load: Callable[[np.ndarray], DataFrame], num: int, den: int, work: Workspace, name: str) -> DataFrame:
     """Pairs whose whole sets have Jaccard >= num/den.
 
     load(bitmap) gives (d, l, tokens array<long>), of distinct elements, for at
     least the sets in the bitmap. The overlap is counted on the whole sets.
     """
-    sets = load(wanted(pairs))
-    first = sets.select(F.col("d").alias("d1"), F.col("l").alias("l1"), F.col("tokens").alias("t1"))
-    second = sets.select(F.col("d").alias("d2"), F.col("l").alias("l2"), F.col("tokens").alias("t2"))
-    joined = pairs.hint("shuffle_hash").join(first.hint("shuffle_merge"), ["d1", "l1"]).hint("shuffle_merge").join(second.hint("shuffle_merge"), ["d2", "l2"])
+    pairs = work.written(bounded(pairs, sets, num, den), f"{name}-bounded")
+    whole = load(wanted(pairs))
+    first = whole.select(F.col("d").alias("d1"), F.col("l").alias("l1"), F.col("tokens").alias("t1"))
+    second = whole.select(F.col("d").alias("d2"), F.col("l").alias("l2"), F.col("tokens").alias("t2"))
+    joined = pairs.hint("shuffle_merge").join(first.hint("shuffle_merge"), ["d1", "l1"]).hint("shuffle_merge").join(second.hint("shuffle_merge"), ["d2", "l2"])
     joined = joined.withColumns({"o": F.size(F.array_intersect("t1", "t2")).cast("long"), "s": (F.size("t1") + F.size("t2")).cast("long")})
-    return joined.filter(F.col("o") * den >= (F.col("s") - F.col("o")) * num).select("d1", "l1", "d2", "l2")
+    return work.written(joined.filter(F.col("o") * den >= (F.col("s") - F.col("o")) * num).select("d1", "l1", "d2", "l2"), name)
 
 
 def component_links(sets: DataFrame, load, num: int, den: int, work: Workspace) -> tuple[DataFrame, DataFrame]:
@@ -235,11 +258,11 @@ def component_links(sets: DataFrame, load, num: int, den: int, work: Workspace)
     from .components import components
 
     entries = work.written(shared_entries(sets), "entries")
-    links = work.written(verified(work.written(star_pairs(entries, num, den), "star"), load, num, den), "links")
+    links = verified(work.written(star_pairs(entries, num, den), "star"), sets, load, num, den, work, "links")
     parts = components(links.select(F.col("d1").alias("a"), F.col("d2").alias("b")), work, "parts")
     marked = entries.hint("shuffle_merge").join(parts.select(F.col("id").alias("d"), "component").hint("shuffle_merge"), "d", "left")
     marked = marked.withColumn("mark", F.coalesce("component", "d"))
-    more = work.written(verified(_left_open(marked, num, den, "differ", work), load, num, den), "more")
+    more = verified(_left_open(marked, num, den, "differ", work), sets, load, num, den, work, "more")
     links = links.union(more)
     return links, components(links.select(F.col("d1").alias("a"), F.col("d2").alias("b")), work, "whole")
 
@@ -253,8 +276,9 @@ def _left_open(marked: DataFrame, num: int, den: int, by_mark: str, work: Worksp
 def later_matches(sets: DataFrame, load, num: int, den: int, work: Workspace) -> DataFrame:
     """(d, l) of every set with a similar set before it in (d, l) order."""
     entries = work.written(shared_entries(sets), "entries")
-    found = work.written(verified(work.written(star_pairs(entries, num, den), "star"), load, num, den).select(F.col("d2").alias("d"), F.col("l2").alias("l")).distinct(), "found")
+    first = verified(work.written(star_pairs(entries, num, den), "star"), sets, load, num, den, work, "first")
+    found = first.select(F.col("d2").alias("d"), F.col("l2").alias("l")).distinct()
     marked = entries.hint("shuffle_merge").join(found.withColumn("mark", F.lit(1).cast("long")).hint("shuffle_merge"), ["d", "l"], "left")
     marked = marked.withColumn("mark", F.coalesce("mark", F.lit(0).cast("long")))
-    open_ = _left_open(marked, num, den, "later", work)
-    return found.union(verified(open_, load, num, den).select(F.col("d2").alias("d"), F.col("l2").alias("l"))).distinct()
+    more = verified(_left_open(marked, num, den, "later", work), sets, load, num, den, work, "more")
+    return found.union(more.select(F.col("d2").alias("d"), F.col("l2").alias("l"))).distinct()
