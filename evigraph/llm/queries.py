@@ -23,7 +23,55 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("removed", F.array_join("removed", ","))
 
 
-QUERIES = {"op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op5_line_dedup": op5_line_dedup}
+def op2_kmeans_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .kmeans_tree import nearest_neighbours
+
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"), query_every=50, k=5)
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import taken_words
+
+    return taken_words(_table(spark, sf_dir, "documents"))
+
+
+def op4_power_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import digests, pack_powers
+
+    return digests(pack_powers(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_rules import judge_urls
+
+    return judge_urls(_table(spark, sf_dir, "pages"))
+
+
+def op7_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_net import held_out, score_documents, train
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_documents(docs, train(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import find_secrets, span_text
+
+    found = find_secrets(_table(spark, sf_dir, "documents"))
+    of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(span_text("base"), 256).alias("base_sha256"), span_text("spans").alias("spans"))
+
+
+def op10_norm_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .norm_topk import top_inner_products
+
+    return top_inner_products(_table(spark, sf_dir, "embeddings"), query_every=50, k=5)
+
+
+QUERIES = {q.__name__: q for q in (op1_ngram_jaccard_join, op2_kmeans_tree_search, op3_source_mixing, op4_power_packing, op5_line_dedup, op6_url_rules, op7_quality_net, op9_secret_scan, op10_norm_topk)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
