@@ -57,6 +57,12 @@ def op7_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_chained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chaining import repeated_passages
+
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import find_secrets, span_text
 
@@ -71,7 +77,7 @@ def op10_norm_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_inner_products(_table(spark, sf_dir, "embeddings"), query_every=50, k=5)
 
 
-QUERIES = {q.__name__: q for q in (op1_ngram_jaccard_join, op2_kmeans_tree_search, op3_source_mixing, op4_power_packing, op5_line_dedup, op6_url_rules, op7_quality_net, op9_secret_scan, op10_norm_topk)}
+QUERIES = {q.__name__: q for q in (op1_ngram_jaccard_join, op2_kmeans_tree_search, op3_source_mixing, op4_power_packing, op5_line_dedup, op6_url_rules, op7_quality_net, op8_chained_passages, op9_secret_scan, op10_norm_topk)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
