@@ -14,7 +14,7 @@ from .textops import Words, block_sizes, distinct_sets, fingerprints, heads, pie
 #: Frequent tokens told to every task, at most: 1.8 MB.
 COMMON = 200_000
 #: Column blocks whose sizes bound the overlap of two lines.
-BLOCKS = 16
+BLOCKS = 32
 
 
 def _lines(batch: pa.RecordBatch, k: int):

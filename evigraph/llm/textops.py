@@ -158,20 +158,20 @@ def distinct_sets(values: np.ndarray, unit: np.ndarray, n_units: int, common: tu
 
 
 def block_sizes(values: np.ndarray, first: np.ndarray, blocks: int) -> pa.Array:
-    """How many values of each unit fall into each of ``blocks`` column blocks, as packed uint16 (65535: that or more)."""
+    """How many values of each unit fall into each of ``blocks`` column blocks, as packed uint8 (255: that or more)."""
     n = len(first) - 1
     unit = np.repeat(np.arange(n), np.diff(first))
     sizes = np.bincount(unit * blocks + (values & np.uint64(blocks - 1)).astype(np.int64), minlength=n * blocks)
-    packed = np.minimum(sizes, 65535).astype(np.uint16)
-    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * blocks * 2).astype(np.int32)), pa.py_buffer(packed.tobytes())])
+    packed = np.minimum(sizes, 255).astype(np.uint8)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * blocks).astype(np.int32)), pa.py_buffer(packed.tobytes())])
 
 
 def block_overlap(one: pa.Array, other: pa.Array) -> np.ndarray:
     """The most that two sets can share, block by block: the sum of the smaller sizes."""
-    sizes = [np.frombuffer(b"".join(x.to_pylist()), np.uint16).reshape(len(x), -1).astype(np.int64) for x in (one, other)]
-    for x in sizes:
-        x[x == 65535] = 1 << 40
-    return np.minimum(*sizes).sum(1)
+    x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(len(c), -1) for c in (one, other))
+    least = np.minimum(x, y)
+    total = least.sum(1, dtype=np.int64)
+    return np.where((least == 255).any(1), np.iinfo(np.int64).max, total)
 
 
 def heads(values: np.ndarray, first: np.ndarray, length: np.ndarray):
