@@ -74,6 +74,8 @@ def similar_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, wo
         def some(batches):
             for batch in batches:
                 batch = batch.filter(batch.column("doc_id").is_valid())
+                ids = batch.column("doc_id").to_numpy()
+                batch = batch.filter(pa.array(setjoin.is_wanted(bitmap, ids, np.full(len(ids), setjoin.WHOLE, np.int32))))
                 for part in pieces(batch):
                     words, tokens, line = _lines(part, k)
                     d = part.column("doc_id").to_numpy()[words.unit_text]
@@ -87,7 +89,7 @@ def similar_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, wo
 
         return docs.mapInArrow(some, "d long, l int, tokens array<long>")
 
-    later = work.written(setjoin.later_matches(classes.select("d", "l", "n", "sizes", "prefix"), load, num, den, work), "later")
+    later = work.written(setjoin.later_matches(classes.select("d", "l", "n", "sizes", F.col("sizes").alias("coarse"), "prefix"), load, num, den, work), "later")
     heads_ = classes.select(*key, F.col("d").alias("d0"), F.col("l").alias("l0"))
     lines = sketches.select("d", "l", *key).hint("shuffle_merge").join(heads_.hint("shuffle_merge"), key, "left")
     copies = lines.withColumn("copy", F.col("d0").isNotNull() & ((F.col("d") != F.col("d0")) | (F.col("l") != F.col("l0"))))

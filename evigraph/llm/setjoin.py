@@ -1,7 +1,8 @@
 """Exact similarity join of many small sets, shared by the n-gram join and line dedup.
 
-A set is a row ``(d long, l int, n int, sizes binary, prefix array<long>)``: its
-key, its size, its sizes in blocks of columns and, in one global order, the
+A set is a row ``(d long, l int, n int, sizes binary, coarse binary, prefix
+array<long>)``: its key, its size, its sizes in many and in few blocks of columns
+and, in one global order, the
 elements that a similar partner must share one of. ``prefix_length`` bounds that number from the size alone. Rows of
 ``prefix`` are the non-zero entries of a sparse incidence matrix; grouping them
 by element is the blocked product whose non-zero cells are candidate pairs.
@@ -21,12 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Workspace
+from .textops import bound_of_blocks as _block_bound
 from .textops import block_overlap, mix
 
 #: Sets of one element that meet in one task; more are split into blocks.
 BLOCK = 2_000
 #: Bits of the bitmap that names sets to load for verification: fixed, 2 MB. A false hit only costs time.
 SLOTS = 1 << 24
+#: In place of l: the slot of any set of this d.
+WHOLE = -1
 _PAIR = pa.schema([("d1", pa.int64()), ("l1", pa.int32()), ("d2", pa.int64()), ("l2", pa.int32())])
 _PAIR_DDL = "d1 long, l1 int, d2 long, l2 int"
 
@@ -91,8 +95,13 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict[s
 
 
 def _table(batches: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
-    table = pa.Table.from_batches(batches)
-    return {c: table.column(c).to_numpy() for c in table.column_names}
+    table = pa.Table.from_batches(batches).combine_chunks()
+    return {c: _packed_rows(table.column(c)) if pa.types.is_binary(table.schema.field(c).type) else table.column(c).to_numpy() for c in table.column_names}
+
+
+def _packed_rows(column: pa.ChunkedArray) -> np.ndarray:
+    """A binary column of equally long values as uint8 rows."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
 
 def _run_bounds(*keys: np.ndarray) -> np.ndarray:
@@ -158,7 +167,8 @@ def star_pairs(entries: DataFrame, num: int, den: int) -> DataFrame:
 def open_pairs(entries: DataFrame, num: int, den: int, by_mark: str) -> DataFrame:
     """Distinct pairs within each element that the stars left open.
 
-    entries has ``mark`` besides: with by_mark="differ" pairs of different marks
+    entries has ``mark`` and ``coarse`` besides; sizes in few column blocks bound
+    the overlap here already.  With by_mark="differ" pairs of different marks
     remain (components still apart), with "later" those whose later set has
     mark 0 (no earlier match yet). Elements of more than BLOCK sets are split
     into blocks; pairs of blocks meet in separate tasks.
@@ -175,7 +185,9 @@ def open_pairs(entries: DataFrame, num: int, den: int, by_mark: str) -> DataFram
                 ok = _may_match(t, act, other, num, den)
                 ok &= (t["mark"][act] != t["mark"][other]) if by_mark == "differ" else (t["mark"][other] == 0)
                 ok &= (t["blk"][act] != t["blk"][other]) | (t["b1"][act] == t["b2"][act])
-                found.append((act[ok], other[ok]))
+                i, j = act[ok], other[ok]
+                ok = _block_bound(t["coarse"][i], t["coarse"][j]) >= least_overlap(t["n"][i].astype(np.int64), t["n"][j].astype(np.int64), num, den)
+                found.append((i[ok], j[ok]))
                 step += 1
                 act = act[left[act] >= step]
                 if sum(len(a) for a, _ in found) > 2_000_000:
@@ -188,7 +200,7 @@ def open_pairs(entries: DataFrame, num: int, den: int, by_mark: str) -> DataFram
     dealt = entries.withColumn("nb", blocks).withColumn("blk", F.expr("cast(pmod(xxhash64(d, l), nb) as int)"))
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
     dealt = dealt.withColumns({"b1": F.least("blk", "other"), "b2": F.greatest("blk", "other")})
-    dealt = dealt.select("h", "b1", "b2", "d", "l", "n", "pos", "mark", "blk")
+    dealt = dealt.select("h", "b1", "b2", "d", "l", "n", "pos", "mark", "blk", "coarse")
     return dealt.repartition("h", "b1", "b2").sortWithinPartitions("h", "b1", "b2", "d", "l").mapInArrow(pairs, _PAIR_DDL).distinct()
 
 
@@ -201,7 +213,8 @@ def wanted(pairs: DataFrame) -> np.ndarray:
 
     def slots(batches):
         for b in batches:
-            both = [slot(b.column(f"d{k}").to_numpy(), b.column(f"l{k}").to_numpy()) for k in (1, 2)]
+            sides = [(b.column(f"d{k}").to_numpy(), b.column(f"l{k}").to_numpy()) for k in (1, 2)]
+            both = [slot(d, x) for d, l in sides for x in (l, np.full(len(l), WHOLE, np.int32))]
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(both)))], ["s"])
 
     words = pairs.mapInArrow(slots, "s long").groupBy(F.expr("shiftright(s, 6)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 as int)))").alias("x"))
@@ -260,13 +273,17 @@ def component_links(sets: DataFrame, load, num: int, den: int, work: Workspace)
     entries = work.written(shared_entries(sets), "entries")
     links = verified(work.written(star_pairs(entries, num, den), "star"), sets, load, num, den, work, "links")
     parts = components(links.select(F.col("d1").alias("a"), F.col("d2").alias("b")), work, "parts")
-    marked = entries.hint("shuffle_merge").join(parts.select(F.col("id").alias("d"), "component").hint("shuffle_merge"), "d", "left")
-    marked = marked.withColumn("mark", F.coalesce("component", "d"))
+    known = sets.select("d", "l", "coarse").hint("shuffle_merge").join(parts.select(F.col("id").alias("d"), "component").hint("shuffle_merge"), "d", "left")
+    marked = _marked(entries, known.select("d", "l", "coarse", F.coalesce("component", "d").alias("mark")))
     more = verified(_left_open(marked, num, den, "differ", work), sets, load, num, den, work, "more")
     links = links.union(more)
     return links, components(links.select(F.col("d1").alias("a"), F.col("d2").alias("b")), work, "whole")
 
 
+def _marked(entries: DataFrame, known: DataFrame) -> DataFrame:
+    return entries.select("h", "d", "l", "n", "pos", "m").hint("shuffle_merge").join(known.hint("shuffle_merge"), ["d", "l"])
+
+
 def _left_open(marked: DataFrame, num: int, den: int, by_mark: str, work: Workspace) -> DataFrame:
     star = work.read("star")
     left = open_pairs(marked, num, den, by_mark)
@@ -278,7 +295,7 @@ def later_matches(sets: DataFrame, load, num: int, den: int, work: Workspace) ->
     entries = work.written(shared_entries(sets), "entries")
     first = verified(work.written(star_pairs(entries, num, den), "star"), sets, load, num, den, work, "first")
     found = first.select(F.col("d2").alias("d"), F.col("l2").alias("l")).distinct()
-    marked = entries.hint("shuffle_merge").join(found.withColumn("mark", F.lit(1).cast("long")).hint("shuffle_merge"), ["d", "l"], "left")
-    marked = marked.withColumn("mark", F.coalesce("mark", F.lit(0).cast("long")))
+    known = sets.select("d", "l", "coarse").hint("shuffle_merge").join(found.withColumn("some", F.lit(1)).hint("shuffle_merge"), ["d", "l"], "left")
+    marked = _marked(entries, known.select("d", "l", "coarse", F.coalesce("some", F.lit(0)).cast("long").alias("mark")))
     more = verified(_left_open(marked, num, den, "later", work), sets, load, num, den, work, "more")
     return found.union(more.select(F.col("d2").alias("d"), F.col("l2").alias("l"))).distinct()

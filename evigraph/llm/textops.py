@@ -169,6 +169,13 @@ def block_sizes(values: np.ndarray, first: np.ndarray, blocks: int) -> pa.Array:
 def block_overlap(one: pa.Array, other: pa.Array) -> np.ndarray:
     """The most that two sets can share, block by block: the sum of the smaller sizes."""
     x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(len(c), -1) for c in (one, other))
+    return bound_of_blocks(x, y)
+
+
+def bound_of_blocks(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The same of unpacked rows."""
+    if not len(x):
+        return np.zeros(0, np.int64)
     least = np.minimum(x, y)
     total = least.sum(1, dtype=np.int64)
     return np.where((least == 255).any(1), np.iinfo(np.int64).max, total)
