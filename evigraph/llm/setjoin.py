@@ -1,8 +1,7 @@
 """Exact similarity join of many small sets, shared by the n-gram join and line dedup.
 
-A set is a row ``(d long, l int, n int, sizes binary, coarse binary, prefix
-array<long>)``: its key, its size, its sizes in many and in few blocks of columns
-and, in one global order, the
+A set is a row ``(d long, l int, n int, sizes binary, prefix array<long>)``: its
+key, its size, its sizes in blocks of columns and, in one global order, the
 elements that a similar partner must share one of. ``prefix_length`` bounds that number from the size alone. Rows of
 ``prefix`` are the non-zero entries of a sparse incidence matrix; grouping them
 by element is the blocked product whose non-zero cells are candidate pairs.
@@ -167,8 +166,8 @@ def star_pairs(entries: DataFrame, num: int, den: int) -> DataFrame:
 def open_pairs(entries: DataFrame, num: int, den: int, by_mark: str) -> DataFrame:
     """Distinct pairs within each element that the stars left open.
 
-    entries has ``mark`` and ``coarse`` besides; sizes in few column blocks bound
-    the overlap here already.  With by_mark="differ" pairs of different marks
+    entries has ``mark`` and ``sizes`` besides, so that the sizes in column blocks
+    bound the overlap here already.  With by_mark="differ" pairs of different marks
     remain (components still apart), with "later" those whose later set has
     mark 0 (no earlier match yet). Elements of more than BLOCK sets are split
     into blocks; pairs of blocks meet in separate tasks.
@@ -186,7 +185,7 @@ def open_pairs(entries: DataFrame, num: int, den: int, by_mark: str) -> DataFram
                 ok &= (t["mark"][act] != t["mark"][other]) if by_mark == "differ" else (t["mark"][other] == 0)
                 ok &= (t["blk"][act] != t["blk"][other]) | (t["b1"][act] == t["b2"][act])
                 i, j = act[ok], other[ok]
-                ok = _block_bound(t["coarse"][i], t["coarse"][j]) >= least_overlap(t["n"][i].astype(np.int64), t["n"][j].astype(np.int64), num, den)
+                ok = _block_bound(t["sizes"][i], t["sizes"][j]) >= least_overlap(t["n"][i].astype(np.int64), t["n"][j].astype(np.int64), num, den)
                 found.append((i[ok], j[ok]))
                 step += 1
                 act = act[left[act] >= step]
@@ -200,7 +199,7 @@ def open_pairs(entries: DataFrame, num: int, den: int, by_mark: str) -> DataFram
     dealt = entries.withColumn("nb", blocks).withColumn("blk", F.expr("cast(pmod(xxhash64(d, l), nb) as int)"))
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
     dealt = dealt.withColumns({"b1": F.least("blk", "other"), "b2": F.greatest("blk", "other")})
-    dealt = dealt.select("h", "b1", "b2", "d", "l", "n", "pos", "mark", "blk", "coarse")
+    dealt = dealt.select("h", "b1", "b2", "d", "l", "n", "pos", "mark", "blk", "sizes")
     return dealt.repartition("h", "b1", "b2").sortWithinPartitions("h", "b1", "b2", "d", "l").mapInArrow(pairs, _PAIR_DDL).distinct()
 
 
@@ -251,13 +250,14 @@ def bounded(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return joined.mapInArrow(keep, _PAIR_DDL)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, load: Callable[[np.ndarray], DataFrame], num: int, den: int, work: Workspace, name: str) -> DataFrame:
-    """Pairs whose whole sets have Jaccard >= num/den.
+def verified(pairs: DataFrame, sets: DataFrame | None, load: Callable[[np.ndarray], DataFrame], num: int, den: int, work: Workspace, name: str) -> DataFrame:
+    """Pairs whose whole sets have Jaccard >= num/den; with ``sets`` they are bounded first.
 
     load(bitmap) gives (d, l, tokens array<long>), of distinct elements, for at
     least the sets in the bitmap. The overlap is counted on the whole sets.
     """
-    pairs = work.written(bounded(pairs, sets, num, den), f"{name}-bounded")
+    if sets is not None:
+        pairs = work.written(bounded(pairs, sets, num, den), f"{name}-bounded")
     whole = load(wanted(pairs))
     first = whole.select(F.col("d").alias("d1"), F.col("l").alias("l1"), F.col("tokens").alias("t1"))
     second = whole.select(F.col("d").alias("d2"), F.col("l").alias("l2"), F.col("tokens").alias("t2"))
@@ -273,9 +273,9 @@ def component_links(sets: DataFrame, load, num: int, den: int, work: Workspace)
     entries = work.written(shared_entries(sets), "entries")
     links = verified(work.written(star_pairs(entries, num, den), "star"), sets, load, num, den, work, "links")
     parts = components(links.select(F.col("d1").alias("a"), F.col("d2").alias("b")), work, "parts")
-    known = sets.select("d", "l", "coarse").hint("shuffle_merge").join(parts.select(F.col("id").alias("d"), "component").hint("shuffle_merge"), "d", "left")
-    marked = _marked(entries, known.select("d", "l", "coarse", F.coalesce("component", "d").alias("mark")))
-    more = verified(_left_open(marked, num, den, "differ", work), sets, load, num, den, work, "more")
+    known = sets.select("d", "l", "sizes").hint("shuffle_merge").join(parts.select(F.col("id").alias("d"), "component").hint("shuffle_merge"), "d", "left")
+    marked = _marked(entries, known.select("d", "l", "sizes", F.coalesce("component", "d").alias("mark")))
+    more = verified(_left_open(marked, num, den, "differ", work), None, load, num, den, work, "more")
     links = links.union(more)
     return links, components(links.select(F.col("d1").alias("a"), F.col("d2").alias("b")), work, "whole")
 
@@ -295,7 +295,7 @@ def later_matches(sets: DataFrame, load, num: int, den: int, work: Workspace) ->
     entries = work.written(shared_entries(sets), "entries")
     first = verified(work.written(star_pairs(entries, num, den), "star"), sets, load, num, den, work, "first")
     found = first.select(F.col("d2").alias("d"), F.col("l2").alias("l")).distinct()
-    known = sets.select("d", "l", "coarse").hint("shuffle_merge").join(found.withColumn("some", F.lit(1)).hint("shuffle_merge"), ["d", "l"], "left")
-    marked = _marked(entries, known.select("d", "l", "coarse", F.coalesce("some", F.lit(0)).cast("long").alias("mark")))
-    more = verified(_left_open(marked, num, den, "later", work), sets, load, num, den, work, "more")
+    known = sets.select("d", "l", "sizes").hint("shuffle_merge").join(found.withColumn("some", F.lit(1)).hint("shuffle_merge"), ["d", "l"], "left")
+    marked = _marked(entries, known.select("d", "l", "sizes", F.coalesce("some", F.lit(0)).cast("long").alias("mark")))
+    more = verified(_left_open(marked, num, den, "later", work), None, load, num, den, work, "more")
     return found.union(more.select(F.col("d2").alias("d"), F.col("l2").alias("l"))).distinct()
