@@ -139,7 +139,7 @@ def claim_overlap(recorded: DataFrame, generated: DataFrame, least: float) -> Da
     """
     pairs = recorded.select("ask_id", F.col("claim").alias("a"), F.col("claim_no").alias("i")).join(generated.select("ask_id", F.col("claim").alias("b"), F.col("claim_no").alias("j")), "ask_id")
     pairs = pairs.withColumn("sim", similarity(F.col("a"), F.col("b")))
-    best = lambda side: pairs.groupBy("ask_id", side).agg(F.max("sim").alias("best")).groupBy("ask_id").agg(F.round(F.avg("best"), 6).alias("mean"), F.count_if(F.col("best") >= least).alias("matched"), F.count("*").alias("n"))
+    best = lambda side: pairs.groupBy("ask_id", side).agg(F.max("sim").alias("best")).groupBy("ask_id").agg((F.round(F.sum("best"), 4) / F.count("*")).alias("mean"), F.count_if(F.col("best") >= least).alias("matched"), F.count("*").alias("n"))
     r, p = best("i"), best("j")
     return r.select("ask_id", F.col("mean").alias("recall"), F.col("matched").alias("recorded_matched"), F.col("n").alias("n_recorded")).join(p.select("ask_id", F.col("mean").alias("precision"), F.col("matched").alias("generated_matched"), F.col("n").alias("n_generated")), "ask_id")
 

@@ -109,7 +109,7 @@ def group_links(edges: DataFrame, groups: DataFrame) -> DataFrame:
     for side in ("subject", "object"):
         sided = sided.join(groups.select("graph_id", F.col("id").alias(side), F.col("grp").alias(f"{side}_grp")), ["graph_id", side])
     pairs = sided.filter("subject_grp <> object_grp").withColumns({"group_a": F.least("subject_grp", "object_grp"), "group_b": F.greatest("subject_grp", "object_grp")})
-    return pairs.groupBy("graph_id", "group_a", "group_b").agg(F.count("*").alias("n"), F.avg("confidence").alias("mean_confidence"))
+    return pairs.groupBy("graph_id", "group_a", "group_b").agg(F.count("*").alias("n"), (F.round(F.sum("confidence"), 4) / F.count("*")).alias("mean_confidence"))  # rounded: the order of addition can't show
 
 
 def group_contents(nodes: DataFrame, groups: DataFrame, labels: int = 5) -> DataFrame:

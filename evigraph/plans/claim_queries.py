@@ -213,7 +213,7 @@ def _sides(spark, sf_dir):
     return recorded, generated
 
 
-@query(f"WITH {_CLAIMS}, bi AS (SELECT ask_id, i, max(sim) AS b FROM p GROUP BY 1, 2), bj AS (SELECT ask_id, j, max(sim) AS b FROM p GROUP BY 1, 2), x AS (SELECT ask_id, round(avg(b), 6) AS recall, count(*) FILTER (WHERE b >= 0.8) AS recorded_matched, count(*) AS n_recorded FROM bi GROUP BY 1) SELECT x.*, \"precision\", generated_matched, n_generated FROM x JOIN (SELECT ask_id, round(avg(b), 6) AS \"precision\", count(*) FILTER (WHERE b >= 0.8) AS generated_matched, count(*) AS n_generated FROM bj GROUP BY 1) USING (ask_id)")
+@query(f"WITH {_CLAIMS}, bi AS (SELECT ask_id, i, max(sim) AS b FROM p GROUP BY 1, 2), bj AS (SELECT ask_id, j, max(sim) AS b FROM p GROUP BY 1, 2), x AS (SELECT ask_id, round(sum(b), 4) / count(*) AS recall, count(*) FILTER (WHERE b >= 0.8) AS recorded_matched, count(*) AS n_recorded FROM bi GROUP BY 1) SELECT x.*, \"precision\", generated_matched, n_generated FROM x JOIN (SELECT ask_id, round(sum(b), 4) / count(*) AS \"precision\", count(*) FILTER (WHERE b >= 0.8) AS generated_matched, count(*) AS n_generated FROM bj GROUP BY 1) USING (ask_id)")
 def claim_overlap(spark, sf_dir):
     return claims.claim_overlap(*_sides(spark, sf_dir), CLAIM_MATCH_LEAST)
 

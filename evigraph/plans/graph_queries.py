@@ -175,7 +175,7 @@ def incident_rollup(spark, sf_dir):
     return graph.incident_counts(_edges(spark, sf_dir))
 
 
-@query(f"""WITH {NODES}, l AS (SELECT e.graph_id, least(s.type, o.type) AS group_a, greatest(s.type, o.type) AS group_b, count(*) AS n, round(avg(confidence), 6) AS mean_confidence FROM edge e JOIN node s ON s.graph_id = e.graph_id AND s.id = subject JOIN node o ON o.graph_id = e.graph_id AND o.id = object WHERE s.type <> o.type GROUP BY 1, 2, 3),
+@query(f"""WITH {NODES}, l AS (SELECT e.graph_id, least(s.type, o.type) AS group_a, greatest(s.type, o.type) AS group_b, count(*) AS n, round(sum(confidence), 4) / count(*) AS mean_confidence FROM edge e JOIN node s ON s.graph_id = e.graph_id AND s.id = subject JOIN node o ON o.graph_id = e.graph_id AND o.id = object WHERE s.type <> o.type GROUP BY 1, 2, 3),
  m AS (SELECT *, row_number() OVER (PARTITION BY graph_id, type ORDER BY id) AS k FROM node), c AS (SELECT graph_id, type, count(*) AS size, coalesce(string_agg(label, ',' ORDER BY k) FILTER (WHERE k <= 5), '') AS labels FROM m GROUP BY 1, 2)
  SELECT l.*, c.size AS size_a, c.labels AS labels_a FROM l JOIN c ON c.graph_id = l.graph_id AND c.type = group_a""")
 def group_rollup(spark, sf_dir):
@@ -183,7 +183,7 @@ def group_rollup(spark, sf_dir):
     nodes = _nodes(edges)
     groups = nodes.select("graph_id", "id", F.col("type").alias("grp"))
     inside = graph.group_contents(nodes, groups).select("graph_id", F.col("grp").alias("group_a"), F.col("size").alias("size_a"), F.col("labels").alias("labels_a"))
-    return graph.group_links(edges, groups).withColumn("mean_confidence", F.round("mean_confidence", 6)).join(inside, ["graph_id", "group_a"])
+    return graph.group_links(edges, groups).join(inside, ["graph_id", "group_a"])
 
 
 @query("""SELECT 'g' || (c_custkey % 10) AS graph_id, 'cust:' || c_custkey AS id, c_mktsegment AS type, CASE WHEN c_custkey % 4 = 0 THEN 'cust:' || c_custkey ELSE c_name END AS label,

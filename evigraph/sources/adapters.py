@@ -24,7 +24,7 @@ def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("user:"), "user_id").alias("subject"),
         predicate.alias("predicate"),
         F.concat(F.lit("k:"), F.pmod(F.regexp_extract("props", "[0-9]+", 0).cast("long"), F.lit(5))).alias("object"),
-        F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("value") / 100)), 4).alias("confidence"),
+        (F.least(F.lit(100), F.greatest(F.lit(0), F.floor("value"))) / 100).alias("confidence"),
         F.when(F.pmod("event_id", F.lit(3)) == 0, "").otherwise(F.concat(F.lit("q"), F.pmod("event_id", F.lit(7)))).alias("jev_question_id"),
         F.concat(F.lit("src"), F.pmod("event_id", F.lit(4))).alias("source"),
         F.lit("events").alias("endpoint"),
@@ -49,7 +49,7 @@ def node_label(node_id: Column) -> Column:
 RAW = """raw AS (SELECT 'g' || (user_id % 10) AS graph_id, 'user:' || user_id AS subject,
  CASE event_type WHEN 'view' THEN 'has_go_term' WHEN 'signup' THEN 'cited_in' WHEN 'click' THEN 'ortholog_of' WHEN 'purchase' THEN 'measured_in' WHEN 'error' THEN 'described_in' ELSE event_type END AS predicate,
  'k:' || (CAST(regexp_extract(props, '[0-9]+') AS BIGINT) % 5) AS object,
- round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, value / 100)), 4) AS confidence,
+ CAST(least(100, greatest(0, floor(value))) AS DOUBLE) / 100 AS confidence,
  CASE WHEN event_id % 3 = 0 THEN '' ELSE 'q' || (event_id % 7) END AS jev_question_id,
  'src' || (event_id % 4) AS source, 'events' AS endpoint, 'k=' || (CAST(regexp_extract(props, '[0-9]+') AS BIGINT) % 3) AS summary, '{}' AS payload, event_id AS seq, ts AS retrieved_at FROM events)"""
 MERGED = RAW + """, won AS (SELECT *, first_value(seq) OVER w AS ws, first_value(jev_question_id) OVER w AS wq FROM raw WINDOW w AS (PARTITION BY graph_id, subject, predicate, object ORDER BY confidence DESC, seq)),
