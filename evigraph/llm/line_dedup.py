@@ -14,7 +14,7 @@ from .textops import Words, block_sizes, distinct_sets, fingerprints, heads, pie
 #: Frequent tokens told to every task, at most: 1.8 MB.
 COMMON = 200_000
 #: Column blocks whose sizes bound the overlap of two lines.
-BLOCKS = 32
+BLOCKS = 128
 
 
 def _lines(batch: pa.RecordBatch, k: int):
@@ -69,6 +69,8 @@ def similar_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, wo
     key = ["fp1", "fp2", "n"]
     one = sketches.filter("n > 0 and d is not null").groupBy(*key).agg(F.min(F.struct("d", "l", "sizes", "prefix")).alias("x"))
     classes = work.written(one.select(*key, "x.d", "x.l", "x.sizes", "x.prefix"), "classes")
+    members = work.written(sketches.select("d", "l", *key), "members")
+    work.drop("sketches")
 
     def load(bitmap):
         def some(batches):
@@ -91,7 +93,7 @@ def similar_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, wo
 
     later = work.written(setjoin.later_matches(classes.select("d", "l", "n", "sizes", "prefix"), load, num, den, work), "later")
     heads_ = classes.select(*key, F.col("d").alias("d0"), F.col("l").alias("l0"))
-    lines = sketches.select("d", "l", *key).hint("shuffle_merge").join(heads_.hint("shuffle_merge"), key, "left")
+    lines = members.hint("shuffle_merge").join(heads_.hint("shuffle_merge"), key, "left")
     copies = lines.withColumn("copy", F.col("d0").isNotNull() & ((F.col("d") != F.col("d0")) | (F.col("l") != F.col("l0"))))
     again = later.select(F.col("d").alias("d0"), F.col("l").alias("l0"), F.lit(True).alias("again"))
     judged = copies.hint("shuffle_merge").join(again.hint("shuffle_merge"), ["d0", "l0"], "left")

@@ -186,6 +186,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, most: int = MOST, block: int =
     placed = known.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.hint("shuffle_merge").join(sums.select("sid", "bucket", "base").hint("shuffle_merge"), ["sid", "bucket"])
     placed = work.written(placed.select("doc_id", "source", "hash", "size", "source_size", "target", "sid", (F.col("base") + F.col("inside")).alias("begin")), "placed")
+    work.drop("sized", "known")
     pieces = placed.filter("size > 0").withColumn("block", F.explode(F.expr(f"sequence(begin div {block}, (begin + size - 1) div {block})")))
     pieces = pieces.select("doc_id", "hash", "sid", "begin", "size", "block", F.greatest(F.lit(0), F.col("block") * block - F.col("begin")).alias("start"))
     pieces = pieces.withColumn("from", F.col("begin") + F.col("start") - F.col("block") * block)

@@ -276,6 +276,7 @@ def component_links(sets: DataFrame, load, num: int, den: int, work: Workspace)
     known = sets.select("d", "l", "sizes").hint("shuffle_merge").join(parts.select(F.col("id").alias("d"), "component").hint("shuffle_merge"), "d", "left")
     marked = _marked(entries, known.select("d", "l", "sizes", F.coalesce("component", "d").alias("mark")))
     more = verified(_left_open(marked, num, den, "differ", work), None, load, num, den, work, "more")
+    work.drop("entries", "star", "open", "links-bounded")
     links = links.union(more)
     return links, components(links.select(F.col("d1").alias("a"), F.col("d2").alias("b")), work, "whole")
 
@@ -298,4 +299,5 @@ def later_matches(sets: DataFrame, load, num: int, den: int, work: Workspace) ->
     known = sets.select("d", "l", "sizes").hint("shuffle_merge").join(found.withColumn("some", F.lit(1)).hint("shuffle_merge"), ["d", "l"], "left")
     marked = _marked(entries, known.select("d", "l", "sizes", F.coalesce("some", F.lit(0)).cast("long").alias("mark")))
     more = verified(_left_open(marked, num, den, "later", work), None, load, num, den, work, "more")
+    work.drop("entries", "star", "open", "first-bounded")
     return found.union(more.select(F.col("d2").alias("d"), F.col("l2").alias("l"))).distinct()

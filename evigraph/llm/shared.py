@@ -33,8 +33,9 @@ class Workspace:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")
 
-    def drop(self, name: str) -> None:
-        """Frees a table that nothing reads any more."""
+    def drop(self, *names: str) -> None:
+        """Frees tables that nothing reads any more."""
         jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        for name in names:
+            at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
