@@ -19,7 +19,7 @@ LEAST = 20
 #: Rows of each table that the models are trained on, at most (least hashes of ids).
 SAMPLE = 4_000
 #: Natural-log likelihood ratio per character pair from which a string counts as random.
-THRESHOLD = 0.6
+THRESHOLD = 0.25
 
 
 def spans(text: Column, pattern: str, kind: str, group: int = 0, least: int = 0) -> Column:
