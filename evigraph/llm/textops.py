@@ -16,7 +16,7 @@ _LOWER[65:91] += 32
 _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 #: Bytes of text handled at a time; a longer text is handled alone.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 2_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
