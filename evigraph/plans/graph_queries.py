@@ -235,7 +235,7 @@ def latency_quantiles(spark, sf_dir):
     return reports.latency(table(spark, sf_dir, "events").select(F.col("event_type").alias("stage"), F.col("value").alias("ms"), F.col("event_id").alias("ask_id")))
 
 
-@query(None)
+@query(f"WITH {MERGED} SELECT graph_id, subject, predicate, object, confidence FROM edge")
 def graph_json_roundtrip(spark, sf_dir):
     from ..sources import graph_json
 
