@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import pieces
+from .textops import _LOWER, _SPACE, _bytes, pieces
 
-#: Words whose ids a Python worker remembers, at most; then it starts anew.
-REMEMBERED = 250_000
-_known: dict[tuple, dict[str, bytes]] = {}
+#: Parts of texts whose ids a Python worker remembers, at most twice as many.
+REMEMBERED = 400_000
+_known: dict[str, list[dict[str, bytes]]] = {}
 _loaded: dict[str, object] = {}
 
 
@@ -29,38 +28,79 @@ def _tokenizer(path: str):
     return _loaded[path]
 
 
-def token_ids(texts: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids uint32, first): ids of each whole text followed by end_id, in CSR form.
+_LETTER = np.zeros(256, bool)
+_LETTER[97:123] = True
+_SIGN = np.zeros(256, bool)
+_SIGN[33:127] = True
+_SIGN[48:58] = _SIGN[65:91] = _SIGN[97:123] = False
+_SIGN[39] = False  # an apostrophe may begin a contraction
+
 
-    For tokenizers that drop white space and never join across it, so that a
-    text's ids are those of its parts between spaces and newlines, in turn.
-    Parts that recur are tokenized once while a worker remembers them.
+def _parts(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Parts that are tokenized each for itself, and the first part of each text.
+
+    Cuts are at ASCII white space and, once A-Z are lower-cased as the tokenizer
+    does, between an ASCII letter and a sign other than an apostrophe, where its
+    own word pattern cuts as well. Texts with the beginning of a special token
+    are cut at white space only and left as they are.
     """
-    known = _known.setdefault((path,), {})
-    texts = texts.cast(pa.large_string()).fill_null("")
-    parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
-    coded = parts.flatten().dictionary_encode()
-    words = coded.dictionary.to_pylist()
-    fresh = [w for w in words if w not in known]
-    if len(known) + len(fresh) > REMEMBERED:
-        known.clear()
-        fresh = words
+    data, ends = _bytes(texts)
+    if not len(data):
+        return pa.array([], pa.large_string()), np.zeros(len(texts) + 1, np.int64)
+    word = ~_SPACE[data]
+    opens = word.copy()
+    opens[1:] &= ~word[:-1]
+    if b"<|" not in data.tobytes():
+        data = _LOWER[data]
+        letter, sign = _LETTER[data], _SIGN[data]
+        opens[1:] |= (letter[1:] & sign[:-1]) | (sign[1:] & letter[:-1])
+    edge = ends[:-1][ends[:-1] < len(data)]
+    opens[edge] = word[edge]
+    start = np.flatnonzero(opens)
+    before = np.concatenate(([0], np.cumsum(word)))  # bytes kept
+    offsets = np.append(before[start], before[-1])
+    parts = pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data[word])])
+    return parts, np.searchsorted(start, ends)
+
+
+def _ids_of(words: list[str], path: str) -> list[bytes]:
+    """Ids of each part, remembered in two generations: what is still in use survives."""
+    young, old = _known.setdefault(path, [{}, {}])
+    if len(young) > REMEMBERED:
+        young, old = _known[path] = [{}, young]
+    fresh = []
+    for w in words:
+        if w not in young:
+            if (ids := old.get(w)) is not None:
+                young[w] = ids
+            else:
+                fresh.append(w)
     for a in range(0, len(fresh), 20_000):
         some = fresh[a : a + 20_000]
         for w, e in zip(some, _tokenizer(path).encode_batch_fast(some, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, np.uint32).tobytes()
-    own = [known[w] for w in words]
+            young[w] = np.array(e.ids, np.uint32).tobytes()
+    return [young[w] for w in words]
+
+
+def token_ids(texts: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids uint32, first): ids of each whole text followed by end_id, in CSR form.
+
+    For tokenizers that lower-case, drop white space and cut words from signs,
+    so that a text's ids are those of its parts in turn; see _parts.
+    """
+    parts, first_part = _parts(texts)
+    coded = parts.dictionary_encode()
+    own = _ids_of(coded.dictionary.to_pylist(), path)
     flat = np.frombuffer(b"".join(own), np.uint32)
     size = np.fromiter(map(len, own), np.int64, len(own)) // 4
-    begin = np.concatenate(([0], np.cumsum(size)))[:-1] if len(size) else np.zeros(0, np.int64)
-    word = coded.indices.to_numpy(zero_copy_only=False)
-    of = np.repeat(np.arange(len(texts)), np.diff(np.asarray(parts.offsets)))
-    length = size[word] if len(word) else np.zeros(0, np.int64)
-    per_text = np.bincount(of, length, len(texts)).astype(np.int64) + 1
-    first = np.concatenate(([0], np.cumsum(per_text)))
+    begin = np.cumsum(size) - size
+    part = coded.indices.to_numpy(zero_copy_only=False)
+    length = size[part] if len(part) else np.zeros(0, np.int64)
+    total = np.concatenate(([0], np.cumsum(length)))
+    first = np.concatenate(([0], np.cumsum(np.diff(total[first_part]) + 1)))
     out = np.full(first[-1], end_id, np.uint32)
-    if length.sum():
-        source = np.repeat(begin[word] - (np.cumsum(length) - length), length) + np.arange(length.sum())
+    if total[-1]:
+        source = np.repeat(begin[part] - total[:-1], length) + np.arange(total[-1])
         last = np.zeros(first[-1], bool)
         last[first[1:] - 1] = True
         out[~last] = flat[source]
