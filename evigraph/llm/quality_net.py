@@ -17,7 +17,8 @@ LAGS = range(2, 21)
 PAD = 256
 #: Labelled documents that the network is fitted on, at most (least hashes of ids); chunks of each per epoch.
 SAMPLE, PER_DOC = 2_000, 4
-EPOCHS, BATCH, RATE = 6, 32, 0.015
+#: Steps of the fit, however many documents there are; documents of a step; first rate.
+STEPS, BATCH, RATE = 400, 32, 0.015
 
 
 def repeats_itself(data: np.ndarray) -> np.ndarray:
@@ -101,8 +102,9 @@ class Net:
         params = ["embed", "filters", "shift", "weight", "bias"]
         moment = {p: [np.zeros_like(getattr(self, p)), np.zeros_like(getattr(self, p))] for p in params}
         step = 0
-        for epoch in range(EPOCHS):
-            rate = RATE * (1 - epoch / EPOCHS) + 1e-4
+        epochs = max(1, round(STEPS / -(-len(texts) // BATCH)))
+        for epoch in range(epochs):
+            rate = RATE * (1 - epoch / epochs) + 1e-4
             order = rng.permutation(len(texts))
             for a in range(0, len(order), BATCH):
                 docs = order[a : a + BATCH]
