@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Workspace
+from .shared import Workspace, hashed_sample
+from .textops import mix
 from .vectors import matrix, unit, usable
 
 #: Rows that the tree is fitted on, at most; every row is indexed.
@@ -127,7 +128,7 @@ def nearest_neighbours(
     Queries are the rows whose id is divisible by query_every, candidates all
     rows but the query's own; scores are cosines in double precision on the
     original vectors, ties go to the smaller id. The tree is fitted on at most
-    SAMPLE rows (least hashes of ids); all rows are indexed in its leaves. The
+    SAMPLE rows (by hash of the id); all rows are indexed in its leaves. The
     number of leaves that each query visits is the least at which calibration
     queries from the sample reach the recall against brute force.
 
@@ -138,7 +139,8 @@ def nearest_neighbours(
     spark = rows.sparkSession
     work = work or Workspace(spark)
     vectors = work.written(usable(rows, id_col, vec_col, nonzero=True), "vectors")
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
+    sample = hashed_sample(vectors, ["vec_id"], SAMPLE).toPandas().sort_values("vec_id")
+    sample = sample.iloc[np.argsort(mix(sample["vec_id"].to_numpy(np.int64).view(np.uint64)), kind="stable")]
     ids = sample["vec_id"].to_numpy(np.int64)
     fitted = unit(np.stack(sample["v"].to_numpy())) if len(ids) else np.zeros((0, 1))
     tree = Tree(fitted)

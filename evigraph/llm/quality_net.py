@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import hashed_sample
 from .textops import _bytes, pieces
 
 #: Bytes of a chunk and of its overlap with the next; width and step of a filter.
@@ -15,7 +16,7 @@ CHUNK, OVERLAP, WIDTH, STEP = 512, 64, 8, 4
 EMBED, FILTERS = 7, 12
 LAGS = range(2, 21)
 PAD = 256
-#: Labelled documents that the network is fitted on, at most (least hashes of ids); chunks of each per epoch.
+#: Labelled documents that the network is fitted on, at most (by hash); chunks of each per epoch.
 SAMPLE, PER_DOC = 2_000, 4
 #: Steps of the fit, however many documents there are; documents of a step; first rate.
 STEPS, BATCH, RATE = 400, 32, 0.015
@@ -152,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out("doc_id"))
     known = known.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(label).cast("int").alias("_label"))
-    known = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    known = hashed_sample(known, ["_id"], sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text")).filter(F.col("_text").isNotNull())
     found = rows.join(F.broadcast(known), "_id").orderBy(F.xxhash64("_id"), "_id", F.xxhash64("_text")).limit(sample).toPandas()
     net, y = Net(), found["_label"].to_numpy(np.float32)

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import hashed_sample
+
 # The base patterns, in Java's syntax. Maximal runs that are too
 # short fail as a whole, so a least length inside the pattern is the same for
 # access and hex; a short assignment is found first and dropped then.
@@ -16,7 +18,7 @@ HEX = r"[0-9a-f]{32,}"
 #: What the models judge: runs of letters, digits and signs of at least this length.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 LEAST = 20
-#: Rows of each table that the models are trained on, at most (least hashes of ids).
+#: Rows of each table that the models are trained on, at most (by hash).
 SAMPLE = 4_000
 #: Natural-log likelihood ratio per character pair from which a string counts as random.
 THRESHOLD = 0.25
@@ -83,8 +85,8 @@ def labelled_strings(texts: DataFrame) -> DataFrame:
 
 
 def sample(docs: DataFrame, size: int = SAMPLE) -> DataFrame:
-    """At most size rows with the least hashes of (doc_id, text)."""
-    return docs.select("doc_id", "text").filter(F.col("text").isNotNull()).orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(size)
+    """At most size rows with texts, by hash."""
+    return hashed_sample(docs.select("doc_id", "text").filter(F.col("text").isNotNull()), ["doc_id", "text"], size)
 
 
 def find_secrets(docs: DataFrame, ratios: list[float] | None = None, threshold: float = THRESHOLD) -> DataFrame:
