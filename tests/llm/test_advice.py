@@ -42,3 +42,30 @@ def test_stretches_are_the_longest_by_brute_force():
         assert bool(found) == bool(ok)
         if ok:
             assert max(b[j] - b[i] + 1 for i, j in found) == max(ok)[0]
+
+
+def changed(words, every):
+    return [f"z{i}" if i % every == every - 1 else w for i, w in enumerate(words)]
+
+
+def test_passages_with_every_fifth_to_twentieth_word_changed_are_found(spark):
+    fresh = fresh_words(3)
+    docs, want = [], []
+    for every in (5, 6, 8, 10, 20):
+        for _ in range(20):
+            passage = fresh(60)
+            docs += [fresh(100) + passage + fresh(100), fresh(70) + changed(passage, every) + fresh(90)]
+            want.append(len(docs))
+    rows = chaining.repeated_passages(texts(spark, docs)).collect()
+    assert {r.doc_id for r in rows} == set(want)
+    assert all(len(covered(rows, d) & set(range(70, 130))) >= 50 for d in want)
+
+
+def test_ends_go_on_until_the_score_drops(spark):
+    fresh = fresh_words(4)
+    long = fresh(600)
+    # seeds in the middle only: elsewhere the words of each seed are first held by other documents
+    others = [long[i : i + 4] + [f"y{i}"] for i in range(600) if not 290 <= i < 310]
+    docs = [[w for o in others for w in o], fresh(50) + long + fresh(50), fresh(9) + long + fresh(9)]
+    rows = chaining.repeated_passages(texts(spark, docs)).collect()
+    assert set(range(9, 609)) <= {x for r in rows if r.doc_id == 3 and r.of_doc_id == 2 for x in range(r.start, r.end)}
