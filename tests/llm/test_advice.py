@@ -69,3 +69,30 @@ def test_ends_go_on_until_the_score_drops(spark):
     docs = [[w for o in others for w in o], fresh(50) + long + fresh(50), fresh(9) + long + fresh(9)]
     rows = chaining.repeated_passages(texts(spark, docs)).collect()
     assert set(range(9, 609)) <= {x for r in rows if r.doc_id == 3 and r.of_doc_id == 2 for x in range(r.start, r.end)}
+
+
+def test_exact_repeats_are_found_though_first_holders_split_them(spark):
+    fresh = fresh_words(5)
+    passage, other = fresh(60), fresh(50)
+    docs = [fresh(40) + passage[:30] + fresh(40), fresh(40) + passage[30:] + fresh(40)]
+    docs += [fresh(5) + other[k : k + 8] + fresh(20) for k in range(0, 50, 5)]
+    docs += [fresh(10) + passage + fresh(30), fresh(25) + other + fresh(25), fresh(33) + passage + fresh(10), fresh(8) + other + fresh(45)]
+    rows = chaining.repeated_passages(texts(spark, docs)).collect()
+    for doc, of, start, of_start, n in ((15, 13, 33, 10, 60), (16, 14, 8, 25, 50)):
+        assert (start, start + n, of_start, of_start + n, n) in {(r.start, r.end, r.of_start, r.of_end, r.equal) for r in rows if r.doc_id == doc and r.of_doc_id == of}
+
+
+def test_exact_repeats_by_brute_force_over_few_words(spark):
+    rng = np.random.default_rng(6)
+    phrases = [[f"p{x}" for x in rng.integers(0, 60, 9)] for _ in range(12)]
+    docs = [[w for k in rng.integers(0, 12, 40) for w in phrases[k]] for _ in range(30)]
+    for d in (11, 17, 23, 29):
+        s, t = rng.integers(0, 250, 2)
+        docs[d][s : s + 70] = docs[int(rng.integers(0, d))][t : t + 70]
+    rows = chaining.repeated_passages(texts(spark, docs, 0)).collect()
+    runs, want = {}, {}
+    for d, ws in enumerate(docs):
+        for i in range(len(ws) - 49):
+            if runs.setdefault(tuple(ws[i : i + 50]), d) != d:
+                want.setdefault(d, set()).update(range(i, i + 50))
+    assert want and all(places <= covered(rows, d) for d, places in want.items())
