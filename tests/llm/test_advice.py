@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from evigraph.llm import chaining
+from evigraph.llm import chaining, ngram_join
 
 
 def texts(spark, docs, first=1):
@@ -96,3 +96,16 @@ def test_exact_repeats_by_brute_force_over_few_words(spark):
             if runs.setdefault(tuple(ws[i : i + 50]), d) != d:
                 want.setdefault(d, set()).update(range(i, i + 50))
     assert want and all(places <= covered(rows, d) for d, places in want.items())
+
+
+def test_all_links_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "COUNTED", 5)
+    fresh = fresh_words(7)
+    base, chain = fresh(200), fresh(120)
+    docs = [base[:k] + ["zz"] + base[k + 1 :] for k in range(0, 200, 9)]  # all similar to one another
+    docs += docs[:3] + [chain[2 * k : 2 * k + 60] for k in range(14)]  # copies; neighbours are similar, ends are not
+    docs += [fresh(50), fresh(2)]
+    sets = [{tuple(d[i : i + 4]) for i in range(len(d) - 3)} or {tuple(d)} for d in docs]
+    want = {i: sum(100 * len(s & x) >= 85 * len(s | x) for x in sets) - 1 for i, s in enumerate(sets)}
+    got = {r.doc_id: r.n_links for r in ngram_join.ngram_jaccard_join(texts(spark, docs, 0), 4, 85, 100).collect()}
+    assert got == want and max(want.values()) == 25
