@@ -13,8 +13,10 @@ from .shared import Workspace
 
 # The listed rules, as (verdict, host and path).
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-#: Mined rules kept, at most: what is broadcast.
-MAX_RULES = 1_000
+#: Mined rules that are broadcast, at most; more are joined by a shuffle, with the same result.
+FEW_RULES = 1_000
+#: Parts into which the token sets of one key, and copies of its rules, are dealt there.
+SALTS = 16
 MIN_SUPPORT, MIN_CONFIDENCE = 0.005, 0.6
 
 
@@ -45,13 +47,13 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(named("scheme:", scheme), named("host:", F.split(host, r"\.")), named("path:", F.split(path, "/")), named("query:", keys), named("part:", fragment))))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_rules: int = MAX_RULES) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Association rules (tokens array, key, verdict, confidence, support) from (tokens, verdict).
 
     FP-growth runs over all labelled rows, with the label as one more item.
     Rules that conclude a label stay if support and confidence reach their
-    least and no rule with one token less does as well; then the max_rules most
-    confident. key is the rule's rarest token, by which it is found.
+    least and no rule with one token less does as well, however many they are.
+    key is the rule's rarest token, by which it is found.
     """
     items = labelled.select(F.concat("tokens", F.array(F.concat(F.lit("label:"), F.col("verdict")))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
@@ -62,7 +64,6 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     )
     as_good = shorter.alias("s").join(rules.alias("r").hint("shuffle_merge"), ["tokens", "verdict"]).filter(F.col("r.confidence") >= F.col("s.confidence"))
     rules = rules.join(as_good.select(F.col("whole").alias("tokens"), "verdict").distinct().hint("shuffle_merge"), ["tokens", "verdict"], "left_anti")
-    rules = rules.orderBy(F.desc("confidence"), F.desc("support"), F.size("tokens"), F.array_join("tokens", " "), "verdict").limit(max_rules)
     single = model.freqItemsets.filter(F.size("items") == 1).select(F.element_at("items", 1).alias("key"), "freq")
     rarest = rules.select("tokens", "verdict", F.explode("tokens").alias("key")).hint("shuffle_merge").join(single.hint("shuffle_merge"), "key")
     rarest = rarest.groupBy("tokens", "verdict").agg(F.min_by("key", F.struct("freq", "key")).alias("key"))
@@ -93,10 +94,17 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, defau
     if labelled.isEmpty():
         judged = None
     else:
-        mined = work.written(mine(labelled, **mining), "rules")  # max_rules rows at most
+        mined = work.written(mine(labelled, **mining), "rules")
         sets = open_.select("tokens").distinct()
-        index = F.broadcast(mined.select("key", F.col("tokens").alias("needed"), "verdict", "confidence", "support"))
-        met = sets.select("tokens", F.explode("tokens").alias("key")).join(index, "key").filter(F.size(F.array_except("needed", "tokens")) == 0)
+        index = mined.select("key", F.col("tokens").alias("needed"), "verdict", "confidence", "support")
+        keyed = sets.select("tokens", F.explode("tokens").alias("key"))
+        if mined.count() <= FEW_RULES:
+            met = keyed.join(F.broadcast(index), "key")
+        else:
+            keyed = keyed.withColumn("salt", F.expr(f"pmod(xxhash64(tokens), {SALTS})"))
+            index = index.withColumn("salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
+            met = keyed.hint("shuffle_merge").join(index.hint("shuffle_merge"), ["key", "salt"])
+        met = met.filter(F.size(F.array_except("needed", "tokens")) == 0)
         rank = F.struct("confidence", F.size("needed"), "support", F.array_join("needed", " "), "verdict")
         judged = work.written(met.groupBy("tokens").agg(F.max(rank).alias("best")).select("tokens", F.col("best.verdict").alias("mined"), F.col("best.confidence").alias("confidence")), "judged")
     listed = rows.filter(F.col("listed").isNotNull()).select("page_id", "host", "path", F.col("listed.rule").alias("rule"), F.col("listed.verdict").alias("verdict"), F.lit(None).cast("double").alias("confidence"))

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from evigraph.llm import chaining, ngram_join
+from evigraph.llm import chaining, ngram_join, url_rules
 
 
 def texts(spark, docs, first=1):
@@ -109,3 +109,20 @@ def test_all_links_are_counted(spark, monkeypatch):
     want = {i: sum(100 * len(s & x) >= 85 * len(s | x) for x in sets) - 1 for i, s in enumerate(sets)}
     got = {r.doc_id: r.n_links for r in ngram_join.ngram_jaccard_join(texts(spark, docs, 0), 4, 85, 100).collect()}
     assert got == want and max(want.values()) == 25
+
+
+def test_all_mined_rules_judge(spark, monkeypatch):
+    named = ["x" + "".join(chr(97 + i // 26**k % 26) for k in (2, 1, 0)) for i in range(1_100)]
+    labelled = [f"http://h.com/de/{x}/" for x in named for _ in range(2)]
+    other = [f"http://k.net/{x}/" for x in named]
+    plain = [f"http://{host}.com/fr/" for host in "mn" for _ in range(200)]
+    urls = labelled + other + plain
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+
+    def judged():
+        return {r.page_id: (r.rule, r.verdict, r.confidence) for r in url_rules.judge_urls(pages, min_support=0.0005).collect()}
+
+    many = judged()  # over FEW_RULES
+    assert {many[i][:2] for i in range(2_200, 3_300)} == {(None, "block")}
+    monkeypatch.setattr(url_rules, "FEW_RULES", 10**6)
+    assert judged() == many
