@@ -19,7 +19,7 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import similar_lines
 
-    found = similar_lines(_table(spark, sf_dir, "documents"))
+    found = similar_lines(_table(spark, sf_dir, "documents"), k=1)
     return found.withColumn("removed", F.array_join("removed", ","))
 
 

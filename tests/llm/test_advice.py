@@ -126,3 +126,15 @@ def test_all_mined_rules_judge(spark, monkeypatch):
     assert {many[i][:2] for i in range(2_200, 3_300)} == {(None, "block")}
     monkeypatch.setattr(url_rules, "FEW_RULES", 10**6)
     assert judged() == many
+
+
+def test_lines_with_one_inner_word_changed_go(spark, tmp_path):
+    from evigraph.llm import queries
+
+    fresh = fresh_words(8)
+    lines = [fresh(20) for _ in range(5)]
+    near = [[*w[:9], "zz", *w[10:]] for w in lines]
+    rows = [(i, "\n".join(" ".join(w) for w in part)) for i, part in enumerate((lines, near, [fresh(20)]))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.removed for r in queries.op5_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {0: "", 1: "0,1,2,3,4", 2: ""}
