@@ -138,9 +138,9 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
 def _links(known: DataFrame, load, num: int, den: int, key: list[str]) -> DataFrame:
     """(fp1, fp2, n, links) of the classes (fp1, fp2, n, rep, copies, component) that are not alone."""
-    large = known.groupBy("component").count().filter(F.col("count") > COUNTED)  # one for COUNTED classes at most
+    large = known.groupBy("component").count().filter(F.col("count") > COUNTED)
     blocks = F.coalesce(F.ceil(F.col("count") / COUNTED), F.lit(1)).cast("int")
-    dealt = known.join(F.broadcast(large), "component", "left").withColumn("nb", blocks).drop("count")
+    dealt = known.hint("shuffle_merge").join(large.hint("shuffle_merge"), "component", "left").withColumn("nb", blocks).drop("count")
     zero = F.lit(0).cast("int")
     whole = load(setjoin.wanted(known.select(F.col("rep").alias("d1"), zero.alias("l1"), F.col("rep").alias("d2"), zero.alias("l2"))))
     whole = whole.select("d", "tokens", "fp1", "fp2", F.size("tokens").alias("n"))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import _LOWER, _SPACE, _bytes, pieces
+from .textops import _bytes, is_space, lowered, pieces
 
 #: Parts of texts whose ids a Python worker remembers, at most twice as many.
 REMEMBERED = 400_000
@@ -47,11 +47,11 @@ def _parts(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     data, ends = _bytes(texts)
     if not len(data):
         return pa.array([], pa.large_string()), np.zeros(len(texts) + 1, np.int64)
-    word = ~_SPACE[data]
+    word = ~is_space(data)
     opens = word.copy()
     opens[1:] &= ~word[:-1]
     if b"<|" not in data.tobytes():
-        data = _LOWER[data]
+        data = lowered(data)
         letter, sign = _LETTER[data], _SIGN[data]
         opens[1:] |= (letter[1:] & sign[:-1]) | (sign[1:] & letter[:-1])
     edge = ends[:-1][ends[:-1] < len(data)]

@@ -26,6 +26,8 @@ from .textops import block_overlap, mix
 
 #: Sets of one element that meet in one task; more are split into blocks.
 BLOCK = 2_000
+#: Second sets of one first set that meet it in one task; tokens that are multiplied at a time; blocks of columns of that product.
+STAR, TOKENS, COLUMN_BLOCKS = 512, 500_000, 8
 #: Bits of the bitmap that names sets to load for verification: fixed, 2 MB. A false hit only costs time.
 SLOTS = 1 << 24
 #: In place of l: the slot of any set of this d.
@@ -130,24 +132,41 @@ def _unique_pairs(t: dict, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch | Non
 
 
 def shared_entries(sets: DataFrame) -> DataFrame:
-    """(h, d, l, n, pos, m): entries of elements that m >= 2 sets have, with the least such set's (d0, l0, n0, pos0)."""
+    """(h, d, l, n, pos): entries of elements that several sets have, with the least such set's (d0, l0, n0, pos0).
+
+    A list streams through its task: one row is remembered, however long it is.
+    """
+    columns = ["h", "d", "l", "n", "pos"]
 
     def keep(batches):
-        for t in _runs(batches, ["h"]):
-            bounds = _run_bounds(t["h"])
-            m = np.diff(bounds)
-            rows = np.repeat(m, m) > 1
-            head = np.repeat(bounds[:-1], m)[rows]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(t[c][rows]) for c in ("h", "d", "l", "n", "pos")]
-                + [pa.array(np.repeat(m, m)[rows])]
-                + [pa.array(t[c][head]) for c in ("d", "l", "n", "pos")],
-                ["h", "d", "l", "n", "pos", "m", "d0", "l0", "n0", "pos0"],
-            )
-
-    entries = sets.select("d", "l", "n", F.posexplode("prefix").alias("pos", "h")).select("h", "d", "l", "n", "pos")
+        seen = None  # the last row, and whether it opens a list and has not been told yet
+        head = None  # the first row of the last list
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(c).to_numpy() for c in columns]
+            if seen:
+                cols = [np.append(x, y).astype(y.dtype) for x, y in zip(seen[0], cols, strict=True)]
+            h = cols[0]
+            new = np.ones(len(h), bool)
+            new[1:] = h[1:] != h[:-1]
+            out = ~new
+            out[:-1] |= ~new[1:]
+            if seen:  # its first row goes on the list that went before, and is told now if it opened it
+                out[0] = bool(out[0] and seen[1])
+            at = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+            first = [x[at] for x in cols[1:]]
+            if seen and head is not None:
+                of_old = at == 0
+                first = [np.where(of_old, o, x).astype(x.dtype) for o, x in zip(head, first, strict=True)]
+            head = [x[-1] for x in first]
+            seen = ([x[-1] for x in cols], bool(new[-1]))
+            if out.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (*cols, *first)], [*columns, "d0", "l0", "n0", "pos0"])
+
+    entries = sets.select("d", "l", "n", F.posexplode("prefix").alias("pos", "h")).select(*columns)
     return entries.repartition("h").sortWithinPartitions("h", "d", "l").mapInArrow(
-        keep, "h long, d long, l int, n int, pos int, m long, d0 long, l0 int, n0 int, pos0 int"
+        keep, "h long, d long, l int, n int, pos int, d0 long, l0 int, n0 int, pos0 int"
     )
 
 
@@ -166,7 +185,7 @@ def star_pairs(entries: DataFrame, num: int, den: int) -> DataFrame:
 def open_pairs(entries: DataFrame, num: int, den: int, by_mark: str) -> DataFrame:
     """Distinct pairs within each element that the stars left open.
 
-    entries has ``mark`` and ``sizes`` besides, so that the sizes in column blocks
+    entries has ``m``, the sets of the element, ``mark`` and ``sizes`` besides, so that the sizes in column blocks
     bound the overlap here already.  With by_mark="differ" pairs of different marks
     remain (components still apart), with "later" those whose later set has
     mark 0 (no earlier match yet). Elements of more than BLOCK sets are split
@@ -250,20 +269,88 @@ def bounded(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return joined.mapInArrow(keep, _PAIR_DDL)
 
 
+def _overlaps(centre: tuple[np.ndarray, np.ndarray], row: np.ndarray, star: np.ndarray, token: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Which rows share at least ``need`` elements with the centre of their star.
+
+    centre is (star, element), as are the rows' (row, star of the row, element).
+    Counts accumulate over blocks of columns; a row that can't reach its bound
+    any more, with all that is left on the smaller side, is dropped on the way.
+    """
+    n = len(need)
+    block, own_block = (x & np.uint64(COLUMN_BLOCKS - 1) for x in (token, centre[1]))
+    cell, own = (mix(t + mix(k.astype(np.uint64) + np.uint64(1))) for t, k in ((token, star[row]), (centre[1], centre[0])))
+    rest, stars = np.bincount(row, minlength=n), int(max(star.max(initial=0), centre[0].max(initial=0))) + 1
+    own_rest = np.bincount(centre[0], minlength=stars)
+    overlap, alive = np.zeros(n, np.int64), np.ones(n, bool)
+    for c in range(COLUMN_BLOCKS):
+        here, there = block == c, own_block == c
+        rest = rest - np.bincount(row[here], minlength=n)
+        own_rest = own_rest - np.bincount(centre[0][there], minlength=stars)
+        here &= alive[row]
+        column = np.sort(own[there])
+        if len(column):
+            at = np.minimum(np.searchsorted(column, cell[here]), len(column) - 1)
+            overlap += np.bincount(row[here][column[at] == cell[here]], minlength=n)
+        alive &= overlap + np.minimum(rest, own_rest[star]) >= need
+    return alive
+
+
+def products(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of Jaccard >= num/den from rows sorted by star (d1, l1, blk), each star's centre (d2 null) before its members.
+
+    Rows are read as a stream: of earlier batches only the last centre is kept.
+    """
+    keys, held = ["d1", "l1", "blk"], []
+    for whole in batches:
+        ends = np.append(0, np.cumsum(whole.column("tokens").value_lengths().to_numpy(zero_copy_only=False)))
+        start = 0
+        while start < whole.num_rows:
+            stop = max(start + 1, int(np.searchsorted(ends, ends[start] + TOKENS, "right")) - 1)
+            batch, start = whole.slice(start, stop - start), stop
+            batch = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0]
+            member = batch.column("d2").is_valid().to_numpy(zero_copy_only=False)
+            bounds = _run_bounds(*(batch.column(c).to_numpy() for c in keys))
+            star = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+            centres = np.flatnonzero(~member & (star == star[-1]))
+            held = [batch.take(pa.array(centres))]
+            size = batch.column("tokens").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            token = batch.column("tokens").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            row = np.repeat(np.arange(len(size)), size)
+            turn = np.arange(len(size)) - bounds[star]  # more than one centre where keys repeat
+            number, at = np.cumsum(member) - 1, member[row]
+            ok = np.zeros(int(member.sum()), bool)
+            for k in range(int(turn[~member].max(initial=-1)) + 1):
+                one = ~member & (turn == k)
+                own, centre_size = one[row], np.zeros(len(bounds) - 1, np.int64)
+                centre_size[star[one]] = size[one]
+                need = least_overlap(size[member], centre_size[star[member]], num, den)
+                ok |= _overlaps((star[row[own]], token[own]), number[row[at]], star[member], token[at], need)
+            found = np.flatnonzero(member)[ok]
+            if len(found):
+                yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(found)) for c in _PAIR.names], schema=_PAIR)
+
+
 def verified(pairs: DataFrame, sets: DataFrame | None, load: Callable[[np.ndarray], DataFrame], num: int, den: int, work: Workspace, name: str) -> DataFrame:
     """Pairs whose whole sets have Jaccard >= num/den; with ``sets`` they are bounded first.
 
     load(bitmap) gives (d, l, tokens array<long>), of distinct elements, for at
-    least the sets in the bitmap. The overlap is counted on the whole sets.
+    least the sets in the bitmap. The pairs of one first set are a row block of
+    the product: its tokens meet those of at most STAR second sets in one task.
     """
     if sets is not None:
         pairs = work.written(bounded(pairs, sets, num, den), f"{name}-bounded")
-    whole = load(wanted(pairs))
-    first = whole.select(F.col("d").alias("d1"), F.col("l").alias("l1"), F.col("tokens").alias("t1"))
-    second = whole.select(F.col("d").alias("d2"), F.col("l").alias("l2"), F.col("tokens").alias("t2"))
-    joined = pairs.hint("shuffle_merge").join(first.hint("shuffle_merge"), ["d1", "l1"]).hint("shuffle_merge").join(second.hint("shuffle_merge"), ["d2", "l2"])
-    joined = joined.withColumns({"o": F.size(F.array_intersect("t1", "t2")).cast("long"), "s": (F.size("t1") + F.size("t2")).cast("long")})
-    return work.written(joined.filter(F.col("o") * den >= (F.col("s") - F.col("o")) * num).select("d1", "l1", "d2", "l2"), name)
+    whole = work.written(load(wanted(pairs)).select("d", "l", "tokens"), f"{name}-sets")
+    many = pairs.groupBy("d1", "l1").agg(F.ceil(F.count("*") / STAR).cast("int").alias("nb")).filter("nb > 1")
+    dealt = pairs.hint("shuffle_merge").join(many.hint("shuffle_merge"), ["d1", "l1"], "left").withColumn("blk", F.expr("cast(pmod(xxhash64(d2, l2), coalesce(nb, 1)) as int)")).drop("nb")
+    centres = dealt.select("d1", "l1", "blk").distinct().hint("shuffle_merge").join(whole.select(F.col("d").alias("d1"), F.col("l").alias("l1"), "tokens").hint("shuffle_merge"), ["d1", "l1"])
+    members = dealt.hint("shuffle_merge").join(whole.select(F.col("d").alias("d2"), F.col("l").alias("l2"), "tokens").hint("shuffle_merge"), ["d2", "l2"])
+    none = {"d2": F.lit(None).cast("long"), "l2": F.lit(None).cast("int")}
+    order = ["d1", "l1", "blk", "d2", "l2"]
+    rows = centres.withColumns(none).select(*order, "tokens").union(members.select(*order, "tokens"))
+    rows = rows.repartition("d1", "l1", "blk").sortWithinPartitions("d1", "l1", "blk", F.col("d2").asc_nulls_first())
+    out = work.written(rows.mapInArrow(lambda batches: products(batches, num, den), _PAIR_DDL), name)
+    work.drop(f"{name}-sets")
+    return out
 
 
 def component_links(sets: DataFrame, load, num: int, den: int, work: Workspace) -> tuple[DataFrame, DataFrame]:
@@ -273,22 +360,25 @@ def component_links(sets: DataFrame, load, num: int, den: int, work: Workspace)
     entries = work.written(shared_entries(sets), "entries")
     links = verified(work.written(star_pairs(entries, num, den), "star"), sets, load, num, den, work, "links")
     parts = components(links.select(F.col("d1").alias("a"), F.col("d2").alias("b")), work, "parts")
-    known = sets.select("d", "l", "sizes").hint("shuffle_merge").join(parts.select(F.col("id").alias("d"), "component").hint("shuffle_merge"), "d", "left")
-    marked = _marked(entries, known.select("d", "l", "sizes", F.coalesce("component", "d").alias("mark")))
-    more = verified(_left_open(marked, num, den, "differ", work), None, load, num, den, work, "more")
+    known = sets.select("d", "l").hint("shuffle_merge").join(parts.select(F.col("id").alias("d"), "component").hint("shuffle_merge"), "d", "left")
+    more = verified(_left_open(entries, known.select("d", "l", F.coalesce("component", "d").alias("mark")), sets, num, den, "differ", work), None, load, num, den, work, "more")
     work.drop("entries", "star", "open", "links-bounded")
     links = links.union(more)
     return links, components(links.select(F.col("d1").alias("a"), F.col("d2").alias("b")), work, "whole")
 
 
-def _marked(entries: DataFrame, known: DataFrame) -> DataFrame:
-    return entries.select("h", "d", "l", "n", "pos", "m").hint("shuffle_merge").join(known.hint("shuffle_merge"), ["d", "l"])
-
-
-def _left_open(marked: DataFrame, num: int, den: int, by_mark: str, work: Workspace) -> DataFrame:
+def _left_open(entries: DataFrame, known: DataFrame, sets: DataFrame, num: int, den: int, by_mark: str, work: Workspace) -> DataFrame:
+    """Candidate pairs that the stars left open, from the elements whose sets (d, l, mark) still have some; sizes come in only there."""
+    columns = ["h", "d", "l", "n", "pos"]
+    marked = work.written(entries.select(*columns).hint("shuffle_merge").join(known.hint("shuffle_merge"), ["d", "l"]), "marked")
+    lists = marked.groupBy("h").agg(F.count("*").alias("m"), F.min("mark").alias("low"), F.max("mark").alias("high"))
+    lists = lists.filter("low <> high" if by_mark == "differ" else "low = 0").select("h", "m")
+    some = marked.hint("shuffle_merge").join(lists.hint("shuffle_merge"), "h").hint("shuffle_merge").join(sets.select("d", "l", "sizes").hint("shuffle_merge"), ["d", "l"])
     star = work.read("star")
-    left = open_pairs(marked, num, den, by_mark)
-    return work.written(left.hint("shuffle_merge").join(star.hint("shuffle_merge"), ["d1", "l1", "d2", "l2"], "left_anti"), "open")
+    left = open_pairs(some, num, den, by_mark)
+    out = work.written(left.hint("shuffle_merge").join(star.hint("shuffle_merge"), ["d1", "l1", "d2", "l2"], "left_anti"), "open")
+    work.drop("marked")
+    return out
 
 
 def later_matches(sets: DataFrame, load, num: int, den: int, work: Workspace) -> DataFrame:
@@ -296,8 +386,8 @@ def later_matches(sets: DataFrame, load, num: int, den: int, work: Workspace) ->
     entries = work.written(shared_entries(sets), "entries")
     first = verified(work.written(star_pairs(entries, num, den), "star"), sets, load, num, den, work, "first")
     found = first.select(F.col("d2").alias("d"), F.col("l2").alias("l")).distinct()
-    known = sets.select("d", "l", "sizes").hint("shuffle_merge").join(found.withColumn("some", F.lit(1)).hint("shuffle_merge"), ["d", "l"], "left")
-    marked = _marked(entries, known.select("d", "l", "sizes", F.coalesce("some", F.lit(0)).cast("long").alias("mark")))
-    more = verified(_left_open(marked, num, den, "later", work), None, load, num, den, work, "more")
+    known = sets.select("d", "l").hint("shuffle_merge").join(found.withColumn("some", F.lit(1)).hint("shuffle_merge"), ["d", "l"], "left")
+    known = known.select("d", "l", F.coalesce("some", F.lit(0)).cast("long").alias("mark"))
+    more = verified(_left_open(entries, known, sets, num, den, "later", work), None, load, num, den, work, "more")
     work.drop("entries", "star", "open", "first-bounded")
     return found.union(more.select(F.col("d2").alias("d"), F.col("l2").alias("l"))).distinct()

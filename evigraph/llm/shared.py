@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -9,24 +10,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Lets shuffle files go once the job that made them has ended; a lost one is made again from its lineage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where that is unset (tests)."""
+    """The folder in spark.checkpoint.dir; where that is unset, one of our own in local mode (tests), else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="evigraph-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
 def hashed_sample(rows: DataFrame, columns: list[str], size: int) -> DataFrame:
-    """All rows if there are no more than ``size``, else about nine tenths of that many with small hashes of the columns.
+    """All rows if there are no more than ``size``, else about nine tenths of that many with small hashes of the columns, never more than ``size``.
 
-    The same rows give the same sample; nothing is sorted and no text moves.
+    The same rows give the same sample: what the filter on hashes leaves, about
+    as many rows, is cut by hash, then by the columns. No other text moves.
     """
     n = rows.count()
     if n <= size:
         return rows
-    return rows.filter(F.expr(f"pmod(xxhash64({', '.join(columns)}), 1000000000)") < int(0.9e9 * size / n)).limit(size)
+    some = rows.withColumn("_hash", F.expr(f"pmod(xxhash64({', '.join(columns)}), 1000000000)")).filter(F.col("_hash") < int(0.9e9 * size / n))
+    return some.orderBy("_hash", *columns).limit(size).drop("_hash")
+
+
+@contextlib.contextmanager
+def _freeing_shuffles(spark: SparkSession):
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
 
 
 class Workspace:
@@ -39,7 +58,8 @@ class Workspace:
         """Cuts lineage and fixes sizes: writes df as Parquet and reads it back."""
         schema = df.schema
         writer = df.write.mode("overwrite")
-        (writer.partitionBy(*by) if by else writer).parquet(f"{self.path}/{name}")
+        with _freeing_shuffles(self.spark):
+            (writer.partitionBy(*by) if by else writer).parquet(f"{self.path}/{name}")
         return self.read(name) if by else self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
     def read(self, name: str) -> DataFrame:

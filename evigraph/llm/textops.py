@@ -6,19 +6,32 @@ space and 0x09-0x0D, so multi-byte characters are always inside words.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _R = np.uint64(0x9E3779B97F4A7C15)
-_R_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+#: Masks of the first 0 to 8 bytes of a word.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Bytes from which a word is hashed by digest.
+LONG_WORD = 256
 #: Bytes of text handled at a time; a longer text is handled alone.
 CHUNK_BYTES = 2_000_000
 
 
+def is_space(data: np.ndarray) -> np.ndarray:
+    """Which bytes separate words: space and 0x09-0x0D."""
+    return (data - np.uint8(9) < 5) | (data == 32)
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z in lower case."""
+    return data | ((data - np.uint8(65) < 26).view(np.uint8) << np.uint8(5))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser, on uint64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -36,6 +49,13 @@ def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]], ends - ends[0]
 
 
+def give_back() -> None:
+    """Returns memory that is free again to the system, as Python workers live on and share the executor's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def pieces(batch: pa.RecordBatch, column: str = "text"):
     """Slices of a batch of about CHUNK_BYTES of text each, so memory stays bounded."""
     if not batch.num_rows:
@@ -47,6 +67,7 @@ def pieces(batch: pa.RecordBatch, column: str = "text"):
         stop = min(max(stop, start + 1), batch.num_rows)
         yield batch.slice(start, stop - start)
         start = stop
+    give_back()
 
 
 class Words:
@@ -83,7 +104,7 @@ class Words:
             self.start = self.end = np.zeros(0, np.int64)
             self.hash, self.first = np.zeros(0, np.uint64), np.zeros(len(self.unit_start) + 1, np.int64)
             return
-        word = ~_SPACE[data]
+        word = ~is_space(data)
         opens, closes = word.copy(), word.copy()
         opens[1:] &= ~word[:-1]
         closes[:-1] &= ~word[1:]
@@ -94,18 +115,24 @@ class Words:
         closes[at] = word[at]
         self.start, self.end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
         self.first = np.append(np.searchsorted(self.start, self.unit_start), len(self.start))
-        self.hash = self._hashes(_LOWER[data] if lower else data)
+        self.hash = self._hashes(lowered(data) if lower else data)
 
     def _hashes(self, data: np.ndarray) -> np.ndarray:
-        power = np.full(len(data), _R, np.uint64)
-        power[0] = 1
-        np.multiply.accumulate(power, out=power)
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power, out=total[1:])
-        inverse = np.full(len(data), _R_INV, np.uint64)
-        inverse[0] = 1
-        np.multiply.accumulate(inverse, out=inverse)
-        return mix((total[self.end] - total[self.start]) * inverse[self.start])
+        """A hash of each word's length and bytes, eight bytes at a time; long words by digest."""
+        size = self.end - self.start
+        h = mix(size.astype(np.uint64) + np.uint64(1))
+        padded = np.concatenate((data, np.zeros(8, np.uint8)))
+        eight = np.ndarray((len(data) + 1,), np.dtype("<u8"), padded, strides=(1,))  # those from each place on
+        todo, at, left = np.flatnonzero(size <= LONG_WORD), 0, size
+        while len(todo):
+            left = size[todo] - at
+            value = eight[self.start[todo] + at] & _FIRST[np.minimum(left, 8)]
+            h[todo] = mix(h[todo] * _R + value)
+            todo, at = todo[left > 8], at + 8
+        for k in np.flatnonzero(size > LONG_WORD):
+            digest = hashlib.blake2b(data[self.start[k] : self.end[k]], digest_size=8).digest()
+            h[k] = np.frombuffer(digest, np.uint64)[0]
+        return h
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
