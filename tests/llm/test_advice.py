@@ -138,3 +138,57 @@ def test_lines_with_one_inner_word_changed_go(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.removed for r in queries.op5_line_dedup(spark, str(tmp_path)).collect()}
     assert got == {0: "", 1: "0,1,2,3,4", 2: ""}
+
+
+def test_a_copy_put_together_from_two_sources_is_found_whole(spark):
+    fresh = fresh_words(11)
+    passage = fresh(80)
+    docs = [fresh(30) + passage[:40] + fresh(20), fresh(20) + passage[40:] + fresh(30), fresh(12) + passage + fresh(12), fresh(40) + passage + fresh(5)]
+    rows = chaining.repeated_passages(texts(spark, docs)).collect()
+    assert covered(rows, 4) == set(range(40, 120))
+
+
+def test_seeds_meet_however_batches_and_parts_cut_them(spark, monkeypatch):
+    """Whole results by brute force: which words of later documents lie in an exact repeat of 50 words; frequent seeds told or not, gaps of more than BRIDGE words."""
+    fresh = fresh_words(12)
+    one, two = fresh(60), fresh(90)
+    docs = [fresh(5) + one + fresh(75) + two for _ in range(9)] + [two + fresh(100) + one, one, fresh(200), two[:50], one + one]
+    n = 50
+    want = {}
+    seen = set()
+    for i, d in enumerate(docs, 1):
+        runs = [tuple(d[j : j + n]) for j in range(len(d) - n + 1)]
+        want[i] = {x for j, r in enumerate(runs) if r in seen for x in range(j, j + n)}
+        seen |= set(runs)
+    monkeypatch.setattr(chaining, "OFTEN", 4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = chaining.repeated_passages(texts(spark, docs)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for i in want:
+        assert want[i] <= covered(rows, i)
+        assert len(covered(rows, i) - want[i]) < 5
+
+
+def test_a_nearer_part_is_taken_where_the_best_is_out_of_reach():
+    at, length = np.array([0, 161, 185]), np.array([100, 20, 30])
+    assert sorted(map(sorted, chaining.fenwick_chains(at, at, length))) == [[0], [1, 2]]
+
+
+def test_chains_keep_their_bridge_by_brute_force():
+    rng = np.random.default_rng(5)
+    for _ in range(150):
+        n = int(rng.integers(2, 9))
+        b0 = np.sort(rng.integers(0, 300, n))
+        a0, length = rng.integers(0, 300, n), rng.integers(4, 60, n)
+        best = np.zeros(n)
+        for i in range(n):
+            gaps = [(j, b0[i] - b0[j] - length[j], a0[i] - a0[j] - length[j]) for j in range(n) if j != i]
+            ok = [best[j] - chaining.GAP_COST * (x + y) for j, x, y in gaps if 0 <= x <= chaining.BRIDGE and 0 <= y <= chaining.BRIDGE]
+            best[i] = length[i] + max([0, *ok])
+        chains = chaining.fenwick_chains(b0, a0, length)
+        top = chains[0]
+        score = sum(length[top]) - sum(chaining.GAP_COST * (b0[y] - b0[x] - length[x] + a0[y] - a0[x] - length[x]) for x, y in zip(top, top[1:], strict=False))
+        assert abs(score - best.max()) < 1e-9
+        assert sorted(x for c in chains for x in c) == list(range(n))
