@@ -9,12 +9,10 @@ from pyspark.sql import functions as F
 
 from . import setjoin
 from .shared import Workspace
-from .textops import Words, block_sizes, distinct_sets, fingerprints, heads, pieces
+from .textops import Words, distinct_sets, fingerprints, heads, pieces
 
 #: Frequent tokens told to every task, at most: 1.8 MB.
 COMMON = 200_000
-#: Column blocks whose sizes bound the overlap of two lines.
-BLOCKS = 128
 
 
 def _lines(batch: pa.RecordBatch, k: int):
@@ -34,7 +32,8 @@ def similar_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, wo
 
     Equal sets are one class at its first place. Tokens are ordered by rarity;
     the prefix filter keeps only those of which a similar line must share one,
-    then length and positional filters and a count on the whole sets decide.
+    then length and positional filters, a bound from 256-bit signatures and a count
+    on the whole sets decide.
 
     Lines without words stay. A null text is one line without words. Rows with a
     null doc_id keep all lines and are reported as one row. Rows that repeat a
@@ -61,14 +60,14 @@ def similar_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, wo
                 fp1, fp2 = fingerprints(values, first)
                 length = np.where(n > 0, setjoin.prefix_length(n, num, den), 0)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(words.unit_text)), pa.array(words.unit_no.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(fp1), pa.array(fp2), block_sizes(values, first, BLOCKS), heads(values, first, length)],
-                    ["d", "l", "n", "fp1", "fp2", "sizes", "prefix"],
+                    [part.column("doc_id").take(pa.array(words.unit_text)), pa.array(words.unit_no.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(fp1), pa.array(fp2), *map(pa.array, setjoin.signatures(values, first)), heads(values, first, length)],
+                    ["d", "l", "n", "fp1", "fp2", *setjoin.SIGNED, "prefix"],
                 )
 
-    sketches = work.written(docs.mapInArrow(sketch, "d long, l int, n int, fp1 long, fp2 long, sizes binary, prefix array<long>"), "sketches")
+    sketches = work.written(docs.mapInArrow(sketch, "d long, l int, n int, fp1 long, fp2 long, s0 long, s1 long, s2 long, s3 long, prefix array<long>"), "sketches")
     key = ["fp1", "fp2", "n"]
-    one = sketches.filter("n > 0 and d is not null").groupBy(*key).agg(F.min(F.struct("d", "l", "sizes", "prefix")).alias("x"))
-    classes = work.written(one.select(*key, "x.d", "x.l", "x.sizes", "x.prefix"), "classes")
+    one = sketches.filter("n > 0 and d is not null").groupBy(*key).agg(F.min(F.struct("d", "l", *setjoin.SIGNED, "prefix")).alias("x"))
+    classes = work.written(one.select(*key, "x.*"), "classes")
     members = work.written(sketches.select("d", "l", *key), "members")
     work.drop("sketches")
 
@@ -91,7 +90,7 @@ def similar_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, wo
 
         return docs.mapInArrow(some, "d long, l int, tokens array<long>")
 
-    later = work.written(setjoin.later_matches(classes.select("d", "l", "n", "sizes", "prefix"), load, num, den, work), "later")
+    later = work.written(setjoin.later_matches(classes.select("d", "l", "n", *setjoin.SIGNED, "prefix"), load, num, den, work), "later")
     heads_ = classes.select(*key, F.col("d").alias("d0"), F.col("l").alias("l0"))
     lines = members.hint("shuffle_merge").join(heads_.hint("shuffle_merge"), key, "left")
     copies = lines.withColumn("copy", F.col("d0").isNotNull() & ((F.col("d") != F.col("d0")) | (F.col("l") != F.col("l0"))))

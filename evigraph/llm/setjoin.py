@@ -30,6 +30,10 @@ BLOCK = 2_000
 STAR, TOKENS, COLUMN_BLOCKS = 512, 500_000, 8
 #: Bits of the bitmap that names sets to load for verification: fixed, 2 MB. A false hit only costs time.
 SLOTS = 1 << 24
+#: Elements with more than BLOCK sets that are told to every task, at most; more are joined by a shuffle.
+LONG_LISTS = 20_000
+#: Columns of a signature. In place of l1: a row that tells of a list.
+SIGNED, LIST = ("s0", "s1", "s2", "s3"), -2
 #: In place of l: the slot of any set of this d.
 WHOLE = -1
 _PAIR = pa.schema([("d1", pa.int64()), ("l1", pa.int32()), ("d2", pa.int64()), ("l2", pa.int32())])
@@ -121,7 +125,9 @@ def _may_match(t: dict, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.
     return (np.minimum(n1, n2) * den >= np.maximum(n1, n2) * num) & (rest + before >= least_overlap(n1, n2, num, den))
 
 
-def _unique_pairs(t: dict, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch | None:
+def _unique_pairs(t: dict, i: np.ndarray, j: np.ndarray, ok: np.ndarray | None = None) -> pa.RecordBatch | None:
+    if ok is not None:
+        i, j = i[ok], j[ok]
     if not len(i):
         return None
     d1, l1, d2, l2 = t["d"][i], t["l"][i], t["d"][j], t["l"][j]
@@ -182,11 +188,74 @@ def star_pairs(entries: DataFrame, num: int, den: int) -> DataFrame:
     )
 
 
+def signed_stars(entries: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs of each entry's set with the least set of the same element that sizes, places and signatures allow.
+
+    entries has (h, d, l, n, pos) and SIGNED. Rows with l1 = LIST tell instead, in
+    d1 and d2, of each BLOCK entries of an element.
+    """
+    columns = ["d", "l", "n", "pos", *SIGNED]
+
+    def stars(batches):
+        h0, head, count = None, None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h = batch.column("h").to_numpy()
+            cols = {c: batch.column(c).to_numpy() for c in columns}
+            new = np.ones(len(h), bool)
+            new[1:] = h[1:] != h[:-1]
+            new[0] = h[0] != h0
+            if not new[0]:  # goes on: its first row stands in front
+                cols = {c: np.append(head[c], x).astype(x.dtype) for c, x in cols.items()}
+                at = np.maximum.accumulate(np.where(np.append(True, new), np.arange(len(h) + 1), 0))
+                i, j = at[1:], np.arange(1, len(h) + 1)
+            else:
+                i, j = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0)), np.arange(len(h))
+            first_run = i == i[0]
+            nth = j - i + np.where(first_run, 0 if new[0] else count - 1, 0)
+            ends = (nth + 1) % BLOCK == 0
+            ok = (nth > 0) & _may_match(cols, i, j, num, den)
+            pair = _unique_pairs(cols, i[ok], j[ok], _signatures_allow(cols, i[ok], j[ok], num, den))
+            if pair is not None:
+                yield pair
+            if ends.any():
+                none = pa.array(np.full(int(ends.sum()), LIST, np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(h[ends]), none, pa.array(nth[ends] + 1), none], schema=_PAIR)
+            h0, head, count = h[-1], {c: x[i[-1]] for c, x in cols.items()}, int(nth[-1]) + 1
+
+    return entries.repartition("h").sortWithinPartitions("h", "d", "l").mapInArrow(stars, _PAIR_DDL)
+
+
+def signatures(values: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """256 bits of each unit as four int64: which of 256 columns blocks it has elements in."""
+    n, out = len(first) - 1, []
+    bit = (values & np.uint64(255)).astype(np.int64)
+    for a in range(0, n, 16_384):
+        b = min(n, a + 16_384)
+        cells = np.zeros((b - a, 256), bool)
+        cells[np.repeat(np.arange(b - a), np.diff(first[a : b + 1])), bit[first[a] : first[b]]] = True
+        out.append(np.packbits(cells, axis=1).view(np.int64))
+    rows = np.concatenate(out) if out else np.zeros((0, 4), np.int64)
+    return [np.ascontiguousarray(rows[:, k]) for k in range(4)]
+
+
+def _signatures_allow(t: dict, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether the elements in columns that the other set has none in leave either side enough to share."""
+    n1, n2 = t["n"][i].astype(np.int64), t["n"][j].astype(np.int64)
+    alone, other = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64)
+    for c in SIGNED:
+        x, y = t[c][i].view(np.uint64), t[c][j].view(np.uint64)
+        alone += np.bitwise_count(x & ~y)
+        other += np.bitwise_count(y & ~x)
+    return np.minimum(n1 - alone, n2 - other) >= least_overlap(n1, n2, num, den)
+
+
 def open_pairs(entries: DataFrame, num: int, den: int, by_mark: str) -> DataFrame:
     """Distinct pairs within each element that the stars left open.
 
-    entries has ``m``, the sets of the element, ``mark`` and ``sizes`` besides, so that the sizes in column blocks
-    bound the overlap here already.  With by_mark="differ" pairs of different marks
+    entries has ``nb``, the blocks that the element's sets are dealt into, ``mark``
+    and ``sizes`` (or SIGNED) besides, so that these bound the overlap here already.  With by_mark="differ" pairs of different marks
     remain (components still apart), with "later" those whose later set has
     mark 0 (no earlier match yet). Elements of more than BLOCK sets are split
     into blocks; pairs of blocks meet in separate tasks.
@@ -204,7 +273,7 @@ def open_pairs(entries: DataFrame, num: int, den: int, by_mark: str) -> DataFram
                 ok &= (t["mark"][act] != t["mark"][other]) if by_mark == "differ" else (t["mark"][other] == 0)
                 ok &= (t["blk"][act] != t["blk"][other]) | (t["b1"][act] == t["b2"][act])
                 i, j = act[ok], other[ok]
-                ok = _block_bound(t["sizes"][i], t["sizes"][j]) >= least_overlap(t["n"][i].astype(np.int64), t["n"][j].astype(np.int64), num, den)
+                ok = _signatures_allow(t, i, j, num, den) if by_mark == "later" else _block_bound(t["sizes"][i], t["sizes"][j]) >= least_overlap(t["n"][i].astype(np.int64), t["n"][j].astype(np.int64), num, den)
                 found.append((i[ok], j[ok]))
                 step += 1
                 act = act[left[act] >= step]
@@ -214,11 +283,10 @@ def open_pairs(entries: DataFrame, num: int, den: int, by_mark: str) -> DataFram
             if found and (out := _unique_pairs(t, *map(np.concatenate, zip(*found, strict=True)))):
                 yield out
 
-    blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
-    dealt = entries.withColumn("nb", blocks).withColumn("blk", F.expr("cast(pmod(xxhash64(d, l), nb) as int)"))
+    dealt = entries.withColumn("blk", F.expr("cast(pmod(xxhash64(d, l), nb) as int)"))
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
     dealt = dealt.withColumns({"b1": F.least("blk", "other"), "b2": F.greatest("blk", "other")})
-    dealt = dealt.select("h", "b1", "b2", "d", "l", "n", "pos", "mark", "blk", "sizes")
+    dealt = dealt.select("h", "b1", "b2", "d", "l", "n", "pos", "mark", "blk", *(SIGNED if by_mark == "later" else ["sizes"]))
     return dealt.repartition("h", "b1", "b2").sortWithinPartitions("h", "b1", "b2", "d", "l").mapInArrow(pairs, _PAIR_DDL).distinct()
 
 
@@ -361,33 +429,41 @@ def component_links(sets: DataFrame, load, num: int, den: int, work: Workspace)
     links = verified(work.written(star_pairs(entries, num, den), "star"), sets, load, num, den, work, "links")
     parts = components(links.select(F.col("d1").alias("a"), F.col("d2").alias("b")), work, "parts")
     known = sets.select("d", "l").hint("shuffle_merge").join(parts.select(F.col("id").alias("d"), "component").hint("shuffle_merge"), "d", "left")
-    more = verified(_left_open(entries, known.select("d", "l", F.coalesce("component", "d").alias("mark")), sets, num, den, "differ", work), None, load, num, den, work, "more")
+    more = verified(_left_open(entries, known.select("d", "l", F.coalesce("component", "d").alias("mark")), sets, num, den, work), None, load, num, den, work, "more")
     work.drop("entries", "star", "open", "links-bounded")
     links = links.union(more)
     return links, components(links.select(F.col("d1").alias("a"), F.col("d2").alias("b")), work, "whole")
 
 
-def _left_open(entries: DataFrame, known: DataFrame, sets: DataFrame, num: int, den: int, by_mark: str, work: Workspace) -> DataFrame:
-    """Candidate pairs that the stars left open, from the elements whose sets (d, l, mark) still have some; sizes come in only there."""
+def _left_open(entries: DataFrame, known: DataFrame, sets: DataFrame, num: int, den: int, work: Workspace) -> DataFrame:
+    """Candidate pairs of different components, from the elements whose sets (d, l, mark) are still in several; sizes come in only there."""
     columns = ["h", "d", "l", "n", "pos"]
     marked = work.written(entries.select(*columns).hint("shuffle_merge").join(known.hint("shuffle_merge"), ["d", "l"]), "marked")
-    lists = marked.groupBy("h").agg(F.count("*").alias("m"), F.min("mark").alias("low"), F.max("mark").alias("high"))
-    lists = lists.filter("low <> high" if by_mark == "differ" else "low = 0").select("h", "m")
+    lists = marked.groupBy("h").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"), F.min("mark").alias("low"), F.max("mark").alias("high"))
+    lists = lists.filter("low <> high").select("h", "nb")
     some = marked.hint("shuffle_merge").join(lists.hint("shuffle_merge"), "h").hint("shuffle_merge").join(sets.select("d", "l", "sizes").hint("shuffle_merge"), ["d", "l"])
     star = work.read("star")
-    left = open_pairs(some, num, den, by_mark)
+    left = open_pairs(some, num, den, "differ")
     out = work.written(left.hint("shuffle_merge").join(star.hint("shuffle_merge"), ["d1", "l1", "d2", "l2"], "left_anti"), "open")
     work.drop("marked")
     return out
 
 
 def later_matches(sets: DataFrame, load, num: int, den: int, work: Workspace) -> DataFrame:
-    """(d, l) of every set with a similar set before it in (d, l) order."""
-    entries = work.written(shared_entries(sets), "entries")
-    first = verified(work.written(star_pairs(entries, num, den), "star"), sets, load, num, den, work, "first")
-    found = first.select(F.col("d2").alias("d"), F.col("l2").alias("l")).distinct()
-    known = sets.select("d", "l").hint("shuffle_merge").join(found.withColumn("some", F.lit(1)).hint("shuffle_merge"), ["d", "l"], "left")
-    known = known.select("d", "l", F.coalesce("some", F.lit(0)).cast("long").alias("mark"))
-    more = verified(_left_open(entries, known, sets, num, den, "later", work), None, load, num, den, work, "more")
-    work.drop("entries", "star", "open", "first-bounded")
+    """(d, l) of every set with a similar set before it in (d, l) order. Sets have SIGNED in place of sizes."""
+    columns = ["d", "l", "n", *SIGNED]
+    entries = lambda of, *more: of.select(*columns, *more, F.posexplode("prefix").alias("pos", "h"))
+    told = work.written(signed_stars(entries(sets), num, den), "told")
+    star = work.written(told.filter(F.col("l1") != LIST).distinct(), "star")
+    first = verified(star, None, load, num, den, work, "first")
+    found = work.written(first.select(F.col("d2").alias("d"), F.col("l2").alias("l")).distinct(), "found")
+    known = sets.hint("shuffle_merge").join(found.withColumn("some", F.lit(1)).hint("shuffle_merge"), ["d", "l"], "left").withColumn("mark", F.coalesce("some", F.lit(0)).cast("long"))
+    again = entries(known, "mark")
+    long = work.written(told.filter(F.col("l1") == LIST).groupBy(F.col("d1").alias("h")).agg((F.max("d2") / BLOCK + 1).cast("int").alias("nb")), "long")
+    if n := long.count():
+        again = again.hint("shuffle_merge").join(long.hint("broadcast" if n <= LONG_LISTS else "shuffle_merge"), "h", "left")
+    again = again.withColumn("nb", F.coalesce("nb", F.lit(1)) if n else F.lit(1))
+    left = open_pairs(again, num, den, "later").hint("shuffle_merge").join(star.hint("shuffle_merge"), ["d1", "l1", "d2", "l2"], "left_anti")
+    more = verified(work.written(left, "open"), None, load, num, den, work, "more")
+    work.drop("told", "star", "open", "long")
     return found.union(more.select(F.col("d2").alias("d"), F.col("l2").alias("l"))).distinct()
