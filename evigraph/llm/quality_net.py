@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import hashed_sample
-from .textops import _bytes, pieces
+from .textops import _bytes, mix, pieces
 
 #: Bytes of a chunk and of its overlap with the next; width and step of a filter.
 CHUNK, OVERLAP, WIDTH, STEP = 512, 64, 8, 4
@@ -16,29 +16,34 @@ CHUNK, OVERLAP, WIDTH, STEP = 512, 64, 8, 4
 EMBED, FILTERS = 7, 12
 LAGS = range(2, 21)
 PAD = 256
-#: Labelled documents that the network is fitted on, at most (by hash); chunks of each per epoch.
-SAMPLE, PER_DOC = 2_000, 4
+#: Labelled documents that the network is fitted on, at most (by hash); chunks of each that reach the driver (49 MB in all), and those drawn per epoch.
+SAMPLE, FIT_CHUNKS, PER_DOC = 2_000, 16, 4
 #: Steps of the fit, however many documents there are; documents of a step; first rate.
 STEPS, BATCH, RATE = 400, 32, 0.015
 
 
-def repeats_itself(data: np.ndarray) -> np.ndarray:
-    """Whether the WIDTH bytes from each place on recur at a short lag before."""
+def repeats_itself(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether the WIDTH bytes from each place on recur at a short lag before, within one text.
+
+    ends are the texts' bounds in data: what stands in other texts changes nothing.
+    """
     out = np.zeros(len(data), bool)
+    since = np.arange(len(data)) - np.repeat(ends[:-1], np.diff(ends))
+    until = np.repeat(ends[1:], np.diff(ends)) - np.arange(len(data))
     for lag in LAGS:
-        if len(data) <= lag + WIDTH:
+        if len(data) < lag + WIDTH:
             break
         same = data[lag:] == data[:-lag]
         for shift in (1, 2, 4):  # runs of 8
             same[:-shift] &= same[shift:]
-        out[lag : len(data) - WIDTH] |= same[: len(data) - WIDTH - lag]
-    return out
+        out[lag : len(data) - WIDTH + 1] |= same[: len(data) - WIDTH - lag + 1] & (since[lag : len(data) - WIDTH + 1] >= lag)
+    return out & (until >= WIDTH)
 
 
 def chunked(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, repeats, text) of the overlapping chunks that cover every text; places past the end are PAD."""
     data, ends = _bytes(texts)
-    again = repeats_itself(data)
+    again = repeats_itself(data, ends)
     length = np.diff(ends)
     hop = CHUNK - OVERLAP
     count = np.maximum(1, -(-(length - OVERLAP) // hop))
@@ -95,40 +100,45 @@ class Net:
         mean = np.stack([np.bincount(text, features[:, k], len(texts)) for k in range(FILTERS)], 1) / n[:, None]
         return 1 / (1 + np.exp(-np.clip(mean @ self.weight.astype(np.float64) + float(self.bias[0]), -30, 30)))
 
-    def fit(self, texts: pa.Array, labels: np.ndarray, seed: int = 5) -> Net:
-        """Adam on the cross entropy; every epoch draws up to PER_DOC chunks of each text."""
+    def gradients(self, codes: np.ndarray, same: np.ndarray, of: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean cross entropy of some texts, chunk by chunk; ``of`` names the text of each chunk."""
+        share = (1 / np.bincount(of, minlength=len(labels)).astype(np.float32))[of]
+        h, place, windows = self.pooled(codes, same)
+        mean = np.zeros((len(labels), FILTERS), h.dtype)
+        np.add.at(mean, of, h * share[:, None])
+        p = 1 / (1 + np.exp(-(mean @ self.weight + self.bias[0])))
+        error = ((p - labels) / len(labels)).astype(h.dtype)
+        grads = {"weight": mean.T @ error, "bias": np.array([error.sum()], h.dtype)}
+        back = error[of][:, None] * share[:, None] * self.weight[None, :] * (h > 0)
+        grads["shift"] = back.sum(0)
+        seen = windows[np.arange(len(codes))[:, None], place]  # chunk, filter, window
+        grads["filters"] = np.einsum("nf,nfk->kf", back, seen)
+        flow = (back[:, :, None] * self.filters.T[None]).reshape(len(codes), FILTERS, WIDTH, EMBED + 1)[..., :EMBED]
+        chars = codes[np.arange(len(codes))[:, None, None], place[:, :, None] * STEP + np.arange(WIDTH)]
+        grads["embed"] = np.zeros_like(self.embed)
+        np.add.at(grads["embed"], chars.ravel(), flow.reshape(-1, EMBED))
+        grads["embed"][PAD] = 0
+        return grads
+
+    def fit(self, codes: np.ndarray, same: np.ndarray, text: np.ndarray, labels: np.ndarray, seed: int = 5) -> Net:
+        """Adam on the cross entropy; every epoch draws up to PER_DOC chunks of each text. ``text`` is ascending."""
         rng = np.random.default_rng(seed)
-        codes, same, text = chunked(texts)
-        first = np.searchsorted(text, np.arange(len(texts) + 1))
+        n_texts = len(labels)
+        first = np.searchsorted(text, np.arange(n_texts + 1))
         params = ["embed", "filters", "shift", "weight", "bias"]
         moment = {p: [np.zeros_like(getattr(self, p)), np.zeros_like(getattr(self, p))] for p in params}
         step = 0
-        epochs = max(1, round(STEPS / -(-len(texts) // BATCH)))
+        epochs = max(1, round(STEPS / -(-n_texts // BATCH)))
         for epoch in range(epochs):
             rate = RATE * (1 - epoch / epochs) + 1e-4
-            order = rng.permutation(len(texts))
+            order = rng.permutation(n_texts)
             for a in range(0, len(order), BATCH):
                 docs = order[a : a + BATCH]
                 size = first[docs + 1] - first[docs]
                 drawn = [first[d] + (rng.choice(n, PER_DOC, replace=False) if n > PER_DOC else np.arange(n)) for d, n in zip(docs, size, strict=True)]
                 of = np.repeat(np.arange(len(docs)), [len(x) for x in drawn])
-                share = 1 / np.array([len(x) for x in drawn], np.float32)
                 at = np.concatenate(drawn)
-                h, place, windows = self.pooled(codes[at], same[at])
-                mean = np.zeros((len(docs), FILTERS), np.float32)
-                np.add.at(mean, of, h * share[of][:, None])
-                p = 1 / (1 + np.exp(-(mean @ self.weight + self.bias[0])))
-                error = ((p - labels[docs]) / len(docs)).astype(np.float32)
-                grads = {"weight": mean.T @ error, "bias": np.array([error.sum()], np.float32)}
-                back = error[of][:, None] * share[of][:, None] * self.weight[None, :] * (h > 0)
-                grads["shift"] = back.sum(0)
-                seen = windows[np.arange(len(at))[:, None], place]  # chunk, filter, window
-                grads["filters"] = np.einsum("nf,nfk->kf", back, seen)
-                flow = (back[:, :, None] * self.filters.T[None]).reshape(len(at), FILTERS, WIDTH, EMBED + 1)[..., :EMBED]
-                chars = codes[at][np.arange(len(at))[:, None, None], place[:, :, None] * STEP + np.arange(WIDTH)]
-                grads["embed"] = np.zeros_like(self.embed)
-                np.add.at(grads["embed"], chars.ravel(), flow.reshape(-1, EMBED))
-                grads["embed"][PAD] = 0
+                grads = self.gradients(codes[at], same[at], of, labels[docs])
                 step += 1
                 for name in params:
                     m, v = moment[name]
@@ -145,29 +155,50 @@ def held_out(doc_id: str) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Net:
-    """A network fitted on at most ``sample`` labelled documents that are not held out.
+    """A network fitted on at most ``sample`` labelled documents that are not held out, by at most FIT_CHUNKS chunks of each.
 
-    Of rows of labels that repeat a doc_id the largest label counts; null labels
-    and null doc_ids don't. With one class or no rows the network is untrained
+    Of rows of labels that repeat a doc_id the largest label counts, of rows of docs
+    one text; null labels and null doc_ids don't. With one class or no rows the network is untrained
     but its bias.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out("doc_id"))
     known = known.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(label).cast("int").alias("_label"))
     known = hashed_sample(known, ["_id"], sample)
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text")).filter(F.col("_text").isNotNull())
-    found = rows.join(F.broadcast(known), "_id").orderBy(F.xxhash64("_id"), "_id", F.xxhash64("_text")).limit(sample).toPandas()
-    net, y = Net(), found["_label"].to_numpy(np.float32)
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull())
+
+    def chunks(batches):
+        for batch in batches:
+            for part in pieces(batch):
+                codes, same, text = chunked(part.column("text"))
+                nth = np.arange(len(text)) - np.searchsorted(text, text)
+                count = np.bincount(text)[text]
+                # FIT_CHUNKS of a text at most, spread over the whole of it
+                at = np.flatnonzero((count <= FIT_CHUNKS) | ((nth * FIT_CHUNKS) // count != ((nth - 1) * FIT_CHUNKS) // count))
+                cells = [np.concatenate((codes[k].view(np.uint8), same[k].view(np.uint8))).tobytes() for k in at]
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(text[at])) for c in ("_id", "_label", "_hash")), pa.array(nth[at]), pa.array(cells, pa.binary())], ["_id", "_label", "_hash", "_nth", "_cells"])
+
+    joined = rows.join(F.broadcast(known), "_id").withColumn("_hash", F.xxhash64("text"))
+    joined = joined.groupBy("_id", "_label").agg(F.min(F.struct("_hash", "text")).alias("x")).select("_id", "_label", "x.*")
+    found = joined.mapInArrow(chunks, "_id long, _label int, _hash long, _nth long, _cells binary").toPandas()
+    found["_order"] = mix(found["_id"].to_numpy(np.int64).view(np.uint64))
+    found = found.sort_values(["_order", "_id", "_hash", "_nth"], kind="stable")
+    starts = (found["_nth"] == 0).to_numpy() if len(found) else np.zeros(0, bool)
+    text = np.cumsum(starts) - 1
+    y = found["_label"].to_numpy(np.float32)[starts]
+    net = Net()
     if not len(y) or y.min() == y.max():
         net.weight[:] = 0
         net.bias[:] = 0 if not len(y) else (4 if y[0] else -4)
         return net
-    return net.fit(pa.array(found["_text"], pa.large_string()), y)
+    cells = np.frombuffer(b"".join(found["_cells"]), np.uint8).reshape(len(found), 3 * CHUNK)
+    codes = np.ascontiguousarray(cells[:, : 2 * CHUNK]).view(np.int16)
+    return net.fit(codes, cells[:, 2 * CHUNK :].astype(bool), text, y)
 
 
 def score_documents(docs: DataFrame, net: Net) -> DataFrame:
     """docs with ``score`` (double, 0 to 1, higher: label 1 likelier) of every whole text.
 
-    Only the text is an input. Null and empty texts are scored as one chunk of
+    Only the text is an input; scores have six decimals. Null and empty texts are scored as one chunk of
     padding. Rows that repeat are each scored; a column named score in docs is
     replaced. An empty table gives no rows.
     """
@@ -177,7 +208,7 @@ def score_documents(docs: DataFrame, net: Net) -> DataFrame:
     def score(batches):
         for batch in batches:
             for part in pieces(batch):
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(net.scores(part.column("text")))], [*part.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(net.scores(part.column("text")).round(6))], [*part.schema.names, "score"])
 
     return docs.mapInArrow(score, schema)
 
