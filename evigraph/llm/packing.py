@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
 from .textops import _bytes, is_space, lowered, pieces
 
 #: Parts of texts whose ids a Python worker remembers, at most twice as many.
@@ -130,6 +131,7 @@ def pack_powers(docs: DataFrame, tokenizer: str, end_id: int = 2, longest: int =
     """
     if longest & (longest - 1):
         raise ValueError("longest must be a power of two")
+    small_batches(docs.sparkSession)
 
     def cut(batches):
         for batch in batches:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import hashed_sample
+from .shared import hashed_sample, small_batches
 from .textops import _bytes, mix, pieces
 
 #: Bytes of a chunk and of its overlap with the next; width and step of a filter.
@@ -202,6 +202,7 @@ def score_documents(docs: DataFrame, net: Net) -> DataFrame:
     padding. Rows that repeat are each scored; a column named score in docs is
     replaced. An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     docs = docs.drop("score")
     schema = docs.withColumn("score", F.lit(0.0)).schema
 

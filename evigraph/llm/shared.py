@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Rows differ in length by orders of magnitude, so a batch is bounded by bytes, not by rows alone.
+BATCH_BYTES, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where that is unset, one of our own in local mode (tests), else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -38,6 +42,13 @@ def hashed_sample(rows: DataFrame, columns: list[str], size: int) -> DataFrame:
     return some.orderBy("_hash", *columns).limit(size).drop("_hash")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of the Arrow batches that Python workers get, unless the session bounds them lower."""
+    now = spark.conf.get(BATCH_BYTES, None)
+    if now is None or not now.isdigit() or int(now) > BATCH:
+        spark.conf.set(BATCH_BYTES, str(BATCH))
+
+
 @contextlib.contextmanager
 def _freeing_shuffles(spark: SparkSession):
     before = spark.conf.get(CLEANUP, None)
@@ -52,6 +63,7 @@ class Workspace:
     """A folder of one operator call under the shared folder."""
 
     def __init__(self, spark: SparkSession):
+        small_batches(spark)
         self.spark, self.path = spark, f"{shared_dir(spark)}/evigraph-{uuid.uuid4().hex}"
 
     def written(self, df: DataFrame, name: str, *by: str) -> DataFrame:
