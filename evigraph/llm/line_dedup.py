@@ -46,8 +46,11 @@ def similar_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, wo
     def count(batches):
         for batch in batches:
             for part in pieces(batch):
-                words, tokens, line = _lines(part, k)
-                yield setjoin.repeats(distinct_sets(tokens, line, len(words.unit_start))[0])
+                if k == 1:
+                    yield setjoin.repeats(Words(part.column("text")).hash)  # counting a line's repeats too
+                else:
+                    words, tokens, line = _lines(part, k)
+                    yield setjoin.repeats(distinct_sets(tokens, line, len(words.unit_start))[0])
 
     common = setjoin.common_elements(docs.mapInArrow(count, "h long, c long"), COMMON)
 
@@ -68,6 +71,7 @@ def similar_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, wo
     key = ["fp1", "fp2", "n"]
     one = sketches.filter("n > 0 and d is not null").groupBy(*key).agg(F.min(F.struct("d", "l", *setjoin.SIGNED, "prefix")).alias("x"))
     classes = work.written(one.select(*key, "x.*"), "classes")
+    firsts = work.written(classes.select(*key, F.col("d").alias("d0"), F.col("l").alias("l0")), "firsts")
     members = work.written(sketches.select("d", "l", *key), "members")
     work.drop("sketches")
 
@@ -90,9 +94,8 @@ def similar_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, wo
 
         return docs.mapInArrow(some, "d long, l int, tokens array<long>")
 
-    later = work.written(setjoin.later_matches(classes.select("d", "l", "n", *setjoin.SIGNED, "prefix"), load, num, den, work), "later")
-    heads_ = classes.select(*key, F.col("d").alias("d0"), F.col("l").alias("l0"))
-    lines = members.hint("shuffle_merge").join(heads_.hint("shuffle_merge"), key, "left")
+    later = work.written(setjoin.later_matches(classes.select("d", "l", "n", *setjoin.SIGNED, "prefix"), load, num, den, work, "classes"), "later")
+    lines = members.hint("shuffle_merge").join(firsts.hint("shuffle_merge"), key, "left")
     copies = lines.withColumn("copy", F.col("d0").isNotNull() & ((F.col("d") != F.col("d0")) | (F.col("l") != F.col("l0"))))
     again = later.select(F.col("d").alias("d0"), F.col("l").alias("l0"), F.lit(True).alias("again"))
     judged = copies.hint("shuffle_merge").join(again.hint("shuffle_merge"), ["d0", "l0"], "left")

@@ -14,6 +14,7 @@ large groups of near copies never expand into all pairs.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ STAR, TOKENS, COLUMN_BLOCKS = 512, 500_000, 8
 SLOTS = 1 << 24
 #: Elements with more than BLOCK sets that are told to every task, at most; more are joined by a shuffle.
 LONG_LISTS = 20_000
+#: Parts of the elements whose lists are made one after the other, so that only one part of them is on disk at a time.
+PARTS = 2
 #: Columns of a signature. In place of l1: a row that tells of a list.
 SIGNED, LIST = ("s0", "s1", "s2", "s3"), -2
 #: In place of l: the slot of any set of this d.
@@ -264,16 +267,21 @@ def open_pairs(entries: DataFrame, num: int, den: int, by_mark: str) -> DataFram
     def pairs(batches):
         for t in _runs(batches, ["h", "b1", "b2"]):
             bounds = _run_bounds(t["h"], t["b1"], t["b2"])
-            m = np.diff(bounds)
-            left = np.repeat(bounds[1:], m) - np.arange(len(t["h"])) - 1
+            run, n = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), t["n"].astype(np.int64)
+            wide = int(n.max()) * den // num + 1
+            # sizes ascend in a list, so those near enough stand next to one another
+            left = np.searchsorted(run * wide + n, run * wide + np.minimum(n * den // num, wide - 1), "right") - np.arange(len(n)) - 1
             act, step, found = np.flatnonzero(left >= 1), 1, []
             while len(act):
                 other = act + step
                 ok = _may_match(t, act, other, num, den)
-                ok &= (t["mark"][act] != t["mark"][other]) if by_mark == "differ" else (t["mark"][other] == 0)
                 ok &= (t["blk"][act] != t["blk"][other]) | (t["b1"][act] == t["b2"][act])
                 i, j = act[ok], other[ok]
-                ok = _signatures_allow(t, i, j, num, den) if by_mark == "later" else _block_bound(t["sizes"][i], t["sizes"][j]) >= least_overlap(t["n"][i].astype(np.int64), t["n"][j].astype(np.int64), num, den)
+                turned = (t["d"][i] > t["d"][j]) | ((t["d"][i] == t["d"][j]) & (t["l"][i] > t["l"][j]))
+                i, j = np.where(turned, j, i), np.where(turned, i, j)
+                ok = (t["mark"][i] != t["mark"][j]) if by_mark == "differ" else (t["mark"][j] == 0)
+                i, j = i[ok], j[ok]
+                ok = _signatures_allow(t, i, j, num, den) if by_mark == "later" else _block_bound(t["sizes"][i], t["sizes"][j]) >= least_overlap(n[i], n[j], num, den)
                 found.append((i[ok], j[ok]))
                 step += 1
                 act = act[left[act] >= step]
@@ -287,7 +295,7 @@ def open_pairs(entries: DataFrame, num: int, den: int, by_mark: str) -> DataFram
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
     dealt = dealt.withColumns({"b1": F.least("blk", "other"), "b2": F.greatest("blk", "other")})
     dealt = dealt.select("h", "b1", "b2", "d", "l", "n", "pos", "mark", "blk", *(SIGNED if by_mark == "later" else ["sizes"]))
-    return dealt.repartition("h", "b1", "b2").sortWithinPartitions("h", "b1", "b2", "d", "l").mapInArrow(pairs, _PAIR_DDL).distinct()
+    return dealt.repartition("h", "b1", "b2").sortWithinPartitions("h", "b1", "b2", "n").mapInArrow(pairs, _PAIR_DDL).distinct()
 
 
 def slot(d: np.ndarray, l: np.ndarray) -> np.ndarray:
@@ -449,21 +457,28 @@ def _left_open(entries: DataFrame, known: DataFrame, sets: DataFrame, num: int,
     return out
 
 
-def later_matches(sets: DataFrame, load, num: int, den: int, work: Workspace) -> DataFrame:
-    """(d, l) of every set with a similar set before it in (d, l) order. Sets have SIGNED in place of sizes."""
+def later_matches(sets: DataFrame, load, num: int, den: int, work: Workspace, table: str) -> DataFrame:
+    """(d, l) of every set with a similar set before it in (d, l) order. Sets have SIGNED in place of sizes; their table is freed once read."""
     columns = ["d", "l", "n", *SIGNED]
-    entries = lambda of, *more: of.select(*columns, *more, F.posexplode("prefix").alias("pos", "h"))
-    told = work.written(signed_stars(entries(sets), num, den), "told")
+    entries = lambda of, part, *more: of.select(*columns, *more, F.posexplode("prefix").alias("pos", "h")).filter(F.pmod("h", F.lit(PARTS)) == part)
+    told = [work.written(signed_stars(entries(sets, part), num, den), f"told-{part}") for part in range(PARTS)]
+    told = reduce(DataFrame.union, told)
     star = work.written(told.filter(F.col("l1") != LIST).distinct(), "star")
     first = verified(star, None, load, num, den, work, "first")
     found = work.written(first.select(F.col("d2").alias("d"), F.col("l2").alias("l")).distinct(), "found")
     known = sets.hint("shuffle_merge").join(found.withColumn("some", F.lit(1)).hint("shuffle_merge"), ["d", "l"], "left").withColumn("mark", F.coalesce("some", F.lit(0)).cast("long"))
-    again = entries(known, "mark")
+    known = work.written(known.drop("some"), "known")
+    work.drop(table)
     long = work.written(told.filter(F.col("l1") == LIST).groupBy(F.col("d1").alias("h")).agg((F.max("d2") / BLOCK + 1).cast("int").alias("nb")), "long")
-    if n := long.count():
-        again = again.hint("shuffle_merge").join(long.hint("broadcast" if n <= LONG_LISTS else "shuffle_merge"), "h", "left")
-    again = again.withColumn("nb", F.coalesce("nb", F.lit(1)) if n else F.lit(1))
-    left = open_pairs(again, num, den, "later").hint("shuffle_merge").join(star.hint("shuffle_merge"), ["d1", "l1", "d2", "l2"], "left_anti")
+    n, open_ = long.count(), []
+    for part in range(PARTS):
+        again = entries(known, part, "mark")
+        if n:
+            again = again.hint("shuffle_merge").join(long.hint("broadcast" if n <= LONG_LISTS else "shuffle_merge"), "h", "left")
+        again = again.withColumn("nb", F.coalesce("nb", F.lit(1)) if n else F.lit(1))
+        open_.append(work.written(open_pairs(again, num, den, "later"), f"open-{part}"))
+    left = reduce(DataFrame.union, open_).distinct().hint("shuffle_merge").join(star.hint("shuffle_merge"), ["d1", "l1", "d2", "l2"], "left_anti")
     more = verified(work.written(left, "open"), None, load, num, den, work, "more")
-    work.drop("told", "star", "open", "long")
+    work.drop("known", *(f"{name}-{part}" for part in range(PARTS) for name in ("told", "open")))
+    work.drop("star", "open", "long")
     return found.union(more.select(F.col("d2").alias("d"), F.col("l2").alias("l"))).distinct()

@@ -141,6 +141,8 @@ class Words:
         """(hash, unit) of every k-word shingle; a unit of fewer words gives its whole sequence."""
         h, counts = self.hash, self.counts()
         unit = np.repeat(np.arange(len(counts)), counts)
+        if k == 1:
+            return h, unit
         left = self.first[1:][unit] - np.arange(len(h))
         out, of = [], []
         long = np.flatnonzero(left >= k)

@@ -192,3 +192,32 @@ def test_chains_keep_their_bridge_by_brute_force():
         score = sum(length[top]) - sum(chaining.GAP_COST * (b0[y] - b0[x] - length[x] + a0[y] - a0[x] - length[x]) for x, y in zip(top, top[1:], strict=False))
         assert abs(score - best.max()) < 1e-9
         assert sorted(x for c in chains for x in c) == list(range(n))
+
+
+def test_similar_lines_by_brute_force_over_few_words(spark, monkeypatch):
+    """Long posting lists in blocks, small batches, lists told as long by broadcast and by shuffle."""
+    from evigraph.llm import line_dedup, setjoin
+
+    rng = np.random.default_rng(9)
+    words = np.array([f"w{k}" for k in range(40)])
+    base = [rng.choice(words, 12, replace=False) for _ in range(12)]
+    lines = []
+    for _ in range(300):
+        x = base[rng.integers(12)].copy()
+        x[rng.integers(12)] = rng.choice(words)
+        lines.append(" ".join(rng.permutation(x)))
+    docs = ["\n".join(lines[a : a + 6]) for a in range(0, 300, 6)]
+    sets = [(i // 6, i % 6, frozenset(x.split())) for i, x in enumerate(lines)]
+    want = {}
+    for k, (d, l, s) in enumerate(sets):
+        if any(len(s & t) * 100 >= 80 * len(s | t) for _, _, t in sets[:k]):
+            want.setdefault(d, []).append(l)
+    monkeypatch.setattr(setjoin, "BLOCK", 7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "11")
+    try:
+        for told in (20_000, 0):
+            monkeypatch.setattr(setjoin, "LONG_LISTS", told)
+            rows = line_dedup.similar_lines(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), k=1).collect()
+            assert {r.doc_id: list(r.removed) for r in rows if r.removed} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
