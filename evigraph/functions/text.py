@@ -68,6 +68,21 @@ def outer_object(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
 
 
+def outer_proposals(text: Column, key: str = "proposals") -> Column:
+    """The JSON object of a text that holds a list under key, or under a name with the same first six characters, put under key.
+
+    The text itself, else its outermost object, else the object that begins right
+    before such a name; null where none decodes to a list.
+    """
+    name = key[:6]
+    shape = f"{key} array<string>"
+    named = F.regexp_replace(text, f'"{name}[A-Za-z_]*"(\\s*:\\s*\\[)', f'"{key}"$1')
+    inner = F.regexp_extract(named, r'(?s)(\{\s*"' + key + r'"\s*:\s*\[.*\])', 1)
+    whole = F.concat(inner, F.lit("}"))
+    ok = lambda t: F.when(F.from_json(t, shape)[key].isNotNull(), t)
+    return F.coalesce(ok(named), ok(outer_object(named)), ok(whole))
+
+
 def answer(text: Column) -> Column:
     """struct<answer, cited_nodes> of a model's answer: strict JSON, else the outermost object, JSON inside JSON unwrapped, else the prose itself."""
     shape = "answer string, cited_nodes array<string>"

@@ -81,7 +81,7 @@ def citation_fidelity(answers: DataFrame, nodes: DataFrame) -> DataFrame:
     """(answer_id, cited, valid, fidelity): share of distinct cited nodes that exist; null without citations."""
     cited = answers.select("answer_id", F.explode_outer(F.array_distinct("cited")).alias("id"))
     known = nodes.select("id").distinct().withColumn("known", F.lit(1))
-    met = cited.join(known, "id", "left").groupBy("answer_id").agg(F.count("id").alias("cited"), F.count("known").alias("valid"))
+    met = cited.hint("shuffle_merge").join(known.hint("shuffle_merge"), "id", "left").groupBy("answer_id").agg(F.count("id").alias("cited"), F.count("known").alias("valid"))
     return met.withColumn("fidelity", F.round(F.col("valid") / F.nullif("cited", F.lit(0)), 6))
 
 
@@ -137,7 +137,7 @@ def claim_overlap(recorded: DataFrame, generated: DataFrame, least: float) -> Da
 
     The two sides meet on the ask's id, so each ask compares its few claims only.
     """
-    pairs = recorded.select("ask_id", F.col("claim").alias("a"), F.col("claim_no").alias("i")).join(generated.select("ask_id", F.col("claim").alias("b"), F.col("claim_no").alias("j")), "ask_id")
+    pairs = recorded.select("ask_id", F.col("claim").alias("a"), F.col("claim_no").alias("i")).join(generated.select("ask_id", F.col("claim").alias("b"), F.col("claim_no").alias("j")).hint("shuffle_merge"), "ask_id")
     pairs = pairs.withColumn("sim", similarity(F.col("a"), F.col("b")))
     best = lambda side: pairs.groupBy("ask_id", side).agg(F.max("sim").alias("best")).groupBy("ask_id").agg((F.round(F.sum("best"), 4) / F.count("*")).alias("mean"), F.count_if(F.col("best") >= least).alias("matched"), F.count("*").alias("n"))
     r, p = best("i"), best("j")
@@ -146,15 +146,9 @@ def claim_overlap(recorded: DataFrame, generated: DataFrame, least: float) -> Da
 
 def greedy_matches(pairs: DataFrame, least: float) -> DataFrame:
     """(ask_id, i, j, sim): one-to-one matches, the most similar first, within the few claims of an ask."""
-    import pandas as pd
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        used_i, used_j, out = set(), set(), []
-        for r in pdf[pdf["sim"] >= least].sort_values(["sim", "i", "j"], ascending=[False, True, True]).itertuples():
-            if r.i not in used_i and r.j not in used_j:
-                used_i.add(r.i)
-                used_j.add(r.j)
-                out.append((r.ask_id, r.i, r.j, r.sim))
-        return pd.DataFrame(out, columns=["ask_id", "i", "j", "sim"])
-
-    return pairs.groupBy("ask_id").applyInPandas(match, "ask_id long, i long, j long, sim double")
+    order = F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("s"), "i", "j")))
+    none = F.array().cast("array<struct<s:double,i:bigint,j:bigint>>")
+    free = lambda done, x: ~F.exists(done, lambda y: (y["i"] == x["i"]) | (y["j"] == x["j"]))
+    taken = F.aggregate(order, none, lambda done, x: F.when(free(done, x), F.concat(done, F.array(x))).otherwise(done))
+    found = pairs.filter(F.col("sim") >= least).groupBy("ask_id").agg(taken.alias("t")).select("ask_id", F.inline("t"))
+    return found.select("ask_id", "i", "j", (-F.col("s")).alias("sim"))

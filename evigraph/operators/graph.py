@@ -5,14 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import CATEGORIES, OWN_COLOURS, SLICE_EDGES, SUMMARY_EDGES, TABLE_ROWS, TYPE_ORDER
+from ..constants import CATEGORIES, CATEGORY_LEAST, CATEGORY_TEXTS, OWN_COLOURS, SLICE_EDGES, SUMMARY_EDGES, TABLE_ROWS, TYPE_ORDER
 from .merge import endpoints
+from .stages import merge_join
 
 
 def categories(spark) -> DataFrame:
-    """The category dimension: (category, predicates, types)."""
-    rows = [(name, list(p), list(t)) for name, (p, t) in CATEGORIES.items()]
-    return spark.createDataFrame(rows, "category string, predicates array<string>, types array<string>")
+    """The category dimension in order: (category, predicates, types, text, place)."""
+    rows = [(name, list(p), list(t), CATEGORY_TEXTS[name], k) for k, (name, (p, t)) in enumerate(CATEGORIES.items())]
+    return spark.createDataFrame(rows, "category string, predicates array<string>, types array<string>, text string, place int")
+
+
+def picked_categories(flags: DataFrame, least: float = CATEGORY_LEAST) -> DataFrame:
+    """(keys, categories, scores) of flags (keys, category, noul): those that reach the threshold in the dimension's order, and all as a map.
+
+    Keys are all other columns. Unknown categories are left out, unanswered ones count as 0.
+    """
+    keys = [c for c in flags.columns if c not in ("category", "noul")]
+    known = flags.join(F.broadcast(categories(flags.sparkSession).select("category", "place")), "category")
+    noul = F.coalesce("noul", F.lit(0.0))
+    picked = F.transform(F.array_sort(F.collect_list(F.when(noul >= least, F.struct("place", "category")))), lambda x: x["category"])
+    return known.groupBy(*keys).agg(picked.alias("categories"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "noul")))).alias("scores"))
 
 
 def _top(df: DataFrame, keys: list[str], order: list[Column], most: int) -> DataFrame:
@@ -20,9 +33,13 @@ def _top(df: DataFrame, keys: list[str], order: list[Column], most: int) -> Data
 
 
 def projection(edges: DataFrame, keys: list[str], most: int = SLICE_EDGES) -> DataFrame:
-    """The strongest edges of each projection by confidence rounded to 3 places, with edges_total."""
-    out = edges.withColumns({"confidence": F.round("confidence", 3), "edges_total": F.count("*").over(Window.partitionBy(*keys))})
-    return _top(out, keys, [F.desc("confidence"), F.col("subject"), F.col("predicate"), F.col("object")], most)
+    """The strongest edges of each projection by confidence rounded to 3 places, with edges_total.
+
+    The total is an aggregate of its own, so that Spark limits inside partitions before it sorts.
+    """
+    totals = edges.groupBy(*keys).agg(F.count("*").alias("edges_total"))
+    top = _top(edges.withColumn("confidence", F.round("confidence", 3)), keys, [F.desc("confidence"), F.col("subject"), F.col("predicate"), F.col("object")], most)
+    return merge_join(top, totals, keys)
 
 
 def slice_graphs(nodes: DataFrame, edges: DataFrame, asked: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -37,16 +54,16 @@ def slice_graphs(nodes: DataFrame, edges: DataFrame, asked: DataFrame, queries:
     key = ["graph_id", "question_id"]
     predicates = chosen.select(*key, F.explode("predicates").alias("predicate")).distinct()
     types = chosen.select(*key, F.explode("types").alias("type")).distinct()
-    by_predicate = edges.join(predicates, ["graph_id", "predicate"])
+    by_predicate = merge_join(edges, predicates, ["graph_id", "predicate"])
     ends = by_predicate.select(*key, F.col("subject").alias("id")).union(by_predicate.select(*key, F.col("object").alias("id")))
-    by_type = nodes.join(types, ["graph_id", "type"]).select(*key, "id")
-    asking = asked.select(*key).distinct().join(queries, "graph_id").select(*key, "id")
+    by_type = merge_join(nodes, types, ["graph_id", "type"]).select(*key, "id")
+    asking = merge_join(asked.select(*key).distinct(), queries, "graph_id").select(*key, "id")
     kept = ends.union(by_type).union(asking).distinct()
-    wide = edges.join(asked.select(*key).distinct(), "graph_id").join(predicates.withColumn("_p", F.lit(True)), [*key, "predicate"], "left")
+    wide = merge_join(merge_join(edges, asked.select(*key).distinct(), "graph_id"), predicates.withColumn("_p", F.lit(True)), [*key, "predicate"], "left")
     for side in ("subject", "object"):
-        wide = wide.join(kept.select(*key, F.col("id").alias(side), F.lit(True).alias(f"_{side}")), [*key, side], "left")
+        wide = merge_join(wide, kept.select(*key, F.col("id").alias(side), F.lit(True).alias(f"_{side}")), [*key, side], "left")
     inside = wide.filter(F.col("_p").isNotNull() | (F.col("_subject").isNotNull() & F.col("_object").isNotNull()))
-    return nodes.join(kept, ["graph_id", "id"]), inside.drop("_p", "_subject", "_object")
+    return merge_join(nodes, kept, ["graph_id", "id"]), inside.drop("_p", "_subject", "_object")
 
 
 def graph_text(edges: DataFrame, labels: DataFrame, most: int = SUMMARY_EDGES) -> DataFrame:
@@ -57,7 +74,8 @@ def graph_text(edges: DataFrame, labels: DataFrame, most: int = SUMMARY_EDGES) -
         named = named.join(side_labels, ["graph_id", side], "left").withColumn(f"{side}_label", F.coalesce(F.nullif(f"{side}_label", F.lit("")), side))
     w = Window.partitionBy("graph_id", "predicate")
     order = w.orderBy(F.desc("confidence"), "subject", "object")
-    ranked = named.withColumns({"n": F.row_number().over(order), "total": F.count("*").over(w)}).filter(F.col("n") <= most)
+    totals = edges.groupBy("graph_id", "predicate").agg(F.count("*").alias("total"))
+    ranked = merge_join(named.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= most), totals, ["graph_id", "predicate"])
     line = F.format_string("  %s -%s-> %s (%.2f)", "subject_label", "predicate", "object_label", "confidence")
     blocks = ranked.groupBy("graph_id", "predicate").agg(F.array_sort(F.collect_list(F.struct("n", line.alias("line")))).alias("lines"), F.max("total").alias("total"))
     more = F.when(F.col("total") > most, F.concat(F.lit("\n  ... "), (F.col("total") - most).cast("string"), F.lit(" more"))).otherwise("")
@@ -68,9 +86,9 @@ def graph_text(edges: DataFrame, labels: DataFrame, most: int = SUMMARY_EDGES) -
 def ego(nodes: DataFrame, edges: DataFrame, centres: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(neighbours, edges) of each centre (graph_id, centre): incident edges, and nodes at their ends."""
     ends = F.explode(F.array_distinct(F.array("subject", "object")))
-    around = edges.withColumn("centre", ends).join(centres, ["graph_id", "centre"])
+    around = merge_join(edges.withColumn("centre", ends), centres, ["graph_id", "centre"])
     near = around.select("graph_id", "centre", F.explode(F.array("subject", "object")).alias("id")).distinct()
-    return nodes.join(near, ["graph_id", "id"]), around
+    return merge_join(nodes, near, ["graph_id", "id"]), around
 
 
 def type_counts(nodes: DataFrame) -> DataFrame:
@@ -104,20 +122,29 @@ def incident_counts(edges: DataFrame) -> DataFrame:
 
 
 def group_links(edges: DataFrame, groups: DataFrame) -> DataFrame:
-    """(graph_id, group_a, group_b, n, mean_confidence): edges between different groups (graph_id, id, grp), unordered."""
+    """(graph_id, group_a, group_b, n, mean_confidence, predicates): edges between different groups (graph_id, id, grp), unordered.
+
+    predicates maps each predicate to its edges.
+    """
     sided = edges
     for side in ("subject", "object"):
         sided = sided.join(groups.select("graph_id", F.col("id").alias(side), F.col("grp").alias(f"{side}_grp")), ["graph_id", side])
     pairs = sided.filter("subject_grp <> object_grp").withColumns({"group_a": F.least("subject_grp", "object_grp"), "group_b": F.greatest("subject_grp", "object_grp")})
-    return pairs.groupBy("graph_id", "group_a", "group_b").agg(F.count("*").alias("n"), (F.round(F.sum("confidence"), 4) / F.count("*")).alias("mean_confidence"))  # rounded: the order of addition can't show
+    key = ["graph_id", "group_a", "group_b"]
+    each = pairs.groupBy(*key, "predicate").agg(F.count("*").alias("k"), F.sum("confidence").alias("c"))
+    mean = F.round(F.sum("c"), 4) / F.sum("k")  # rounded: the order of addition can't show
+    counts = F.map_from_entries(F.array_sort(F.collect_list(F.struct("predicate", "k"))))
+    return each.groupBy(*key).agg(F.sum("k").alias("n"), mean.alias("mean_confidence"), counts.alias("predicates"))
 
 
 def group_contents(nodes: DataFrame, groups: DataFrame, labels: int = 5) -> DataFrame:
-    """(graph_id, grp, size, labels): group sizes and first labels by id."""
+    """(graph_id, grp, size, labels, types): group sizes, first labels by id, and how many nodes of each type."""
+    key = ["graph_id", "grp"]
     placed = nodes.join(groups, ["graph_id", "id"])
-    ranked = placed.withColumn("n", F.row_number().over(Window.partitionBy("graph_id", "grp").orderBy("id")))
-    first = F.collect_list(F.when(F.col("n") <= labels, F.struct("n", "label")))
-    return ranked.groupBy("graph_id", "grp").agg(F.count("*").alias("size"), F.array_join(F.transform(F.array_sort(first), lambda x: x["label"]), ",").alias("labels"))
+    first = _top(placed, key, [F.col("id")], labels).groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "label"))), lambda x: x["label"]), ",").alias("labels"))
+    each = placed.groupBy(*key, "type").agg(F.count("*").alias("k"))
+    counts = each.groupBy(*key).agg(F.sum("k").alias("size"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "k")))).alias("types"))
+    return merge_join(counts, first, key).select(*key, "size", "labels", "types")
 
 
 def node_rows(nodes: DataFrame) -> DataFrame:

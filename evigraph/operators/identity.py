@@ -13,7 +13,7 @@ def exact_matches(queries: DataFrame, records: DataFrame) -> DataFrame:
     """(graph_id, record_id): records that carry the query among their ids, whatever the case; an equi-join on ids."""
     each = records.select("record_id", F.explode(F.array_distinct(F.transform(F.array_compact("ids"), F.lower))).alias("key"))
     asked = queries.select("graph_id", F.lower(F.trim("query")).alias("key")).filter("key <> ''")
-    return asked.join(each, "key").select("graph_id", "record_id").distinct()
+    return asked.hint("shuffle_merge").join(each.hint("shuffle_merge"), "key").select("graph_id", "record_id").distinct()
 
 
 def pick_candidate(candidates: DataFrame, answers: DataFrame) -> DataFrame:
@@ -66,7 +66,7 @@ def first_alternate(queries: DataFrame, keys: str, records: DataFrame, most: int
     direct = F.element_at(keys, 1)
     ordered = F.concat(F.array(direct), F.slice(F.array_remove(F.array_distinct(F.array_compact(keys)), direct), 1, most))
     each = queries.select("graph_id", F.posexplode(ordered).alias("rank", "key"))
-    hits = each.join(records, "key").withColumn("best", F.min("rank").over(Window.partitionBy("graph_id")))
+    hits = each.hint("shuffle_merge").join(records.hint("shuffle_merge"), "key").withColumn("best", F.min("rank").over(Window.partitionBy("graph_id")))
     return hits.filter("rank = best").drop("best")
 
 

@@ -30,12 +30,13 @@ def assertions(nodes: DataFrame, edges: DataFrame, least_nodes: int, required: l
 def latency(calls: DataFrame) -> DataFrame:
     """(stage, n, p50, p90, longest): the value at place floor(n p) of the sorted times, per stage and for all.
 
-    By ranks in a window over (stage, time), so no list of all times is built.
+    Times are counted first, so that ranks run over distinct times of a stage only.
     """
-    both = calls.withColumn("stage", F.explode(F.array("stage", F.lit("all"))))
+    counts = calls.groupBy("stage", "ms").agg(F.count("*").alias("k"))
+    both = counts.unionByName(counts.groupBy("ms").agg(F.sum("k").alias("k")).withColumn("stage", F.lit("all")))
     w = Window.partitionBy("stage")
-    ranked = both.withColumns({"k": F.row_number().over(w.orderBy("ms", "ask_id")) - 1, "n": F.count("*").over(w)})
-    at = lambda p: F.max(F.when(F.col("k") == F.floor(F.col("n") * p), F.col("ms")))
+    ranked = both.withColumns({"upto": F.sum("k").over(w.orderBy("ms").rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("k").over(w)})
+    at = lambda p: F.min(F.when(F.col("upto") > F.floor(F.col("n") * p), F.col("ms")))
     return ranked.groupBy("stage").agg(F.max("n").alias("n"), at(0.5).alias("p50"), at(0.9).alias("p90"), F.max("ms").alias("longest"))
 
 
@@ -78,3 +79,24 @@ def answer_diff_summary(diffs: DataFrame) -> DataFrame:
         F.grouping("stage").alias("_s"),
     )
     return out.filter("_b = 0").withColumn("stage", F.when(F.col("_s") == 1, "all").otherwise(F.col("stage"))).drop("_b", "_s")
+
+
+def generation_summary(overlap: DataFrame) -> DataFrame:
+    """Per stage: asks, mean claims of each side, mean recall and precision, matched claims, asks without generated claims."""
+    mean = lambda c: F.round(F.round(F.sum(c), 4) / F.count(c), 4)
+    return overlap.groupBy("stage").agg(F.count("*").alias("asks"), mean("n_recorded").alias("mean_recorded"), mean("n_generated").alias("mean_generated"), mean("recall").alias("recall"), mean("precision").alias("precision"), F.sum("recorded_matched").alias("matched"), F.count_if(F.coalesce("n_generated", F.lit(0)) == 0).alias("empty"))
+
+
+def type_mix(recorded: DataFrame, generated: DataFrame) -> DataFrame:
+    """(side, type, n): how many proposals of each type either side has."""
+    both = recorded.select(F.lit("recorded").alias("side"), "type").unionByName(generated.select(F.lit("generated").alias("side"), "type"))
+    return both.groupBy("side", "type").agg(F.count("*").alias("n"))
+
+
+def unmatched(recorded: DataFrame, generated: DataFrame, matches: DataFrame) -> DataFrame:
+    """(side, ask_id, claim_no) of the claims of either side that no match (ask_id, i, j) uses."""
+    out = []
+    for side, claims, column in (("recorded", recorded, "i"), ("generated", generated, "j")):
+        used = matches.select("ask_id", F.col(column).alias("claim_no")).distinct()
+        out.append(claims.select("ask_id", "claim_no").hint("shuffle_merge").join(used.hint("shuffle_merge"), ["ask_id", "claim_no"], "left_anti").select(F.lit(side).alias("side"), "ask_id", "claim_no"))
+    return out[0].unionByName(out[1])

@@ -86,9 +86,9 @@ def verbatim_quotes(spark, sf_dir):
     return got.select("doc_id", F.sha2(T.quote(F.col("u"), F.col("p.cited")), 256).alias("quote"), F.size(F.array_distinct("p.cited")).cast("long").alias("n"))
 
 
-@query(r"""WITH c AS (SELECT conv_id, count(*) AS n, list(CASE WHEN turn % 9 = 8 THEN '' ELSE regexp_replace(trim(substr(text, 1, 30), ' '), '\s+', ' ', 'g') END ORDER BY turn, role) AS l FROM conversations GROUP BY 1) SELECT conv_id, CASE WHEN conv_id % 5 = 0 THEN NULL WHEN len(list_filter(l, lambda x: trim(x) = '')) > 0 THEN NULL ELSE sha256(array_to_string(list_transform(l, lambda x: trim(x)), '|')) END AS labels FROM c""")
+@query(r"""WITH c AS (SELECT conv_id, count(*) AS n, list(CASE WHEN turn % 9 = 8 THEN '' ELSE trim(regexp_replace(text, '\s+', ' ', 'g')) END ORDER BY turn, role) AS l FROM conversations GROUP BY 1) SELECT conv_id, CASE WHEN conv_id % 5 = 0 THEN NULL WHEN len(list_filter(l, lambda x: trim(x) = '')) > 0 THEN NULL ELSE sha256(array_to_string(list_transform(l, lambda x: trim(x)), '|')) END AS labels FROM c""")
 def label_normalize(spark, sf_dir):
-    label = F.when(_mod(F.col("turn"), 9) == 8, "").otherwise(T.collapsed(F.substring("text", 1, 30)))
+    label = F.when(_mod(F.col("turn"), 9) == 8, "").otherwise(T.collapsed(F.col("text")))
     c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", label.alias("x")))).alias("l"), F.count("*").alias("n"))
     raw = F.to_json(F.transform("l", lambda x: x["x"]))
     asked = F.when(_mod(F.col("conv_id"), 5) == 0, F.col("n") + 1).otherwise(F.col("n"))
@@ -151,9 +151,9 @@ def summary_claims(spark, sf_dir):
     return claimed.join(answers, "doc_id").filter("confidence is not null")
 
 
-@query("WITH p AS (SELECT doc_id, CASE WHEN lang = 'en' THEN 'claim' ELSE 'condition' END AS type, trim(substr(replace(text, chr(10), ' '), 1, 40)) AS claim FROM documents) SELECT doc_id AS subject, CASE type WHEN 'claim' THEN 'reports' ELSE 'has_condition' END AS predicate, type || ':' || substr(sha256(claim), 1, 12) AS object, claim, (quality + toxic) / 2.0::DOUBLE AS confidence FROM p JOIN labels USING (doc_id)")
+@query("WITH p AS (SELECT doc_id, CASE WHEN lang = 'en' THEN 'claim' ELSE 'condition' END AS type, trim(replace(text, chr(10), ' ')) AS claim FROM documents) SELECT doc_id AS subject, CASE type WHEN 'claim' THEN 'reports' ELSE 'has_condition' END AS predicate, type || ':' || substr(sha256(claim), 1, 12) AS object, claim, (quality + toxic) / 2.0::DOUBLE AS confidence FROM p JOIN labels USING (doc_id)")
 def claim_edges(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node"), F.lit(0).alias("claim_no"), F.when(F.col("lang") == "en", "claim").otherwise("condition").alias("type"), F.trim(F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 40)).alias("claim"), F.lit("").alias("quote"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node"), F.lit(0).alias("claim_no"), F.when(F.col("lang") == "en", "claim").otherwise("condition").alias("type"), F.trim(F.replace("text", F.lit("\n"), F.lit(" "))).alias("claim"), F.lit("").alias("quote"))
     answers = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("node"), F.lit(0).alias("claim_no"), ((F.col("quality") + F.col("toxic")) / 2).alias("noul"))
     return claims.verified_claims(docs, answers).drop("quote")
 
@@ -201,25 +201,18 @@ def answer_diff_summary(spark, sf_dir):
     return reports.answer_diff_summary(_diffs(spark, sf_dir))
 
 
-_CLAIMS = """a AS (SELECT item_id AS ask_id, 'x' AS side, unnest(string_split(substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 200), '.')) AS c FROM benchmark), r AS (SELECT ask_id, lower(trim(regexp_replace(c, '\\s+', ' ', 'g'))) AS c, row_number() OVER () AS i FROM a),
- g AS (SELECT ask_id, lower(trim(regexp_replace(x, '\\s+', ' ', 'g'))) AS c, row_number() OVER () AS j FROM (SELECT item_id AS ask_id, unnest(string_split(replace(substr(regexp_replace(text, '[^ -~]', '', 'g'), 20, 200), 'the', 'a'), '.')) AS x FROM benchmark)),
+_CLAIMS = """a AS (SELECT item_id AS ask_id, 'x' AS side, unnest(string_split(regexp_replace(text, '[^ -~]', '?', 'g'), '.')) AS c FROM benchmark), r AS (SELECT ask_id, lower(trim(regexp_replace(c, '\\s+', ' ', 'g'))) AS c, row_number() OVER () AS i FROM a),
+ g AS (SELECT ask_id, lower(trim(regexp_replace(x, '\\s+', ' ', 'g'))) AS c, row_number() OVER () AS j FROM (SELECT item_id AS ask_id, unnest(string_split(replace(regexp_replace(text, '[^ -~]', '?', 'g'), 'the', 'a'), '.')) AS x FROM benchmark)),
  p AS (SELECT ask_id, i, j, round(1 - levenshtein(r.c, g.c) / greatest(length(r.c), length(g.c), 1), 6) AS sim FROM r JOIN g USING (ask_id))"""
 
 
 def _sides(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").withColumn("text", F.regexp_replace("text", "[^ -~]", ""))  # edit distances count bytes in SQL
-    recorded = b.select(F.col("item_id").alias("ask_id"), F.posexplode(F.split(F.substring("text", 1, 200), r"\.")).alias("claim_no", "claim"))
-    generated = b.select(F.col("item_id").alias("ask_id"), F.posexplode(F.split(F.replace(F.substring("text", 20, 200), F.lit("the"), F.lit("a")), r"\.")).alias("claim_no", "claim"))
+    b = table(spark, sf_dir, "benchmark").withColumn("text", F.regexp_replace("text", "[^ -~]", "?"))  # edit distances count bytes in SQL
+    recorded = b.select(F.col("item_id").alias("ask_id"), F.posexplode(F.split("text", r"\.")).alias("claim_no", "claim"))
+    generated = b.select(F.col("item_id").alias("ask_id"), F.posexplode(F.split(F.replace("text", F.lit("the"), F.lit("a")), r"\.")).alias("claim_no", "claim"))
     return recorded, generated
 
 
 @query(f"WITH {_CLAIMS}, bi AS (SELECT ask_id, i, max(sim) AS b FROM p GROUP BY 1, 2), bj AS (SELECT ask_id, j, max(sim) AS b FROM p GROUP BY 1, 2), x AS (SELECT ask_id, round(sum(b), 4) / count(*) AS recall, count(*) FILTER (WHERE b >= 0.8) AS recorded_matched, count(*) AS n_recorded FROM bi GROUP BY 1) SELECT x.*, \"precision\", generated_matched, n_generated FROM x JOIN (SELECT ask_id, round(sum(b), 4) / count(*) AS \"precision\", count(*) FILTER (WHERE b >= 0.8) AS generated_matched, count(*) AS n_generated FROM bj GROUP BY 1) USING (ask_id)")
 def claim_overlap(spark, sf_dir):
     return claims.claim_overlap(*_sides(spark, sf_dir), CLAIM_MATCH_LEAST)
-
-
-@query(None)
-def claim_matches(spark, sf_dir):
-    r, g = _sides(spark, sf_dir)
-    pairs = r.select("ask_id", F.col("claim").alias("a"), F.col("claim_no").cast("long").alias("i")).join(g.select("ask_id", F.col("claim").alias("b"), F.col("claim_no").cast("long").alias("j")), "ask_id")
-    return claims.greedy_matches(pairs.select("ask_id", "i", "j", claims.similarity(F.col("a"), F.col("b")).alias("sim")), CLAIM_MATCH_LEAST)

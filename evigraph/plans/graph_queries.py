@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import graph, merge
+from ..operators import graph, merge, stages
 from ..operators import reports
 from ..sources.adapters import MERGED, NODES, RAW, node_label, node_type, raw_edges, table
 
@@ -151,7 +151,7 @@ def ego_network(spark, sf_dir):
     return near.join(around.groupBy("graph_id").agg(F.count("*").alias("n_edges")), "graph_id")
 
 
-_ORDER_SQL = "list_position(['Gene', 'Protein', 'Transcript', 'Organism', 'Assembly', 'OrthologGroup', 'Pathway', 'GOTerm', 'Domain', 'Dataset', 'Condition', 'Publication', 'IdType', 'Claim', 'Sequence'], type)"
+_ORDER_SQL = "list_position(['IdType', 'Gene', 'Organism', 'Assembly', 'OrthologGroup', 'Transcript', 'Protein', 'Domain', 'GOTerm', 'Pathway', 'Dataset', 'Condition', 'Publication'], type)"
 
 
 @query(f"WITH {NODES} SELECT type, count(*) AS n, row_number() OVER (ORDER BY coalesce(nullif({_ORDER_SQL}, 0), 1000), type) AS place FROM node GROUP BY type")
@@ -175,15 +175,16 @@ def incident_rollup(spark, sf_dir):
     return graph.incident_counts(_edges(spark, sf_dir))
 
 
-@query(f"""WITH {NODES}, l AS (SELECT e.graph_id, least(s.type, o.type) AS group_a, greatest(s.type, o.type) AS group_b, count(*) AS n, round(sum(confidence), 4) / count(*) AS mean_confidence FROM edge e JOIN node s ON s.graph_id = e.graph_id AND s.id = subject JOIN node o ON o.graph_id = e.graph_id AND o.id = object WHERE s.type <> o.type GROUP BY 1, 2, 3),
+@query(f"""WITH {NODES}, l AS (SELECT e.graph_id, least(s.type, o.type) AS group_a, greatest(s.type, o.type) AS group_b, count(*) AS n, round(sum(confidence), 4) / count(*) AS mean_confidence, list(predicate) AS ps FROM edge e JOIN node s ON s.graph_id = e.graph_id AND s.id = subject JOIN node o ON o.graph_id = e.graph_id AND o.id = object WHERE s.type <> o.type GROUP BY 1, 2, 3),
  m AS (SELECT *, row_number() OVER (PARTITION BY graph_id, type ORDER BY id) AS k FROM node), c AS (SELECT graph_id, type, count(*) AS size, coalesce(string_agg(label, ',' ORDER BY k) FILTER (WHERE k <= 5), '') AS labels FROM m GROUP BY 1, 2)
- SELECT l.*, c.size AS size_a, c.labels AS labels_a FROM l JOIN c ON c.graph_id = l.graph_id AND c.type = group_a""")
+ SELECT l.graph_id, group_a, group_b, n, mean_confidence, array_to_string(list_transform(list_sort(list_distinct(ps)), lambda p: p || ':' || len(list_filter(ps, lambda x: x = p))), ',') AS predicates, c.size AS size_a, c.labels AS labels_a, group_a || ':' || c.size AS types_a FROM l JOIN c ON c.graph_id = l.graph_id AND c.type = group_a""")
 def group_rollup(spark, sf_dir):
     edges = _edges(spark, sf_dir)
     nodes = _nodes(edges)
     groups = nodes.select("graph_id", "id", F.col("type").alias("grp"))
-    inside = graph.group_contents(nodes, groups).select("graph_id", F.col("grp").alias("group_a"), F.col("size").alias("size_a"), F.col("labels").alias("labels_a"))
-    return graph.group_links(edges, groups).join(inside, ["graph_id", "group_a"])
+    shown = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat_ws(":", e["key"], e["value"])), ",")
+    inside = graph.group_contents(nodes, groups).select("graph_id", F.col("grp").alias("group_a"), F.col("size").alias("size_a"), F.col("labels").alias("labels_a"), shown("types").alias("types_a"))
+    return graph.group_links(edges, groups).withColumn("predicates", shown("predicates")).join(inside, ["graph_id", "group_a"])
 
 
 @query("""SELECT 'g' || (c_custkey % 10) AS graph_id, 'cust:' || c_custkey AS id, c_mktsegment AS type, CASE WHEN c_custkey % 4 = 0 THEN 'cust:' || c_custkey ELSE c_name END AS label,
@@ -240,13 +241,11 @@ def graph_json_roundtrip(spark, sf_dir):
     from ..sources import graph_json
 
     edges = _edges(spark, sf_dir)
-    documents = graph_json.to_documents(_nodes(edges), edges)
-    return graph_json.parse_edges(documents)
+    _, back = graph_json.from_lines(graph_json.to_lines(_nodes(edges), edges))
+    return back
 
 
 @query(f"WITH {RAW}, s AS (SELECT object, subject, graph_id, min(seq) AS seq FROM raw WHERE predicate = 'ortholog_of' GROUP BY 1, 2, 3), f AS (SELECT *, arg_min(subject, seq) OVER (PARTITION BY graph_id, object) AS first FROM s) SELECT graph_id, first AS subject, subject AS object, object AS shared FROM f WHERE subject <> first")
 def shared_targets(spark, sf_dir):
     raw = raw_edges(spark, sf_dir).filter("predicate = 'ortholog_of'").groupBy("graph_id", "subject", "object").agg(F.min("seq").alias("seq"))
-    first = F.min(F.struct("seq", "subject")).over(Window.partitionBy("graph_id", "object"))["subject"]
-    linked = raw.withColumn("first", first).filter("subject <> first")
-    return linked.select("graph_id", F.col("first").alias("subject"), F.col("subject").alias("object"), F.col("object").alias("shared"))
+    return stages.shared_targets(raw).select("graph_id", F.col("first").alias("subject"), F.col("other").alias("object"), F.col("object").alias("shared"))

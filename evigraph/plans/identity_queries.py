@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import ids as I
 from ..functions.links import entity_link
-from ..operators import identity
+from ..operators import identity, stages
 from ..sources.adapters import table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -112,23 +111,25 @@ def record_fill(spark, sf_dir):
     return identity.fill(left, right, "o_custkey", ["segment", "name"])
 
 
-@query("""WITH a AS (SELECT s_suppkey, s_nationkey, unnest([s_name, 'S' || s_suppkey, s_name, CASE WHEN s_suppkey % 2 = 0 THEN '' END]) AS alias FROM supplier) SELECT DISTINCT c_custkey, s_suppkey, alias, 'has_alias' AS predicate FROM customer JOIN a ON c_nationkey = s_nationkey WHERE alias IS NOT NULL AND alias <> '' AND alias <> 'S' || c_custkey""")
+@query("""WITH a AS (SELECT s_suppkey, s_nationkey, unnest([s_name, 'S' || s_suppkey, s_name, CASE WHEN s_suppkey % 2 = 0 THEN '' END]) AS alias FROM supplier) SELECT DISTINCT c_custkey, s_suppkey, 'has_alias' AS predicate, alias AS object FROM customer JOIN a ON c_nationkey = s_nationkey WHERE alias IS NOT NULL AND alias <> '' AND alias <> 'S' || c_custkey
+ UNION ALL SELECT c_custkey, s_suppkey, 'cited_in', 'pmid:9' || s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey""")
 def bridge_records(spark, sf_dir):
     s = F.col("s_suppkey")
     aliases = F.array(F.col("s_name"), F.concat(F.lit("S"), s), F.col("s_name"), F.when(_mod(s, 2) == 0, F.lit("")))
-    records = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", F.explode(F.array_distinct(aliases)).alias("alias"))
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    met = c.join(records, c["c_nationkey"] == records["s_nationkey"])
-    return met.filter((F.col("alias") != "") & (F.col("alias") != F.concat(F.lit("S"), "c_custkey"))).select("c_custkey", "s_suppkey", "alias", F.lit("has_alias").alias("predicate"))
+    records = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), aliases.alias("aliases"), F.array(F.concat(F.lit("9"), s)).alias("pmids"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"))
+    return stages.bridge(c, records, "nation", ["c_custkey", "s_suppkey"], F.concat(F.lit("S"), "c_custkey"), "pmids")
 
 
 @query("""WITH o AS (SELECT o_orderkey, o_custkey FROM orders), l AS (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey FROM lineitem) SELECT DISTINCT * FROM (SELECT o_custkey AS anchor, 'has_transcript' AS predicate, 'nuccore:' || l_partkey AS object FROM o JOIN l ON o_orderkey = l_orderkey UNION ALL SELECT o_custkey, 'has_protein', 'protein:' || l_suppkey FROM o JOIN l ON o_orderkey = l_orderkey
  UNION ALL SELECT o_custkey, 'in_organism', 'taxon:' || c_nationkey FROM o JOIN customer ON c_custkey = o_custkey WHERE c_acctbal > 0)""")
 def enrichment_fanout(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("anchor"))
-    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.explode(F.array(F.struct(F.lit("has_transcript").alias("predicate"), I.node_id("nuccore", F.col("l_partkey").cast("string")).alias("object")), F.struct(F.lit("has_protein").alias("predicate"), I.node_id("protein", F.col("l_suppkey").cast("string")).alias("object")))).alias("x")).select("o_orderkey", "x.*")
-    places = table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("anchor"), F.lit("in_organism").alias("predicate"), I.node_id("taxon", F.col("c_nationkey").cast("string")).alias("object"))
-    return o.join(items, "o_orderkey").select("anchor", "predicate", "object").unionByName(places.join(o.select("anchor").distinct(), "anchor", "left_semi")).distinct()
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", F.array("l_suppkey").alias("l_suppkey"))
+    made = stages.fan_out(o, "o_orderkey", "anchor", [(items, "l_partkey", "has_transcript", "nuccore"), (items, "l_suppkey", "has_protein", "protein")])
+    c = table(spark, sf_dir, "customer").filter("c_acctbal > 0").join(o.select(F.col("anchor").alias("c_custkey")).distinct(), "c_custkey", "left_semi")
+    matches = c.select(F.lit("all").alias("graph_id"), F.col("c_custkey").alias("anchor"), F.col("c_nationkey").cast("string").alias("tax_id"), F.lit(None).cast("string").alias("assembly_accession"))
+    return made.unionByName(stages.anchor_claims(matches).select(F.col("subject").alias("anchor"), "predicate", "object"))
 
 
 @query("""WITH t AS (SELECT n_nationkey, n_name, n_regionkey, (['species', 'strain', 'subspecies'])[n_nationkey % 3 + 1] AS rank, CASE WHEN n_nationkey % 4 = 0 THEN 'subspecies' ELSE 'genus' END AS up FROM nation)
@@ -138,11 +139,9 @@ def rank_for_group(spark, sf_dir):
     rank = F.element_at(F.array(F.lit("species"), F.lit("strain"), F.lit("subspecies")), _mod(k, 3) + 1)
     up = F.when(_mod(k, 4) == 0, "subspecies").otherwise("genus")
     t = table(spark, sf_dir, "nation").select(k, rank.alias("rank"), F.array(F.struct((F.col("n_regionkey") + 1000).alias("tax_id"), up.alias("rank"))).alias("lineage"), (k + 2000).alias("species_tax_id"))
-    ranks = F.concat(F.transform("lineage", lambda e: e["rank"]), F.array("rank"))
-    options = F.array_sort(F.array_distinct(F.filter(ranks, lambda r: r.isin("species", "subspecies", "genus"))))
-    needs = (F.coalesce("rank", F.lit("species")) != "species") | F.exists("lineage", lambda e: e["rank"] == "subspecies")
-    tax = F.when(F.col("rank") == "species", F.col("n_nationkey")).otherwise(F.coalesce(F.try_element_at(F.filter("lineage", lambda e: e["rank"] == "species"), F.lit(1))["tax_id"], "species_tax_id"))
-    return t.select("n_nationkey", needs.alias("needs_question"), F.array_join(options, ",").alias("options"), tax.alias("species_tax"))
+    options = F.array_sort(stages.rank_options(F.col("rank"), F.col("lineage")))
+    tax = stages.tax_at_rank(F.lit("species"), k, F.col("rank"), F.col("lineage"), F.col("species_tax_id"))
+    return t.select("n_nationkey", stages.needs_rank(F.col("rank"), F.col("lineage")).alias("needs_question"), F.array_join(options, ",").alias("options"), tax.alias("species_tax"))
 
 
 @query("SELECT a.s_suppkey AS source, b.s_suppkey AS related, n_name AS via FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey JOIN nation ON n_nationkey = a.s_nationkey")
@@ -150,7 +149,8 @@ def related_items(spark, sf_dir):
     s = table(spark, sf_dir, "supplier")
     a = s.select(F.col("s_suppkey").alias("source"), F.col("s_nationkey").alias("n_nationkey"))
     b = s.select(F.col("s_suppkey").alias("related"), F.col("s_nationkey").alias("n_nationkey"))
-    return a.join(b, "n_nationkey").filter("source <> related").join(table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("via")), "n_nationkey").drop("n_nationkey")
+    met = stages.related(a, b, "n_nationkey", "source", "related")
+    return met.join(table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("via")), "n_nationkey").drop("n_nationkey")
 
 
 @query("""WITH a AS (SELECT DISTINCT CASE WHEN l_linenumber % 2 = 0 THEN 'GCA_' ELSE 'GCF_' END || l_orderkey || '.' || l_linenumber AS accession, l_orderkey, l_linenumber FROM lineitem) SELECT a.accession AS old, b.accession AS new FROM a JOIN a b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber > a.l_linenumber""")
@@ -178,37 +178,30 @@ def ortholog_cap(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").withColumn("score", F.when(_mod(F.col("l_linenumber"), 5) != 0, F.col("l_discount")))
     top = identity.capped(rows, ["l_suppkey"], F.col("score"), ["l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice"])
     refs = F.array(F.struct(F.lit("Other").alias("source"), F.lit("-").alias("id")), F.struct(F.when(_mod(p, 3) == 0, "SourceID").otherwise("None").alias("source"), F.concat(F.lit("src"), p).alias("id")))
-    source_id = F.try_element_at(F.filter(refs, lambda x: x["source"] == "SourceID"), F.lit(1))["id"]
     canonical = F.when(_mod(p, 3) == 1, F.concat(F.lit("can"), p))
-    return top.select("l_suppkey", "l_orderkey", "l_partkey", "score", "rank", F.coalesce(source_id, canonical, F.concat(F.lit("oma"), p)).alias("ref"))
+    return top.select("l_suppkey", "l_orderkey", "l_partkey", "score", "rank", stages.reference_id(refs, canonical, F.concat(F.lit("oma"), p)).alias("ref"))
 
 
 @query("""WITH h AS (SELECT p_partkey AS graph_id, c_custkey, c_nationkey FROM part JOIN customer ON c_custkey % 200 = p_partkey % 200), w AS (SELECT *, count(DISTINCT c_nationkey) OVER (PARTITION BY graph_id) AS taxa FROM h) SELECT graph_id, min(c_custkey) AS c_custkey, min(c_nationkey) AS tax FROM w WHERE taxa = 1 GROUP BY 1 HAVING count(*) = 1""")
 def linked_hits(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("graph_id"), _mod(F.col("p_partkey"), 200).alias("term"))
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", _mod(F.col("c_custkey"), 200).alias("term"))
-    hits = p.join(c, "term").groupBy("graph_id").agg(F.count("*").alias("n"), F.count_distinct("c_nationkey").alias("taxa"), F.min("c_custkey").alias("c_custkey"), F.min("c_nationkey").alias("tax"))
-    return hits.filter("taxa = 1 and n = 1").select("graph_id", "c_custkey", "tax")
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("tax"), _mod(F.col("c_custkey"), 200).alias("term"))
+    return stages.linked_by_term(p, c, "term", "tax", "c_custkey")
 
 
 @query("SELECT p_brand AS grp, p_partkey AS member, row_number() OVER (PARTITION BY p_brand ORDER BY p_size % 2 = 0 DESC, p_type = 'ECONOMY' DESC, p_partkey) AS place FROM part")
 def group_members(spark, sf_dir):
-    related, core = _mod(F.col("p_size"), 2) == 0, F.col("p_type") == "ECONOMY"
-    place = F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc(related), F.desc(core), "p_partkey")).cast("long")
-    groups = table(spark, sf_dir, "part").select(F.col("p_brand").alias("grp"), F.col("p_partkey").alias("member"), place.alias("place"))
-    return groups
+    members = table(spark, sf_dir, "part").select(F.col("p_brand").alias("grp"), F.col("p_partkey").alias("member"), "p_size", "p_type")
+    return stages.member_order(members, ["grp"], _mod(F.col("p_size"), 2) == 0, F.col("p_type") == "ECONOMY", ["member"]).select("grp", "member", "place")
 
 
 @query("""WITH q AS (SELECT o_orderkey, o_custkey || '-' || o_orderkey % 10 || '.' || o_orderkey % 3 AS id FROM orders), e AS (SELECT o_orderkey, id, unnest([split_part(id, '-', 1), id, split_part(id, '.', 1)]) AS key, unnest([0, 1, 2]) AS rank FROM q), r AS (SELECT CAST(c_custkey AS VARCHAR) AS key FROM customer WHERE c_custkey % 2 = 0 UNION SELECT c_custkey || '-' || c_custkey % 10 FROM customer WHERE c_custkey % 2 = 1)
  SELECT o_orderkey, arg_min(key, rank) AS hit, min(rank) AS rank FROM e JOIN r USING (key) GROUP BY 1""")
 def suffix_probe(spark, sf_dir):
-    k = F.col("o_orderkey")
-    made = F.concat_ws("", "o_custkey", F.lit("-"), _mod(k, 10), F.lit("."), _mod(k, 3))
-    asked = table(spark, sf_dir, "orders").select(k, made.alias("id"))
-    each = asked.select("o_orderkey", F.posexplode(F.array_distinct(F.array(F.split_part("id", F.lit("-"), F.lit(1)), F.col("id"), F.split_part("id", F.lit("."), F.lit(1))))).alias("rank", "key"))
-    c = F.col("c_custkey")
+    k, c = F.col("o_orderkey"), F.col("c_custkey")
+    asked = table(spark, sf_dir, "orders").select(k, F.concat_ws("", "o_custkey", F.lit("-"), _mod(k, 10), F.lit("."), _mod(k, 3)).alias("id"))
     known = table(spark, sf_dir, "customer").select(F.when(_mod(c, 2) == 0, c.cast("string")).otherwise(F.concat(c, F.lit("-"), _mod(c, 10))).alias("key"))
-    return each.join(known, "key").groupBy("o_orderkey").agg(F.min_by("key", "rank").alias("hit"), F.min("rank").alias("rank"))
+    return stages.suffix_probe(asked, "o_orderkey", "id", known)
 
 
 @query("""WITH f AS (SELECT p_size AS graph_id, p_partkey AS accession, 'symbol' AS by_what, p_type <> 'ECONOMY' AS reviewed FROM part WHERE p_brand < 'Brand#2'), s AS (SELECT p_size, p_partkey, 'id', p_type <> 'ECONOMY' FROM part WHERE p_brand >= 'Brand#14'), u AS (SELECT * FROM f UNION ALL SELECT * FROM s WHERE p_partkey NOT IN (SELECT accession FROM f)),
@@ -218,8 +211,7 @@ def merge_hits(spark, sf_dir):
     first = part.filter("p_brand < 'Brand#2'").drop("p_brand").withColumn("by_what", F.lit("symbol"))
     second = part.filter("p_brand >= 'Brand#14'").drop("p_brand").withColumn("by_what", F.lit("id"))
     both = identity.merged_hits(first, second, "accession")
-    rank = F.row_number().over(Window.partitionBy("graph_id").orderBy(F.desc("reviewed"), "accession"))
-    return both.withColumn("rank", rank).filter("rank <= 3").withColumn("picked", F.col("rank") == 1)
+    return stages.reviewed_first(both, ["graph_id"], ["accession"], 3)
 
 
 @query("""WITH a AS (SELECT p_partkey, p_brand AS go_id, (['F:', 'P:', 'C:'])[p_size % 3 + 1] || p_name AS term, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE 'IEA:' || p_type END AS code, 'path:' || p_size || ' - ' || p_type AS path, lower(p_type) AS src FROM part)
@@ -227,9 +219,9 @@ def merge_hits(spark, sf_dir):
 def annotation_fanout(spark, sf_dir):
     aspect = F.element_at(F.array(F.lit("F:"), F.lit("P:"), F.lit("C:")), _mod(F.col("p_size"), 3) + 1)
     a = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("go_id"), F.concat(aspect, "p_name").alias("term"), F.when(_mod(F.col("p_partkey"), 4) == 0, "").otherwise(F.concat(F.lit("IEA:"), "p_type")).alias("code"), F.concat_ws("", F.lit("path:"), "p_size", F.lit(" - "), "p_type").alias("path"), F.lower("p_type").alias("src"))
-    named = F.when(F.substring("term", 1, 2) == "F:", "function").when(F.substring("term", 1, 2) == "P:", "process").otherwise("component")
-    codes = F.array_join(F.array_sort(F.collect_set(F.nullif(F.split_part("code", F.lit(":"), F.lit(1)), F.lit("")))), ",")
-    return a.groupBy("go_id").agg(F.min_by(F.expr("substring(term, 3)"), "p_partkey").alias("label"), F.min_by(named, "p_partkey").alias("aspect"), F.count("*").alias("n_evidence"), codes.alias("codes"), F.min(F.element_at(F.split(F.regexp_replace("path", "^path:", ""), " - "), 1)).alias("pathway"), F.min(F.initcap("src")).alias("source"))
+    groups = stages.go_groups(a, ["go_id"], "p_partkey")
+    rest = a.groupBy("go_id").agg(F.min(stages.bare_pathway(F.col("path"))).alias("pathway"), F.min(F.initcap("src")).alias("source"))
+    return groups.join(rest, "go_id")
 
 
 @query("""WITH c AS (SELECT d.doc_id, d.source AS graph_id, d.lang <> 'en' AS other, CASE WHEN l.quality IS NOT NULL THEN ((d.doc_id * 37) % 101) / 100.0::DOUBLE END AS noul, CASE d.doc_id % 4 WHEN 0 THEN 'SNP array' WHEN 1 THEN 'RNA-Seq' WHEN 2 THEN 'Baseline' ELSE 'misc' END AS t FROM documents d LEFT JOIN labels l USING (doc_id)),
@@ -244,12 +236,16 @@ def dataset_relevance(spark, sf_dir):
     return top.select("graph_id", "doc_id", "score", I.dataset_kind(F.col("t")).alias("kind"), F.col("rank").alias("place"))
 
 
-@query("""WITH v AS (SELECT event_type AS dataset_id, 's' || user_id % 20 AS sample, value FROM events WHERE value > 0) SELECT dataset_id, array_to_string(list_sort(list(DISTINCT sample)), ',') AS samples, count(*) AS n_values, min(c_name) AS first_author FROM v LEFT JOIN customer ON c_custkey = length(dataset_id) GROUP BY 1""")
+@query("""WITH v AS (SELECT event_type AS dataset_id, 's' || user_id % 20 AS sample, value FROM events WHERE value > 0), r AS (SELECT (['view', 'signup', 'click', 'purchase', 'error'])[doc_id + 1] AS dataset_id, lang AS name, CASE WHEN doc_id % 2 = 0 THEN source END AS citation, CASE WHEN doc_id % 2 = 0 THEN 'pmid:' || doc_id END AS described_in FROM documents WHERE doc_id < 5)
+ SELECT dataset_id, array_to_string(list_sort(list(DISTINCT sample)), ',') AS samples, count(*) AS n_values, min(name) AS name, min(citation) AS citation, min(described_in) AS described_in FROM v LEFT JOIN r USING (dataset_id) GROUP BY 1""")
 def dataset_samples(spark, sf_dir):
     v = table(spark, sf_dir, "events").filter("value > 0").select(F.col("event_type").alias("dataset_id"), F.concat(F.lit("s"), _mod(F.col("user_id"), 20)).alias("sample"), "value")
-    each = v.groupBy("dataset_id").agg(F.array_join(F.array_sort(F.collect_set("sample")), ",").alias("samples"), F.count("*").alias("n_values"))
-    meta = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("first_author"))
-    return each.join(meta, F.length("dataset_id") == F.col("k"), "left").drop("k")
+    each = stages.dataset_samples(v, ["dataset_id"]).withColumn("samples", F.array_join("samples", ","))
+    d = F.col("doc_id")
+    types = F.array(*map(F.lit, ("view", "signup", "click", "purchase", "error")))
+    publications = F.when(_mod(d, 2) == 0, F.array(F.struct(d.cast("string").alias("pmid"), F.col("source").alias("citation"))))
+    records = table(spark, sf_dir, "documents").filter("doc_id < 5").select(F.element_at(types, (d + 1).cast("int")).alias("dataset_id"), F.col("lang").alias("name"), F.lit("").alias("summary"), publications.alias("publications"))
+    return stages.described_datasets(each, records, "dataset_id").select("dataset_id", "samples", "n_values", "name", "citation", "described_in")
 
 
 @query("""WITH p AS (SELECT DISTINCT l_partkey AS gene, 'GCA_' || l_suppkey || '.1' AS accession FROM lineitem), a AS (SELECT DISTINCT l_partkey AS gene, 'GCA_' || l_suppkey || '.1' AS accession FROM lineitem WHERE l_returnflag = 'A'), s AS (SELECT DISTINCT l_partkey AS gene, CASE WHEN l_orderkey % 2 = 0 THEN 'GCA_' ELSE 'GCF_' END || l_suppkey || '.1' AS seen FROM lineitem WHERE l_linestatus = 'F'),

@@ -36,3 +36,16 @@ def parse_nodes(documents: DataFrame) -> DataFrame:
 
 def parse_edges(documents: DataFrame) -> DataFrame:
     return documents.select("graph_id", F.inline(F.from_json("document", f"edges array<{EDGE}>")["edges"]))
+
+
+def to_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(graph_id, kind, value): one JSON text per node and per edge, for graphs of any size."""
+    url = F.col("url") if "url" in nodes.columns else F.lit(None).cast("string")
+    n = nodes.select("graph_id", F.lit("node").alias("kind"), F.to_json(F.struct("id", "type", "label", url.alias("url"))).alias("value"))
+    return n.unionByName(edges.select("graph_id", F.lit("edge").alias("kind"), F.to_json(F.struct("subject", "predicate", "object", "confidence")).alias("value")))
+
+
+def from_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of such lines."""
+    of = lambda kind, shape: lines.filter(F.col("kind") == kind).select("graph_id", F.from_json("value", shape).alias("x")).select("graph_id", "x.*")
+    return of("node", NODE), of("edge", EDGE)

@@ -5,11 +5,11 @@ import os
 
 import pytest
 
-from evigraph.plans import claim_queries, graph_queries, identity_queries, source_queries
+from evigraph.plans import claim_queries, graph_queries, identity_queries, pass_queries, source_queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-ALL = {name: (f, plan.ORACLE_SQL.get(name)) for plan in (graph_queries, identity_queries, claim_queries, source_queries) for name, f in plan.QUERIES.items()}
+ALL = {name: (f, plan.ORACLE_SQL.get(name)) for plan in (graph_queries, identity_queries, claim_queries, pass_queries, source_queries) for name, f in plan.QUERIES.items()}
 
 
 @pytest.fixture(scope="module")
