@@ -100,6 +100,27 @@ def plan(size: np.ndarray, target: np.ndarray, block: int, seed: int) -> tuple[n
     return blocks, slots, last
 
 
+def drawn(counts: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of each source are in a uniform choice of n of all slots; of any size.
+
+    Independent binomial draws make a uniform choice of another size. The
+    difference, about its root, is drawn in the same way from the slots that are
+    not chosen (or given back from those that are), until it is met; the last few
+    slots one by one.
+    """
+    out = np.zeros_like(counts)
+    while rest := n - int(out.sum()):
+        sign, pool = (1, counts - out) if rest > 0 else (-1, out.copy())
+        if abs(rest) > 32:
+            out += sign * rng.binomial(pool, abs(rest) / int(pool.sum()))
+            continue
+        for _ in range(abs(rest)):
+            i = int(np.searchsorted(np.cumsum(pool), rng.integers(int(pool.sum())), "right"))
+            out[i] += sign
+            pool[i] -= 1
+    return out
+
+
 def draws(slots: np.ndarray, shards: range, seed: int):
     """(shard, counts, offsets) of some shards: how many slots each source gets there, and how many before.
 
@@ -117,14 +138,7 @@ def draws(slots: np.ndarray, shards: range, seed: int):
             yield low, counts, offset
             continue
         middle = (low + high) // 2
-        n = (middle - low) * SHARD
-        if counts.sum() < 10**9:
-            left = np.random.default_rng([seed, low, high]).multivariate_hypergeometric(counts, n, method="marginals")
-        else:  # beyond the generator's range: in proportion
-            exact = counts * (n / counts.sum())
-            left = np.minimum(exact.astype(np.int64), counts)
-            rest = np.argsort(left - exact, kind="stable")[: n - left.sum()]
-            left[rest] += 1
+        left = drawn(counts, (middle - low) * SHARD, np.random.default_rng([seed, low, high]))
         stack += [(middle, high, counts - left, offset + left), (low, middle, left, offset)]
 
 

@@ -79,5 +79,50 @@ def op10_norm_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {q.__name__: q for q in (op1_ngram_jaccard_join, op2_kmeans_tree_search, op3_source_mixing, op4_power_packing, op5_line_dedup, op6_url_rules, op7_quality_net, op8_chained_passages, op9_secret_scan, op10_norm_topk)}
 
-#: DuckDB SQL of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = "regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\x0B\f\r]+')"
+
+_OP1 = f"""
+WITH RECURSIVE words AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
+entries AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END) AS g FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM entries GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM entries x JOIN entries y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * o >= 85 * (x.n + y.n - o)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.component_id, coalesce(k.n, 0) AS n_links
+FROM documents d JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON d.doc_id = r.a
+LEFT JOIN sizes s ON d.doc_id = s.doc_id LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) k ON d.doc_id = k.a
+"""
+
+_OP5 = f"""
+WITH texts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS t FROM documents),
+lines AS (SELECT doc_id AS d, unnest(range(0, len(t))) AS l, unnest(t) AS line FROM texts),
+sets AS (SELECT d, l, list_sort(list_distinct({_WORDS.format("line")})) AS w FROM lines),
+classes AS (SELECT w, len(w) AS n, row_number() OVER (ORDER BY w) AS c FROM (SELECT DISTINCT w FROM sets WHERE len(w) > 0)),
+tokens AS (SELECT c, n, unnest(w) AS x FROM classes),
+rarity AS (SELECT x, row_number() OVER (ORDER BY count(*), x) AS rare FROM tokens GROUP BY x),
+ranked AS (SELECT c, n, x, row_number() OVER (PARTITION BY c ORDER BY rare) AS k FROM tokens JOIN rarity USING (x)),
+heads AS (SELECT c, n, x FROM ranked WHERE k <= n - (80 * n + 99) // 100 + 1),
+pairs AS (SELECT DISTINCT a.c AS a, b.c AS b FROM heads a JOIN heads b ON a.x = b.x AND a.c <> b.c WHERE least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 80),
+alike AS (SELECT p.a, p.b FROM (SELECT a, b, x.n AS n, y.n AS m, len(list_intersect(x.w, y.w)) AS o FROM pairs JOIN classes x ON a = x.c JOIN classes y ON b = y.c) p
+  WHERE o * 100 >= (n + m - o) * 80 UNION ALL SELECT c, c FROM classes),
+placed AS (SELECT d, l, c FROM sets JOIN classes USING (w)),
+firsts AS (SELECT c, min((d, l)) AS place FROM placed GROUP BY c),
+earliest AS (SELECT a, min(place) AS place FROM alike JOIN firsts ON b = c GROUP BY a),
+gone AS (SELECT d, l FROM placed JOIN earliest ON c = a WHERE place < (d, l))
+SELECT s.d AS doc_id, count(*) AS n_lines, count(g.l) AS n_removed, coalesce(string_agg(g.l, ',' ORDER BY g.l), '') AS removed
+FROM sets s LEFT JOIN gone g ON s.d = g.d AND s.l = g.l GROUP BY s.d
+"""
+
+_OP10 = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS z FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.z, c.z) AS BIGINT) AS score FROM whole q JOIN whole c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
+"""
+
+#: DuckDB SQL of the queries that SQL can express: not of trained models, tokenizers, random draws or fuzzy alignment.
+ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard_join": _OP1, "op5_line_dedup": _OP5, "op10_norm_topk": _OP10}

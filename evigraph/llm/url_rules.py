@@ -112,5 +112,8 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, defau
     if judged is None:
         rest = open_.select("page_id", "host", "path", none, F.lit(default).alias("verdict"), F.lit(None).cast("double").alias("confidence"))
     else:
-        rest = open_.hint("shuffle_merge").join(judged.hint("shuffle_merge"), "tokens", "left").select("page_id", "host", "path", none, F.coalesce("mined", F.lit(default)).alias("verdict"), "confidence")
+        # a site's numbered pages are one set of tokens: they are dealt over SALTS tasks
+        dealt = open_.withColumn("salt", F.expr(f"pmod(xxhash64(page_id, path), {SALTS})"))
+        copied = judged.withColumn("salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
+        rest = dealt.hint("shuffle_merge").join(copied.hint("shuffle_merge"), ["tokens", "salt"], "left").select("page_id", "host", "path", none, F.coalesce("mined", F.lit(default)).alias("verdict"), "confidence")
     return listed.unionByName(rest)

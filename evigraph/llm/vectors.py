@@ -9,20 +9,22 @@ from pyspark.sql import functions as F
 
 
 def usable(rows: DataFrame, id_col: str, vec_col: str, nonzero: bool) -> DataFrame:
-    """(vec_id long, v array<double>): rows whose vector is whole and finite, one of each id.
+    """(row long, vec_id long, v array<double>): rows whose vector is whole and finite.
 
-    Left out: null ids, null or empty vectors, vectors with a null or
-    non-finite component, zero vectors if ``nonzero``, and vectors of another
-    length than the longest. Of rows that repeat an id the one with the least
-    vector counts. Other columns are ignored.
+    Left out: null ids, null vectors, vectors with a null or non-finite
+    component, and vectors without a component other than 0 if ``nonzero``.
+    Vectors shorter than the longest count as followed by zeros. Rows that repeat
+    an id are vectors of their own, told apart by row, which holds once the
+    result is written. Other columns are ignored.
     """
     v = F.col(vec_col).cast("array<double>")
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    out = rows.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~bad)
+    out = rows.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~bad)
     if nonzero:
         out = out.filter(F.exists("v", lambda x: x != 0))
-    size = out.agg(F.max(F.size("v"))).first()[0] or 0
-    return out.filter(F.size("v") == size).groupBy("vec_id").agg(F.min("v").alias("v"))
+    size = max(1, out.agg(F.max(F.size("v"))).first()[0] or 0)
+    whole = F.when(F.size("v") < size, F.concat("v", F.array_repeat(F.lit(0.0), F.lit(size) - F.size("v")))).otherwise(F.col("v"))
+    return out.select(F.monotonically_increasing_id().alias("row"), "vec_id", whole.alias("v"))
 
 
 def matrix(column: pa.Array) -> np.ndarray:
