@@ -35,8 +35,8 @@ SLOTS = 1 << 24
 LONG_LISTS = 20_000
 #: Parts of the elements whose lists are made one after the other, so that only one part of them is on disk at a time.
 PARTS = 2
-#: Columns of a signature. In place of l1: a row that tells of a list.
-SIGNED, LIST = ("s0", "s1", "s2", "s3"), -2
+#: Columns of a signature. In place of l1: a row that tells of a list, or of further candidates.
+SIGNED, LIST, MORE = ("s0", "s1", "s2", "s3"), -2, -3
 #: In place of l: the slot of any set of this d.
 WHOLE = -1
 _PAIR = pa.schema([("d1", pa.int64()), ("l1", pa.int32()), ("d2", pa.int64()), ("l2", pa.int32())])
@@ -191,43 +191,131 @@ def star_pairs(entries: DataFrame, num: int, den: int) -> DataFrame:
     )
 
 
-def signed_stars(entries: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs of each entry's set with the least set of the same element that sizes, places and signatures allow.
+def _lists(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
+    """Rows sorted by h as tables of whole lists, and which rows' list goes on elsewhere: lists of more than ``most`` rows come in pieces."""
+    held, cut = [], None  # rows of the last list; the list of which a piece has gone out
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([*held, batch])
+        h = t.column("h").to_numpy()
+        last = int(np.searchsorted(h, h[-1], "left")) if (h[1:] >= h[:-1]).all() else int(_run_bounds(h)[-2])
+        if len(h) - last >= most:
+            yield _table(t.to_batches()), (h == h[-1]) | (h == cut if cut is not None else False)
+            held, cut = [], h[-1]
+        else:
+            if last:
+                yield _table(t.slice(0, last).to_batches()), h[:last] == cut if cut is not None else np.zeros(last, bool)
+            held = t.slice(last).to_batches()
+            cut = cut if cut is not None and h[-1] == cut else None
+    if held:
+        t = _table(held)
+        yield t, t["h"] == cut if cut is not None else np.zeros(len(t["h"]), bool)
 
-    entries has (h, d, l, n, pos) and SIGNED. Rows with l1 = LIST tell instead, in
-    d1 and d2, of each BLOCK entries of an element.
-    """
-    columns = ["d", "l", "n", "pos", *SIGNED]
 
-    def stars(batches):
-        h0, head, count = None, None, 0
-        for batch in batches:
-            if not batch.num_rows:
+def _near(t: dict, bounds: np.ndarray, num: int, den: int) -> np.ndarray:
+    """How many of the rows after each one in its run (bounds), where sizes ascend, have a size near enough."""
+    run, n = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), t["n"].astype(np.int64)
+    wide = int(n.max()) * den // num + 1
+    return np.searchsorted(run * wide + n, run * wide + np.minimum(n * den // num, wide - 1), "right") - np.arange(len(n)) - 1
+
+
+def _by_place(t: dict, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs with the set at the earlier place first."""
+    turned = (t["d"][i] > t["d"][j]) | ((t["d"][i] == t["d"][j]) & (t["l"][i] > t["l"][j]))
+    return np.where(turned, j, i), np.where(turned, i, j)
+
+
+def _signed_candidates(t: dict, left: np.ndarray, wanted: np.ndarray, fits, skip: int, most: int, num: int, den: int):
+    """(i, j, open): for each wanted row j its candidates at earlier places but for the first ``skip``, ``most`` of them; open rows have more.
+
+    left tells how many rows after each one are near enough in size.
+    """
+    seen = np.zeros(len(left), np.int64)
+    act, step, found = np.flatnonzero(left >= 1), 1, []
+    while len(act):
+        i, j = _by_place(t, act, act + step)
+        ok = wanted[j] & (seen[j] <= skip + most)
+        i, j = i[ok], j[ok]
+        ok = _may_match(t, i, j, num, den) & fits(i, j)
+        i, j = i[ok], j[ok]
+        ok = _signatures_allow(t, i, j, num, den)
+        i, j = i[ok], j[ok]
+        # a row is the later one of two pairs of a step at most
+        for first in (True, False):
+            _, at = np.unique(j, return_index=True)
+            one = np.zeros(len(j), bool)
+            one[at] = True
+            sel = np.flatnonzero(one if first else ~one)
+            if not len(sel):
                 continue
-            h = batch.column("h").to_numpy()
-            cols = {c: batch.column(c).to_numpy() for c in columns}
-            new = np.ones(len(h), bool)
-            new[1:] = h[1:] != h[:-1]
-            new[0] = h[0] != h0
-            if not new[0]:  # goes on: its first row stands in front
-                cols = {c: np.append(head[c], x).astype(x.dtype) for c, x in cols.items()}
-                at = np.maximum.accumulate(np.where(np.append(True, new), np.arange(len(h) + 1), 0))
-                i, j = at[1:], np.arange(1, len(h) + 1)
-            else:
-                i, j = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0)), np.arange(len(h))
-            first_run = i == i[0]
-            nth = j - i + np.where(first_run, 0 if new[0] else count - 1, 0)
-            ends = (nth + 1) % BLOCK == 0
-            ok = (nth > 0) & _may_match(cols, i, j, num, den)
-            pair = _unique_pairs(cols, i[ok], j[ok], _signatures_allow(cols, i[ok], j[ok], num, den))
-            if pair is not None:
-                yield pair
-            if ends.any():
-                none = pa.array(np.full(int(ends.sum()), LIST, np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(h[ends]), none, pa.array(nth[ends] + 1), none], schema=_PAIR)
-            h0, head, count = h[-1], {c: x[i[-1]] for c, x in cols.items()}, int(nth[-1]) + 1
-
-    return entries.repartition("h").sortWithinPartitions("h", "d", "l").mapInArrow(stars, _PAIR_DDL)
+            a, b = i[sel], j[sel]
+            take = (seen[b] >= skip) & (seen[b] < skip + most)
+            found.append((a[take], b[take]))
+            seen[b] += 1
+        step += 1
+        act = act[left[act] >= step]
+    i, j = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return i, j, np.flatnonzero(seen > skip + most)
+
+
+def _told(t: dict, i: np.ndarray, j: np.ndarray, more: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Pairs, and rows with l1 = MORE that name sets with further candidates."""
+    pair = _unique_pairs(t, i, j)
+    if pair is not None:
+        yield pair
+    if len(more):
+        none = np.zeros(len(more), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(none), pa.array(np.full(len(more), MORE, np.int32)), pa.array(t["d"][more]), pa.array(t["l"][more])], schema=_PAIR)
+
+
+def first_candidates(entries: DataFrame, num: int, den: int) -> DataFrame:
+    """For each entry's set one set at an earlier place with the same element that sizes, places in the order and signatures allow.
+
+    entries has (h, d, l, n, pos) and SIGNED. Rows with l1 = MORE name, in d2 and
+    l2, sets that have further candidates, or may have in lists that don't fit
+    one task; rows with l1 = LIST tell of those lists: the element and its sets
+    in this piece.
+    """
+
+    def candidates(batches):
+        for t, cut in _lists(batches, BLOCK):
+            bounds = _run_bounds(t["h"])
+            every = np.ones(len(t["h"]), bool)
+            i, j, more = _signed_candidates(t, _near(t, bounds, num, den), every, lambda i, j: np.ones(len(i), bool), 0, 1, num, den)
+            yield from _told(t, i, j, np.union1d(more, np.flatnonzero(cut)))
+            pieces = bounds[:-1][cut[bounds[:-1]]]
+            if len(pieces):
+                none = pa.array(np.full(len(pieces), LIST, np.int32))
+                sizes = np.diff(bounds)[np.searchsorted(bounds[:-1], pieces)]
+                yield pa.RecordBatch.from_arrays([pa.array(t["h"][pieces]), none, pa.array(sizes.astype(np.int64)), none], schema=_PAIR)
+
+    return entries.repartition("h").sortWithinPartitions("h", "n").mapInArrow(candidates, _PAIR_DDL)
+
+
+def further_candidates(entries: DataFrame, num: int, den: int, skip: int, most: int) -> DataFrame:
+    """Candidates of the sets with mark 0 but for the first ``skip`` in each list, ``most`` of them; rows with l1 = MORE as above.
+
+    entries has nb besides, the blocks that the element's sets are dealt into;
+    pairs of blocks meet in separate tasks.
+    """
+
+    def candidates(batches):
+        for t in _runs(batches, ["h", "b1", "b2"]):
+            left = _near(t, _run_bounds(t["h"], t["b1"], t["b2"]), num, den)
+            fits = lambda i, j: (t["blk"][i] != t["blk"][j]) | (t["b1"][i] == t["b2"][i])  # noqa: B023, E731
+            yield from _told(t, *_signed_candidates(t, left, t["mark"] == 0, fits, skip, most, num, den))
+
+    return _dealt(entries, SIGNED).mapInArrow(candidates, _PAIR_DDL)
+
+
+def _dealt(entries: DataFrame, bounds: tuple[str, ...]) -> DataFrame:
+    """entries by pairs of blocks (b1, b2) of each element, sizes ascending."""
+    dealt = entries.withColumn("blk", F.expr("cast(pmod(xxhash64(d, l), nb) as int)"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
+    dealt = dealt.withColumns({"b1": F.least("blk", "other"), "b2": F.greatest("blk", "other")})
+    dealt = dealt.select("h", "b1", "b2", "d", "l", "n", "pos", "mark", "blk", *bounds)
+    return dealt.repartition("h", "b1", "b2").sortWithinPartitions("h", "b1", "b2", "n", "d", "l")
 
 
 def signatures(values: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
@@ -254,34 +342,25 @@ def _signatures_allow(t: dict, i: np.ndarray, j: np.ndarray, num: int, den: int)
     return np.minimum(n1 - alone, n2 - other) >= least_overlap(n1, n2, num, den)
 
 
-def open_pairs(entries: DataFrame, num: int, den: int, by_mark: str) -> DataFrame:
-    """Distinct pairs within each element that the stars left open.
+def open_pairs(entries: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct pairs within each element of different marks (components still apart).
 
-    entries has ``nb``, the blocks that the element's sets are dealt into, ``mark``
-    and ``sizes`` (or SIGNED) besides, so that these bound the overlap here already.  With by_mark="differ" pairs of different marks
-    remain (components still apart), with "later" those whose later set has
-    mark 0 (no earlier match yet). Elements of more than BLOCK sets are split
-    into blocks; pairs of blocks meet in separate tasks.
+    entries has ``nb``, the blocks that the element's sets are dealt into,
+    ``mark`` and ``sizes`` besides; the sizes in column blocks bound the overlap
+    here already. Pairs of blocks meet in separate tasks.
     """
 
     def pairs(batches):
         for t in _runs(batches, ["h", "b1", "b2"]):
-            bounds = _run_bounds(t["h"], t["b1"], t["b2"])
-            run, n = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), t["n"].astype(np.int64)
-            wide = int(n.max()) * den // num + 1
-            # sizes ascend in a list, so those near enough stand next to one another
-            left = np.searchsorted(run * wide + n, run * wide + np.minimum(n * den // num, wide - 1), "right") - np.arange(len(n)) - 1
+            n = t["n"].astype(np.int64)
+            left = _near(t, _run_bounds(t["h"], t["b1"], t["b2"]), num, den)
             act, step, found = np.flatnonzero(left >= 1), 1, []
             while len(act):
                 other = act + step
-                ok = _may_match(t, act, other, num, den)
+                ok = _may_match(t, act, other, num, den) & (t["mark"][act] != t["mark"][other])
                 ok &= (t["blk"][act] != t["blk"][other]) | (t["b1"][act] == t["b2"][act])
-                i, j = act[ok], other[ok]
-                turned = (t["d"][i] > t["d"][j]) | ((t["d"][i] == t["d"][j]) & (t["l"][i] > t["l"][j]))
-                i, j = np.where(turned, j, i), np.where(turned, i, j)
-                ok = (t["mark"][i] != t["mark"][j]) if by_mark == "differ" else (t["mark"][j] == 0)
-                i, j = i[ok], j[ok]
-                ok = _signatures_allow(t, i, j, num, den) if by_mark == "later" else _block_bound(t["sizes"][i], t["sizes"][j]) >= least_overlap(n[i], n[j], num, den)
+                i, j = _by_place(t, act[ok], other[ok])
+                ok = _block_bound(t["sizes"][i], t["sizes"][j]) >= least_overlap(n[i], n[j], num, den)
                 found.append((i[ok], j[ok]))
                 step += 1
                 act = act[left[act] >= step]
@@ -291,11 +370,7 @@ def open_pairs(entries: DataFrame, num: int, den: int, by_mark: str) -> DataFram
             if found and (out := _unique_pairs(t, *map(np.concatenate, zip(*found, strict=True)))):
                 yield out
 
-    dealt = entries.withColumn("blk", F.expr("cast(pmod(xxhash64(d, l), nb) as int)"))
-    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
-    dealt = dealt.withColumns({"b1": F.least("blk", "other"), "b2": F.greatest("blk", "other")})
-    dealt = dealt.select("h", "b1", "b2", "d", "l", "n", "pos", "mark", "blk", *(SIGNED if by_mark == "later" else ["sizes"]))
-    return dealt.repartition("h", "b1", "b2").sortWithinPartitions("h", "b1", "b2", "n").mapInArrow(pairs, _PAIR_DDL).distinct()
+    return _dealt(entries, ("sizes",)).mapInArrow(pairs, _PAIR_DDL).distinct()
 
 
 def slot(d: np.ndarray, l: np.ndarray) -> np.ndarray:
@@ -451,34 +526,72 @@ def _left_open(entries: DataFrame, known: DataFrame, sets: DataFrame, num: int,
     lists = lists.filter("low <> high").select("h", "nb")
     some = marked.hint("shuffle_merge").join(lists.hint("shuffle_merge"), "h").hint("shuffle_merge").join(sets.select("d", "l", "sizes").hint("shuffle_merge"), ["d", "l"])
     star = work.read("star")
-    left = open_pairs(some, num, den, "differ")
+    left = open_pairs(some, num, den)
     out = work.written(left.hint("shuffle_merge").join(star.hint("shuffle_merge"), ["d1", "l1", "d2", "l2"], "left_anti"), "open")
     work.drop("marked")
     return out
 
 
-def later_matches(sets: DataFrame, load, num: int, den: int, work: Workspace, table: str) -> DataFrame:
-    """(d, l) of every set with a similar set before it in (d, l) order. Sets have SIGNED in place of sizes; their table is freed once read."""
+def later_matches(sets: DataFrame, load, num: int, den: int, work: Workspace) -> DataFrame:
+    """(d, l) of every set with a similar set before it in (d, l) order. Sets have SIGNED in place of sizes.
+
+    First every set meets one candidate of each list; only the lists of sets that
+    found no match so, and have further candidates, are gone through again.
+    """
     columns = ["d", "l", "n", *SIGNED]
-    entries = lambda of, part, *more: of.select(*columns, *more, F.posexplode("prefix").alias("pos", "h")).filter(F.pmod("h", F.lit(PARTS)) == part)
-    told = [work.written(signed_stars(entries(sets, part), num, den), f"told-{part}") for part in range(PARTS)]
-    told = reduce(DataFrame.union, told)
-    star = work.written(told.filter(F.col("l1") != LIST).distinct(), "star")
-    first = verified(star, None, load, num, den, work, "first")
-    found = work.written(first.select(F.col("d2").alias("d"), F.col("l2").alias("l")).distinct(), "found")
-    known = sets.hint("shuffle_merge").join(found.withColumn("some", F.lit(1)).hint("shuffle_merge"), ["d", "l"], "left").withColumn("mark", F.coalesce("some", F.lit(0)).cast("long"))
-    known = work.written(known.drop("some"), "known")
-    work.drop(table)
-    long = work.written(told.filter(F.col("l1") == LIST).groupBy(F.col("d1").alias("h")).agg((F.max("d2") / BLOCK + 1).cast("int").alias("nb")), "long")
-    n, open_ = long.count(), []
-    for part in range(PARTS):
-        again = entries(known, part, "mark")
+    entries = lambda part: sets.select(*columns, F.posexplode("prefix").alias("pos", "h")).filter(F.pmod("h", F.lit(PARTS)) == part)
+    told = reduce(DataFrame.union, [work.written(first_candidates(entries(part), num, den), f"told-{part}") for part in range(PARTS)])
+    tried = work.written(told.filter("l1 >= 0").distinct(), "tried-0")
+    first = verified(tried, None, load, num, den, work, "first")
+    found = work.written(first.select(F.col("d2").alias("d"), F.col("l2").alias("l")).distinct(), "found-0")
+    long = work.written(told.filter(F.col("l1") == LIST).groupBy(F.col("d1").alias("h")).agg(F.ceil(F.sum("d2") / BLOCK).cast("int").alias("nb")), "long")
+    n = long.count()
+    for turn, (skip, most) in enumerate(((0, 2), (2, 1 << 40)), 1):  # few first, as most sets with candidates have a match among them
+        named = told.filter(F.col("l1") == MORE).select(F.col("d2").alias("d"), F.col("l2").alias("l")).distinct()
+        open_ = work.written(named.hint("shuffle_merge").join(found.hint("shuffle_merge"), ["d", "l"], "left_anti"), f"open-{turn}")
+        if open_.isEmpty():
+            break
+        again = _entries_beside(sets, open_)
         if n:
             again = again.hint("shuffle_merge").join(long.hint("broadcast" if n <= LONG_LISTS else "shuffle_merge"), "h", "left")
         again = again.withColumn("nb", F.coalesce("nb", F.lit(1)) if n else F.lit(1))
-        open_.append(work.written(open_pairs(again, num, den, "later"), f"open-{part}"))
-    left = reduce(DataFrame.union, open_).distinct().hint("shuffle_merge").join(star.hint("shuffle_merge"), ["d1", "l1", "d2", "l2"], "left_anti")
-    more = verified(work.written(left, "open"), None, load, num, den, work, "more")
-    work.drop("known", *(f"{name}-{part}" for part in range(PARTS) for name in ("told", "open")))
-    work.drop("star", "open", "long")
-    return found.union(more.select(F.col("d2").alias("d"), F.col("l2").alias("l"))).distinct()
+        told = work.written(further_candidates(again, num, den, skip, most), f"further-{turn}")
+        fresh = told.filter("l1 >= 0").distinct().hint("shuffle_merge").join(tried.hint("shuffle_merge"), ["d1", "l1", "d2", "l2"], "left_anti")
+        fresh = work.written(fresh, f"tried-{turn}")
+        more = verified(fresh, None, load, num, den, work, f"more-{turn}")
+        tried = tried.union(fresh)
+        found = found.union(work.written(more.select(F.col("d2").alias("d"), F.col("l2").alias("l")).distinct(), f"found-{turn}"))
+    return found.distinct()
+
+
+def _entries_beside(sets: DataFrame, open_: DataFrame) -> DataFrame:
+    """Entries of the elements that the open sets (d, l) have, with mark 0 for those sets, else 1.
+
+    By two bitmaps of fixed size, of the sets and of their elements; a false hit
+    only costs time.
+    """
+    zero = [F.col("d").alias("d1"), F.col("l").alias("l1"), F.col("d").alias("d2"), F.col("l").alias("l2")]
+    of_sets = wanted(open_.select(*zero))
+
+    def elements(batches):
+        for b in batches:
+            hit = is_wanted(of_sets, b.column("d").to_numpy(), b.column("l").to_numpy())
+            h = b.column("prefix").filter(pa.array(hit)).flatten().to_numpy()
+            none = np.zeros(len(h), np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(none), pa.array(h), pa.array(none)], schema=_PAIR)
+
+    of_elements = wanted(sets.select("d", "l", "prefix").mapInArrow(elements, _PAIR_DDL))
+    columns = ["d", "l", "n", *SIGNED]
+
+    def beside(batches):
+        for b in batches:
+            size = b.column("prefix").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            h = b.column("prefix").flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(size)), size)
+            pos = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
+            at = is_wanted(of_elements, h, np.zeros(len(h), np.int32))
+            mark = 1 - is_wanted(of_sets, b.column("d").to_numpy(), b.column("l").to_numpy()).astype(np.int64)
+            row = row[at]
+            yield pa.RecordBatch.from_arrays([pa.array(h[at]), *(b.column(c).take(pa.array(row)) for c in columns), pa.array(pos[at].astype(np.int32)), pa.array(mark[row])], ["h", *columns, "pos", "mark"])
+
+    return sets.select(*columns, "prefix").mapInArrow(beside, "h long, d long, l int, n int, s0 long, s1 long, s2 long, s3 long, pos int, mark long")
