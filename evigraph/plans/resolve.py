@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -10,9 +11,16 @@ from pyspark.sql import functions as F
 
 from ..constants import DATASET_CAP, ORTHOLOG_CAP
 from ..functions import ids as I
-from ..operators import identity, merge
+from ..operators import identity, merge, stages
 
-EDGE = ("graph_id", "subject", "predicate", "object", "confidence", "jev_question_id", "stage", "pos")
+EDGE = ("graph_id", "subject", "predicate", "object", "confidence", "jev_question_id", "evidence")
+
+
+# The type of a node by the prefix of its id.
+NODE_KINDS = {
+    "idtype": "IdType", "ncbigene": "Gene", "gene": "Gene", "uniprot": "Gene", "veupathdb": "Gene", "alias": "Gene", "taxon": "Organism", "assembly": "Assembly", "nuccore": "Transcript", "protein": "Protein",
+    "go": "GOTerm", "kegg": "Pathway", "domain": "Domain", "orthogroup": "OrthologGroup", "dataset": "Dataset", "condition": "Condition", "pmid": "Publication", "claim": "Claim",
+}
 
 
 @dataclass(frozen=True)
@@ -24,10 +32,12 @@ class Config:
     least_confidence: float = 0.0
 
 
-def _edge(rows: DataFrame, subject: Column, predicate: str, obj: Column, stage: int, confidence: Column | float = 1.0, question: str = "") -> DataFrame:
+def _edge(rows: DataFrame, subject: Column, predicate: str, obj: Column, source: str, confidence: Column | float = 1.0, question: str = "") -> DataFrame:
+    """Raw claims with one evidence each; rows without a subject or object give none."""
     c = F.lit(confidence) if isinstance(confidence, float) else confidence
-    out = rows.select("graph_id", subject.alias("subject"), F.lit(predicate).alias("predicate"), obj.alias("object"), c.cast("double").alias("confidence"), F.lit(question).alias("jev_question_id"), F.lit(stage).alias("stage"))
-    return out.filter("subject is not null and object is not null").withColumn("pos", F.xxhash64("subject", "object"))
+    told = stages.evidence(source, predicate, F.concat_ws(" ", subject, F.lit(predicate), obj), subject=subject, object=obj)
+    out = rows.select("graph_id", subject.alias("subject"), F.lit(predicate).alias("predicate"), obj.alias("object"), c.cast("double").alias("confidence"), F.lit(question).alias("jev_question_id"), told.alias("evidence"))
+    return out.filter("subject is not null and object is not null")
 
 
 def classify(queries: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -35,7 +45,7 @@ def classify(queries: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFra
     hinted = queries.withColumn("hints", I.namespace_hints(F.col("query"))).join(answers.select("graph_id", F.col("namespace").alias("answer")), "graph_id", "left")
     known = hinted.withColumn("namespace", I.namespace_choice(F.col("hints"), F.col("answer"))).drop("answer")
     confidence = F.when(F.size("hints") <= 1, 1.0).otherwise(0.5)
-    return known, _edge(known, F.col("query"), "is_a", I.node_id("idtype", F.col("namespace")), 0, confidence, "id_type")
+    return known, _edge(known, F.col("query"), "is_a", I.node_id("idtype", F.col("namespace")), "classifier", confidence, "id_type")
 
 
 def match(queries: DataFrame, genes: DataFrame, answers: DataFrame) -> DataFrame:
@@ -45,68 +55,90 @@ def match(queries: DataFrame, genes: DataFrame, answers: DataFrame) -> DataFrame
     and aliases. Candidates meet queries by an equi-join on any id.
     """
     keyed = genes.withColumn("key", F.explode(F.array_distinct(F.transform(F.array_compact(F.concat(F.array("gene_id", "symbol", "locus_tag"), "aliases")), F.lower))))
-    found = queries.select("graph_id", F.lower(F.trim("query")).alias("key")).join(keyed.select("key", "gene_id"), "key").distinct()
+    found = stages.merge_join(queries.select("graph_id", F.lower(F.trim("query")).alias("key")), keyed.select("key", "gene_id"), "key").distinct()
     pool = found.select("graph_id", F.col("gene_id").alias("pos"), F.col("gene_id").alias("record_id"), F.lit(True).alias("exact"))
     picked = identity.pick_candidate(pool, answers.select("graph_id", "noul", "choice"))
     out = queries.join(picked.select("graph_id", "outcome", "record_id", "confidence"), "graph_id", "left").withColumn("outcome", F.coalesce("outcome", F.lit("refused")))
     return out.join(genes.withColumnRenamed("gene_id", "record_id"), "record_id", "left")
 
 
-def resolve(queries: DataFrame, sources: dict[str, DataFrame], answers: DataFrame, config: Config = Config()) -> tuple[DataFrame, DataFrame, DataFrame]:
+def resolve(queries: DataFrame, sources: dict[str, DataFrame], answers: DataFrame, config: Config = Config(), work: Callable[[DataFrame, str], DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, meta) of graphs (graph_id, query, depth).
 
-    sources: genes; products (gene_id, transcript, protein); assemblies
-    (accession, tax_id); orthologs (gene_id, ortholog, ortholog_tax, score, pos);
-    proteins (gene_id, accession, go_id, pathway); datasets (gene_id, accession,
-    score, other_species); annotated (gene_id, accession). A stage runs for the
-    graphs that are matched and deep enough; claims of all stages merge once.
+    sources: genes; products (gene_id, transcript, protein); citations (gene_id,
+    pmid); bridges (locus_tag, record, aliases, pmids); assemblies (accession,
+    tax_id); orthologs (gene_id, ortholog, ortholog_tax, score, pos); groups
+    (gene_id, grp) with members (grp, member, species, core, pos); proteins
+    (gene_id, accession, go_id, pathway); entries (gene_id, go, kegg, domains)
+    with pathways (kegg, pathway, name); datasets (gene_id, accession, score,
+    other_species); annotated (gene_id, accession); seen (gene_id, accession).
+    A stage runs for the graphs that are matched and deep enough; claims of all
+    stages merge once, the first of the most confident of a triple wins, and the
+    edges carry the distinct evidence of all. ``work`` may write and reread the
+    matches, as every stage starts from them: (df, name) -> df.
     """
     known, edges0 = classify(queries, answers)
     matched = match(known, sources["genes"], answers)
+    if work is not None:
+        matched = work(matched, "matched")
     hit = matched.filter("outcome = 'resolved'")
     deep = lambda k: hit.filter(F.col("depth") >= k)
     gene = I.node_id("ncbigene", F.col("record_id"))
     asserted = F.coalesce(F.col("confidence"), F.lit(0.0))
     one = deep(1)
-    by_gene = lambda rows, name: rows.join(sources[name].withColumnRenamed("gene_id", "record_id"), "record_id")
-    products = by_gene(one, "products") if "products" in sources else None
+    by_gene = lambda rows, name: stages.merge_join(rows, sources[name].withColumnRenamed("gene_id", "record_id"), "record_id")
     parts = [
         edges0,
-        _edge(one, F.col("query"), "same_as", gene, 1, asserted, "gene_match"),
-        _edge(one.withColumn("alias", F.explode("aliases")).filter("alias <> '' and lower(alias) <> lower(query)"), gene, "has_alias", I.node_id("alias", F.col("alias")), 1),
-        _edge(one, gene, "in_organism", I.node_id("taxon", F.col("tax_id")), 1, 1.0, "gene_match"),
-        _edge(one, gene, "in_assembly", I.node_id("assembly", F.col("assembly_accession")), 1, 1.0, "gene_match"),
+        _edge(one, F.col("query"), "same_as", gene, "genes", asserted, "gene_match"),
+        _edge(one.withColumn("alias", F.explode("aliases")).filter("alias <> '' and lower(alias) <> lower(query)"), gene, "has_alias", I.node_id("alias", F.col("alias")), "genes"),
+        _edge(one, gene, "in_organism", I.node_id("taxon", F.col("tax_id")), "genes", 1.0, "gene_match"),
+        _edge(one, gene, "in_assembly", I.node_id("assembly", F.col("assembly_accession")), "genes", 1.0, "gene_match"),
     ]
-    if products is not None:
-        parts += [_edge(products, gene, "has_transcript", I.node_id("nuccore", F.col("transcript")), 1), _edge(products, gene, "has_protein", I.node_id("protein", F.col("protein")), 1)]
+    if "products" in sources:
+        products = by_gene(one, "products")
+        parts += [_edge(products, gene, "has_transcript", I.node_id("nuccore", F.col("transcript")), "products"), _edge(products, gene, "has_protein", I.node_id("protein", F.col("protein")), "products")]
+    if "citations" in sources:
+        parts.append(_edge(by_gene(one, "citations"), gene, "cited_in", I.node_id("pmid", F.col("pmid")), "citations"))
+    if "bridges" in sources:
+        met = stages.merge_join(one.select("graph_id", "locus_tag", "record_id"), sources["bridges"], "locus_tag")
+        parts.append(_edge(met, gene, "same_as", I.node_id("veupathdb", F.col("record")), "bridges"))
+        rows = stages.bridge(one.select("graph_id", "locus_tag", "record_id").withColumn("anchor", gene), sources["bridges"], "locus_tag", ["graph_id", "anchor"], F.col("locus_tag"), "pmids")
+        parts += [_edge(rows.filter("predicate = 'has_alias'"), F.col("anchor"), "has_alias", I.node_id("alias", F.col("object")), "bridges"), _edge(rows.filter("predicate = 'cited_in'"), F.col("anchor"), "cited_in", F.col("object"), "bridges")]
     if "assemblies" in sources:
-        related = deep(2).join(sources["assemblies"].select(F.col("accession").alias("other"), "tax_id"), "tax_id").filter("other <> coalesce(assembly_accession, '')")
+        related = stages.related(deep(2), sources["assemblies"].select(F.col("accession").alias("other"), "tax_id"), "tax_id", "assembly_accession", "other")
         start = F.coalesce(I.node_id("assembly", F.col("assembly_accession")), gene)
         newer = (I.accession_number(F.col("other")) == I.accession_number(F.col("assembly_accession"))) & (I.accession_version(F.col("other")) > I.accession_version(F.col("assembly_accession")))
-        parts += [_edge(related, start, "related_assembly", I.node_id("assembly", F.col("other")), 2), _edge(related.filter(newer), start, "superseded_by", I.node_id("assembly", F.col("other")), 2)]
+        parts += [_edge(related, start, "related_assembly", I.node_id("assembly", F.col("other")), "assemblies"), _edge(related.filter(newer), start, "superseded_by", I.node_id("assembly", F.col("other")), "assemblies")]
     if "orthologs" in sources:
         found = identity.capped(by_gene(deep(3), "orthologs"), ["graph_id"], F.col("score"), ["pos", "ortholog"], config.ortholog_cap)
-        parts.append(_edge(found, gene, "ortholog_of", I.node_id("gene", F.col("ortholog")), 3))
+        parts.append(_edge(found, gene, "ortholog_of", I.node_id("gene", F.col("ortholog")), "orthologs"))
+    if "groups" in sources:
+        member_of = by_gene(deep(3), "groups").select("graph_id", gene.alias("gene"), "grp")
+        made = stages.group_claims(member_of, sources["members"], hit.select("graph_id", F.col("organism").alias("species")), config.ortholog_cap)
+        parts += [_edge(made.filter(F.col("predicate") == p), F.col("subject"), p, F.col("object"), "groups") for p in ("in_orthogroup", "has_member")]
     if "proteins" in sources:
         entries = by_gene(deep(4), "proteins")
-        parts += [_edge(entries, gene, "same_as", I.node_id("uniprot", F.col("accession")), 4), _edge(entries, gene, "has_go_term", I.node_id("go", F.col("go_id")), 4), _edge(entries, gene, "in_pathway", I.node_id("kegg", F.col("pathway")), 4)]
+        parts += [_edge(entries, gene, "same_as", I.node_id("uniprot", F.col("accession")), "proteins"), _edge(entries, gene, "has_go_term", I.node_id("go", F.col("go_id")), "proteins"), _edge(entries, gene, "in_pathway", I.node_id("kegg", F.col("pathway")), "proteins")]
+    if "entries" in sources:
+        made = stages.annotation_claims(by_gene(deep(4), "entries").withColumn("gene", gene), sources["pathways"])
+        parts += [_edge(made.filter(F.col("predicate") == p), F.col("subject"), p, F.col("object"), "entries") for p in ("has_go_term", "in_pathway", "same_as", "has_domain")]
     if "datasets" in sources:
         wide = identity.capped_if_many(by_gene(deep(5), "datasets"), ["graph_id"], [F.col("other_species"), F.desc(F.coalesce("score", F.lit(0.0))), F.col("accession")], config.dataset_cap)
-        parts.append(_edge(wide.filter("accession is not null"), gene, "measured_in", I.node_id("dataset", F.col("accession")), 5, F.coalesce("score", F.lit(0.0)), "relevant"))
+        parts.append(_edge(wide.filter("accession is not null"), gene, "measured_in", I.node_id("dataset", F.col("accession")), "datasets", F.coalesce("score", F.lit(0.0)), "relevant"))
     if "annotated" in sources:
-        parts.append(_edge(by_gene(deep(6), "annotated"), gene, "annotated_in", I.node_id("assembly", F.col("accession")), 6))
-    raw = reduce(DataFrame.unionByName, parts).withColumn("seq", F.struct("stage", "pos"))
-    edges = _merged(raw).filter(F.col("confidence") >= config.least_confidence)
+        annotated = by_gene(deep(6), "annotated")
+        parts.append(_edge(annotated, gene, "annotated_in", I.node_id("assembly", F.col("accession")), "annotated"))
+        if "seen" in sources and "assemblies" in sources:
+            places = stages.merge_join(deep(6).select(gene.alias("gene"), "tax_id"), sources["assemblies"].select("accession", "tax_id"), "tax_id").select("gene", "accession").distinct()
+            there = identity.presence(places, annotated.select(gene.alias("gene"), "accession").distinct(), sources["seen"].select(I.node_id("ncbigene", F.col("gene_id")).alias("gene"), F.col("accession").alias("seen_accession")))
+            graphs = stages.merge_join(deep(6).select("graph_id", gene.alias("gene")), there, "gene")
+            parts.append(_edge(graphs, F.col("gene"), "ortholog_present", I.node_id("assembly", F.col("accession")), "seen"))
+    raw = reduce(DataFrame.unionByName, (part.withColumn("seq", F.lit(n).cast("bigint")) for n, part in enumerate(parts)))
+    told = raw.groupBy(*merge.TRIPLE).agg(F.transform(F.array_sort(F.collect_set(F.struct("seq", "evidence"))), lambda x: x["evidence"]).alias("evidence"))
+    edges = stages.merge_join(merge.merge_claims(raw.drop("evidence")), told, list(merge.TRIPLE)).filter(F.col("confidence") >= config.least_confidence)
     ends = merge.endpoints(edges).union(queries.select("graph_id", F.col("query").alias("id"))).distinct()
     prefix = F.when(F.col("id").contains(":"), F.substring_index("id", ":", 1)).otherwise("")
-    kinds = {"idtype": "IdType", "ncbigene": "Gene", "gene": "Gene", "uniprot": "Gene", "alias": "Gene", "taxon": "Organism", "assembly": "Assembly", "nuccore": "Transcript", "protein": "Protein", "go": "GOTerm", "kegg": "Pathway", "dataset": "Dataset"}
-    kind = F.create_map(*(F.lit(x) for pair in kinds.items() for x in pair))
+    kind = F.create_map(*(F.lit(x) for pair in NODE_KINDS.items() for x in pair))
     nodes = ends.select("graph_id", "id", F.coalesce(F.try_element_at(kind, prefix), F.lit("Gene")).alias("type"), I.local_id(F.col("id")).alias("label"))
     meta = matched.select("graph_id", "query", "namespace", "depth", "outcome")
     return nodes, edges, meta
-
-
-def _merged(raw: DataFrame) -> DataFrame:
-    """Claims of all stages: the first of the most confident wins."""
-    best = F.max_by(F.struct("confidence", "jev_question_id"), F.struct(F.col("confidence"), -F.col("stage"), -F.col("pos").cast("decimal(38,0)")))
-    return raw.groupBy(*merge.TRIPLE).agg(best.alias("x"), F.count("*").alias("n_raw")).select(*merge.TRIPLE, "x.confidence", "x.jev_question_id", "n_raw")

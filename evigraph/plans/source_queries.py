@@ -257,7 +257,16 @@ def latest_runs(spark, sf_dir):
     return snapshots.latest(table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("name"), F.concat("o_orderpriority", "o_orderkey").alias("file")))
 
 
-@query(None)
+@query("""WITH c AS (SELECT c_custkey AS k, 'r' || c_custkey AS graph_id, c_custkey % 7 AS depth, 'ncbigene:' || c_custkey AS gene, CASE c_custkey % 3 WHEN 0 THEN CAST(c_custkey AS VARCHAR) WHEN 1 THEN 'SYM' || c_custkey ELSE c_name END AS query, c_name, c_nationkey, 'GCF_' || c_custkey % 97 || '.1' AS own, c_custkey % 97 AS num FROM customer),
+ a AS (SELECT DISTINCT 'GCF_' || s_suppkey % 97 || '.' || s_suppkey % 4 AS other, s_nationkey, s_suppkey % 97 AS num, s_suppkey % 4 AS ver FROM supplier), rel AS (SELECT c.*, a.other, a.ver, a.num AS num_1 FROM c JOIN a ON s_nationkey = c_nationkey AND other <> own WHERE depth >= 2),
+ o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice / 1e6 DESC, o_orderkey, CAST(o_orderkey AS VARCHAR)) AS n FROM orders),
+ raw AS (SELECT graph_id, query AS subject, 'is_a' AS predicate, 'idtype:' || (['ncbi_gene', 'gene_symbol', 'locus_tag'])[k % 3 + 1] AS object, 1.0::DOUBLE AS confidence, 'id_type' AS q FROM c
+ UNION ALL SELECT graph_id, query, 'same_as', gene, 1.0, 'gene_match' FROM c WHERE depth >= 1 UNION ALL SELECT graph_id, gene, 'has_alias', 'alias:' || c_name, 1.0, '' FROM c WHERE depth >= 1 AND lower(c_name) <> lower(query)
+ UNION ALL SELECT graph_id, gene, 'in_organism', 'taxon:' || c_nationkey, 1.0, 'gene_match' FROM c WHERE depth >= 1 UNION ALL SELECT graph_id, gene, 'in_assembly', 'assembly:' || own, 1.0, 'gene_match' FROM c WHERE depth >= 1
+ UNION ALL SELECT graph_id, 'assembly:' || own, 'related_assembly', 'assembly:' || other, 1.0, '' FROM rel UNION ALL SELECT graph_id, 'assembly:' || own, 'superseded_by', 'assembly:' || other, 1.0, '' FROM rel WHERE rel.num = rel.num_1 AND ver > 1
+ UNION ALL SELECT graph_id, gene, 'ortholog_of', 'gene:' || o_orderkey, 1.0, '' FROM c JOIN o ON o_custkey = k WHERE depth >= 3 AND n <= 100 UNION ALL SELECT graph_id, gene, 'measured_in', 'dataset:GSE' || o_orderkey, o_totalprice / 1e6, 'relevant' FROM c JOIN o ON o_custkey = k WHERE depth >= 5
+ UNION ALL SELECT graph_id, gene, 'annotated_in', 'assembly:' || own, 1.0, '' FROM c WHERE depth >= 6)
+ SELECT graph_id, subject, predicate, object, max(confidence) AS confidence, max(q) AS jev_question_id, count(*) AS n_raw FROM raw GROUP BY 1, 2, 3, 4""")
 def resolve_all(spark, sf_dir):
     from .resolve import resolve
 
@@ -276,4 +285,4 @@ def resolve_all(spark, sf_dir):
         "annotated": genes.select("gene_id", F.col("assembly_accession").alias("accession")),
     }
     _, edges, _ = resolve(queries, sources, answers)
-    return edges
+    return edges.drop("evidence")
