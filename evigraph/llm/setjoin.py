@@ -31,7 +31,9 @@ BLOCK = 2_000
 STAR, TOKENS, COLUMN_BLOCKS = 512, 500_000, 8
 #: Bits of the bitmap that names sets to load for verification: fixed, 2 MB. A false hit only costs time.
 SLOTS = 1 << 24
-#: Elements with more than BLOCK sets that are told to every task, at most; more are joined by a shuffle.
+#: Rows of a list that meet in one task when each set takes its first candidate; longer lists are cut there, and their sets may go on.
+LIST_ROWS = 10_000
+#: Elements with more than LIST_ROWS sets that are told to every task, at most; more are joined by a shuffle.
 LONG_LISTS = 20_000
 #: Parts of the elements whose lists are made one after the other, so that only one part of them is on disk at a time.
 PARTS = 2
@@ -279,7 +281,7 @@ def first_candidates(entries: DataFrame, num: int, den: int) -> DataFrame:
     """
 
     def candidates(batches):
-        for t, cut in _lists(batches, BLOCK):
+        for t, cut in _lists(batches, LIST_ROWS):
             bounds = _run_bounds(t["h"])
             every = np.ones(len(t["h"]), bool)
             i, j, more = _signed_candidates(t, _near(t, bounds, num, den), every, lambda i, j: np.ones(len(i), bool), 0, 1, num, den)
@@ -546,7 +548,7 @@ def later_matches(sets: DataFrame, load, num: int, den: int, work: Workspace) ->
     found = work.written(first.select(F.col("d2").alias("d"), F.col("l2").alias("l")).distinct(), "found-0")
     long = work.written(told.filter(F.col("l1") == LIST).groupBy(F.col("d1").alias("h")).agg(F.ceil(F.sum("d2") / BLOCK).cast("int").alias("nb")), "long")
     n = long.count()
-    for turn, (skip, most) in enumerate(((0, 2), (2, 1 << 40)), 1):  # few first, as most sets with candidates have a match among them
+    for turn, (skip, most) in enumerate(((0, 2), (2, 6), (8, 24), (32, 1 << 40)), 1):  # few first, as most sets with candidates have a match among them
         named = told.filter(F.col("l1") == MORE).select(F.col("d2").alias("d"), F.col("l2").alias("l")).distinct()
         open_ = work.written(named.hint("shuffle_merge").join(found.hint("shuffle_merge"), ["d", "l"], "left_anti"), f"open-{turn}")
         if open_.isEmpty():

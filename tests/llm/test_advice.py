@@ -213,6 +213,7 @@ def test_similar_lines_by_brute_force_over_few_words(spark, monkeypatch):
         if any(len(s & t) * 100 >= 80 * len(s | t) for _, _, t in sets[:k]):
             want.setdefault(d, []).append(l)
     monkeypatch.setattr(setjoin, "BLOCK", 7)
+    monkeypatch.setattr(setjoin, "LIST_ROWS", 7)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "11")
     try:
         for told in (20_000, 0):
