@@ -175,3 +175,10 @@ def matching_rows(rows: DataFrame, needle: str, columns: list[str], order: list[
 def nodes_of(edges: DataFrame, type_of: Column, label_of: Column) -> DataFrame:
     """Nodes at the ends of edges, type and label from their id."""
     return endpoints(edges).withColumns({"type": type_of, "label": label_of})
+
+
+def node_projection(nodes: DataFrame) -> DataFrame:
+    """(graph_id, id, node) as a question sees nodes: type, label, and the organism only where it is known."""
+    organism = F.try_element_at("attrs", F.lit("organism"))
+    whole = F.to_json(F.struct(F.nullif(organism, F.lit("")).alias("organism"), F.col("type").alias("type"), F.coalesce(F.nullif("label", F.lit("")), "id").alias("label")))
+    return nodes.select("graph_id", "id", whole.alias("node"))

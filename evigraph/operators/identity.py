@@ -16,11 +16,11 @@ def exact_matches(queries: DataFrame, records: DataFrame) -> DataFrame:
     return asked.hint("shuffle_merge").join(each.hint("shuffle_merge"), "key").select("graph_id", "record_id").distinct()
 
 
-def pick_candidate(candidates: DataFrame, answers: DataFrame) -> DataFrame:
+def pick_candidate(candidates: DataFrame, answers: DataFrame, least: float = LONE_HIT_LEAST) -> DataFrame:
     """One decision per graph from candidates (graph_id, pos, record_id, exact) and answers (graph_id, noul, choice).
 
     One exact candidate is taken as asserted. Else the pool is the exact ones,
-    or all; a lone one needs noul >= 0.5, among many the judge's choice is an
+    or all; a lone one needs noul >= ``least``, among many the judge's choice is an
     index into the pool and anything else refuses.
     """
     w = Window.partitionBy("graph_id")
@@ -28,7 +28,7 @@ def pick_candidate(candidates: DataFrame, answers: DataFrame) -> DataFrame:
     pool = counted.filter((F.col("n_exact") == 0) | F.col("exact"))
     pool = pool.withColumns({"k": F.row_number().over(w.orderBy("pos")) - 1, "size": F.count("*").over(w)}).join(answers, "graph_id", "left")
     asserted = F.col("n_exact") == 1
-    taken = F.when(asserted, True).when(F.col("size") == 1, F.col("noul") >= LONE_HIT_LEAST).otherwise(F.col("choice").try_cast("int") == F.col("k"))
+    taken = F.when(asserted, True).when(F.col("size") == 1, F.col("noul") >= least).otherwise(F.col("choice").try_cast("int") == F.col("k"))
     confidence = F.when(asserted, 1.0).otherwise(I.score_of(F.col("noul"), F.lit(None).cast("double")))
     got = F.when(F.coalesce(taken, F.lit(False)), F.struct("record_id", confidence.alias("confidence"), asserted.alias("asserted")))
     out = pool.groupBy("graph_id").agg(F.max(got).alias("x"), F.first("n_exact").alias("n_exact"), F.first("size").alias("pool"))
@@ -117,3 +117,19 @@ def presence(places: DataFrame, annotated: DataFrame, seen: DataFrame) -> DataFr
     by_core = open_.join(known.select("gene", "core"), ["gene", "core"]).select("gene", "accession", F.lit(1).alias("how"))
     best = by_id.union(by_core).groupBy("gene", "accession").agg(F.min("how").alias("how"))
     return best.select("gene", "accession", F.when(F.col("how") == 0, "accession").otherwise("core").alias("via"))
+
+
+def pick_protein(candidates: DataFrame, answers: DataFrame) -> DataFrame:
+    """The protein entry of each graph from candidates (graph_id, pos, record_id, id_exact, symbol_exact).
+
+    The first that agrees on an id is taken as asserted, else one that alone
+    agrees on the symbol; else the judge decides as in ``pick_candidate``.
+    """
+    w = Window.partitionBy("graph_id")
+    counted = candidates.withColumns({"_ids": F.count_if("id_exact").over(w), "_first": F.min(F.when(F.col("id_exact"), F.struct("pos", "record_id"))).over(w), "_symbols": F.count_if("symbol_exact").over(w)})
+    sure = F.when(F.col("_ids") > 0, F.col("record_id") == F.col("_first.record_id")).otherwise((F.col("_symbols") == 1) & F.col("symbol_exact"))
+    marked = counted.withColumn("_sure", F.coalesce(sure, F.lit(False)))
+    known = marked.filter("_sure").select("graph_id", F.lit("resolved").alias("outcome"), "record_id", F.lit(1.0).alias("confidence"))
+    rest = marked.filter(~((F.col("_ids") > 0) | (F.col("_symbols") == 1)))
+    judged = pick_candidate(rest.select("graph_id", "pos", "record_id", F.lit(False).alias("exact")), answers)
+    return known.unionByName(judged.select("graph_id", "outcome", "record_id", "confidence"))

@@ -246,3 +246,90 @@ def text_claim_pass(spark, sf_dir):
 def question_categories(spark, sf_dir):
     each = A.question_categories(F.col("lang"), CATEGORY_TEXTS)
     return table(spark, sf_dir, "documents").select("doc_id", F.inline(each)).select("doc_id", "category", "ask.qtype")
+
+
+@query("SELECT doc_id, (['choice', 'score', 'noul'])[doc_id % 3 + 1] AS qtype, CASE doc_id % 3 WHEN 0 THEN lang END AS choice, CASE doc_id % 3 WHEN 1 THEN 1.0::DOUBLE END AS score, CASE doc_id % 3 WHEN 2 THEN 0.5::DOUBLE END AS noul, CASE doc_id % 3 WHEN 0 THEN 0.5::DOUBLE END AS confidence FROM documents")
+def mock_judge(spark, sf_dir):
+    qtype = F.element_at(F.array(*map(F.lit, ("choice", "score", "noul"))), (_mod(F.col("doc_id"), 3) + 1).cast("int"))
+    asks = table(spark, sf_dir, "documents").select("doc_id", qtype.alias("qtype"), F.array("lang", F.lit("b"), F.lit("c")).alias("criteria"))
+    return claims.mock_answers(asks).drop("criteria")
+
+
+@query(r"""WITH c AS (SELECT c_custkey AS k, c_name AS v, c_custkey % 3 AS n, chr(39) || c_name || chr(39) AS w FROM customer), a AS (
+ SELECT k, 'rank' AS ask, 'choice' AS qtype, 'At which taxonomic rank should relatives of ' || w || ' be grouped?' AS instructions, 'species,genus' AS criteria, '{"lineage":["a"],"taxon":"' || v || '"}' AS state FROM c WHERE n = 2
+ UNION ALL SELECT k, 'protein', CASE WHEN n > 1 THEN 'choice' ELSE 'noul' END, CASE WHEN n > 1 THEN 'Which candidate record is the gene that ' || w || ' means?' ELSE 'Is the protein entry the product of ' || w || '?' END, CASE WHEN n > 1 THEN '0,1,none' ELSE '' END, '{"candidates":[' || array_to_string(list_transform(range(0, greatest(n, 1)), lambda i: '"e' || i || '"'), ',') || '],"value":"' || v || '"}' FROM c
+ UNION ALL SELECT k, 'characterization', 'score', 'How well characterized is ' || w || '?', '0,1', '{"entry":' || n || ',"gene":"' || v || '"}' FROM c UNION ALL SELECT k, 'relevant', 'noul', 'Is the dataset likely to say something about ' || w || '?', '', '{"dataset":"d","gene":"' || v || '"}' FROM c
+ UNION ALL SELECT k, 'verify', 'noul', 'Does the source text of ' || w || CASE WHEN n = 0 THEN ' state this condition, and does it say how the gene was measured?' ELSE ' support this claim, and could it be shown false?' END, '', '{"claim":"x","node":"' || v || '","quote":"q","text":"t"}' FROM c
+ UNION ALL SELECT k, 'data_claim', 'noul', 'Do the values of ' || chr(39) || 'd' || chr(39) || ' support the claim?', '', '{"claim":"x","data":"1 | 2","dataset":"d","gene":"' || v || '"}' FROM c UNION ALL SELECT k, 'summary_claim', 'noul', 'Does the graph of ' || w || ' support the sentence?', '', '{"claim":"x","gene":"' || v || '","graph":"g"}' FROM c
+ UNION ALL SELECT k, 'accuracy', 'noul', 'How accurate is the answer to ' || w || '?', '', '{"answer":"a","categories":["identity"],"graph":"g","question":"' || v || '"}' FROM c UNION ALL SELECT k, 'completeness', 'noul', 'How complete is the answer to ' || w || '?', '', '{"answer":"a","categories":["identity"],"graph":"g","question":"' || v || '"}' FROM c) SELECT * FROM a""")
+def ask_bodies_of_stages(spark, sf_dir):
+    v, n = F.col("c_name"), _mod(F.col("c_custkey"), 3)
+    ranks = F.when(n == 2, F.array(F.lit("species"), F.lit("genus"))).otherwise(F.array(F.lit("species")))
+    entries = F.when(n > 1, F.array(F.lit("e0"), F.lit("e1"))).otherwise(F.array(F.lit("e0")))
+    kind = F.when(n == 0, "condition").otherwise("claim")
+    asks = {
+        "rank": A.rank(v, ranks, F.array(F.lit("a"))),
+        "protein": A.candidates("protein_entry", v, entries, lambda r: r),
+        "characterization": A.characterization(v, n),
+        "relevant": A.relevant(v, F.lit("d")),
+        "verify": A.verify(v, kind, F.lit("x"), F.lit("q"), F.lit("t")),
+        "data_claim": A.data_claim(v, F.lit("d"), F.lit("1 | 2"), F.lit("x")),
+        "summary_claim": A.summary_claim(v, F.lit("g"), F.lit("x")),
+    }
+    each = [F.struct(F.lit(name).alias("ask"), body.alias("body")) for name, body in asks.items()]
+    scores = A.answer_scores(v, F.lit("a"), F.lit("g"), F.array(F.lit("identity")))
+    each += [F.struct(scores[i]["score"].alias("ask"), scores[i]["ask"].alias("body")) for i in range(2)]
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.inline(F.array(*each))).filter(F.col("body").isNotNull())
+    return rows.select("k", "ask", "body.qtype", "body.instructions", F.array_join(F.transform("body.criteria", lambda x: x["key"]), ",").alias("criteria"), "body.state")
+
+
+_JSON = "Answer in JSON only."
+
+
+@query(f"""WITH c AS (SELECT c_custkey AS k, c_name AS v, c_mktsegment AS m FROM customer) SELECT k, 'text' AS prompt, 'You extract conditions and claims about a gene from numbered sentences. {_JSON}' AS system, 'Node: ' || v || chr(10) || 'Sentences:' || chr(10) || '[0] s' || chr(10) || 'Return {{"proposals": [{{"claim", "type", "citations"}}]}}, citing sentence numbers.' AS "user" FROM c
+ UNION ALL SELECT k, 'normalize', 'You make the wording of condition labels agree. {_JSON}', 'Labels: ["' || m || '"]' || chr(10) || 'Return {{"normalized": [...]}}, one for each label, in order.' FROM c UNION ALL SELECT k, 'data', 'You propose claims that measured values support. {_JSON}', 'Gene: ' || v || chr(10) || 'Dataset: d' || chr(10) || 'Summary: ' || CASE WHEN k % 2 = 0 THEN m ELSE 'n/a' END || chr(10) || 'Rows:' || chr(10) || 'r' FROM c
+ UNION ALL SELECT k, 'summary', 'You sum up a gene' || chr(39) || 's graph in claims that cite its lines. {_JSON}', 'Gene: ' || CASE WHEN k % 2 = 0 THEN v ELSE 'this gene' END || ' (unknown organism)' || chr(10) || 'Lines:' || chr(10) || 'g' FROM c UNION ALL SELECT k, 'answer', 'You answer from an excerpt of a graph, so that what is missing may exist only and cite its nodes. {_JSON}', 'Graph: g' || chr(10) || 'Question: ' || v || chr(10) || 'Return {{"answer", "cited_nodes"}}.' FROM c""")
+def prompts(spark, sf_dir):
+    k, v, m = F.col("c_custkey"), F.col("c_name"), F.col("c_mktsegment")
+    some = lambda c: F.when(_mod(k, 2) == 0, c)
+    made = {"text": A.text_prompt(v, F.lit("[0] s")), "normalize": A.normalize_prompt(F.array(m)), "data": A.data_prompt(v, F.lit("d"), some(m), F.lit("r")), "summary": A.summary_prompt(some(v), F.lit(None).cast("string"), F.lit("g")), "answer": A.answer_prompt(v, F.lit("g"), True)}
+    each = F.array(*(F.struct(F.lit(name).alias("prompt"), p.alias("p")) for name, p in made.items()))
+    return table(spark, sf_dir, "customer").select(k.alias("k"), F.inline(each)).select("k", "prompt", "p.system", "p.user")
+
+
+@query("""SELECT c_custkey AS k, CASE c_custkey % 3 WHEN 0 THEN 'ncbigene:' || c_custkey WHEN 1 THEN 'ncbigene:' || c_name ELSE 'asked' END AS anchor, 'genes' AS source, 'lookup' AS endpoint, c_custkey || ' hits' AS summary, '{"n":' || c_custkey || ',"name":"' || c_name || '"}' AS payload FROM customer""")
+def anchor_evidence(spark, sf_dir):
+    k = F.col("c_custkey")
+    anchor = stages.anchor_id("ncbigene", F.when(_mod(k, 3) == 0, k.cast("string")).otherwise(""), F.when(_mod(k, 3) == 1, F.col("c_name")), F.lit("asked"))
+    told = stages.evidence("genes", "lookup", F.concat(k, F.lit(" hits")), name=F.col("c_name"), n=k)
+    return table(spark, sf_dir, "customer").select(k.alias("k"), anchor.alias("anchor"), told.alias("e")).select("k", "anchor", "e.*")
+
+
+@query("""WITH c AS (SELECT c_nationkey * 40 + c_custkey % 40 AS graph_id, c_custkey AS record_id, c_custkey % 11 = 0 AS ide, c_custkey % 7 = 0 AS sym FROM customer), n AS (SELECT *, count(*) FILTER (WHERE ide) OVER w AS ids, min(CASE WHEN ide THEN record_id END) OVER w AS first, count(*) FILTER (WHERE sym) OVER w AS syms, row_number() OVER (PARTITION BY graph_id ORDER BY record_id) - 1 AS k, count(*) OVER w AS pool FROM c WINDOW w AS (PARTITION BY graph_id)),
+ j AS (SELECT graph_id, record_id, CASE WHEN pool = 1 THEN ((graph_id * 37) % 101) / 100.0::DOUBLE >= 0.5 ELSE k = graph_id % 4 END AS taken FROM n WHERE ids = 0 AND syms <> 1)
+ SELECT graph_id, 'resolved' AS outcome, record_id, 1.0::DOUBLE AS confidence FROM n WHERE CASE WHEN ids > 0 THEN record_id = first ELSE syms = 1 AND sym END
+ UNION ALL SELECT graph_id, CASE WHEN bool_or(taken) THEN 'resolved' ELSE 'refused' END, max(record_id) FILTER (WHERE taken), max(((graph_id * 37) % 101) / 100.0::DOUBLE) FILTER (WHERE taken) FROM j GROUP BY 1""")
+def protein_pick(spark, sf_dir):
+    from ..operators import identity
+
+    k = F.col("c_custkey")
+    candidates = table(spark, sf_dir, "customer").select((F.col("c_nationkey") * 40 + _mod(k, 40)).alias("graph_id"), k.alias("pos"), k.alias("record_id"), (_mod(k, 11) == 0).alias("id_exact"), (_mod(k, 7) == 0).alias("symbol_exact"))
+    g = F.col("graph_id")
+    answers = candidates.select("graph_id").distinct().select("graph_id", (_mod(g * 37, 101) / 100).alias("noul"), _mod(g, 4).cast("string").alias("choice"))
+    return identity.pick_protein(candidates, answers)
+
+
+@query("""SELECT 'g' AS graph_id, 'c:' || c_custkey AS id, '{' || CASE WHEN c_custkey % 2 = 0 THEN '"organism":"' || c_mktsegment || '",' ELSE '' END || '"type":"Gene","label":"' || CASE WHEN c_custkey % 3 = 0 THEN 'c:' || c_custkey ELSE c_name END || '"}' AS node FROM customer""")
+def node_projection(spark, sf_dir):
+    from ..operators import graph
+
+    k = F.col("c_custkey")
+    nodes = table(spark, sf_dir, "customer").select(F.lit("g").alias("graph_id"), F.concat(F.lit("c:"), k).alias("id"), F.lit("Gene").alias("type"), F.when(_mod(k, 3) == 0, "").otherwise(F.col("c_name")).alias("label"), F.create_map(F.lit("organism"), F.when(_mod(k, 2) == 0, F.col("c_mktsegment"))).alias("attrs"))
+    return graph.node_projection(nodes)
+
+
+@query("""WITH r AS (SELECT p_size AS graph_id, p_partkey AS accession, row_number() OVER (PARTITION BY p_size ORDER BY p_type <> 'ECONOMY' DESC, p_partkey) AS rank FROM part) SELECT graph_id, accession FROM r WHERE rank > 1""")
+def corroborating_hits(spark, sf_dir):
+    hits = table(spark, sf_dir, "part").select(F.col("p_size").alias("graph_id"), F.col("p_partkey").alias("accession"), (F.col("p_type") != "ECONOMY").alias("reviewed"))
+    picked = stages.reviewed_first(hits, ["graph_id"], ["accession"], 1)
+    return stages.corroborating(hits, picked, ["graph_id"], "accession").select("graph_id", "accession")

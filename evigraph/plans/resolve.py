@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import DATASET_CAP, ORTHOLOG_CAP
+from ..constants import DATASET_CAP, LONE_HIT_LEAST, ORTHOLOG_CAP
 from ..functions import ids as I
 from ..operators import identity, merge, stages
 
@@ -30,6 +30,7 @@ class Config:
     ortholog_cap: int = ORTHOLOG_CAP
     dataset_cap: int = DATASET_CAP
     least_confidence: float = 0.0
+    least_score: float = LONE_HIT_LEAST
 
 
 def _edge(rows: DataFrame, subject: Column, predicate: str, obj: Column, source: str, confidence: Column | float = 1.0, question: str = "") -> DataFrame:
@@ -48,7 +49,7 @@ def classify(queries: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFra
     return known, _edge(known, F.col("query"), "is_a", I.node_id("idtype", F.col("namespace")), "classifier", confidence, "id_type")
 
 
-def match(queries: DataFrame, genes: DataFrame, answers: DataFrame) -> DataFrame:
+def match(queries: DataFrame, genes: DataFrame, answers: DataFrame, least_score: float = LONE_HIT_LEAST) -> DataFrame:
     """One row per graph: the gene record that the query means, or a refusal.
 
     genes has gene_id, symbol, locus_tag, tax_id, organism, assembly_accession
@@ -57,7 +58,7 @@ def match(queries: DataFrame, genes: DataFrame, answers: DataFrame) -> DataFrame
     keyed = genes.withColumn("key", F.explode(F.array_distinct(F.transform(F.array_compact(F.concat(F.array("gene_id", "symbol", "locus_tag"), "aliases")), F.lower))))
     found = stages.merge_join(queries.select("graph_id", F.lower(F.trim("query")).alias("key")), keyed.select("key", "gene_id"), "key").distinct()
     pool = found.select("graph_id", F.col("gene_id").alias("pos"), F.col("gene_id").alias("record_id"), F.lit(True).alias("exact"))
-    picked = identity.pick_candidate(pool, answers.select("graph_id", "noul", "choice"))
+    picked = identity.pick_candidate(pool, answers.select("graph_id", "noul", "choice"), least_score)
     out = queries.join(picked.select("graph_id", "outcome", "record_id", "confidence"), "graph_id", "left").withColumn("outcome", F.coalesce("outcome", F.lit("refused")))
     return out.join(genes.withColumnRenamed("gene_id", "record_id"), "record_id", "left")
 
@@ -78,7 +79,7 @@ def resolve(queries: DataFrame, sources: dict[str, DataFrame], answers: DataFram
     matches, as every stage starts from them: (df, name) -> df.
     """
     known, edges0 = classify(queries, answers)
-    matched = match(known, sources["genes"], answers)
+    matched = match(known, sources["genes"], answers, config.least_score)
     if work is not None:
         matched = work(matched, "matched")
     hit = matched.filter("outcome = 'resolved'")

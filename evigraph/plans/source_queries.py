@@ -35,11 +35,11 @@ def flatten_records(spark, sf_dir):
     return flat.select("gene_id", "symbol", "tax_id", "assembly_accession", F.array_join("assembly_accessions", ",").alias("assemblies"), F.array_join("genomic_accessions", ",").alias("genomic"))
 
 
-@query("""WITH t AS (SELECT page_id, regexp_replace(html, '<[^>]*>', '', 'g') AS plain, list_sort(list_distinct(regexp_extract_all(html || ' NM_' || page_id || '.1 XP_' || page_id, '\\b[NX][MR]_[0-9]+(?:\\.[0-9]+)?'))) AS tx FROM pages) SELECT page_id, sha256(plain) AS plain, array_to_string(tx, ',') AS transcripts FROM t""")
+@query("""WITH t AS (SELECT page_id, regexp_replace(html, '<[^>]*>', '', 'g') AS plain, list_sort(list_distinct(regexp_extract_all(html || ' NM_' || page_id || '.1 XP_' || page_id, '\\b[NX][MR]_[0-9]+(?:\\.[0-9]+)?'))) AS tx, list_sort(list_distinct(regexp_extract_all(html || ' NM_' || page_id || '.1 XP_' || page_id, '\\b[NXYW]P_[0-9]+(?:\\.[0-9]+)?'))) AS px FROM pages) SELECT page_id, sha256(plain) AS plain, array_to_string(tx, ',') AS transcripts, array_to_string(px, ',') AS proteins FROM t""")
 def text_extracts(spark, sf_dir):
     k = F.col("page_id")
     pages = table(spark, sf_dir, "pages").select("page_id", "html", F.concat(F.col("html"), F.lit(" NM_"), k, F.lit(".1 XP_"), k).alias("report"))
-    return pages.select("page_id", F.sha2(snapshots.without_tags(F.col("html")), 256).alias("plain"), F.array_join(snapshots.product_accessions(F.col("report"), "transcript"), ",").alias("transcripts"))
+    return pages.select("page_id", F.sha2(snapshots.without_tags(F.col("html")), 256).alias("plain"), F.array_join(snapshots.product_accessions(F.col("report"), "transcript"), ",").alias("transcripts"), F.array_join(snapshots.product_accessions(F.col("report"), "protein"), ",").alias("proteins"))
 
 
 @query("SELECT p_type AS category, count(*) AS n FROM part WHERE list_contains(list_transform(string_split('ECONOMY, STANDARD,, PROMO ', ','), lambda x: trim(x)), p_type) GROUP BY 1")
