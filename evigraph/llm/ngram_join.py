@@ -125,6 +125,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     else:
         known = known.withColumn("links", F.lit(0))
     known = known.select(*key, F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    known = work.written(known, "linked")  # so that the join below has no aggregate beside it, and Spark may split a large group of copies
     out = members.hint("shuffle_merge").join(known.hint("shuffle_merge"), key, "left")
     linked = F.col("doc_id").isNotNull() & F.col("component").isNotNull()
     out = out.select(
