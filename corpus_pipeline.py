@@ -52,7 +52,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Workspace(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        docs = work.written(stage(spark, docs, sf_dir), f"{k}-{name}")
+        by = ["bucket"] if name == "packing" else []  # sequences of one length lie in one folder
+        docs = work.written(stage(spark, docs, sf_dir), f"{k}-{name}", *by)
         if k:
             work.drop(f"{k - 1}-{STAGES[k - 1][0]}")
     return docs
