@@ -216,5 +216,5 @@ def score_documents(docs: DataFrame, net: Net) -> DataFrame:
 
 def keep_good(docs: DataFrame, net: Net, least: float = 0.5) -> DataFrame:
     """docs whose score reaches ``least``."""
-    kept = score_documents(docs.withColumn("_kept_score", F.col("score")) if "score" in docs.columns else docs, net).filter(F.col("score") >= least)
-    return kept.drop("score").withColumnRenamed("_kept_score", "score") if "score" in docs.columns else kept.drop("score")
+    own = docs.withColumnRenamed("score", "_kept_score")
+    return score_documents(own, net).filter(F.col("score") >= least).drop("score").withColumnRenamed("_kept_score", "score").select(*docs.columns)

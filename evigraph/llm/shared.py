@@ -72,7 +72,7 @@ class Workspace:
         writer = df.write.mode("overwrite")
         with _freeing_shuffles(self.spark):
             (writer.partitionBy(*by) if by else writer).parquet(f"{self.path}/{name}")
-        return self.read(name) if by else self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}").select(*df.columns)
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")
