@@ -228,7 +228,7 @@ def summary_pass(spark, sf_dir):
 
 @query("""WITH i AS (SELECT source AS graph_id, CAST(doc_id AS VARCHAR) AS node, 'publication' AS kind, doc_id, text FROM documents WHERE source IS NOT NULL), s AS (SELECT *, (doc_id % 4) / 3.0::DOUBLE AS score FROM i WHERE trim(coalesce(text, '')) <> ''),
  a AS (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY node) AS n FROM s), b AS (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY score DESC, node) AS k FROM a WHERE n <= 400 AND score >= 0.5)
- SELECT graph_id, node AS subject, CASE WHEN doc_id % 2 = 0 THEN 'has_condition' ELSE 'reports' END AS predicate, CASE WHEN doc_id % 2 = 0 THEN 'condition:' || substr(sha256('dry heat'), 1, 12) ELSE 'claim:' || substr(sha256('it grows ' || node), 1, 12) END AS object, CASE WHEN doc_id % 2 = 0 THEN 'dry heat' ELSE 'it grows ' || node END AS claim, (doc_id * 37 % 101) / 100.0::DOUBLE AS confidence, CASE WHEN doc_id % 2 = 0 THEN NULL ELSE 'role' END AS category FROM b WHERE k <= 100 AND doc_id % 7 <> 0""")
+ SELECT graph_id, node AS subject, CASE WHEN doc_id % 2 = 0 THEN 'has_condition' ELSE 'reports' END AS predicate, CASE WHEN doc_id % 2 = 0 THEN 'condition:' || substr(sha256('dry heat'), 1, 12) ELSE 'claim:' || substr(sha256('it grows ' || node), 1, 12) END AS object, CASE WHEN doc_id % 2 = 0 THEN 'dry heat' ELSE 'it grows ' || node END AS claim, (doc_id * 37 % 101) / 100.0::DOUBLE AS confidence, CASE WHEN doc_id % 2 = 0 THEN NULL ELSE 'role' END AS category FROM b WHERE k <= 100 AND doc_id % 7 <> 0 AND (length(text) <= 8000 OR regexp_matches(substr(text, 1, 8000), '[.!?]\\s+[^\\sa-z]|\\n\\s*\\S|[.!?]$'))""")
 def text_claim_pass(spark, sf_dir):
     k = F.col("doc_id")
     docs = table(spark, sf_dir, "documents").filter("source is not null")
