@@ -553,7 +553,7 @@ def later_matches(sets: DataFrame, load, num: int, den: int, work: Workspace) ->
         open_ = work.written(named.hint("shuffle_merge").join(found.hint("shuffle_merge"), ["d", "l"], "left_anti"), f"open-{turn}")
         if open_.isEmpty():
             break
-        again = _entries_beside(sets, open_)
+        again = _entries_beside(sets, open_, num, den)
         if n:
             again = again.hint("shuffle_merge").join(long.hint("broadcast" if n <= LONG_LISTS else "shuffle_merge"), "h", "left")
         again = again.withColumn("nb", F.coalesce("nb", F.lit(1)) if n else F.lit(1))
@@ -566,11 +566,16 @@ def later_matches(sets: DataFrame, load, num: int, den: int, work: Workspace) ->
     return found.distinct()
 
 
-def _entries_beside(sets: DataFrame, open_: DataFrame) -> DataFrame:
-    """Entries of the elements that the open sets (d, l) have, with mark 0 for those sets, else 1.
+def size_class(n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Classes of sizes such that similar sets are in the same or in neighbouring ones."""
+    return np.floor(np.log(np.maximum(n, 1)) / (np.log(den / num) * (1 + 1e-9)) + 1e-9).astype(np.int32)
 
-    By two bitmaps of fixed size, of the sets and of their elements; a false hit
-    only costs time.
+
+def _entries_beside(sets: DataFrame, open_: DataFrame, num: int, den: int) -> DataFrame:
+    """Entries of the elements that the open sets (d, l) have, of sets that are near enough in size, with mark 0 for the open ones, else 1.
+
+    By two bitmaps of fixed size, of the open sets and of their elements by size
+    class; a false hit only costs time.
     """
     zero = [F.col("d").alias("d1"), F.col("l").alias("l1"), F.col("d").alias("d2"), F.col("l").alias("l2")]
     of_sets = wanted(open_.select(*zero))
@@ -578,11 +583,13 @@ def _entries_beside(sets: DataFrame, open_: DataFrame) -> DataFrame:
     def elements(batches):
         for b in batches:
             hit = is_wanted(of_sets, b.column("d").to_numpy(), b.column("l").to_numpy())
-            h = b.column("prefix").filter(pa.array(hit)).flatten().to_numpy()
-            none = np.zeros(len(h), np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(none), pa.array(h), pa.array(none)], schema=_PAIR)
+            prefix = b.column("prefix").filter(pa.array(hit))
+            h = prefix.flatten().to_numpy(zero_copy_only=False)
+            kind = np.repeat(size_class(b.column("n").to_numpy()[hit], num, den), prefix.value_lengths().to_numpy(zero_copy_only=False))
+            for near in (-1, 0, 1):
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(kind + np.int32(near + 1)), pa.array(h), pa.array(kind + np.int32(near + 1))], schema=_PAIR)
 
-    of_elements = wanted(sets.select("d", "l", "prefix").mapInArrow(elements, _PAIR_DDL))
+    of_elements = wanted(sets.select("d", "l", "n", "prefix").mapInArrow(elements, _PAIR_DDL))
     columns = ["d", "l", "n", *SIGNED]
 
     def beside(batches):
@@ -591,7 +598,7 @@ def _entries_beside(sets: DataFrame, open_: DataFrame) -> DataFrame:
             h = b.column("prefix").flatten().to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(len(size)), size)
             pos = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
-            at = is_wanted(of_elements, h, np.zeros(len(h), np.int32))
+            at = is_wanted(of_elements, h, size_class(b.column("n").to_numpy(), num, den)[row] + np.int32(1))
             mark = 1 - is_wanted(of_sets, b.column("d").to_numpy(), b.column("l").to_numpy()).astype(np.int64)
             row = row[at]
             yield pa.RecordBatch.from_arrays([pa.array(h[at]), *(b.column(c).take(pa.array(row)) for c in columns), pa.array(pos[at].astype(np.int32)), pa.array(mark[row])], ["h", *columns, "pos", "mark"])
