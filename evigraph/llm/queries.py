@@ -77,7 +77,26 @@ def op10_norm_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_inner_products(_table(spark, sf_dir, "embeddings"), query_every=50, k=5)
 
 
-QUERIES = {q.__name__: q for q in (op1_ngram_jaccard_join, op2_kmeans_tree_search, op3_source_mixing, op4_power_packing, op5_line_dedup, op6_url_rules, op7_quality_net, op8_chained_passages, op9_secret_scan, op10_norm_topk)}
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whitened
+
+    return whitened(_table(spark, sf_dir, "embeddings"), components=32)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic_runs import periodic_runs
+
+    return periodic_runs(_table(spark, sf_dir, "documents"), plant=True, texts=False).drop("runs", "collapsed")
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .compression_bands import fit_limits, quality_rules
+
+    docs = _table(spark, sf_dir, "documents")
+    return quality_rules(docs, fit_limits(docs, _table(spark, sf_dir, "labels")))
+
+
+QUERIES = {q.__name__: q for q in (op1_ngram_jaccard_join, op2_kmeans_tree_search, op3_source_mixing, op4_power_packing, op5_line_dedup, op6_url_rules, op7_quality_net, op8_chained_passages, op9_secret_scan, op10_norm_topk, op11_embedding_whitening, op12_periodic_runs, op13_quality_rules)}
 
 _WORDS = "regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\x0B\f\r]+')"
 
@@ -124,5 +143,28 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
 """
 
+#: crc32 bit by bit, runs as maximal stretches of equal words q apart.
+_OP12 = r"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') AS w FROM documents),
+hashed AS (
+  SELECT r, doc_id, w, len(w) AS n, CASE WHEN doc_id IS NULL THEN 1 ELSE xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+    list_transform(range(1, len(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT))),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda x, bit: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END))) END AS h FROM texts),
+turns AS (SELECT r, doc_id, w, n, h % 10 = 0 AND n > 0 AS turned, CASE WHEN n > 0 THEN (h // 10) % n END AS a, (h // 10) % 8 AS e FROM hashed),
+placed AS (SELECT r, unnest(range(n)) AS i, n, w, turned, a, CASE WHEN turned THEN 1 + (n - a) // (3 + e) END AS p FROM turns),
+words AS (SELECT r, i, n, CASE WHEN turned AND i >= a THEN w[1 + a + (i - a) % p] ELSE w[1 + i] END AS x FROM placed),
+equal AS (SELECT f.r, f.i, s.i - f.i AS q FROM words f JOIN words s ON f.r = s.r AND f.x = s.x AND s.i > f.i AND 3 * (s.i - f.i) <= f.n),
+islands AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM equal),
+stretches AS (SELECT r, q, min(i) AS s, count(*) + q AS l FROM islands GROUP BY r, q, island HAVING count(*) + q >= greatest(24, 3 * q)),
+runs AS (SELECT r, s, l, min(q) AS q FROM stretches GROUP BY r, s, l),
+gone AS (SELECT DISTINCT r, unnest(range(s + q, s + l)) AS i FROM runs),
+kept AS (SELECT r, sha256(string_agg(x, ' ' ORDER BY i)) AS sha FROM words ANTI JOIN gone USING (r, i) GROUP BY r),
+said AS (SELECT r, count(*) AS n_runs, sha256(string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q)) AS sha FROM runs GROUP BY r),
+best AS (SELECT r, s, l, q FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY CAST(l AS DOUBLE) / q DESC, s, q) = 1)
+SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, b.l AS length, b.q AS period, 1000 * b.l // b.q AS exponent_milli,
+  coalesce(said.sha, sha256('')) AS runs_sha256, coalesce(kept.sha, sha256('')) AS collapsed_sha256
+FROM texts t LEFT JOIN said USING (r) LEFT JOIN best b USING (r) LEFT JOIN kept USING (r)
+"""
+
 #: DuckDB SQL of the queries that SQL can express: not of trained models, tokenizers, random draws or fuzzy alignment.
-ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard_join": _OP1, "op5_line_dedup": _OP5, "op10_norm_topk": _OP10}
+ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard_join": _OP1, "op5_line_dedup": _OP5, "op10_norm_topk": _OP10, "op12_periodic_runs": _OP12}
