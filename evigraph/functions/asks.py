@@ -11,6 +11,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..constants import CLAIM_CATEGORIES
+
 # How each ask is answered.
 KINDS = {
     "id_type": "choice", "gene_match": "noul", "gene_choice": "choice", "rank": "choice", "protein_entry": "noul", "characterization": "score", "relevant": "noul", "triage": "score",
@@ -37,7 +39,7 @@ WORDING = {
 TRIAGE_WORDING = {"dataset": "Does the text of {value} name conditions, contrasts or sample groups that could be listed?", "publication": "Does the text of {value} say what the gene does or when it is expressed?"}
 VERIFY_WORDING = {"condition": "Does the source text of {value} state this condition, and does it say how the gene was measured?", "claim": "Does the source text of {value} support this claim, and could it be shown false?"}
 #: What ends of a scale mean, lowest first.
-CHARACTERIZATION_LEVELS = ("hypothetical, no functional data", "specific function well established")
+CHARACTERIZATION_LEVELS = ("merely predicted, nothing measured", "what the molecule does is known in detail")
 TRIAGE_LEVELS = ("says nothing of it", "touches on it", "says something of it", "says much of it")
 #: Escapes: what an answer is when no criterion fits.
 NONE, OTHER = "none", "other"
@@ -124,7 +126,7 @@ def verify(node: Column, kind: Column, claim: Column, quote: Column, text: Colum
     return _ask("noul", worded, None, state(node=node, claim=claim, quote=quote, text=text))
 
 
-def category(node: Column, kind: Column, claim: Column, vocabulary: Mapping[str, str]) -> Column:
+def category(node: Column, kind: Column, claim: Column, vocabulary: Mapping[str, str] = CLAIM_CATEGORIES) -> Column:
     """A category of the vocabulary, or other; null for what is no claim."""
     options = {**vocabulary, OTHER: vocabulary.get(OTHER, "no category fits")}
     return F.when(kind == "claim", _ask("choice", instructions("category", node), fixed(options), state(node=node, claim=claim)))

@@ -68,19 +68,30 @@ def outer_object(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
 
 
+#: JSON as strict decoders read it: names and texts in double quotes.
+STRICT = {"allowSingleQuotes": "false"}
+
+
 def outer_proposals(text: Column, key: str = "proposals") -> Column:
-    """The JSON object of a text that holds a list under key, or under a name with the same first six characters, put under key.
+    """The first JSON object of a text that holds a list under key, or under a name with the same first six characters, put under key.
 
-    The text itself, else its outermost object, else the object that begins right
-    before such a name; null where none decodes to a list.
+    Objects are decoded from each opening brace on, in order, whatever stands
+    before and after them: fences, stray braces, prose, other objects. So other
+    names may come before the list, lists may follow in later objects, and braces
+    inside texts mean nothing. Null where no object holds such a list.
     """
-    name = key[:6]
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substr(text, i, F.lit(1)) == "{")
     shape = f"{key} array<string>"
-    named = F.regexp_replace(text, f'"{name}[A-Za-z_]*"(\\s*:\\s*\\[)', f'"{key}"$1')
-    inner = F.regexp_extract(named, r'(?s)(\{\s*"' + key + r'"\s*:\s*\[.*\])', 1)
-    whole = F.concat(inner, F.lit("}"))
-    ok = lambda t: F.when(F.from_json(t, shape)[key].isNotNull(), t)
-    return F.coalesce(ok(named), ok(outer_object(named)), ok(whole))
+
+    def decoded(i: Column) -> Column:
+        rest = F.substr(text, i)
+        whole = F.from_json(rest, "map<string,string>", STRICT)
+        named = F.try_element_at(F.filter(F.map_entries(whole), lambda e: e["key"].startswith(key[:6]) & e["value"].startswith("[")), F.lit(1))["value"]
+        renamed = F.concat(F.lit('{"' + key + '":'), named, F.lit("}"))
+        listed = lambda t: F.from_json(t, shape, STRICT)[key].isNotNull()
+        return F.when(whole.isNotNull(), F.when(listed(rest), rest).when(listed(renamed), renamed))
+
+    return F.try_element_at(F.filter(F.transform(starts, decoded), lambda x: x.isNotNull()), F.lit(1))
 
 
 def answer(text: Column) -> Column:

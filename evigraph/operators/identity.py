@@ -54,7 +54,7 @@ def superseded(accessions: DataFrame) -> DataFrame:
     known = accessions.select("accession", I.accession_number(F.col("accession")).alias("num"), I.accession_version(F.col("accession")).alias("ver")).filter("num <> '' and ver is not null").distinct()
     a = known.select(F.col("accession").alias("old"), "num", F.col("ver").alias("v"))
     b = known.select(F.col("accession").alias("new"), "num", F.col("ver").alias("w"))
-    return a.join(b, "num").filter("w > v").select("old", "new")
+    return a.hint("shuffle_merge").join(b.hint("shuffle_merge"), "num").filter("w > v").select("old", "new")
 
 
 def first_alternate(queries: DataFrame, keys: str, records: DataFrame, most: int = ALTERNATES) -> DataFrame:
@@ -97,6 +97,7 @@ def species_links(genes: DataFrame, places: DataFrame) -> DataFrame:
     """
     g = genes.withColumns({"key": I.species_key(F.col("species")), "ep": I.epithet(F.col("species")), "ini": F.substring(I.genus(F.col("species")), 1, 1)})
     p = places.withColumns({"pkey": I.species_key(F.col("place_species")), "pep": I.epithet(F.col("place_species")), "pini": F.substring(I.genus(F.col("place_species")), 1, 1)})
+    g, p = g.hint("shuffle_merge"), p.hint("shuffle_merge")
     by_tax = g.join(p, F.col("tax_id") == F.col("place_tax_id")).select("gene", "place", F.lit(0).alias("how"))
     by_key = g.join(p, (F.col("key") == F.col("pkey")) & (F.col("key") != "")).select("gene", "place", F.lit(1).alias("how"))
     short = g.join(p, (F.col("ep") == F.col("pep")) & (F.col("ini") == F.col("pini")) & (F.col("ep") != ""))
@@ -111,10 +112,10 @@ def presence(places: DataFrame, annotated: DataFrame, seen: DataFrame) -> DataFr
     places and annotated are (gene, accession), seen is (gene, seen_accession).
     Two equi-joins, of which the one by accession is preferred.
     """
-    open_ = places.join(annotated, ["gene", "accession"], "left_anti").withColumn("core", I.accession_core(F.col("accession")))
+    open_ = places.hint("shuffle_merge").join(annotated.hint("shuffle_merge"), ["gene", "accession"], "left_anti").withColumn("core", I.accession_core(F.col("accession")))
     known = seen.select("gene", "seen_accession", I.accession_core(F.col("seen_accession")).alias("core")).distinct()
-    by_id = open_.join(known.select("gene", F.col("seen_accession").alias("accession")), ["gene", "accession"]).select("gene", "accession", F.lit(0).alias("how"))
-    by_core = open_.join(known.select("gene", "core"), ["gene", "core"]).select("gene", "accession", F.lit(1).alias("how"))
+    by_id = open_.hint("shuffle_merge").join(known.select("gene", F.col("seen_accession").alias("accession")), ["gene", "accession"]).select("gene", "accession", F.lit(0).alias("how"))
+    by_core = open_.hint("shuffle_merge").join(known.select("gene", "core"), ["gene", "core"]).select("gene", "accession", F.lit(1).alias("how"))
     best = by_id.union(by_core).groupBy("gene", "accession").agg(F.min("how").alias("how"))
     return best.select("gene", "accession", F.when(F.col("how") == 0, "accession").otherwise("core").alias("via"))
 
@@ -133,3 +134,45 @@ def pick_protein(candidates: DataFrame, answers: DataFrame) -> DataFrame:
     rest = marked.filter(~((F.col("_ids") > 0) | (F.col("_symbols") == 1)))
     judged = pick_candidate(rest.select("graph_id", "pos", "record_id", F.lit(False).alias("exact")), answers)
     return known.unionByName(judged.select("graph_id", "outcome", "record_id", "confidence"))
+
+
+def link_pool(candidates: DataFrame, keys: list[str]) -> DataFrame:
+    """What is left of a link's candidates (keys, pos, record_id, exact, same_taxon): with ``via``, their ``number`` and the pool's size.
+
+    One record that carries the id is taken (via exact); else, of those that
+    carry it or of all, one of the same taxon (via taxon); else the judge is asked
+    about those of the taxon, or all where none is of it (via asked).
+    """
+    w = Window.partitionBy(*keys)
+    exact, taxon = F.coalesce("exact", F.lit(False)), F.coalesce("same_taxon", F.lit(False))
+    counted = candidates.withColumns({"exact": exact, "same_taxon": taxon}).withColumn("_exact", F.count_if("exact").over(w))
+    pool = counted.filter((F.col("_exact") == 0) | F.col("exact")).withColumn("_taxon", F.count_if("same_taxon").over(w))
+    sole = F.col("_exact") == 1
+    pool = pool.filter(sole | (F.col("_taxon") == 0) | F.col("same_taxon"))
+    via = F.when(sole, "exact").when(F.col("_taxon") == 1, "taxon").otherwise("asked")
+    return pool.withColumns({"via": via, "number": F.row_number().over(w.orderBy("pos", "record_id")) - 1, "size": F.count("*").over(w)}).drop("_exact", "_taxon")
+
+
+def link_asks(pool: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, candidates array<record_id>): what the judge is asked, candidates in the order their numbers stand for."""
+    asked = pool.filter("via = 'asked'").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("number", "record_id"))).alias("x"))
+    return asked.select(*keys, F.transform("x", lambda r: r["record_id"]).alias("candidates"))
+
+
+def linked(pool: DataFrame, answers: DataFrame, keys: list[str], least: float = LONE_HIT_LEAST) -> DataFrame:
+    """(keys, outcome, record_id, confidence): each link's decision from its pool and answers (keys, noul, choice, confidence).
+
+    exact and taxon are asserted. A lone candidate needs noul >= ``least`` (outcome
+    lone); of several the judge's choice counts, with its confidence (outcome
+    choice). A choice that is no number of the pool, none and a missing answer
+    refuse: null record, confidence 0, or the noul that was too low.
+    """
+    said = answers.select(*keys, "noul", F.col("choice"), F.col("confidence").alias("_c"))
+    met = pool.hint("shuffle_merge").join(said.hint("shuffle_merge"), keys, "left")
+    sure, lone = F.col("via") != "asked", F.col("size") == 1
+    score = I.score_of(F.col("noul"), F.col("_c"))
+    taken = F.when(sure, True).when(lone, score >= least).otherwise(F.coalesce(F.col("choice").try_cast("int") == F.col("number"), F.lit(False)))
+    confidence = F.when(sure, 1.0).when(lone, score).otherwise(F.coalesce("_c", F.lit(0.0)))
+    how = F.when(sure, F.col("via")).when(lone, "lone").otherwise("choice")
+    got = met.groupBy(*keys).agg(F.max(F.when(taken, F.struct("record_id", confidence.alias("confidence"), how.alias("how")))).alias("x"), F.max(F.when(lone & ~sure, score)).alias("low"))
+    return got.select(*keys, F.coalesce("x.how", F.lit("refused")).alias("outcome"), "x.record_id", F.coalesce("x.confidence", "low", F.lit(0.0)).alias("confidence"))

@@ -50,7 +50,7 @@ def bridge(rows: DataFrame, records: DataFrame, on: str, keys: Sequence[str], ow
     claims = own_aliases(met, keys, [own]).select(*keys, F.lit("has_alias").alias("predicate"), F.col("alias").alias("object"))
     if citations:
         cited = met.select(*keys, F.explode(citations).alias("object")).filter(F.col("object").isNotNull())
-        claims = claims.unionByName(cited.select(*keys, F.lit("cited_in").alias("predicate"), I.node_id("pmid", F.col("object")).alias("object")))
+        claims = claims.unionByName(cited.select(*keys, F.lit("cited_in").alias("predicate"), I.node_id("pubmed", F.col("object")).alias("object")))
     return claims.distinct()
 
 
@@ -60,6 +60,26 @@ def linked_by_term(rows: DataFrame, records: DataFrame, term: str, tax: str, rec
     return hits.groupBy("graph_id").agg(F.count("*").alias("_n"), F.count_distinct(tax).alias("_taxa"), F.min(record).alias(record), F.min(tax).alias(tax)).filter("_taxa = 1 and _n = 1").drop("_n", "_taxa")
 
 
+def link_candidates(rows: DataFrame, records: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, pos, record_id, exact, same_taxon) of rows (keys, term, tax_id): records that carry a term among their ids, or were found by it.
+
+    records: record_id, tax_id, ids array<string>, found_by array<string> (the
+    words a search would find them by). Terms meet in one equi-join, whatever the case.
+    """
+    lowered = lambda c: F.transform(F.array_compact(F.coalesce(c, F.array().cast("array<string>"))), lambda x: F.lower(F.trim(x)))
+    both = records.select("record_id", F.col("tax_id").alias("_tax"), lowered(F.col("ids")).alias("_ids"), lowered(F.col("found_by")).alias("_words"))
+    each = both.select("record_id", "_tax", "_ids", F.explode(F.array_distinct(F.concat("_ids", "_words"))).alias("_key"))
+    asked = rows.withColumn("_key", F.lower(F.trim("term"))).filter("_key <> ''")
+    met = merge_join(asked, each, "_key")
+    return met.select(*keys, F.col("record_id").alias("pos"), "record_id", F.array_contains("_ids", F.col("_key")).alias("exact"), F.coalesce(F.col("tax_id") == F.col("_tax"), F.lit(False)).alias("same_taxon")).distinct()
+
+
+def link_claims(decided: DataFrame, subject: str = "subject") -> DataFrame:
+    """(graph_id, subject, predicate, object, confidence, jev_question_id) of decided links: same_as edges to gene records; refused ones give none."""
+    asked = F.when(F.col("outcome").isin("lone", "choice"), "gene_match").otherwise("")
+    return decided.filter("record_id is not null").select("graph_id", F.col(subject).alias("subject"), F.lit("same_as").alias("predicate"), I.node_id("ncbigene", F.col("record_id")).alias("object"), "confidence", asked.alias("jev_question_id"))
+
+
 def fan_out(rows: DataFrame, key: str, subject: str, branches: Sequence[tuple[DataFrame, str, str, str]]) -> DataFrame:
     """(subject, predicate, object): every branch (records with key, column, predicate, prefix) joined to rows; arrays are exploded."""
     parts = []
@@ -123,7 +143,7 @@ def group_claims(memberships: DataFrame, members: DataFrame, known_species: Data
     ranked = member_order(seen, ["graph_id", "grp"], F.col("_seen"), F.col("core"), ["pos", "member"]).filter(F.col("place") <= most)
     group = I.node_id("orthogroup", F.col("grp"))
     own = memberships.select("graph_id", F.col("gene").alias("subject"), F.lit("in_orthogroup").alias("predicate"), group.alias("object"), F.lit(0).cast("long").alias("place"))
-    return own.unionByName(ranked.select("graph_id", group.alias("subject"), F.lit("has_member").alias("predicate"), I.node_id("gene", F.col("member")).alias("object"), "place"))
+    return own.unionByName(ranked.select("graph_id", group.alias("subject"), F.lit("has_member").alias("predicate"), I.node_id("omclseq", F.col("member")).alias("object"), "place"))
 
 
 def suffix_probe(rows: DataFrame, key: str, id_: str, known: DataFrame) -> DataFrame:
@@ -160,6 +180,24 @@ def go_groups(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     )
 
 
+def go_evidence(rows: DataFrame, keys: Sequence[str], source: str = "uniprot") -> DataFrame:
+    """Raw claims with one evidence for each annotation row (keys, accession, go_id, term, code, seq): has_go_term of each key's subject.
+
+    The payload keeps the row: its code, and the source after the code's colon;
+    ``merge.merge_evidence`` then keeps the distinct ones of every claim in order.
+    """
+    code = evidence_code(F.col("code"))
+    origin = F.nullif(F.regexp_extract(F.coalesce("code", F.lit("")), ":(.*)$", 1), F.lit(""))
+    told = evidence(source, "go", F.concat(F.lit("annotated with "), F.col("go_id"), F.lit(", "), F.coalesce(code, F.lit("no code"))), accession=F.col("accession"), go_id=F.col("go_id"), code=code, code_source=origin, term=F.regexp_replace("term", "^[FPC]:", ""), aspect=aspect(F.col("term")))
+    return rows.filter("go_id is not null").select(*keys, F.lit("has_go_term").alias("predicate"), I.node_id("go", F.col("go_id")).alias("object"), told.alias("e"), "seq").select(*keys, "predicate", "object", "e.*", "seq")
+
+
+def nested_evidence(merged: DataFrame, keys: Sequence[str], most: int | None = None) -> DataFrame:
+    """(keys, evidence array<struct<source, endpoint, summary, payload>>, n_evidence) of merged evidence rows, in their order; the first ``most`` if given, with all counted."""
+    kept = F.array_sort(F.collect_list(F.when(F.lit(True) if most is None else F.col("n") <= most, F.struct("n", "source", "endpoint", "summary", "payload"))))
+    return merged.groupBy(*keys).agg(F.transform(kept, lambda x: x.dropFields("n")).alias("evidence"), F.count("*").alias("n_evidence"))
+
+
 def annotation_claims(entries: DataFrame, pathways: DataFrame) -> DataFrame:
     """(graph_id, subject, predicate, object, label, detail) of proteins: GO terms, KEGG genes with their pathways, domains.
 
@@ -206,7 +244,7 @@ def described_datasets(datasets: DataFrame, records: DataFrame, key: str) -> Dat
     first = F.try_element_at("publications", F.lit(1))
     side = records.select(key, "name", "summary", first["pmid"].alias("pmid"), first["citation"].alias("citation"))
     met = merge_join(datasets, side, key, "left")
-    return met.withColumn("described_in", F.when(F.coalesce("pmid", F.lit("")) != "", I.node_id("pmid", F.col("pmid"))))
+    return met.withColumn("described_in", F.when(F.coalesce("pmid", F.lit("")) != "", I.node_id("pubmed", F.col("pmid"))))
 
 
 def annotated_assemblies(edges: DataFrame, queries: DataFrame, reports: DataFrame) -> DataFrame:

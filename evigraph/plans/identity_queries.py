@@ -112,7 +112,7 @@ def record_fill(spark, sf_dir):
 
 
 @query("""WITH a AS (SELECT s_suppkey, s_nationkey, unnest([s_name, 'S' || s_suppkey, s_name, CASE WHEN s_suppkey % 2 = 0 THEN '' END]) AS alias FROM supplier) SELECT DISTINCT c_custkey, s_suppkey, 'has_alias' AS predicate, alias AS object FROM customer JOIN a ON c_nationkey = s_nationkey WHERE alias IS NOT NULL AND alias <> '' AND alias <> 'S' || c_custkey
- UNION ALL SELECT c_custkey, s_suppkey, 'cited_in', 'pmid:9' || s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey""")
+ UNION ALL SELECT c_custkey, s_suppkey, 'cited_in', 'pubmed:9' || s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey""")
 def bridge_records(spark, sf_dir):
     s = F.col("s_suppkey")
     aliases = F.array(F.col("s_name"), F.concat(F.lit("S"), s), F.col("s_name"), F.when(_mod(s, 2) == 0, F.lit("")))
@@ -182,10 +182,10 @@ def ortholog_cap(spark, sf_dir):
     return top.select("l_suppkey", "l_orderkey", "l_partkey", "score", "rank", stages.reference_id(refs, canonical, F.concat(F.lit("oma"), p)).alias("ref"))
 
 
-@query("""WITH h AS (SELECT p_partkey AS graph_id, c_custkey, c_nationkey FROM part JOIN customer ON c_custkey % 200 = p_partkey % 200), w AS (SELECT *, count(DISTINCT c_nationkey) OVER (PARTITION BY graph_id) AS taxa FROM h) SELECT graph_id, min(c_custkey) AS c_custkey, min(c_nationkey) AS tax FROM w WHERE taxa = 1 GROUP BY 1 HAVING count(*) = 1""")
+@query("""WITH h AS (SELECT p_partkey AS graph_id, c_custkey, c_nationkey FROM part JOIN customer ON c_custkey % 1300 = p_partkey % 1300), w AS (SELECT *, count(DISTINCT c_nationkey) OVER (PARTITION BY graph_id) AS taxa FROM h) SELECT graph_id, min(c_custkey) AS c_custkey, min(c_nationkey) AS tax FROM w WHERE taxa = 1 GROUP BY 1 HAVING count(*) = 1""")
 def linked_hits(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("graph_id"), _mod(F.col("p_partkey"), 200).alias("term"))
-    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("tax"), _mod(F.col("c_custkey"), 200).alias("term"))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("graph_id"), _mod(F.col("p_partkey"), 1300).alias("term"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("tax"), _mod(F.col("c_custkey"), 1300).alias("term"))
     return stages.linked_by_term(p, c, "term", "tax", "c_custkey")
 
 
@@ -236,7 +236,7 @@ def dataset_relevance(spark, sf_dir):
     return top.select("graph_id", "doc_id", "score", I.dataset_kind(F.col("t")).alias("kind"), F.col("rank").alias("place"))
 
 
-@query("""WITH v AS (SELECT event_type AS dataset_id, 's' || user_id % 20 AS sample, value FROM events WHERE value > 0), r AS (SELECT (['view', 'signup', 'click', 'purchase', 'error'])[doc_id + 1] AS dataset_id, lang AS name, CASE WHEN doc_id % 2 = 0 THEN source END AS citation, CASE WHEN doc_id % 2 = 0 THEN 'pmid:' || doc_id END AS described_in FROM documents WHERE doc_id < 5)
+@query("""WITH v AS (SELECT event_type AS dataset_id, 's' || user_id % 20 AS sample, value FROM events WHERE value > 0), r AS (SELECT (['view', 'signup', 'click', 'purchase', 'error'])[doc_id + 1] AS dataset_id, lang AS name, CASE WHEN doc_id % 2 = 0 THEN source END AS citation, CASE WHEN doc_id % 2 = 0 THEN 'pubmed:' || doc_id END AS described_in FROM documents WHERE doc_id < 5)
  SELECT dataset_id, array_to_string(list_sort(list(DISTINCT sample)), ',') AS samples, count(*) AS n_values, min(name) AS name, min(citation) AS citation, min(described_in) AS described_in FROM v LEFT JOIN r USING (dataset_id) GROUP BY 1""")
 def dataset_samples(spark, sf_dir):
     v = table(spark, sf_dir, "events").filter("value > 0").select(F.col("event_type").alias("dataset_id"), F.concat(F.lit("s"), _mod(F.col("user_id"), 20)).alias("sample"), "value")

@@ -75,7 +75,7 @@ def annotated_assemblies(spark, sf_dir):
 
 
 @query("""WITH m AS (SELECT c_custkey AS graph_id, 'g:' || c_custkey AS gene, c_nationkey AS grp, 's' || (c_custkey % 7) AS known FROM customer), r AS (SELECT graph_id, grp, s_suppkey, row_number() OVER (PARTITION BY graph_id, grp ORDER BY known = 's' || (s_suppkey % 7) DESC, s_acctbal > 5000 DESC, s_suppkey) AS place FROM m JOIN supplier ON grp = s_nationkey)
- SELECT graph_id, gene AS subject, 'in_orthogroup' AS predicate, 'orthogroup:' || grp AS object, 0::BIGINT AS place FROM m UNION ALL SELECT graph_id, 'orthogroup:' || grp, 'has_member', 'gene:' || s_suppkey, place FROM r WHERE place <= 10""")
+ SELECT graph_id, gene AS subject, 'in_orthogroup' AS predicate, 'orthogroup:' || grp AS object, 0::BIGINT AS place FROM m UNION ALL SELECT graph_id, 'orthogroup:' || grp, 'has_member', 'omclseq:' || s_suppkey, place FROM r WHERE place <= 10""")
 def group_claims(spark, sf_dir):
     c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
     member_of = c.select(F.col("c_custkey").alias("graph_id"), F.concat(F.lit("g:"), "c_custkey").alias("gene"), _text("c_nationkey").alias("grp"))

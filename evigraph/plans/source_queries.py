@@ -45,7 +45,7 @@ def text_extracts(spark, sf_dir):
 @query("SELECT p_type AS category, count(*) AS n FROM part WHERE list_contains(list_transform(string_split('ECONOMY, STANDARD,, PROMO ', ','), lambda x: trim(x)), p_type) GROUP BY 1")
 def vocabulary(spark, sf_dir):
     known = snapshots.vocabulary(spark, "ECONOMY, STANDARD,, PROMO ")
-    return table(spark, sf_dir, "part").select(F.col("p_type").alias("category")).join(known, "category").groupBy("category").agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, "part").select(F.col("p_type").alias("category")).join(F.broadcast(known), "category").groupBy("category").agg(F.count("*").alias("n"))
 
 
 def _arr(*xs):
@@ -148,7 +148,7 @@ def soft_matrix(spark, sf_dir):
     return snapshots.soft_values(heads.unionByName(rows), "abc")
 
 
-@query("""SELECT CAST(l_orderkey AS VARCHAR) AS gene_id, 'd' AS dataset_id, array_to_string(list_sort(list_distinct(list('s' || l_linenumber % 3) FILTER (WHERE l_linenumber % 4 <> 0))), ',') AS samples, count(*) FILTER (WHERE l_linenumber % 4 <> 0) AS n FROM lineitem GROUP BY 1""")
+@query("""SELECT CAST(l_orderkey AS VARCHAR) AS gene_id, 'd' AS dataset_id, coalesce(array_to_string(list_sort(list_distinct(list('s' || l_linenumber % 3) FILTER (WHERE l_linenumber % 4 <> 0))), ','), '') AS samples, count(*) FILTER (WHERE l_linenumber % 4 <> 0) AS n FROM lineitem GROUP BY 1""")
 def gene_measurements(spark, sf_dir):
     n = F.col("l_linenumber")
     one = _st(sample=F.concat(F.lit("s"), _mod(n, 3)), value=F.when(_mod(n, 4) != 0, F.lit("1")), percentile=F.lit("2"))
@@ -240,7 +240,7 @@ def contrast_matrix(spark, sf_dir):
     header = each.select("dataset", "pos", "column").distinct()
     values = snapshots.contrast_values(header, each.select("dataset", "pos", "cell"))
     rows = one.select(F.col("l_suppkey").alias("dataset"), F.concat(F.lit("c"), n).alias("contrast"), "row_no")
-    return values.join(rows, ["dataset", "contrast"])
+    return values.hint("shuffle_merge").join(rows.hint("shuffle_merge"), ["dataset", "contrast"])
 
 
 @query("SELECT lang AS gene, 's' || doc_id % 3 AS stage, 'q' || doc_id AS qid, 'ask ' || doc_id AS question, CASE WHEN doc_id % 2 = 0 THEN 'yes' END AS answer FROM documents")

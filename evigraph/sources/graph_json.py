@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,3 +53,82 @@ def from_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of such lines."""
     of = lambda kind, shape: lines.filter(F.col("kind") == kind).select("graph_id", F.from_json("value", shape).alias("x")).select("graph_id", "x.*")
     return of("node", NODE), of("edge", EDGE)
+
+
+class ElementReader:
+    """Takes a graph's JSON apart piece by piece: every node and edge as soon as it ends.
+
+    Holds the text of one element at a time, however long the document. Elements
+    are the objects in the top-level nodes (a map or a list) and edges.
+    """
+
+    def __init__(self) -> None:
+        self.depth, self.text, self.escape = 0, False, False
+        self.name, self.key, self.held = [], "", None
+
+    def feed(self, piece: str):
+        """(kind, JSON) of the elements that end in a piece."""
+        at, begin = 0, 0
+        while at < len(piece):
+            if self.text:
+                if self.escape:
+                    self.escape = False
+                    if self.depth == 1:
+                        self.name.append(piece[at])
+                    at += 1
+                    continue
+                found = _IN_TEXT.search(piece, at)
+                stop = found.start() if found else len(piece)
+                if self.depth == 1:
+                    self.name.append(piece[at:stop])
+                at = stop
+                if found:
+                    self.text, self.escape = found.group() != '"', found.group() == "\\"
+                    if not self.text and self.depth == 1:
+                        self.key = "".join(self.name)
+                    at += 1
+                continue
+            found = _MARK.search(piece, at)
+            if not found:
+                break
+            at, mark = found.end(), found.group()
+            if mark == '"':
+                self.text, self.name = True, []
+            elif mark in "{[":
+                self.depth += 1
+                if self.depth == 3 and mark == "{" and self.key in _KINDS:
+                    self.held, begin = [], found.start()
+            else:
+                self.depth -= 1
+                if self.depth == 2 and self.held is not None:
+                    yield _KINDS[self.key], "".join((*self.held, piece[begin:at]))
+                    self.held = None
+        if self.held is not None:
+            self.held.append(piece[begin:])
+
+
+_IN_TEXT, _MARK, _KINDS = re.compile(r'["\\]'), re.compile(r'["{}\[\]]'), {"nodes": "node", "edges": "edge"}
+
+
+def read_large(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """(file, kind, value): a row for each node and edge of graph documents of any size, a file each; see ``from_lines``.
+
+    Spark reads files cut at closing braces, so no row is longer than an element's
+    part; the pieces of a file go, in order, through one task that joins them to
+    elements (``ElementReader``). A file may be larger than any memory.
+    """
+    raw = spark.read.option("lineSep", "}").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("id"), "value")
+    order = ["file", "part", "id"]
+    dealt = raw.repartition("file").sortWithinPartitions(*order).select("file", "value")
+
+    def elements(batches):
+        now, reader = None, ElementReader()
+        for b in batches:
+            out: list[tuple[str, str, str]] = []
+            for file, value in zip(b.column("file").to_pylist(), b.column("value").to_pylist(), strict=True):
+                if file != now:
+                    now, reader = file, ElementReader()
+                out += [(file, kind, text) for kind, text in reader.feed(value + "}")]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.string()) for k in range(3)], ["file", "kind", "value"])
+
+    return dealt.mapInArrow(elements, "file string, kind string, value string")

@@ -5,11 +5,11 @@ import os
 
 import pytest
 
-from evigraph.plans import claim_queries, graph_queries, identity_queries, pass_queries, source_queries
+from evigraph.plans import claim_queries, graph_queries, identity_queries, mechanism_queries, pass_queries, source_queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-ALL = {name: (f, plan.ORACLE_SQL.get(name)) for plan in (graph_queries, identity_queries, claim_queries, pass_queries, source_queries) for name, f in plan.QUERIES.items()}
+ALL = {name: (f, plan.ORACLE_SQL.get(name)) for plan in (graph_queries, identity_queries, claim_queries, pass_queries, source_queries, mechanism_queries) for name, f in plan.QUERIES.items()}
 
 
 @pytest.fixture(scope="module")
@@ -22,16 +22,21 @@ def duck():
 
 
 def value(v):
-    if v is None or v != v:
-        return ""
+    """A text for a value: null, NaN and '' differ, numbers are equal to 9 digits."""
+    if v is None:
+        return "\0null"
     if isinstance(v, bool):
         return str(v)
     try:
-        return f"{float(v):.6f}" if not isinstance(v, str) and math.isfinite(float(v)) else str(v)
+        return f"{float(v):.9g}" if not isinstance(v, str) and math.isfinite(float(v)) else str(v)
     except (TypeError, ValueError):
         return str(v)
 
 
+def test_the_comparison_tells_null_from_blank():
+    assert len({value(None), value(""), value(float("nan")), value(0.0), value(1e-7)}) == 5
+
+
 def rows(names, data):
     order = sorted(range(len(names)), key=names.__getitem__)
     return sorted(tuple(value(r[i]) for i in order) for r in data)
