@@ -221,19 +221,26 @@ def taken_words(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, block: int = 2048, **options) -> DataFrame:
-    """The mix as documents: a row per piece that a slot takes, with docs' columns.
+    """The mix as documents: a row per piece that a slot takes, with docs' columns, whatever their names.
 
     A piece that is a whole document keeps its text; others have their words and
     the white space after each. n_chars, if there, follows the text. Of rows that
-    repeat doc_id and text one gives the other columns of all their pieces.
+    repeat doc_id and text one gives the other columns of all their pieces. A text
+    is taken apart once, however many pieces it has.
     """
     mixed, _ = mix_sources(docs, block=block, **options)
-    parts = mixed.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), "shard", "slot", "start", "words")
-    one = docs.withColumn("_own", F.xxhash64("text")).dropDuplicates(["doc_id", "_own"])
-    one = one.withColumn("_size", word_count(F.col("text").cast("string")))
-    met = one.hint("shuffle_merge").join(parts.hint("shuffle_merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0)), (F.col("start") + 1).cast("int"), F.col("words").cast("int")), "")
-    out = met.withColumn("text", F.when((F.col("start") == 0) & (F.col("words") == F.col("_size")), F.col("text")).otherwise(cut))
+    parts = mixed.groupBy(F.col("doc_id").alias("_mix_id"), F.col("hash").alias("_mix_hash"), "begin").agg(F.collect_list(F.struct("start", "words")).alias("_mix_pieces"))
+    whole = docs.select(F.struct(*docs.columns).alias("_mix_doc"), F.col("doc_id").alias("_mix_of"), F.xxhash64("text").alias("_mix_own"))
+    one = whole.dropDuplicates(["_mix_of", "_mix_own"])
+    met = one.hint("shuffle_merge").join(parts.hint("shuffle_merge"), F.col("_mix_of").eqNullSafe(F.col("_mix_id")) & (F.col("_mix_own") == F.col("_mix_hash")))
+    text = F.col("_mix_doc.text")
+    met = met.select("_mix_doc", "_mix_pieces", word_count(text.cast("string")).alias("_mix_size"))
+    some = F.exists("_mix_pieces", lambda p: (p["start"] > 0) | (p["words"] < F.col("_mix_size")))
+    met = met.withColumn("_mix_words", F.when(some, F.regexp_extract_all(text, F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))))
+    cut = lambda p: F.array_join(F.slice("_mix_words", (p["start"] + 1).cast("int"), p["words"].cast("int")), "")
+    texts = F.transform("_mix_pieces", lambda p: F.when((p["start"] == 0) & (p["words"] == F.col("_mix_size")), text).otherwise(cut(p)))
+    out = met.select("_mix_doc", F.explode(texts).alias("_mix_text"))
+    own = {"text": F.col("_mix_text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        own["n_chars"] = F.length("_mix_text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*(own[c].alias(c) if c in own else F.col("_mix_doc").getField(c).alias(c) for c in docs.columns))

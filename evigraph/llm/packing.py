@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from .shared import small_batches
 from .textops import _bytes, is_space, lowered, pieces
 
-#: Parts of texts whose ids a Python worker remembers, at most twice as many.
-REMEMBERED = 400_000
+#: Bytes (of parts, their ids, and a fixed share of each) that a Python worker remembers, at most twice as many; parts longer than LONG aren't remembered.
+REMEMBERED, SHARE, LONG = 48 << 20, 150, 512
 _known: dict[str, list[dict[str, bytes]]] = {}
+_bytes_of: dict[str, int] = {}
 _loaded: dict[str, object] = {}
 
 
@@ -67,20 +68,27 @@ def _parts(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 def _ids_of(words: list[str], path: str) -> list[bytes]:
     """Ids of each part, remembered in two generations: what is still in use survives."""
     young, old = _known.setdefault(path, [{}, {}])
-    if len(young) > REMEMBERED:
+    if _bytes_of.get(path, 0) > REMEMBERED:
         young, old = _known[path] = [{}, young]
-    fresh = []
+        _bytes_of[path] = 0
+    fresh, now = [], {}
     for w in words:
         if w not in young:
             if (ids := old.get(w)) is not None:
                 young[w] = ids
+                _bytes_of[path] = _bytes_of.get(path, 0) + len(w) + len(ids) + SHARE
             else:
                 fresh.append(w)
     for a in range(0, len(fresh), 20_000):
         some = fresh[a : a + 20_000]
         for w, e in zip(some, _tokenizer(path).encode_batch_fast(some, add_special_tokens=False), strict=True):
-            young[w] = np.array(e.ids, np.uint32).tobytes()
-    return [young[w] for w in words]
+            ids = np.array(e.ids, np.uint32).tobytes()
+            if len(w) > LONG:
+                now[w] = ids
+            else:
+                young[w] = ids
+                _bytes_of[path] = _bytes_of.get(path, 0) + len(w) + len(ids) + SHARE
+    return [young[w] if w in young else now[w] for w in words]
 
 
 def token_ids(texts: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import string
 from collections.abc import Sequence
 
@@ -47,15 +48,35 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(named("scheme:", scheme), named("host:", F.split(host, r"\.")), named("path:", F.split(path, "/")), named("query:", keys), named("part:", fragment))))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """Association rules (tokens array, key, verdict, confidence, support) from (tokens, verdict).
+def together(labelled: DataFrame, least: int) -> DataFrame:
+    """(token, item) of the tokens that ``least`` rows or more of labelled (row, tokens) hold; those that hold the same rows are one item, named by the first.
 
-    FP-growth runs over all labelled rows, with the label as one more item.
-    Rules that conclude a label stay if support and confidence reach their
-    least and no rule with one token less does as well, however many they are.
-    key is the rule's rarest token, by which it is found.
+    Two sums of hashes over a token's rows tell whether two tokens hold the same.
+    At most the tokens of a row divided by the least support are left.
     """
-    items = labelled.select(F.concat("tokens", F.array(F.concat(F.lit("label:"), F.col("verdict")))).alias("items"))
+    each = labelled.select("row", F.explode("tokens").alias("token"))
+    marks = each.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y")).filter(F.col("n") >= least)
+    named = marks.groupBy("n", "x", "y").agg(F.min("token").alias("item"))
+    return marks.hint("shuffle_merge").join(named.hint("shuffle_merge"), ["n", "x", "y"]).select("token", "item")
+
+
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, classes: DataFrame | None = None) -> DataFrame:
+    """Association rules (tokens array, key, verdict, confidence, support) from labelled (row, tokens, verdict).
+
+    Every token is an item, or with classes (see ``together``) those that always go together are one: a
+    site whose urls share forty query keys has one item for them in place of all
+    their subsets, and a rule holds for a url with any of an item's tokens, as the
+    rules of the single tokens would. FP-growth runs over all labelled rows, with
+    the label as one more item. Rules that conclude a label stay if support and
+    confidence reach their least and no rule with one item less does as well,
+    however many they are. key is the rule's rarest item, by which it is found.
+    """
+    rows = labelled.select("tokens", "verdict")
+    if classes is not None:
+        met = labelled.select("row", F.explode("tokens").alias("token")).hint("shuffle_merge").join(classes.hint("shuffle_merge"), "token")
+        found = met.groupBy("row").agg(F.collect_set("item").alias("tokens"))
+        rows = labelled.select("row", "verdict").hint("shuffle_merge").join(found.hint("shuffle_merge"), "row", "left")
+    items = rows.select(F.concat(F.coalesce("tokens", F.array().cast("array<string>")), F.array(F.concat(F.lit("label:"), F.col("verdict")))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
     rules = model.associationRules.filter(F.element_at("consequent", 1).startswith("label:") & ~F.exists("antecedent", lambda x: x.startswith("label:")))
     rules = rules.select(F.array_sort("antecedent").alias("tokens"), F.substring_index(F.element_at("consequent", 1), ":", -1).alias("verdict"), "confidence", "support")
@@ -75,8 +96,8 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, defau
 
     The longest listed rule that fits decides. It labels its urls; from them
     FP-growth mines which token combinations go with which verdict, and the
-    other urls get the verdict of the most confident mined rule whose tokens
-    they all have (then the longer, then the more frequent one), else
+    other urls get the verdict of the most confident mined rule all of whose items
+    they have (then the longer, then the more frequent one), else
     ``default``. rule is null and confidence the mined rule's there.
 
     Urls are judged once per distinct set of tokens. A null url has empty host
@@ -89,22 +110,28 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, defau
     rows = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     rows = rows.withColumns({"listed": listed_rule(F.col("host"), F.col("path"), rules), "tokens": url_tokens(F.col("url"), F.col("host"), F.col("path"))}).drop("url")
     rows = work.written(rows, "rows")
-    labelled = rows.filter(F.col("listed").isNotNull()).select("tokens", F.col("listed.verdict").alias("verdict"))
+    labelled = rows.filter(F.col("listed").isNotNull()).select(F.monotonically_increasing_id().alias("row"), "tokens", F.col("listed.verdict").alias("verdict"))
     open_ = rows.filter(F.col("listed").isNull())
-    if labelled.isEmpty():
+    n = labelled.count()
+    if not n:
         judged = None
     else:
-        mined = work.written(mine(labelled, **mining), "rules")
+        labelled = work.written(labelled, "labelled")
+        classes = work.written(together(labelled, math.ceil(n * mining.get("min_support", MIN_SUPPORT) * (1 - 1e-9))), "items")
+        mined = work.written(mine(labelled, classes=classes, **mining), "rules")
+        # sets of tokens as sets of items; tokens that no rule can have are left out
         sets = open_.select("tokens").distinct()
+        held = sets.select("tokens", F.explode("tokens").alias("token")).hint("shuffle_merge").join(classes.hint("shuffle_merge"), "token")
+        sets = held.groupBy("tokens").agg(F.collect_set("item").alias("items"))
         index = mined.select("key", F.col("tokens").alias("needed"), "verdict", "confidence", "support")
-        keyed = sets.select("tokens", F.explode("tokens").alias("key"))
+        keyed = sets.select("tokens", "items", F.explode("items").alias("key"))
         if mined.count() <= FEW_RULES:
             met = keyed.join(F.broadcast(index), "key")
         else:
             keyed = keyed.withColumn("salt", F.expr(f"pmod(xxhash64(tokens), {SALTS})"))
             index = index.withColumn("salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
             met = keyed.hint("shuffle_merge").join(index.hint("shuffle_merge"), ["key", "salt"])
-        met = met.filter(F.size(F.array_except("needed", "tokens")) == 0)
+        met = met.filter(F.size(F.array_except("needed", "items")) == 0)
         rank = F.struct("confidence", F.size("needed"), "support", F.array_join("needed", " "), "verdict")
         judged = work.written(met.groupBy("tokens").agg(F.max(rank).alias("best")).select("tokens", F.col("best.verdict").alias("mined"), F.col("best.confidence").alias("confidence")), "judged")
     listed = rows.filter(F.col("listed").isNotNull()).select("page_id", "host", "path", F.col("listed.rule").alias("rule"), F.col("listed.verdict").alias("verdict"), F.lit(None).cast("double").alias("confidence"))

@@ -16,6 +16,92 @@ SF = "/root/testdata/sf0.001"
 WHITE = " \t\n\x0b\f\r"
 
 
+# Earlier operators
+
+
+def brute_rules(rows, least_support, least_confidence):
+    """Rules of single tokens and pairs, by counting: (tokens, verdict) -> (confidence, support), those no smaller one equals."""
+    from itertools import combinations
+
+    out, n = {}, len(rows)
+    names = sorted({t for tokens, _ in rows for t in tokens})
+    for size in (1, 2):
+        for some in combinations(names, size):
+            have = [v for tokens, v in rows if set(some) <= set(tokens)]
+            for v in set(have):
+                if have.count(v) >= least_support * n and have.count(v) >= least_confidence * len(have):
+                    out[some, v] = (have.count(v) / len(have), have.count(v) / n)
+    return {(some, v): x for (some, v), x in out.items() if not any((less, v) in out and out[less, v][0] >= x[0] for less in combinations(some, len(some) - 1) if less)}
+
+
+def test_rules_over_items_equal_rules_over_tokens(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(200):
+        tokens = {f"t{x}" for x in rng.choice(6, 2, replace=False)}
+        tokens |= {"u1", "u2"} if k % 3 == 0 else set()  # always together
+        rows.append((sorted(tokens), "block" if ("u1" in tokens) ^ (rng.random() < 0.2) else "allow"))
+    labelled = spark.createDataFrame([(k, t, v) for k, (t, v) in enumerate(rows)], "row long, tokens array<string>, verdict string")
+    from evigraph.llm import url_rules
+
+    classes = url_rules.together(labelled, 10)
+    items = {r.token: r.item for r in classes.collect()}
+    assert items["u1"] == items["u2"] == "u1"
+    got = {(tuple(r.tokens), r.verdict): (r.confidence, r.support) for r in url_rules.mine(labelled, 0.05, 0.6, classes).collect()}
+    want = brute_rules(rows, 0.05, 0.6)
+    single = {(tuple(sorted({items[t] for t in some})), v): x for (some, v), x in want.items()}
+    assert {k: v for k, v in got.items() if len(k[0]) <= 2} == {k: pytest.approx(v) for k, v in single.items()}
+
+
+def test_many_keys_that_go_together(spark):
+    from evigraph.llm import url_rules
+
+    keys = "&".join(f"key{chr(97 + k % 26)}{chr(97 + k // 26)}=1" for k in range(40))
+    urls = [f"https://a.org/x?{keys}" for _ in range(30)] + [f"https://b.com/de/x?{keys}&bad=1" for _ in range(30)] + ["https://c.net/y?bad=2", "https://c.net/y?keyaa=2", "https://c.net/z"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_rules.judge_urls(pages).collect()}
+    assert got[0] == ("org/", "allow") and got[30] == ("com/de/", "block") and got[60] == (None, "block") and got[62] == (None, "allow")
+
+
+def test_pieces_of_documents_whatever_the_columns(spark):
+    from evigraph.llm import mixing
+
+    words = [f"w{k}" for k in range(3000)]
+    rows = [(k, " ".join(words[k : k + 700 * k]) + "\n tail", "a" if k % 2 else "b", "s", 1, 2, 3, 4, 5) for k in range(1, 5)]
+    docs = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, source string, start string, words int, shard int, slot int, hash int, begin int")
+    got = mixing.mixed_documents(docs, block=64)
+    assert got.columns == docs.columns
+    texts = {r[0]: r[1] for r in rows}
+    out = got.collect()
+    assert out and all(r.text in texts[r.doc_id] and r.start == "s" for r in out)
+    taken = {r.doc_id: r.taken for r in mixing.taken_words(docs, block=64).groupBy("doc_id").agg(F.sum("taken").alias("taken")).collect()}
+    mine = {}
+    for r in out:
+        mine[r.doc_id] = mine.get(r.doc_id, 0) + len(r.text.split())
+    assert mine == {k: v for k, v in taken.items() if v}
+
+
+def test_remembered_ids_are_bounded_by_bytes():
+    import pyarrow as pa
+    import public_tokenizers
+
+    from evigraph.llm import packing
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    before = packing.REMEMBERED
+    packing.REMEMBERED = 100_000
+    try:
+        for k in range(20):
+            texts = pa.array([" ".join(f"{'q' * 90}{k}x{j}" for j in range(50)), "z" * 200_000])
+            ids, first = packing.token_ids(texts, path, 2)
+            want = [packing._tokenizer(path).encode(t, add_special_tokens=False).ids + [2] for t in texts.to_pylist()]
+            assert [ids[a:b].tolist() for a, b in zip(first, first[1:])] == want
+            held = sum(len(w) + len(v) for part in packing._known[path] for w, v in part.items())
+            assert held < 4 * 100_000 and all(len(w) <= packing.LONG for part in packing._known[path] for w in part)
+    finally:
+        packing.REMEMBERED = before
+
+
 # Whitening
 
 
