@@ -102,6 +102,61 @@ def test_remembered_ids_are_bounded_by_bytes():
         packing.REMEMBERED = before
 
 
+def scattered_passages(pieces, every, size, stride, seed=3):
+    """Documents with 60-word passages and altered copies of them, of which every phrase occurs in earlier documents of its own."""
+    rng = np.random.default_rng(seed)
+    fresh = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    base = [fresh(60) for _ in range(8)]
+    docs = [(k, " ".join(fresh(20) + p + fresh(20))) for k, p in enumerate(p[a : a + size] for _ in range(pieces) for p in base for a in range(0, 55, stride))]
+    want = set()
+    for p in base:
+        altered = [w if k % every != every - 1 else fresh(1)[0] for k, w in enumerate(p)]
+        docs += [(len(docs), " ".join(fresh(80) + p + fresh(80))), (len(docs) + 1, " ".join(fresh(80) + altered + fresh(80)))]
+        want.add((len(docs) - 1, len(docs) - 2))
+    return docs, want
+
+
+@pytest.mark.parametrize(("pieces", "every", "size"), [(5, 10, 6), (3, 5, 6), (5, 8, 8)])
+def test_passages_whose_phrases_occur_elsewhere_before(spark, pieces, every, size):
+    from evigraph.llm import chaining
+
+    docs, want = scattered_passages(pieces, every, size, 3)
+    got = chaining.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.of_doc_id) for r in got} == want
+    assert all(r.end - r.start >= 50 and r.equal >= 0.8 * max(r.end - r.start, r.of_end - r.of_start) for r in got)
+
+
+def test_stretches_without_known_passages():
+    from evigraph.llm.chaining import without
+
+    assert without([(0, 100), (200, 260)], [(10, 60), (90, 95), (300, 400)]) == [(60, 90), (200, 260)]
+    assert without([(0, 30)], [(0, 30)]) == [] and without([(0, 24)], []) == []
+
+
+def test_longest_stretches_of_long_texts():
+    from evigraph.llm.chaining import stretches
+
+    rng = np.random.default_rng(0)
+    for _ in range(60):
+        n = int(rng.integers(1, 50))
+        b, a = (np.cumsum(1 + (rng.random(n) < 0.3) * rng.integers(0, 5, n)) for _ in range(2))
+        want, todo = [], [(0, n)]
+        while todo:
+            x, y = todo.pop()
+            fits = [(b[j] - b[i] + 1, -i, j) for i in range(x, y) for j in range(i, y) if b[j] - b[i] + 1 >= 9 and j - i + 1 >= 0.8 * max(b[j] - b[i] + 1, a[j] - a[i] + 1) - 1e-9]
+            if fits:
+                _, i, j = max(fits)
+                want.append((-i, j))
+                todo += [(x, -i), (j + 1, y)]
+        assert stretches(b, a, 9, 0.8) == sorted(want)
+    equal = np.flatnonzero(rng.random(100_000) < 0.75)
+    import time
+
+    began = time.time()
+    stretches(equal, equal, 50, 0.8)
+    assert time.time() - began < 20
+
+
 # Whitening
 
 
