@@ -63,13 +63,13 @@ def similar_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, wo
                 fp1, fp2 = fingerprints(values, first)
                 length = np.where(n > 0, setjoin.prefix_length(n, num, den), 0)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(words.unit_text)), pa.array(words.unit_no.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(fp1), pa.array(fp2), *map(pa.array, setjoin.signatures(values, first)), heads(values, first, length)],
-                    ["d", "l", "n", "fp1", "fp2", *setjoin.SIGNED, "prefix"],
+                    [part.column("doc_id").take(pa.array(words.unit_text)), pa.array(words.unit_no.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(fp1), pa.array(fp2), *map(pa.array, setjoin.signatures(values, first)), setjoin.shorts(values, first), heads(values, first, length)],
+                    ["d", "l", "n", "fp1", "fp2", *setjoin.SIGNED, "short", "prefix"],
                 )
 
-    sketches = work.written(docs.mapInArrow(sketch, "d long, l int, n int, fp1 long, fp2 long, s0 long, s1 long, s2 long, s3 long, prefix array<long>"), "sketches")
+    sketches = work.written(docs.mapInArrow(sketch, "d long, l int, n int, fp1 long, fp2 long, s0 long, s1 long, s2 long, s3 long, short binary, prefix array<long>"), "sketches")
     key = ["fp1", "fp2", "n"]
-    one = sketches.filter("n > 0 and d is not null").groupBy(*key).agg(F.min(F.struct("d", "l", *setjoin.SIGNED, "prefix")).alias("x"))
+    one = sketches.filter("n > 0 and d is not null").groupBy(*key).agg(F.min(F.struct("d", "l", *setjoin.SIGNED, "short", "prefix")).alias("x"))
     classes = work.written(one.select(*key, "x.*"), "classes")
     firsts = work.written(classes.select(*key, F.col("d").alias("d0"), F.col("l").alias("l0")), "firsts")
     members = work.written(sketches.select("d", "l", *key), "members")
@@ -94,7 +94,7 @@ def similar_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, wo
 
         return docs.mapInArrow(some, "d long, l int, tokens array<long>")
 
-    later = work.written(setjoin.later_matches(classes.select("d", "l", "n", *setjoin.SIGNED, "prefix"), load, num, den, work), "later")
+    later = work.written(setjoin.later_matches(classes.select("d", "l", "n", *setjoin.SIGNED, "short", "prefix"), load, num, den, work), "later")
     lines = members.hint("shuffle_merge").join(firsts.hint("shuffle_merge"), key, "left")
     copies = lines.withColumn("copy", F.col("d0").isNotNull() & ((F.col("d") != F.col("d0")) | (F.col("l") != F.col("l0"))))
     again = later.select(F.col("d").alias("d0"), F.col("l").alias("l0"), F.lit(True).alias("again"))

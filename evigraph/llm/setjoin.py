@@ -39,6 +39,8 @@ LONG_LISTS = 20_000
 PARTS = 2
 #: Columns of a signature. In place of l1: a row that tells of a list, or of further candidates.
 SIGNED, LIST, MORE = ("s0", "s1", "s2", "s3"), -2, -3
+#: Elements that a set may have to be told with 16 bits of each where lists are gone through again.
+SHORT = 64
 #: In place of l: the slot of any set of this d.
 WHOLE = -1
 _PAIR = pa.schema([("d1", pa.int64()), ("l1", pa.int32()), ("d2", pa.int64()), ("l2", pa.int32())])
@@ -106,7 +108,13 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict[s
 
 def _table(batches: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
     table = pa.Table.from_batches(batches).combine_chunks()
-    return {c: _packed_rows(table.column(c)) if pa.types.is_binary(table.schema.field(c).type) else table.column(c).to_numpy() for c in table.column_names}
+    return {c: _column(c, table.column(c)) for c in table.column_names}
+
+
+def _column(name: str, column: pa.ChunkedArray) -> np.ndarray | pa.Array:
+    if name == "short":
+        return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return _packed_rows(column) if pa.types.is_binary(column.type) else column.to_numpy()
 
 
 def _packed_rows(column: pa.ChunkedArray) -> np.ndarray:
@@ -243,6 +251,8 @@ def _signed_candidates(t: dict, left: np.ndarray, wanted: np.ndarray, fits, skip
         i, j = i[ok], j[ok]
         ok = _signatures_allow(t, i, j, num, den)
         i, j = i[ok], j[ok]
+        ok = _shorts_allow(t, i, j, num, den)
+        i, j = i[ok], j[ok]
         # a row is the later one of two pairs of a step at most
         for first in (True, False):
             _, at = np.unique(j, return_index=True)
@@ -308,7 +318,7 @@ def further_candidates(entries: DataFrame, num: int, den: int, skip: int, most:
             fits = lambda i, j: (t["blk"][i] != t["blk"][j]) | (t["b1"][i] == t["b2"][i])  # noqa: B023, E731
             yield from _told(t, *_signed_candidates(t, left, t["mark"] == 0, fits, skip, most, num, den))
 
-    return _dealt(entries, SIGNED).mapInArrow(candidates, _PAIR_DDL)
+    return _dealt(entries, (*SIGNED, "short")).mapInArrow(candidates, _PAIR_DDL)
 
 
 def _dealt(entries: DataFrame, bounds: tuple[str, ...]) -> DataFrame:
@@ -344,6 +354,41 @@ def _signatures_allow(t: dict, i: np.ndarray, j: np.ndarray, num: int, den: int)
     return np.minimum(n1 - alone, n2 - other) >= least_overlap(n1, n2, num, den)
 
 
+def shorts(values: np.ndarray, first: np.ndarray) -> pa.Array:
+    """16 bits of each element of every unit, packed; none for units of more than SHORT elements."""
+    size = np.diff(first)
+    small = (size <= SHORT) & (size > 0)
+    low = (values >> np.uint64(8)).astype(np.uint16)[np.repeat(small, size)]
+    ends = np.append(0, np.cumsum(np.where(small, size, 0))) * 2
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(low.tobytes())])
+
+
+def _shorts_allow(t: dict, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether enough elements of either set have the 16 bits of one of the other's; true for pairs with a set that has none told."""
+    if "short" not in t or not len(i):
+        return np.ones(len(i), bool)
+    used, at = np.unique(np.concatenate((i, j)), return_inverse=True)
+    rows = t["short"].take(pa.array(used))
+    size = np.diff(np.frombuffer(rows.buffers()[1], np.int32)[rows.offset : rows.offset + len(rows) + 1].astype(np.int64)) // 2
+    flat = np.frombuffer(b"".join(rows.to_pylist()), np.uint16).astype(np.uint64)
+    begin = np.cumsum(size) - size
+    n1, n2 = t["n"][i].astype(np.int64), t["n"][j].astype(np.int64)
+    out = np.ones(len(i), bool)
+    for a in range(0, len(i), 100_000):
+        x, y = at[: len(i)][a : a + 100_000], at[len(i) :][a : a + 100_000]
+        told = (size[x] > 0) & (size[y] > 0)
+        keys, of = [], []
+        for side in (x, y):
+            count = np.where(told, size[side], 0)
+            row = np.repeat(np.arange(len(side)), count)
+            place = np.repeat(begin[side] - (np.cumsum(count) - count), count) + np.arange(len(row))
+            keys.append((row.astype(np.uint64) << np.uint64(16)) | flat[place])
+            of.append(row)
+        shared = [np.bincount(of[k][np.isin(keys[k], keys[1 - k])], minlength=len(x)) for k in (0, 1)]
+        out[a : a + 100_000] = ~told | (np.minimum(*shared) >= least_overlap(n1[a : a + 100_000], n2[a : a + 100_000], num, den))
+    return out
+
+
 def open_pairs(entries: DataFrame, num: int, den: int) -> DataFrame:
     """Distinct pairs within each element of different marks (components still apart).
 
@@ -535,10 +580,12 @@ def _left_open(entries: DataFrame, known: DataFrame, sets: DataFrame, num: int,
 
 
 def later_matches(sets: DataFrame, load, num: int, den: int, work: Workspace) -> DataFrame:
-    """(d, l) of every set with a similar set before it in (d, l) order. Sets have SIGNED in place of sizes.
+    """(d, l) of every set with a similar set before it in (d, l) order. Sets have SIGNED and short (see ``shorts``) in place of sizes.
 
     First every set meets one candidate of each list; only the lists of sets that
-    found no match so, and have further candidates, are gone through again.
+    found no match so, and have further candidates, are gone through again, with
+    16 bits of every element of small sets told besides the signatures, so that
+    few candidates are none.
     """
     columns = ["d", "l", "n", *SIGNED]
     entries = lambda part: sets.select(*columns, F.posexplode("prefix").alias("pos", "h")).filter(F.pmod("h", F.lit(PARTS)) == part)
@@ -590,7 +637,7 @@ def _entries_beside(sets: DataFrame, open_: DataFrame, num: int, den: int) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(kind + np.int32(near + 1)), pa.array(h), pa.array(kind + np.int32(near + 1))], schema=_PAIR)
 
     of_elements = wanted(sets.select("d", "l", "n", "prefix").mapInArrow(elements, _PAIR_DDL))
-    columns = ["d", "l", "n", *SIGNED]
+    columns = ["d", "l", "n", *SIGNED, "short"]
 
     def beside(batches):
         for b in batches:
@@ -603,4 +650,4 @@ def _entries_beside(sets: DataFrame, open_: DataFrame, num: int, den: int) -> Da
             row = row[at]
             yield pa.RecordBatch.from_arrays([pa.array(h[at]), *(b.column(c).take(pa.array(row)) for c in columns), pa.array(pos[at].astype(np.int32)), pa.array(mark[row])], ["h", *columns, "pos", "mark"])
 
-    return sets.select(*columns, "prefix").mapInArrow(beside, "h long, d long, l int, n int, s0 long, s1 long, s2 long, s3 long, pos int, mark long")
+    return sets.select(*columns, "prefix").mapInArrow(beside, "h long, d long, l int, n int, s0 long, s1 long, s2 long, s3 long, short binary, pos int, mark long")

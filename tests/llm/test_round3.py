@@ -102,6 +102,33 @@ def test_remembered_ids_are_bounded_by_bytes():
         packing.REMEMBERED = before
 
 
+def test_lines_with_many_candidates_that_are_none(spark):
+    """Variants of one line that differ from one another in two words and more: hundreds of candidates a line, few of them similar."""
+    from evigraph.llm import line_dedup
+
+    rng = np.random.default_rng(8)
+    base = [f"b{k}" for k in range(12)]
+    texts, long = [], [f"l{k}" for k in range(90)]
+    for k in range(260):
+        one = list(base)
+        for at in rng.choice(12, 2, replace=False):
+            one[at] = f"x{rng.integers(0, 90)}"
+        two = list(long)
+        for at in rng.choice(90, int(rng.integers(8, 14)), replace=False):
+            two[at] = f"y{rng.integers(0, 5000)}"
+        texts.append((k, " ".join(one) + "\n" + " ".join(two)))
+    got = {r.doc_id: r.removed for r in line_dedup.similar_lines(spark.createDataFrame(texts, "doc_id long, text string"), k=1).collect()}
+    seen, want = [], {}
+    for k, text in texts:
+        want[k] = []
+        for n, line in enumerate(text.split("\n")):
+            words = set(line.split())
+            if any(100 * len(words & x) >= 80 * len(words | x) for x in seen):
+                want[k].append(n)
+            seen.append(words)
+    assert got == want and 10 < sum(map(len, want.values())) < 500
+
+
 def scattered_passages(pieces, every, size, stride, seed=3):
     """Documents with 60-word passages and altered copies of them, of which every phrase occurs in earlier documents of its own."""
     rng = np.random.default_rng(seed)
