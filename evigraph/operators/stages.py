@@ -126,6 +126,25 @@ def reference_id(xrefs: Column, canonical: Column, fallback: Column) -> Column:
     return F.coalesce(F.try_element_at(F.filter(xrefs, lambda x: x["source"] == "SourceID"), F.lit(1))["id"], canonical, fallback)
 
 
+def with_own_entry(rows: DataFrame, entries: DataFrame) -> DataFrame:
+    """rows (graph_id, query, anchor, used) with the ortholog database's entry for the id that found relatives, and the node they hang from.
+
+    entries: id, entry_nr, omaid, canonical_id, species, tax_id; ids meet whatever
+    the case, the entry of the least number counts. ``subject`` is the entry's
+    node, for rows without one the anchor, as its claims aren't the entry's.
+    """
+    side = entries.filter("omaid is not null and omaid <> ''").groupBy(F.lower("id").alias("_used")).agg(F.min(F.struct("entry_nr", "omaid", "canonical_id", "species", "tax_id")).alias("_e"))
+    met = merge_join(rows.withColumn("_used", F.lower("used")), side, "_used", "left")
+    own = I.node_id("oma", F.col("_e.omaid"))
+    told = met.select(*rows.columns, "_e.*", own.alias("entry"), F.coalesce("_e.canonical_id", "_e.omaid").alias("label"))
+    return told.withColumn("subject", F.coalesce("entry", "anchor"))
+
+
+def own_entry_claims(rows: DataFrame) -> DataFrame:
+    """(graph_id, subject, predicate, object): each query is the same as its own entry, of rows from ``with_own_entry``."""
+    return rows.filter("entry is not null").select("graph_id", F.col("query").alias("subject"), F.lit("same_as").alias("predicate"), F.col("entry").alias("object")).distinct()
+
+
 def member_order(members: DataFrame, keys: Sequence[str], related: Column, core: Column, place: Sequence) -> DataFrame:
     """Members with their place: those of a species with a related assembly first, then core ones, then as listed."""
     w = Window.partitionBy(*keys).orderBy(F.desc(F.coalesce(related, F.lit(False))), F.desc(F.coalesce(core, F.lit(False))), *place)

@@ -385,3 +385,21 @@ def ortholog_entries(spark, sf_dir):
     refs = F.array(ref("Other", F.lit("o")), ref("SourceID", F.when(_mod(k, 3) == 0, F.lit("")).otherwise(F.concat(F.lit("s"), k))), ref("SourceID", F.when(_mod(k, 3) != 0, F.lit("later"))))
     ids = snapshots.source_ids(snapshots.cross_references(o.select(k.alias("entry_nr"), refs.alias("xrefs"))))
     return stages.merge_join(entries, ids, "entry_nr", "left").select("entry_nr", "species", "tax_id", "source_id")
+
+
+@query("""WITH e AS (SELECT 'LT_' || o_custkey AS id, min((o_orderkey, 'OMA' || o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END)) AS e FROM orders WHERE o_orderkey % 5 <> 0 GROUP BY 1)
+ SELECT 'r' || c_custkey AS graph_id, 'oma:' || e.e[2] AS entry, coalesce(e.e[3], e.e[2]) AS label, coalesce('oma:' || e.e[2], 'ncbigene:' || c_custkey) AS subject FROM customer LEFT JOIN e ON id = 'LT_' || c_custkey""")
+def own_entries(spark, sf_dir):
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    k, n = F.col("c_custkey"), F.col("o_orderkey")
+    rows = c.select(F.concat(F.lit("r"), k).alias("graph_id"), F.concat(F.lit("q"), k).alias("query"), F.concat(F.lit("ncbigene:"), k).alias("anchor"), F.concat(F.lit("lt_"), k).alias("used"))
+    entries = o.select(F.concat(F.lit("LT_"), "o_custkey").alias("id"), n.alias("entry_nr"), F.when(_mod(n, 5) != 0, F.concat(F.lit("OMA"), n)).alias("omaid"), F.when(_mod(n, 2) == 0, F.col("o_orderstatus")).alias("canonical_id"), F.lit("s").alias("species"), F.lit("1").alias("tax_id"))
+    return stages.with_own_entry(rows, entries).select("graph_id", "entry", "label", "subject")
+
+
+@query("""SELECT 'case' || o_orderkey AS "case", o_orderstatus AS outcome, o_totalprice > 1e5 AS ok, o_totalprice AS wall_s FROM orders WHERE o_orderpriority = (SELECT max(o_orderpriority) FROM orders WHERE contains(o_orderpriority, 'I'))""")
+def loaded_run(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.lit("case").alias("kind"), F.concat(F.lit("case"), "o_orderkey").alias("case"), F.col("o_orderstatus").alias("outcome"), (F.col("o_totalprice") > 1e5).alias("ok"), F.col("o_totalprice").alias("wall_s"), F.col("o_orderpriority").alias("run"))
+    work = Work(spark)
+    snapshots.write_runs(rows, f"{work.path}/runs")
+    return snapshots.load_run(spark, f"{work.path}/runs", "I").select("case", "outcome", "ok", "wall_s")

@@ -250,3 +250,28 @@ def test_a_reader_holds_one_element_at_a_time():
 def test_default_categories(spark):
     row = spark.range(1).select(asks.category(F.lit("n"), F.lit("claim"), F.lit("c")).alias("a")).first()
     assert [c.key for c in row.a.criteria] == [*CLAIM_CATEGORIES, "other"] and len(CLAIM_CATEGORIES) == 22
+
+
+def test_runs_are_written_and_the_last_one_found(spark, tmp_path):
+    from evigraph.sources import snapshots
+
+    rows = [("case", "a", "resolved", True, "20260101-smoke"), ("config", None, None, None, "20260102-smoke"), ("case", "a", "refused", False, "20260102-smoke"), ("case", "b", "resolved", True, "smoke")]
+    df = spark.createDataFrame(rows, "kind string, case string, outcome string, ok boolean, run string")
+    snapshots.write_runs(df.filter("run <> 'smoke'"), str(tmp_path / "runs"))
+    assert {(r.kind, r.outcome) for r in snapshots.load_run(spark, str(tmp_path / "runs"), "smoke").collect()} == {("config", None), ("case", "refused")}
+    snapshots.write_runs(df.filter("run = 'smoke'"), str(tmp_path / "runs"))
+    assert [r.case for r in snapshots.load_run(spark, str(tmp_path / "runs"), "smoke").collect()] == ["b"]
+    assert snapshots.load_run(spark, str(tmp_path / "runs"), "nothing").count() == 0
+    cases = spark.createDataFrame([("1", "t1", "x"), ("2", "t1", "y"), ("y", "t2", "z")], "id string, tier string, name string")
+    assert {r.name for r in snapshots.picked_cases(cases, "t1").collect()} == {"x", "y"} and {r.name for r in snapshots.picked_cases(cases, case="y").collect()} == {"y", "z"}
+    diffs = spark.createDataFrame([("s1", "q", 0.5), ("s2", "q", 0.1)], "stage string, qid string, delta double")
+    snapshots.write_diffs(diffs, str(tmp_path / "diffs"))
+    assert {(r.stage, r.delta) for r in spark.read.json(str(tmp_path / "diffs")).collect()} == {("s1", 0.5), ("s2", 0.1)}
+
+
+def test_relatives_hang_from_the_own_entry(spark):
+    rows = spark.createDataFrame([("g", "q", "ncbigene:1", "Id1"), ("h", "q", "ncbigene:2", "none"), ("i", "q", "ncbigene:3", None)], "graph_id string, query string, anchor string, used string")
+    entries = spark.createDataFrame([("ID1", 9, "B", None, "s", "1"), ("id1", 5, "A", "canon", "s", "1"), ("id1", 1, None, "x", "s", "1")], "id string, entry_nr long, omaid string, canonical_id string, species string, tax_id string")
+    got = stages.with_own_entry(rows, entries)
+    assert {(r.graph_id, r.subject, r.label) for r in got.collect()} == {("g", "oma:A", "canon"), ("h", "ncbigene:2", None), ("i", "ncbigene:3", None)}
+    assert [tuple(r) for r in stages.own_entry_claims(got).collect()] == [("g", "q", "same_as", "oma:A")]
