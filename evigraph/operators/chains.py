@@ -3,23 +3,24 @@
 Between the passes tables are written (``work``), as a proposer's and a judge's
 answers must not be asked for twice. Both are batch functions: a judge maps the
 asks of one chunk (a pandas frame with ``item`` and ``body``) to (item, noul), a
-proposer maps (item, system, user) to (item, content). What raises fails its
+proposer maps (item, system, user) to (item, content). Where a judge is to choose, it
+gives (item, noul, choice). What raises fails its
 chunk alone: such questions are answered unscored, such graphs have no summary.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import CATEGORY_TEXTS
+from ..constants import CATEGORY_TEXTS, CLAIM_CATEGORIES, PROMPT_CHARS
 from ..functions import asks as A
 from ..functions import text as T
 from ..sources.workspace import Work
-from . import passes
+from . import claims, passes
 from .asking import judged_chunks
 from .graph import graph_text, picked_categories, projection, slice_graphs
 from .stages import merge_join
@@ -91,3 +92,44 @@ def verified_summaries(nodes: DataFrame, edges: DataFrame, meta: DataFrame, judg
     asked = asked.select("graph_id", F.col("claim_no").alias("item"), F.to_json(A.summary_claim(F.col("query"), F.col("text"), F.col("claim"))).alias("body"))
     verdicts = work(judged_chunks(asked, judge, ["graph_id"], ["item"], "noul double").select("graph_id", F.col("item").alias("claim_no"), "noul"), "verdicts")
     return passes.summaries(graphs.select("graph_id"), own, nodes, contents, verdicts)
+
+
+def proposed_claims(items: DataFrame, confidence: DataFrame, judge: Batch, proposer: Batch, work: Work, vocabulary: Mapping[str, str] = CLAIM_CATEGORIES) -> DataFrame:
+    """Edges, as ``passes.text_claims`` gives them, that a proposer found in texts and a judge looked at.
+
+    items: graph_id, node, kind, label, body; confidence: node, confidence.
+
+    1. the judge scores how much each text has to say, 0 to 3 (chunks of a graph's
+       items of a kind); the best of those that reach one half go on;
+    2. the proposer lists conditions and claims and cites sentences (a chunk a text);
+    3. it words the conditions of a text alike; where it fails, or gives another
+       number of labels, the first wording stays;
+    4. the judge says how far each proposal holds, and names a category for claims.
+
+    Texts whose triage or proposals failed give no edges, nor do proposals
+    without a verdict; a claim without a category is of category other.
+    """
+    asked = work(claims.triage_asked(claims.triage_items(items), confidence).drop("place"), "asked")
+    chunk = ["graph_id", "kind", "chunk"]
+    bodies = claims.chunked(asked, chunk[:2], ["node"]).select(*chunk, F.col("node").alias("item"), F.to_json(A.triage(F.col("node"), F.col("kind"), F.col("text"))).alias("body"))
+    scores = work(judged_chunks(bodies, judge, chunk, ["item"], "noul double").filter("noul is not null").select(F.col("item").alias("node"), F.col("noul").alias("score")), "scores")
+    triaged = claims.triage_survivors(asked.withColumn("place", F.lit(0)), scores)
+    units = merge_join(triaged.select("node").distinct(), items.select("node", "body").dropDuplicates(["node"]), "node").select("node", T.truncated(F.col("body"), PROMPT_CHARS).alias("units"))
+    units = work(units, "units")
+    prompts = lambda rows, p: rows.select("node", F.lit(0).alias("item"), p.alias("p")).select("node", "item", "p.system", "p.user")
+    told = prompts(units, A.text_prompt(F.col("node"), T.numbered(F.col("units"))))
+    said = lambda rows, name: work(judged_chunks(rows, proposer, ["node"], ["item"], "content string").filter("content is not null").select("node", "content"), name)
+    contents = said(told, "contents")
+    found = work(passes.proposed(units, ["node"], contents), "proposed")
+    conditions = found.filter("type = 'condition'").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("claim_no", "claim"))).alias("x"))
+    conditions = conditions.select("node", F.transform("x", lambda c: c["claim_no"]).alias("numbers"), F.transform("x", lambda c: c["claim"]).alias("claims"))
+    worded = merge_join(conditions, said(prompts(conditions, A.normalize_prompt(F.col("claims"))), "wordings"), "node")
+    given = T.labels_or_none(F.from_json("content", "normalized string")["normalized"], F.size("numbers"))
+    labels = worded.select("node", F.explode(F.arrays_zip(F.col("numbers").alias("n"), given.alias("label"))).alias("z")).select("node", F.col("z.n").alias("claim_no"), F.col("z.label").alias("label"))
+    final = merge_join(passes.normalized(found, labels, ["node"]), units, "node")
+    body = F.array_join("units", " ")
+    judged = final.select("node", F.col("claim_no").alias("item"), F.to_json(A.verify(F.col("node"), F.col("type"), F.col("claim"), F.col("quote"), body)).alias("body"))
+    verdicts = work(judged_chunks(judged, judge, ["node"], ["item"], "noul double").select("node", F.col("item").alias("claim_no"), "noul"), "verdicts")
+    kinds = final.select("node", F.col("claim_no").alias("item"), F.to_json(A.category(F.col("node"), F.col("type"), F.col("claim"), vocabulary)).alias("body")).filter("body is not null")
+    chosen = work(judged_chunks(kinds, judge, ["node"], ["item"], "choice string").select("node", F.col("item").alias("claim_no"), F.col("choice").alias("category")), "chosen")
+    return passes.text_claims(items, confidence, scores, contents, labels, merge_join(verdicts, chosen, ["node", "claim_no"], "left"))

@@ -72,9 +72,15 @@ propose = judge
 
 def verified_claims(proposals: DataFrame, answers: DataFrame) -> DataFrame:
     """Edges of proposals that were judged, however low; those without an answer go."""
-    judged = proposals.join(answers.filter("noul is not null"), ["node", "claim_no"])
-    predicate = F.when(F.col("type") == "condition", "has_condition").otherwise("reports")
-    return judged.select(F.col("node").alias("subject"), predicate.alias("predicate"), F.concat(F.when(F.col("type") == "condition", "condition:").otherwise("claim:"), F.substring(F.sha2("claim", 256), 1, 12)).alias("object"), "claim", "quote", F.col("noul").alias("confidence"))
+    judged = proposals.hint("shuffle_merge").join(answers.filter("noul is not null").hint("shuffle_merge"), ["node", "claim_no"])
+    return judged.select(*claim_triple(), "claim", "quote", F.col("noul").alias("confidence"))
+
+
+def claim_triple() -> list[Column]:
+    """(subject, predicate, object) of a judged proposal (node, type, claim): what it says is a node named by its hash."""
+    condition = F.col("type") == "condition"
+    named = F.concat(F.when(condition, "condition:").otherwise("claim:"), F.substring(F.sha2("claim", 256), 1, 12))
+    return [F.col("node").alias("subject"), F.when(condition, "has_condition").otherwise("reports").alias("predicate"), named.alias("object")]
 
 
 def citation_fidelity(answers: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -141,7 +147,7 @@ def claim_overlap(recorded: DataFrame, generated: DataFrame, least: float) -> Da
     pairs = pairs.withColumn("sim", similarity(F.col("a"), F.col("b")))
     best = lambda side: pairs.groupBy("ask_id", side).agg(F.max("sim").alias("best")).groupBy("ask_id").agg((F.round(F.sum("best"), 4) / F.count("*")).alias("mean"), F.count_if(F.col("best") >= least).alias("matched"), F.count("*").alias("n"))
     r, p = best("i"), best("j")
-    return r.select("ask_id", F.col("mean").alias("recall"), F.col("matched").alias("recorded_matched"), F.col("n").alias("n_recorded")).join(p.select("ask_id", F.col("mean").alias("precision"), F.col("matched").alias("generated_matched"), F.col("n").alias("n_generated")), "ask_id")
+    return r.select("ask_id", F.col("mean").alias("recall"), F.col("matched").alias("recorded_matched"), F.col("n").alias("n_recorded")).hint("shuffle_merge").join(p.hint("shuffle_merge").select("ask_id", F.col("mean").alias("precision"), F.col("matched").alias("generated_matched"), F.col("n").alias("n_generated")), "ask_id")
 
 
 def greedy_matches(pairs: DataFrame, least: float) -> DataFrame:

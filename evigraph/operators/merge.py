@@ -8,19 +8,22 @@ from pyspark.sql import functions as F
 TRIPLE = ("graph_id", "subject", "predicate", "object")
 
 
-def merge_claims(raw: DataFrame) -> DataFrame:
+def merge_claims(raw: DataFrame, evidence: str | None = None) -> DataFrame:
     """One row per (graph_id, subject, predicate, object) of raw claims with confidence, jev_question_id and seq.
 
     The first row that reaches the highest confidence wins; its question id
     stays, and if that is blank the first one after it fills in. Window and
-    aggregate share one shuffle on the triple. n_raw counts the repeats.
+    aggregate share one shuffle on the triple. n_raw counts the repeats. With the
+    name of an evidence column the distinct ones of all rows are kept as an array
+    under that name, in order of seq: they share the shuffle.
     """
     w = Window.partitionBy(*TRIPLE)
     best = F.max(F.struct(F.col("confidence").alias("c"), (-F.col("seq")).alias("s"), F.col("jev_question_id").alias("q"))).over(w)
     marked = raw.withColumn("best", best)
     fill = F.when((F.col("jev_question_id") != "") & (F.col("seq") > -F.col("best.s")), F.struct("seq", "jev_question_id"))
-    merged = marked.groupBy(*TRIPLE).agg(F.max("confidence").alias("confidence"), F.max("best.q").alias("own"), F.min(fill).alias("fill"), F.count("*").alias("n_raw"))
-    return merged.select(*TRIPLE, "confidence", F.coalesce(F.nullif("own", F.lit("")), "fill.jev_question_id", F.lit("")).alias("jev_question_id"), "n_raw")
+    merged = marked.groupBy(*TRIPLE).agg(F.max("confidence").alias("confidence"), F.max("best.q").alias("own"), F.min(fill).alias("fill"), F.count("*").alias("n_raw"), *([F.array_sort(F.collect_set(F.struct("seq", evidence))).alias("_told")] if evidence else []))
+    told = [F.array_distinct(F.transform("_told", lambda x: x[evidence])).alias(evidence)] if evidence else []
+    return merged.select(*TRIPLE, "confidence", F.coalesce(F.nullif("own", F.lit("")), "fill.jev_question_id", F.lit("")).alias("jev_question_id"), "n_raw", *told)
 
 
 def merge_evidence(raw: DataFrame) -> DataFrame:

@@ -48,9 +48,7 @@ def text_claims(items: DataFrame, confidence: DataFrame, scores: DataFrame, cont
     condition = F.col("type") == "condition"
     edges = judged.select(
         "node",
-        F.col("node").alias("subject"),
-        F.when(condition, "has_condition").otherwise("reports").alias("predicate"),
-        F.concat(F.when(condition, "condition:").otherwise("claim:"), F.substring(F.sha2("claim", 256), 1, 12)).alias("object"),
+        *claims.claim_triple(),
         "claim",
         "quote",
         T.clamped(F.col("noul").cast("string")).alias("confidence"),

@@ -71,7 +71,7 @@ def _sightings(spark, sf_dir):
 def node_merge(spark, sf_dir):
     nodes, attrs = merge.merge_nodes(_sightings(spark, sf_dir))
     wide = attrs.groupBy("graph_id", "id").pivot("key", ["flag", "line"]).agg(F.first("value"))
-    return nodes.join(wide, ["graph_id", "id"], "left")
+    return stages.merge_join(nodes, wide, ["graph_id", "id"], "left")
 
 
 @query(f"WITH {MERGED} SELECT * FROM edge WHERE confidence >= 0.7")
@@ -148,7 +148,7 @@ def compact_edges(spark, sf_dir):
 def ego_network(spark, sf_dir):
     edges = _edges(spark, sf_dir)
     near, around = graph.ego(_nodes(edges), edges, _queries(edges).withColumnRenamed("id", "centre"))
-    return near.join(around.groupBy("graph_id").agg(F.count("*").alias("n_edges")), "graph_id")
+    return stages.merge_join(near, around.groupBy("graph_id").agg(F.count("*").alias("n_edges")), "graph_id")
 
 
 _ORDER_SQL = "list_position(['IdType', 'Gene', 'Organism', 'Assembly', 'OrthologGroup', 'Transcript', 'Protein', 'Domain', 'GOTerm', 'Pathway', 'Dataset', 'Condition', 'Publication'], type)"
@@ -184,7 +184,7 @@ def group_rollup(spark, sf_dir):
     groups = nodes.select("graph_id", "id", F.col("type").alias("grp"))
     shown = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat_ws(":", e["key"], e["value"])), ",")
     inside = graph.group_contents(nodes, groups).select("graph_id", F.col("grp").alias("group_a"), F.col("size").alias("size_a"), F.col("labels").alias("labels_a"), shown("types").alias("types_a"))
-    return graph.group_links(edges, groups).withColumn("predicates", shown("predicates")).join(inside, ["graph_id", "group_a"])
+    return graph.group_links(edges, groups).withColumn("predicates", shown("predicates")).hint("shuffle_merge").join(inside.hint("shuffle_merge"), ["graph_id", "group_a"])
 
 
 @query("""SELECT 'g' || (c_custkey % 10) AS graph_id, 'cust:' || c_custkey AS id, c_mktsegment AS type, CASE WHEN c_custkey % 4 = 0 THEN 'cust:' || c_custkey ELSE c_name END AS label,

@@ -11,6 +11,7 @@ from ..sources.adapters import MERGED, RAW, raw_edges, table
 from ..sources.workspace import Work
 from ..streaming import claims as streams
 from .graph_queries import _SIGHTINGS
+from .pass_queries import ORACLE_SQL as _PASS_SQL
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -403,3 +404,40 @@ def loaded_run(spark, sf_dir):
     work = Work(spark)
     snapshots.write_runs(rows, f"{work.path}/runs")
     return snapshots.load_run(spark, f"{work.path}/runs", "I").select("case", "outcome", "ok", "wall_s")
+
+
+def _number(body: str) -> int:
+    """The document that an ask or a prompt is about."""
+    return int(body.split('"node\\":\\"')[1].split('\\"')[0]) if '"node\\"' in body else int(body.split("Node: ")[1].split("\n")[0])
+
+
+def _reads(frame: pd.DataFrame) -> pd.DataFrame:
+    """Stands for a judge of texts: fails for the verdicts of every seventh document."""
+    numbers = [_number(b) for b in frame["body"]]
+    if "chunk" in frame.columns:
+        return pd.DataFrame({"item": frame["item"], "noul": [float(n % 4) for n in numbers]})
+    if '"qtype":"choice"' in frame["body"].iloc[0]:
+        return pd.DataFrame({"item": frame["item"], "choice": "role"})
+    if numbers[0] % 7 == 0:
+        raise RuntimeError("no verdict")
+    return pd.DataFrame({"item": frame["item"], "noul": [(n * 37 % 101) / 100 for n in numbers]})
+
+
+def _finds(frame: pd.DataFrame) -> pd.DataFrame:
+    """Stands for a proposer of conditions and claims."""
+    user = frame["user"].iloc[0]
+    if user.startswith("Labels: "):
+        return pd.DataFrame({"item": frame["item"], "content": ['{"normalized": ["dry  heat"]}']})
+    n = _number(user)
+    kind, claim = ("condition", f"heat {n}") if n % 2 == 0 else ("claim", f"it  grows {n}")
+    return pd.DataFrame({"item": frame["item"], "content": ['{"proposals": [{"claim": "%s", "type": "%s", "citations": [1]}]}' % (claim, kind)]})
+
+
+@query(_PASS_SQL["text_claim_pass"])
+def texts_to_claims(spark, sf_dir):
+    k = F.col("doc_id")
+    docs = table(spark, sf_dir, "documents").filter("source is not null")
+    node = k.cast("string").alias("node")
+    items = docs.select(F.col("source").alias("graph_id"), node, F.lit("publication").alias("kind"), F.lit("").alias("label"), F.col("text").alias("body"))
+    none = docs.filter("false").select(node, F.lit(0.0).alias("confidence"))
+    return chains.proposed_claims(items, none, _reads, _finds, Work(spark)).drop("quote")

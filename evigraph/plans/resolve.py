@@ -167,8 +167,7 @@ def resolve(queries: DataFrame, sources: dict[str, DataFrame], answers: DataFram
     raw = reduce(DataFrame.unionByName, (part.withColumn("seq", F.lit(n).cast("bigint")) for n, part in enumerate(parts)))
     if work is not None:
         raw = work(raw, "raw")
-    told = raw.groupBy(*merge.TRIPLE).agg(F.transform(F.array_sort(F.collect_set(F.struct("seq", "evidence"))), lambda x: x["evidence"]).alias("evidence"))
-    edges = stages.merge_join(merge.merge_claims(raw.drop("evidence", "seen")), told, list(merge.TRIPLE)).filter(F.col("confidence") >= config.least_confidence)
+    edges = merge.merge_claims(raw.drop("seen"), "evidence").filter(F.col("confidence") >= config.least_confidence)
     meta = matched.select("graph_id", "query", "namespace", "depth", "outcome")
     asked = known.select("graph_id", F.col("query").alias("id"), _seen("Gene", F.col("query"), F.col("namespace")).alias("seen"), F.lit(-1).cast("long").alias("seq"))
     seen = asked.unionByName(raw.select("graph_id", F.col("object").alias("id"), "seen", "seq"))
