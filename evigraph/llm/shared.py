@@ -59,12 +59,31 @@ def _freeing_shuffles(spark: SparkSession):
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
 
 
+_made: list[Workspace] = []
+
+
+@contextlib.contextmanager
+def dropped_after():
+    """Frees, at its end, the folders of all operators called inside: their results must have been written by then.
+
+    An operator's result reads its tables for as long as it is used, so only its
+    caller knows when they may go.
+    """
+    before = len(_made)
+    try:
+        yield
+    finally:
+        while len(_made) > before:
+            _made.pop().close()
+
+
 class Workspace:
     """A folder of one operator call under the shared folder."""
 
     def __init__(self, spark: SparkSession):
         small_batches(spark)
         self.spark, self.path = spark, f"{shared_dir(spark)}/evigraph-{uuid.uuid4().hex}"
+        _made.append(self)
 
     def written(self, df: DataFrame, name: str, *by: str) -> DataFrame:
         """Cuts lineage and fixes sizes: writes df as Parquet and reads it back."""
@@ -79,7 +98,13 @@ class Workspace:
 
     def drop(self, *names: str) -> None:
         """Frees tables that nothing reads any more."""
-        jvm = self.spark._jvm
         for name in names:
-            at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+            self._delete(f"{self.path}/{name}")
+
+    def close(self) -> None:
+        """Frees all tables of the call."""
+        self._delete(self.path)
+
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)

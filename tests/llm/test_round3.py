@@ -184,6 +184,20 @@ def test_longest_stretches_of_long_texts():
     assert time.time() - began < 20
 
 
+def test_the_tables_of_operators_go_when_their_results_are_written(spark, tmp_path):
+    import os
+
+    from evigraph.llm import norm_topk
+    from evigraph.llm.shared import dropped_after, shared_dir
+
+    rows = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(30)], "vec_id long, embedding array<double>")
+    before = set(os.listdir(shared_dir(spark)))
+    with dropped_after():
+        norm_topk.top_inner_products(rows, query_every=10, k=2).write.parquet(str(tmp_path / "found"))
+        assert set(os.listdir(shared_dir(spark))) - before
+    assert set(os.listdir(shared_dir(spark))) == before and spark.read.parquet(str(tmp_path / "found")).count() == 6
+
+
 # Whitening
 
 
