@@ -10,7 +10,7 @@ from evigraph.llm.mixing import mixed_documents
 from evigraph.llm.ngram_join import one_of_each_group
 from evigraph.llm.packing import pack_powers
 from evigraph.llm.quality_net import keep_good, train
-from evigraph.llm.shared import Workspace
+from evigraph.llm.shared import Workspace, dropped_after
 
 #: Vocabulary of the packing stage; see pack_powers for which tokenizers fit.
 TOKENIZER = "word_bpe_49k.json"
@@ -53,7 +53,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         by = ["bucket"] if name == "packing" else []  # sequences of one length lie in one folder
-        docs = work.written(stage(spark, docs, sf_dir), f"{k}-{name}", *by)
+        with dropped_after():  # the stage's own tables
+            docs = work.written(stage(spark, docs, sf_dir), f"{k}-{name}", *by)
         if k:
             work.drop(f"{k - 1}-{STAGES[k - 1][0]}")
     return docs
