@@ -40,7 +40,7 @@ PARTS = 2
 #: Columns of a signature. In place of l1: a row that tells of a list, or of further candidates.
 SIGNED, LIST, MORE = ("s0", "s1", "s2", "s3"), -2, -3
 #: Elements that a set may have to be told with 16 bits of each where lists are gone through again.
-SHORT = 64
+SHORT = 256
 #: In place of l: the slot of any set of this d.
 WHOLE = -1
 _PAIR = pa.schema([("d1", pa.int64()), ("l1", pa.int32()), ("d2", pa.int64()), ("l2", pa.int32())])
@@ -595,7 +595,7 @@ def later_matches(sets: DataFrame, load, num: int, den: int, work: Workspace) ->
     found = work.written(first.select(F.col("d2").alias("d"), F.col("l2").alias("l")).distinct(), "found-0")
     long = work.written(told.filter(F.col("l1") == LIST).groupBy(F.col("d1").alias("h")).agg(F.ceil(F.sum("d2") / BLOCK).cast("int").alias("nb")), "long")
     n = long.count()
-    for turn, (skip, most) in enumerate(((0, 2), (2, 6), (8, 24), (32, 1 << 40)), 1):  # few first, as most sets with candidates have a match among them
+    for turn, (skip, most) in enumerate(((0, 3), (3, 1 << 40)), 1):  # few first, as most sets with candidates have a match among them
         named = told.filter(F.col("l1") == MORE).select(F.col("d2").alias("d"), F.col("l2").alias("l")).distinct()
         open_ = work.written(named.hint("shuffle_merge").join(found.hint("shuffle_merge"), ["d", "l"], "left_anti"), f"open-{turn}")
         if open_.isEmpty():
