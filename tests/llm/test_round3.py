@@ -156,8 +156,8 @@ def test_passages_whose_phrases_occur_elsewhere_before(spark, pieces, every, siz
 def test_stretches_without_known_passages():
     from evigraph.llm.chaining import without
 
-    assert without([(0, 100), (200, 260)], [(10, 60), (90, 95), (300, 400)]) == [(60, 90), (200, 260)]
-    assert without([(0, 30)], [(0, 30)]) == [] and without([(0, 24)], []) == []
+    assert without([(0, 100), (200, 260)], [(10, 60), (90, 95), (300, 400)]) == [(0, 10), (60, 90), (95, 100), (200, 260)]
+    assert without([(0, 30)], [(0, 30)]) == [] and without([(0, 24)], [(24, 30)]) == [(0, 24)]
 
 
 def test_longest_stretches_of_long_texts():
