@@ -18,6 +18,8 @@ from ..functions import ids as I
 RANKS = ("species", "subspecies", "genus")
 CANDIDATE_NAMESPACES = ("oma", "veupathdb")
 MERGE = "shuffle_merge"
+# Parts that the rows of one key are dealt to where both sides share it.
+SPREAD = 8
 
 
 def merge_join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
@@ -25,6 +27,19 @@ def merge_join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> Dat
     return left.hint(MERGE).join(right.hint(MERGE), on, how)
 
 
+def spread_join(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+    """An inner join on a key that many rows of both sides may share, so that its pairs outnumber the rows by far.
+
+    Left rows are dealt to SPREAD parts of their key, right ones go to each, so
+    no key falls to one task; the count of partitions is told, as Spark would
+    join small partitions whatever they give.
+    """
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = left.withColumn("_part", F.pmod(F.xxhash64(*left.columns), F.lit(SPREAD)).cast("int"))
+    told = right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return merge_join(dealt.repartition(n, on, "_part"), told.repartition(n, on, "_part"), [on, "_part"]).drop("_part")
+
+
 def evidence(source: str, endpoint: str, summary: Column, **payload: Column) -> Column:
     """One evidence: constants, a text made from counts and ids, and the payload as JSON with keys in order."""
     body = F.to_json(F.struct(*(payload[k].alias(k) for k in sorted(payload)))) if payload else F.lit("{}")
@@ -155,11 +170,18 @@ def group_claims(memberships: DataFrame, members: DataFrame, known_species: Data
     """(graph_id, subject, predicate, object, place) of ortholog groups: the query's membership and its first members.
 
     memberships: graph_id, gene, grp; members: grp, member, species, core, pos;
-    known_species: graph_id, species (with a related assembly).
+    known_species: graph_id, species (with a related assembly). Members are ranked
+    before they meet graphs: those of a known species that a graph takes are among
+    the first of their group and species, and where these leave places free, the
+    others it takes are among the first of the group.
     """
-    met = merge_join(memberships, members, "grp")
-    seen = merge_join(met, known_species.distinct().withColumn("_seen", F.lit(True)), ["graph_id", "species"], "left")
-    ranked = member_order(seen, ["graph_id", "grp"], F.col("_seen"), F.col("core"), ["pos", "member"]).filter(F.col("place") <= most)
+    listed = ["pos", "member"]
+    first = member_order(members, ["grp", "species"], F.lit(False), F.col("core"), listed).filter(F.col("place") <= most).drop("place")
+    any_ = member_order(members, ["grp"], F.lit(False), F.col("core"), listed).filter(F.col("place") <= most).drop("place")
+    asked, known = memberships.select("graph_id", "grp"), known_species.select("graph_id", "species").distinct()
+    seen = merge_join(merge_join(asked, known, "graph_id"), first, ["grp", "species"]).withColumn("_seen", F.lit(True))
+    other = merge_join(merge_join(asked, any_, "grp"), known, ["graph_id", "species"], "left_anti").withColumn("_seen", F.lit(False))
+    ranked = member_order(seen.unionByName(other), ["graph_id", "grp"], F.col("_seen"), F.col("core"), listed).filter(F.col("place") <= most)
     group = I.node_id("orthogroup", F.col("grp"))
     own = memberships.select("graph_id", F.col("gene").alias("subject"), F.lit("in_orthogroup").alias("predicate"), group.alias("object"), F.lit(0).cast("long").alias("place"))
     return own.unionByName(ranked.select("graph_id", group.alias("subject"), F.lit("has_member").alias("predicate"), I.node_id("omclseq", F.col("member")).alias("object"), "place"))
