@@ -1,6 +1,11 @@
 """Joins on keys that many rows share: results as of all pairs, without making the pairs that aren't asked for."""
 
-from evigraph.operators import stages
+from pyspark.sql import functions as F
+
+from evigraph.operators import identity, stages
+from evigraph.sources import snapshots
+
+SHUFFLED = "shuffleRecordsWritten"
 
 
 def _group_case(spark):
@@ -36,8 +41,8 @@ def test_groups_are_cut_before_they_meet_graphs(spark):
     assert _most_rows(made) <= 50 * 20 + 2 * 4000
 
 
-def _most_rows(df):
-    """The most rows that any step of a finished plan put out."""
+def _most_rows(df, metric="numOutputRows"):
+    """The most rows that any step of a finished plan put out, or by another metric, wrote to a shuffle."""
     most, todo = 0, [df._jdf.queryExecution().executedPlan()]
     while todo:
         p = todo.pop()
@@ -46,9 +51,59 @@ def _most_rows(df):
             todo.append(p.executedPlan())
         elif kind.endswith("QueryStageExec"):
             todo.append(p.plan())
-        m = p.metrics().get("numOutputRows")
+        m = p.metrics().get(metric)
         if m.isDefined():
             most = max(most, m.get().value())
         kids = p.children()
         todo += [kids.apply(i) for i in range(kids.size())]
     return most
+
+
+def test_bridges_are_distinct_without_a_shuffle_of_pairs(spark):
+    rows = [(1, "a", "n1"), (1, "a", "n1"), (1, "b", "n1"), (2, "a", None), (3, None, "n2")]
+    records = [(7, "n1", ["x", "a", " ", "x", None], ["9", "9", None]), (7, "n1", ["x"], None), (8, "n1", ["b"], []), (9, None, ["z"], ["1"]), (8, "n2", ["c"], ["9"])]
+    left, right = spark.createDataFrame(rows, "k int, own string, n string"), spark.createDataFrame(records, "r int, n string, aliases array<string>, pmids array<string>")
+    want = set()
+    for k, own, n in rows:
+        for r, m, aliases, pmids in records:
+            if n is not None and n == m:
+                want |= {(k, r, "has_alias", a) for a in aliases if a and a.strip() and a != own}
+                want |= {(k, r, "cited_in", f"pubmed:{p}") for p in pmids or [] if p}
+    got = [tuple(x) for x in stages.bridge(left, right, "n", ["k", "r"], F.col("own"), "pmids").collect()]
+    assert sorted(got) == sorted(want)
+    made = stages.bridge(spark.range(300).selectExpr("id as k", "concat('n', id % 1) as n"), spark.range(200).selectExpr("id as r", "concat('n', id % 1) as n", "array(concat('a', id)) as aliases"), "n", ["k", "r"], F.lit("me"))
+    assert len(made.collect()) == 60_000
+    assert _most_rows(made, SHUFFLED) <= 200 * stages.SPREAD
+
+
+def test_pathways_are_distinct_without_a_shuffle_of_pairs(spark):
+    entries = spark.range(300).selectExpr("1 as graph_id", "concat('g', id) as gene", "cast(array() as array<struct<id:string,term:string,code:string>>) as go", "array('k', 'k', null) as kegg", "cast(array() as array<struct<id:string,name:string,source:string>>) as domains")
+    pathways = spark.range(400).selectExpr("'k' as kegg", "concat('p', id % 200) as pathway", "concat('path:n', id % 200) as name")
+    made = stages.annotation_claims(entries, pathways)
+    got = made.groupBy("predicate").count().collect()
+    assert {r["predicate"]: r["count"] for r in got} == {"in_pathway": 60_000, "same_as": 300}
+    made.collect()
+    assert _most_rows(made, SHUFFLED) <= 200 * stages.SPREAD
+
+
+def test_exact_matches_are_distinct_without_a_shuffle_of_pairs(spark):
+    queries = spark.createDataFrame([(1, " A "), (1, "b"), (2, "a"), (2, "A"), (3, ""), (4, None)], "graph_id int, query string")
+    records = spark.createDataFrame([(7, ["a", "B", None]), (7, ["a"]), (8, ["b"])], "record_id int, ids array<string>")
+    assert sorted(tuple(r) for r in identity.exact_matches(queries, records).collect()) == [(1, 7), (1, 8), (2, 7)]
+    made = identity.exact_matches(spark.range(300).selectExpr("id as graph_id", "concat('q', id % 1) as query"), spark.range(200).selectExpr("id as record_id", "array(concat('Q', id % 1), 'x') as ids"))
+    assert len(made.collect()) == 60_000
+    assert _most_rows(made, SHUFFLED) <= 400 * stages.SPREAD
+
+
+def test_searches_rank_hits_once_for_all_queries(spark):
+    queries = spark.range(200).selectExpr("id as graph_id", "if(id % 2 = 0, 'Name', ' word') as query")
+    hits = spark.range(400).selectExpr("lpad(id, 4, '0') as uid", "if(id % 2 = 0, 'name', 'other') as name", "'word and word' as description", "'Al, word' as otheraliases")
+    made = snapshots.gene_search(queries, hits, 5)
+    got = sorted((r.graph_id, r.uid, r.how, r.n) for r in made.collect())
+    assert got == [(g, f"{2 * n if g % 2 == 0 else n:04}", g % 2, n + 1) for g in range(200) for n in range(5)]
+    assert _most_rows(made) <= 5 * 400
+    entries = spark.range(600).selectExpr("lpad(id, 4, '0') as accession", "'SYM' as gene_name", "concat('o', id % 2) as organism", "id % 3 = 0 as reviewed")
+    made = snapshots.protein_search(spark.range(200).selectExpr("id as graph_id", "'sym' as symbol", "concat('o', id % 2) as organism"), entries, 3)
+    assert made.columns == ["graph_id", "symbol", "organism", "accession", "gene_name", "reviewed", "n"]
+    assert sorted((r.graph_id, r.accession, r.n) for r in made.collect()) == [(g, f"{6 * n + 3 * (g % 2):04}", n + 1) for g in range(200) for n in range(3)]
+    assert _most_rows(made) <= 600
