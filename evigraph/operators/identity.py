@@ -7,13 +7,20 @@ from pyspark.sql import functions as F
 
 from ..constants import ALTERNATES, DATASET_CAP, LONE_HIT_LEAST, ORTHOLOG_CAP
 from ..functions import ids as I
+from .stages import spread_join
 
 
 def exact_matches(queries: DataFrame, records: DataFrame) -> DataFrame:
-    """(graph_id, record_id): records that carry the query among their ids, whatever the case; an equi-join on ids."""
-    each = records.select("record_id", F.explode(F.array_distinct(F.transform(F.array_compact("ids"), F.lower))).alias("key"))
-    asked = queries.select("graph_id", F.lower(F.trim("query")).alias("key")).filter("key <> ''")
-    return asked.hint("shuffle_merge").join(each.hint("shuffle_merge"), "key").select("graph_id", "record_id").distinct()
+    """(graph_id, record_id): records that carry the query among their ids, whatever the case; an equi-join on ids.
+
+    Repeats are taken out of both sides first; a graph with one query then meets
+    no record twice, so its pairs aren't shuffled.
+    """
+    each = records.select("record_id", F.explode(F.array_distinct(F.transform(F.array_compact("ids"), F.lower))).alias("key")).distinct()
+    asked = queries.select("graph_id", F.lower(F.trim("query")).alias("key")).filter("key <> ''").distinct()
+    asked = asked.withColumn("_times", F.count("*").over(Window.partitionBy("graph_id")))
+    met = lambda some: spread_join(asked.filter(some).drop("_times"), each, "key").select("graph_id", "record_id")
+    return met("_times = 1").unionByName(met("_times > 1").distinct())
 
 
 def pick_candidate(candidates: DataFrame, answers: DataFrame, least: float = LONE_HIT_LEAST) -> DataFrame:
