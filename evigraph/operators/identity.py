@@ -174,11 +174,33 @@ def linked(pool: DataFrame, answers: DataFrame, keys: list[str], least: float =
     choice). A choice that is no number of the pool, none and a missing answer
     refuse: null record, confidence 0, or the noul that was too low.
     """
-    said = answers.select(*keys, "noul", F.col("choice"), F.col("confidence").alias("_c"))
-    met = pool.hint("shuffle_merge").join(said.hint("shuffle_merge"), keys, "left")
+    met = pool.hint("shuffle_merge").join(_said(answers, keys).hint("shuffle_merge"), keys, "left")
+    return _decided(met, keys, least)
+
+
+def linked_by_ask(questions: DataFrame, pool: DataFrame, answers: DataFrame, keys: list[str], least: float = LONE_HIT_LEAST) -> DataFrame:
+    """As ``linked``, for questions (keys, ask) that share pools (ask): each key meets only the candidate it takes or judges.
+
+    That is the pool's only one, else the one whose number was chosen, so no pool
+    is repeated for the keys that share it. Keys without candidates have no row.
+    """
+    told = questions.hint("shuffle_merge").join(_said(answers, keys).hint("shuffle_merge"), keys, "left")
+    pools = pool.filter("number = 0").select("ask", "via", "size")
+    told = told.hint("shuffle_merge").join(pools.hint("shuffle_merge"), "ask")
+    told = told.withColumn("number", F.when((F.col("via") == "asked") & (F.col("size") > 1), F.col("choice").try_cast("int")).otherwise(0))
+    met = told.hint("shuffle_merge").join(pool.select("ask", "number", "record_id").hint("shuffle_merge"), ["ask", "number"], "left")
+    return _decided(met, keys, least)
+
+
+def _said(answers: DataFrame, keys: list[str]) -> DataFrame:
+    return answers.select(*keys, "noul", F.col("choice"), F.col("confidence").alias("_c"))
+
+
+def _decided(met: DataFrame, keys: list[str], least: float) -> DataFrame:
+    """Decisions of candidates (keys, record_id, via, number, size) with what was said of their key."""
     sure, lone = F.col("via") != "asked", F.col("size") == 1
     score = I.score_of(F.col("noul"), F.col("_c"))
-    taken = F.when(sure, True).when(lone, score >= least).otherwise(F.coalesce(F.col("choice").try_cast("int") == F.col("number"), F.lit(False)))
+    taken = F.when(sure, True).when(lone, score >= least).otherwise(F.coalesce(F.col("record_id").isNotNull() & (F.col("choice").try_cast("int") == F.col("number")), F.lit(False)))
     confidence = F.when(sure, 1.0).when(lone, score).otherwise(F.coalesce("_c", F.lit(0.0)))
     how = F.when(sure, F.col("via")).when(lone, "lone").otherwise("choice")
     got = met.groupBy(*keys).agg(F.max(F.when(taken, F.struct("record_id", confidence.alias("confidence"), how.alias("how")))).alias("x"), F.max(F.when(lone & ~sure, score)).alias("low"))

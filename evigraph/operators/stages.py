@@ -98,8 +98,20 @@ def link_candidates(rows: DataFrame, records: DataFrame, keys: Sequence[str]) ->
     both = records.select("record_id", F.col("tax_id").alias("_tax"), lowered(F.col("ids")).alias("_ids"), lowered(F.col("found_by")).alias("_words"))
     each = both.select("record_id", "_tax", "_ids", F.explode(F.array_distinct(F.concat("_ids", "_words"))).alias("_key"))
     asked = rows.withColumn("_key", F.lower(F.trim("term"))).filter("_key <> ''")
-    met = merge_join(asked, each, "_key")
-    return met.select(*keys, F.col("record_id").alias("pos"), "record_id", F.array_contains("_ids", F.col("_key")).alias("exact"), F.coalesce(F.col("tax_id") == F.col("_tax"), F.lit(False)).alias("same_taxon")).distinct()
+    met = merge_join(asked, each, "_key").select(*keys, F.col("record_id").alias("pos"), "record_id", F.array_contains("_ids", F.col("_key")).alias("exact"), F.coalesce(F.col("tax_id") == F.col("_tax"), F.lit(False)).alias("same_taxon"))
+    # one shuffle for what is distinct and for the pools that follow
+    return met.repartition(*keys).distinct()
+
+
+def link_questions(rows: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(questions, terms) of rows (keys, term, tax_id): what each key asks as one value, ``ask``, and its terms (ask, term, tax_id), once for all keys that ask the same.
+
+    Candidates depend on the terms and taxa alone, so they are looked up for
+    terms with ``ask`` as the key; keys meet them in ``identity.linked_by_ask``.
+    """
+    cut = F.struct(F.lower(F.trim("term")).alias("term"), F.col("tax_id").alias("tax_id"))
+    questions = rows.filter(F.trim("term") != "").groupBy(*keys).agg(F.array_sort(F.collect_set(cut)).alias("ask"))
+    return questions, questions.select("ask").distinct().select("ask", F.inline("ask"))
 
 
 def link_claims(decided: DataFrame, subject: str = "subject") -> DataFrame:

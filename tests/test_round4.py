@@ -107,3 +107,19 @@ def test_searches_rank_hits_once_for_all_queries(spark):
     assert made.columns == ["graph_id", "symbol", "organism", "accession", "gene_name", "reviewed", "n"]
     assert sorted((r.graph_id, r.accession, r.n) for r in made.collect()) == [(g, f"{6 * n + 3 * (g % 2):04}", n + 1) for g in range(200) for n in range(3)]
     assert _most_rows(made) <= 600
+
+
+def test_links_that_ask_the_same_share_their_pool(spark):
+    records = spark.range(60).selectExpr("id as record_id", "id % 3 as tax_id", "array(concat('ID', id), if(id < 40, concat('two', id % 20), null)) as ids", "array(concat('w', id % 4), if(id = 5, 'solo', 'many')) as found_by")
+    terms = [f"{p}{n}" for p in ("id", "TWO", "w", "none") for n in range(6)] + [" Solo ", "many", "", None]
+    rows = [(k, terms[k % len(terms)], k % 4 if k % 5 else None) for k in range(150)]
+    rows += [(k, terms[(k * 7) % len(terms)], k % 3) for k in range(0, 60, 4)]
+    rows = spark.createDataFrame(rows, "k int, term string, tax_id long")
+    answers = spark.createDataFrame([(k, (k * 37 % 101) / 100, ("none", "0", "1", "7", None)[k % 5], 0.75) for k in range(0, 150) if k % 11], "k int, noul double, choice string, confidence double")
+    alone = identity.linked(identity.link_pool(stages.link_candidates(rows, records, ["k"]), ["k"]), answers, ["k"])
+    questions, asked = stages.link_questions(rows, ["k"])
+    shared = identity.linked_by_ask(questions, identity.link_pool(stages.link_candidates(asked, records, ["ask"]), ["ask"]), answers, ["k"])
+    want = sorted(map(tuple, alone.collect()))
+    assert sorted(map(tuple, shared.collect())) == want
+    assert {w[1] for w in want} == {"exact", "taxon", "lone", "choice", "refused"}
+    assert _most_rows(shared) < _most_rows(alone)
