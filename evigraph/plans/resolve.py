@@ -133,7 +133,9 @@ def resolve(queries: DataFrame, sources: dict[str, DataFrame], answers: DataFram
             keys = ["graph_id", "subject"]
             records = sources["genes"].select(F.col("gene_id").alias("record_id"), "tax_id", F.concat(F.array("gene_id", "locus_tag"), "aliases").alias("ids"), F.array("symbol").alias("found_by"))
             asked = found.select("graph_id", I.node_id("gene", F.col("ortholog")).alias("subject"), F.col("ortholog").alias("term"), F.col("ortholog_tax").alias("tax_id")).distinct()
-            made = stages.link_claims(identity.linked(identity.link_pool(stages.link_candidates(asked, records, keys), keys), link_answers, keys, config.least_score))
+            questions, terms = stages.link_questions(asked, keys)
+            pool = identity.link_pool(stages.link_candidates(terms, records, ["ask"]), ["ask"])
+            made = stages.link_claims(identity.linked_by_ask(questions, pool, link_answers, keys, config.least_score))
             named = stages.merge_join(made.withColumn("record_id", I.local_id(F.col("object"))), sources["genes"].select(F.col("gene_id").alias("record_id"), "symbol", "organism"), "record_id")
             parts.append(_edge(named, F.col("subject"), "same_as", F.col("object"), "links", F.col("confidence"), F.col("jev_question_id"), record))
     if "groups" in sources:
