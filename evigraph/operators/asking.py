@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
@@ -23,25 +23,72 @@ def judged_chunks(asks: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], c
     ``chunk`` and ``item`` name the columns of a chunk and of a row in it,
     ``answers`` is the schema of what fn returns besides the item columns. Rows of a
     chunk that raised have null answers and the error; rows that fn left out have
-    neither. A chunk is one group, as large as ``claims.chunked`` made it.
+    neither. A chunk is as large as ``claims.chunked`` made it; a task goes through
+    the sorted chunks of its partition, as a group of its own for each costs far
+    more than most asks.
     """
     names = [f.name for f in StructType.fromDDL(answers)]
     keys = asks.select(*chunk, *item).schema
 
-    def ask(frame: pd.DataFrame) -> pd.DataFrame:
-        out = frame[[*chunk, *item]].copy()
+    schema = StructType([*keys.fields, *StructType.fromDDL(answers).fields, *StructType.fromDDL("error string").fields])
+
+    def ask(frame: pd.DataFrame) -> tuple[pd.DataFrame, list[list], list]:
+        """The rows of one chunk that have answers, the answers by name, the errors."""
+        out = frame[[*chunk, *item]]
         try:
             got = fn(frame)
-            out = out.merge(got[[*item, *names]], on=list(item), how="left")
-            out["error"] = None
+            if not _same_items(frame, got, item):
+                out = out.merge(got[[*item, *names]], on=list(item), how="left")
+                got = out
+            return out[[*chunk, *item]], [got[name].tolist() for name in names], [None] * len(out)
         except Exception as e:  # noqa: BLE001  whatever a judge raises belongs to its chunk alone
-            for name in names:
-                out[name] = None
-            out["error"] = f"{type(e).__name__}: {e}"[:ERROR_CHARS]
-        return out[[*chunk, *item, *names, "error"]]
-
-    schema = StructType([*keys.fields, *StructType.fromDDL(answers).fields, *StructType.fromDDL("error string").fields])
-    return asks.groupBy(*chunk).applyInPandas(ask, schema)
+            return frame[[*chunk, *item]], [[None] * len(frame) for _ in names], [f"{type(e).__name__}: {e}"[:ERROR_CHARS]] * len(frame)
+
+    def ask_all(batches):
+        for frames in _whole_chunks(batches, chunk):
+            done = [ask(frame) for frame in frames]
+            out = pd.concat([rows for rows, _, _ in done], ignore_index=True)
+            for n, name in enumerate(names):
+                out[name] = pd.Series([v for _, values, _ in done for v in values[n]], dtype=object)
+            out["error"] = pd.Series([e for _, _, errors in done for e in errors], dtype=object)
+            yield out
+
+    n = int(asks.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # told, as Spark would join partitions that are small in bytes
+    return asks.repartition(n, *chunk).sortWithinPartitions(*chunk).mapInPandas(ask_all, schema)
+
+
+def _same_items(frame: pd.DataFrame, got: pd.DataFrame, item: Sequence[str]) -> bool:
+    """Whether got has the rows of frame, each once and in order, so that nothing need be looked up."""
+    own = list(zip(*(frame[c].tolist() for c in item), strict=True))
+    return len(got) == len(own) and len(set(own)) == len(own) and own == list(zip(*(got[c].tolist() for c in item), strict=True))
+
+
+def _whole_chunks(batches: Iterable[pd.DataFrame], chunk: Sequence[str]) -> Iterator[list[pd.DataFrame]]:
+    """Sorted batches as lists of whole chunks; a chunk that goes on in the next batch waits for its end."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if batch.empty:
+            continue
+        new = pd.Series(False, index=batch.index)
+        for c in chunk:
+            last = batch[c].shift()
+            new |= (batch[c] != last) & ~(batch[c].isna() & last.isna())
+        ids = [tuple(None if pd.isna(v) else v for v in batch[list(chunk)].iloc[n]) for n in (0, -1)]
+        starts = [0, *(n for n in new.to_numpy().nonzero()[0].tolist() if n), len(batch)]
+        parts = [batch.iloc[a:b] for a, b in zip(starts, starts[1:], strict=False)]
+        if held and ids[0] == goes_on:
+            held.append(parts.pop(0))
+        whole = []
+        if held and parts:
+            whole.append(pd.concat(held, ignore_index=True))
+            held = []
+        whole += [part.reset_index(drop=True) for part in parts[:-1]]
+        held = parts[-1:] or held
+        goes_on = ids[1]
+        if whole:
+            yield whole
+    if held:
+        yield [pd.concat(held, ignore_index=True)]
 
 
 def judged_with_retries(asks: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], chunk: Sequence[str], item: Sequence[str], answers: str, work: Work, rounds: int = 2) -> DataFrame:
