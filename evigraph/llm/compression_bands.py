@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import hashed_sample, small_batches
+from .shared import small_batches
 from .textops import Words, is_space, pieces
 
 #: Least words, and the most words in a hundred that may lie in repeated windows of WINDOW words.
@@ -18,8 +18,8 @@ LEAST_WORDS, MOST_REPEATED, WINDOW = 20, 30, 8
 SYMBOLS = b"#*$%&|<>"
 #: zstandard level; bytes of a chunk; share of the bytes in chunks outside their band from which a document is rejected.
 LEVEL, CHUNK, CHUNK_SHARE = 3, 4_096, 0.25
-#: Bands are half octaves of length in bytes. Labelled good documents that limits are fitted on; how many a band needs.
-FIT_DOCS, BAND_DOCS = 20_000, 40
+#: Bands are half octaves of length in bytes. Labelled good documents that a band needs; decimal places of the ratios that limits are fitted on.
+BAND_DOCS, STEP = 40, 4
 #: Fences: this many interquartile ranges beyond the quartiles of a band, and this share of them on top for every octave to the band they are taken from.
 FENCE, DRIFT = 2.5, 0.12
 #: Limits for ordinary prose where there are no labels: band, least and most ratio.
@@ -46,24 +46,26 @@ def _compressor():
 def fit_limits(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict[int, tuple[float, float]]:
     """Limits by band: fences around the quartiles of the ratios of documents labelled good.
 
-    Fitted on at most FIT_DOCS labelled documents (by hash of the id). Ids with
+    Fitted on all labelled documents; ratios are rounded to STEP places, so the
+    quartiles come from counts of the values in each band, which stay few however
+    many documents there are. Texts are not shuffled, only their ratios. Ids with
     contradicting labels take no part, nor do bands with fewer than BAND_DOCS
     documents. Without any such band: DEFAULT_LIMITS.
     """
     small_batches(docs.sparkSession)
     good = labels.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min("quality").alias("q")).filter("q = 1").select(F.col(id_col).alias("_id"))
-    good = hashed_sample(good, ["_id"], FIT_DOCS)
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).filter(F.length("text") > 0).join(F.broadcast(good), "_id").select("text")
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).filter(F.col("_id").isNotNull() & (F.length("text") > 0))
 
     def ratios(batches):
         z = _compressor()
         for batch in batches:
             for part in pieces(batch):
                 raw = [t.encode() for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([band_of(len(b)) for b in raw], pa.int32()), pa.array([len(b) / len(z.compress(b)) for b in raw], pa.float64())], ["band", "ratio"])
+                yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array([band_of(len(b)) for b in raw], pa.int32()), pa.array([round(len(b) / len(z.compress(b)), STEP) for b in raw], pa.float64())], ["_id", "band", "ratio"])
 
-    found = texts.mapInArrow(ratios, "band int, ratio double").groupBy("band")
-    found = found.agg(F.count("*").alias("n"), F.expr("percentile(ratio, array(0.25, 0.75))").alias("q")).filter(F.col("n") >= BAND_DOCS)
+    known = texts.mapInArrow(ratios, f"_id {texts.schema['_id'].dataType.simpleString()}, band int, ratio double")
+    counts = known.hint("shuffle_merge").join(good.hint("shuffle_merge"), "_id").groupBy("band", "ratio").agg(F.count("*").alias("n"))
+    found = counts.groupBy("band").agg(F.sum("n").alias("n"), F.expr("percentile(ratio, array(0.25, 0.75), n)").alias("q")).filter(F.col("n") >= BAND_DOCS)
     out = {}
     for r in found.collect():  # a row a band: some dozens
         low, high = r["q"]

@@ -155,3 +155,15 @@ def test_chunks_are_asked_alone_though_a_task_has_many(spark):
     assert all(v is None or f"b{int(v)}" in {b for c2, i2, b in rows if c2 == c and i2 == i} for c, i, v, _ in got)
     assert len(got) == 700
     assert "FlatMapGroupsInPandas" not in made._jdf.queryExecution().toString()
+
+
+def test_limits_are_fitted_on_all_labelled_documents(spark):
+    from evigraph.llm import compression_bands
+
+    docs = spark.range(21_000).selectExpr("id as doc_id", "concat('some words in a row that are of a length, number ', id + 100000) as text")
+    labels = docs.selectExpr("doc_id", "1 as quality")
+    limits = compression_bands.fit_limits(docs, labels)
+    assert len(limits) == 1
+    assert not hasattr(compression_bands, "hashed_sample")
+    few = compression_bands.fit_limits(docs.limit(0), labels)
+    assert few == compression_bands.DEFAULT_LIMITS
