@@ -1,8 +1,11 @@
 """Steps whose cost grew faster than the tables."""
 
+import re
+
 from pyspark.sql import functions as F
 
-from evigraph.plans import mechanism_queries
+from evigraph.operators import merge, stages
+from evigraph.plans import graph_queries, mechanism_queries
 from evigraph.sources import matrices
 
 
@@ -23,3 +26,28 @@ def test_loaders_read_few_files(spark):
         made = mechanism_queries.QUERIES[name](spark, "/root/testdata/sf0.01")
         assert len(made.inputFiles()) <= 8, name
         assert made.count() == 200, name
+
+
+def test_fan_out_takes_repeats_out_before_they_are_claims(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "k int, gene string")
+    one = spark.createDataFrame([(1, 7), (2, 7), (2, None), (3, 8)], "k int, x int")
+    many = spark.createDataFrame([(1, [1.5, 1.5]), (2, [1.5]), (3, None)], "k int, y array<double>")
+    made = stages.fan_out(rows, "k", "gene", [(one, "x", "p", "n"), (many, "y", "q", "m")])
+    assert sorted(tuple(r) for r in made.collect()) == [("a", "p", "n:7"), ("a", "q", "m:1.5"), ("b", "p", "n:8")]
+    again = stages.fan_out(rows, "k", "gene", [(one, "x", "p", "n"), (one.withColumnRenamed("x", "z"), "z", "p", "n")])
+    assert sorted(tuple(r) for r in again.collect()) == [("a", "p", "n:7"), ("b", "p", "n:8")]
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    narrow = [line for line in plan.splitlines() if "Aggregate [" in line]
+    assert len(narrow) == 2 and all(re.search(r"Aggregate \[gene#\d+, _value#\d+\]", line) for line in narrow)
+
+
+def test_sightings_are_shuffled_once(spark):
+    plan = graph_queries.node_merge(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
+def test_sightings_of_any_attributes(spark):
+    rows = [("g", "x", "t", "", "n", {"a": 1, "b": None}, 1), ("g", "x", "u", "l", "", None, 2), ("g", "x", "u", "m", "o", {"a": 3}, 3), ("g", "x", "u", None, None, {"a": None, "c": 5}, 4)]
+    nodes, attrs = merge.merge_nodes(spark.createDataFrame(rows, "graph_id string, id string, type string, label string, id_namespace string, attrs map<string,int>, seq int"))
+    assert [tuple(r) for r in nodes.select("label", "id_namespace", "type").collect()] == [("l", "n", "t")]
+    assert sorted((r.key, r.value) for r in attrs.collect()) == [("a", 3), ("b", None), ("c", 5)]
