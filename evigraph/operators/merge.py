@@ -33,17 +33,34 @@ def merge_evidence(raw: DataFrame) -> DataFrame:
     return first.withColumn("n", F.row_number().over(Window.partitionBy(*TRIPLE).orderBy("seq", "source")).cast("long"))
 
 
-def merge_nodes(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, attrs) of repeated sightings (graph_id, id, type, label, id_namespace, attrs map, seq).
+def merge_sightings(raw: DataFrame) -> DataFrame:
+    """(graph_id, id, key, label, id_namespace, type, value) of repeated sightings (graph_id, id, type, label, id_namespace, attrs map, seq): a row with a null key for each node, one more for each of its attributes.
 
     Label and namespace: the first that isn't empty; type: the first. Of each
     attribute the last value that isn't null stays; names seen only as null keep null.
+    Sightings are dealt by node as they are, once: aggregates over structs sort
+    their rows, which tasks over large files would have to spill before a shuffle.
+    What follows on (graph_id, id) needs no other one.
     """
-    filled = lambda c: F.min(F.when(F.coalesce(c, F.lit("")) != "", F.struct(F.col("seq"), F.col(c).alias("v"))))["v"]
-    nodes = raw.groupBy("graph_id", "id").agg(F.coalesce(filled("label"), F.lit("")).alias("label"), F.coalesce(filled("id_namespace"), F.lit("")).alias("id_namespace"), F.min_by("type", "seq").alias("type"))
-    each = raw.select("graph_id", "id", "seq", F.explode("attrs").alias("key", "value"))
-    attrs = each.groupBy("graph_id", "id", "key").agg(F.max(F.when(F.col("value").isNotNull(), F.struct("seq", "value")))["value"].alias("value"))
-    return nodes, attrs
+    kinds = raw.schema["attrs"].dataType
+    itself = F.array(F.struct(F.lit(None).cast(kinds.keyType).alias("key"), F.lit(None).cast(kinds.valueType).alias("value")))
+    rows = raw.repartition("graph_id", "id").select("graph_id", "id", "seq", "type", "label", "id_namespace", F.inline(F.concat(itself, F.map_entries(F.coalesce("attrs", F.create_map().cast(kinds))))))
+    node = F.col("key").isNull()
+    filled = lambda c: F.min(F.when(node & (F.coalesce(c, F.lit("")) != ""), F.struct(F.col("seq"), F.col(c).alias("v"))))["v"]
+    told = lambda c: F.when(node, F.coalesce(c, F.lit("")))
+    value = F.max(F.when(F.col("value").isNotNull(), F.struct("seq", "value")))["value"]
+    return rows.groupBy("graph_id", "id", "key").agg(told(filled("label")).alias("label"), told(filled("id_namespace")).alias("id_namespace"), F.min_by("type", "seq").alias("type"), value.alias("value"))
+
+
+def merge_nodes(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, attrs) of repeated sightings, as tables of their own; see ``merge_sightings``."""
+    both = merge_sightings(raw)
+    return both.filter("key is null").select("graph_id", "id", "label", "id_namespace", "type"), both.filter("key is not null").select("graph_id", "id", "key", "value")
+
+
+def node_columns() -> list:
+    """Aggregates of ``merge_sightings`` by (graph_id, id): what a node itself has."""
+    return [F.first(F.when(F.col("key").isNull(), F.col(c)), ignorenulls=True).alias(c) for c in ("label", "id_namespace", "type")]
 
 
 def endpoints(edges: DataFrame) -> DataFrame:

@@ -69,9 +69,8 @@ def _sightings(spark, sf_dir):
  arg_max(a, seq) FILTER (WHERE a IS NOT NULL) AS flag, arg_max(b, seq) FILTER (WHERE b IS NOT NULL) AS line FROM sight GROUP BY 1, 2"""
 )
 def node_merge(spark, sf_dir):
-    nodes, attrs = merge.merge_nodes(_sightings(spark, sf_dir))
-    wide = attrs.groupBy("graph_id", "id").pivot("key", ["flag", "line"]).agg(F.first("value"))
-    return stages.merge_join(nodes, wide, ["graph_id", "id"], "left")
+    values = [F.first(F.when(F.col("key") == k, F.col("value")), ignorenulls=True).alias(k) for k in ("flag", "line")]
+    return merge.merge_sightings(_sightings(spark, sf_dir)).groupBy("graph_id", "id").agg(*merge.node_columns(), *values)
 
 
 @query(f"WITH {MERGED} SELECT * FROM edge WHERE confidence >= 0.7")
