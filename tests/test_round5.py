@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from evigraph.operators import merge, stages
 from evigraph.plans import graph_queries, mechanism_queries
+from evigraph.plans.resolve import resolve
 from evigraph.sources import matrices
 
+from test_round4 import SHUFFLED, _most_rows
+
 
 def test_bundles_hold_many_data_sets_in_few_files(spark, tmp_path):
     lines = spark.range(2000).selectExpr("concat('d', id % 500) as dataset", "id as line_no", "concat(id, '\t', id % 7) as line")
@@ -51,3 +54,32 @@ def test_sightings_of_any_attributes(spark):
     nodes, attrs = merge.merge_nodes(spark.createDataFrame(rows, "graph_id string, id string, type string, label string, id_namespace string, attrs map<string,int>, seq int"))
     assert [tuple(r) for r in nodes.select("label", "id_namespace", "type").collect()] == [("l", "n", "t")]
     assert sorted((r.key, r.value) for r in attrs.collect()) == [("a", 3), ("b", None), ("c", 5)]
+
+
+def _asked_of_one_taxon(spark, graphs, accessions):
+    genes = spark.range(graphs).selectExpr("cast(id as string) gene_id", "concat('S', id) symbol", "concat('L', id) locus_tag", "'5' tax_id", "'o' organism", "'GCF_1.1' assembly_accession", "array(concat('n', id)) aliases")
+    queries = spark.range(graphs).selectExpr("concat('r', id) graph_id", "concat('S', id) query", "2 depth")
+    answers = queries.selectExpr("graph_id", "'gene_symbol' namespace", "1.0D noul", "'0' choice")
+    return queries, {"genes": genes, "assemblies": spark.createDataFrame([(x, "5") for x in accessions], "accession string, tax_id string")}, answers
+
+
+def test_related_assemblies_come_as_often_as_they_are_listed(spark):
+    queries, sources, answers = _asked_of_one_taxon(spark, 3, ["GCF_1.1", "GCF_1.3", "GCF_1.3", "GCA_1.2", "GCF_7.9", None])
+    again = queries.filter("graph_id = 'r2'")  # a graph with two records of one meaning
+    for asked, times in ((queries, 1), (queries.unionByName(again), 2)):
+        nodes, edges, _ = resolve(asked, sources, answers)
+        got = sorted(tuple(r) for r in edges.filter("object like 'assembly:%' and predicate <> 'in_assembly'").select("graph_id", "predicate", "object", "n_raw", F.size("evidence")).collect())
+        want = []
+        for g in range(3):
+            n = times if g == 2 else 1
+            want += [(f"r{g}", "related_assembly", "assembly:GCA_1.2", n, 1), (f"r{g}", "related_assembly", "assembly:GCF_1.3", 2 * n, 1), (f"r{g}", "related_assembly", "assembly:GCF_7.9", n, 1)]
+            want += [(f"r{g}", "superseded_by", "assembly:GCA_1.2", n, 1), (f"r{g}", "superseded_by", "assembly:GCF_1.3", 2 * n, 1)]
+        assert got == sorted(want)
+        assert sorted(r.id for r in nodes.filter("graph_id = 'r2' and type = 'Assembly'").collect()) == [f"assembly:{x}" for x in ("GCA_1.2", "GCF_1.1", "GCF_1.3", "GCF_7.9")]
+
+
+def test_related_assemblies_are_not_shuffled(spark):
+    queries, sources, answers = _asked_of_one_taxon(spark, 200, [f"GCF_{n}.1" for n in range(2, 302)])
+    edges = resolve(queries, sources, answers)[1].drop("evidence")
+    assert len(edges.collect()) == 200 * 305
+    assert _most_rows(edges, SHUFFLED) <= 5000
