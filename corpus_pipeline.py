@@ -14,6 +14,8 @@ from evigraph.llm.shared import Workspace, dropped_after
 
 #: Vocabulary of the packing stage; see pack_powers for which tokenizers fit.
 TOKENIZER = "word_bpe_49k.json"
+#: Bytes of parts that a packing worker remembers: executors still hold what earlier stages took.
+REMEMBERED = 24 << 20
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +40,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of power-of-two lengths, each of one document."""
-    return pack_powers(docs, public_tokenizers.path(TOKENIZER))
+    return pack_powers(docs, public_tokenizers.path(TOKENIZER), remembered=REMEMBERED)
 
 
 STAGES = [("quality_classifier", quality_classifier), ("line_dedup", dedup_lines), ("ngram_jaccard_join", dedup_documents), ("source_mixing", mix), ("packing", pack)]

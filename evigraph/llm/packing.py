@@ -65,10 +65,10 @@ def _parts(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return parts, np.searchsorted(start, ends)
 
 
-def _ids_of(words: list[str], path: str) -> list[bytes]:
+def _ids_of(words: list[str], path: str, remembered: int | None = None) -> list[bytes]:
     """Ids of each part, remembered in two generations: what is still in use survives."""
     young, old = _known.setdefault(path, [{}, {}])
-    if _bytes_of.get(path, 0) > REMEMBERED:
+    if _bytes_of.get(path, 0) > (remembered or REMEMBERED):
         young, old = _known[path] = [{}, young]
         _bytes_of[path] = 0
     fresh, now = [], {}
@@ -91,7 +91,7 @@ def _ids_of(words: list[str], path: str) -> list[bytes]:
     return [young[w] if w in young else now[w] for w in words]
 
 
-def token_ids(texts: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+def token_ids(texts: pa.Array, path: str, end_id: int, remembered: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(ids uint32, first): ids of each whole text followed by end_id, in CSR form.
 
     For tokenizers that lower-case, drop white space and cut words from signs,
@@ -99,7 +99,7 @@ def token_ids(texts: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.n
     """
     parts, first_part = _parts(texts)
     coded = parts.dictionary_encode()
-    own = _ids_of(coded.dictionary.to_pylist(), path)
+    own = _ids_of(coded.dictionary.to_pylist(), path, remembered)
     flat = np.frombuffer(b"".join(own), np.uint32)
     size = np.fromiter(map(len, own), np.int64, len(own)) // 4
     begin = np.cumsum(size) - size
@@ -123,7 +123,7 @@ def binary_lengths(n: int, longest: int) -> list[int]:
     return out + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
-def pack_powers(docs: DataFrame, tokenizer: str, end_id: int = 2, longest: int = 4096) -> DataFrame:
+def pack_powers(docs: DataFrame, tokenizer: str, end_id: int = 2, longest: int = 4096, remembered: int | None = None) -> DataFrame:
     """Sequences of a power-of-two length, each from one document and without padding.
 
     Every whole text becomes its ids and end_id, cut into binary-length pieces,
@@ -135,7 +135,8 @@ def pack_powers(docs: DataFrame, tokenizer: str, end_id: int = 2, longest: int =
 
     Null and empty texts give one piece, end_id alone. Rows that repeat a doc_id
     (or have none) are packed each for itself. Other columns are ignored. No
-    shuffle takes place. An empty table gives no rows.
+    shuffle takes place. An empty table gives no rows. ``remembered`` bounds what a
+    worker remembers of parts, in bytes, in place of REMEMBERED; results are the same.
     """
     if longest & (longest - 1):
         raise ValueError("longest must be a power of two")
@@ -144,7 +145,7 @@ def pack_powers(docs: DataFrame, tokenizer: str, end_id: int = 2, longest: int =
     def cut(batches):
         for batch in batches:
             for part in pieces(batch):
-                ids, first = token_ids(part.column("text"), tokenizer, end_id)
+                ids, first = token_ids(part.column("text"), tokenizer, end_id, remembered)
                 raw = ids.tobytes()
                 doc, start, length = [], [], []
                 for d, n in enumerate(np.diff(first).tolist()):

@@ -2,8 +2,12 @@
 
 import re
 
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+
+from evigraph.llm import packing
 from evigraph.operators import merge, stages
 from evigraph.plans import graph_queries, mechanism_queries
 from evigraph.plans.resolve import resolve
@@ -83,3 +87,13 @@ def test_related_assemblies_are_not_shuffled(spark):
     edges = resolve(queries, sources, answers)[1].drop("evidence")
     assert len(edges.collect()) == 200 * 305
     assert _most_rows(edges, SHUFFLED) <= 5000
+
+
+def test_packing_remembers_as_little_as_told():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = pa.array([f"w{n}x y{n % 50}" for n in range(4000)], pa.large_string())
+    want = packing.token_ids(texts, path, 2)
+    for a in range(0, 4000, 500):
+        got = packing.token_ids(texts.slice(a, 500), path, 2, 20_000)
+        assert (got[0] == want[0][want[1][a] : want[1][a + 500]]).all()
+    assert packing._bytes_of[path] < 200_000
