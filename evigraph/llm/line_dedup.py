@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -9,10 +11,21 @@ from pyspark.sql import functions as F
 
 from . import setjoin
 from .shared import Workspace
-from .textops import Words, distinct_sets, fingerprints, heads, pieces
+from .textops import Words, distinct_sets, fingerprints, mix, pieces
 
 #: Frequent tokens told to every task, at most: 1.8 MB.
 COMMON = 200_000
+#: Bytes of text for each bucket of lines.
+BUCKET_BYTES = 6_000_000
+#: Columns of a packed line, and those that only the first line of each set has.
+KINDS = {"d": np.int64, "l": np.int32, "n": np.int32, "fp1": np.int64, "fp2": np.int64}
+WIDE = {**dict.fromkeys(setjoin.SIGNED, np.int64), "short": np.uint16, "prefix": np.int64}
+
+
+def _firsts(t: dict[str, np.ndarray], at: np.ndarray) -> np.ndarray:
+    """Of the lines ``at`` the first of each set, by place."""
+    order = at[np.lexsort((t["l"][at], t["d"][at], t["n"][at], t["fp2"][at], t["fp1"][at]))]
+    return np.sort(order[setjoin._run_bounds(*(t[c][order] for c in ("fp1", "fp2", "n")))[:-1]]) if len(order) else order
 
 
 def _lines(batch: pa.RecordBatch, k: int):
@@ -54,25 +67,54 @@ def similar_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, wo
 
     common = setjoin.common_elements(docs.mapInArrow(count, "h long, c long"), COMMON)
 
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, -(-size // BUCKET_BYTES))
+
     def sketch(batches):
+        """All lines (bucket -1, -2 without doc_id), and with all that is told of them the first lines of each set in a chunk, by bucket."""
         for batch in batches:
             for part in pieces(batch):
                 words, tokens, line = _lines(part, k)
                 values, first = distinct_sets(tokens, line, len(words.unit_start), common)
-                n = np.diff(first)
+                ids = part.column("doc_id").take(pa.array(words.unit_text))
+                known, n = ids.is_valid().to_numpy(zero_copy_only=False), np.diff(first).astype(np.int32)
                 fp1, fp2 = fingerprints(values, first)
-                length = np.where(n > 0, setjoin.prefix_length(n, num, den), 0)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(words.unit_text)), pa.array(words.unit_no.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(fp1), pa.array(fp2), *map(pa.array, setjoin.signatures(values, first)), setjoin.shorts(values, first), heads(values, first, length)],
-                    ["d", "l", "n", "fp1", "fp2", *setjoin.SIGNED, "short", "prefix"],
-                )
+                t = {"d": ids.fill_null(0).to_numpy(), "l": words.unit_no.astype(np.int32), "n": n, "fp1": fp1, "fp2": fp2}
+                none = np.zeros(len(n), np.int64)
+                yield setjoin.packed(np.where(known, -1, -2), {c: (none[:0], none, none) for c in WIDE}, **t)
+                rows = _firsts(t, np.flatnonzero(known & (n > 0)))
+                size = n[rows].astype(np.int64)
+                values, first = values[setjoin.ragged(first[:-1][rows], size)], np.append(0, np.cumsum(size))
+                at, each = first[:-1], np.arange(len(rows))
+                lists = {"short": (setjoin.low_bits(values), at, np.where(size <= setjoin.SHORT, size, 0)), "prefix": (values.view(np.int64), at, setjoin.prefix_length(size, num, den))}
+                signed = {c: (x, each, np.ones(len(rows), np.int64)) for c, x in zip(setjoin.SIGNED, setjoin.signatures(values, first), strict=True)}
+                yield setjoin.packed((mix(fp1[rows].view(np.uint64)) % np.uint64(buckets)).astype(np.int64), signed | lists, **{c: x[rows] for c, x in t.items()})
+
+    def classify(batches):
+        """The first line of each set, from all chunks."""
+        for _, t in setjoin.unpacked(batches, **KINDS, **WIDE):
+            rows = _firsts(t, np.arange(len(t["d"])))
+            n = t["n"].astype(np.int64)
+            short, length = np.where(n <= setjoin.SHORT, n, 0), setjoin.prefix_length(n, num, den)
+            flat = [x[setjoin.ragged((np.cumsum(size) - size)[rows], size[rows])] for x, size in ((t["short"], short), (t["prefix"], length))]
+            ends = [np.append(0, np.cumsum(size[rows])).astype(np.int32) for size in (short, length)]
+            lists = [pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends[0] * np.int32(2)), pa.py_buffer(flat[0].tobytes())]), pa.ListArray.from_arrays(ends[1], pa.array(flat[1]))]
+            columns = ["fp1", "fp2", "n", "d", "l", *setjoin.SIGNED]
+            yield pa.RecordBatch.from_arrays([*(pa.array(t[c][rows]) for c in columns), *lists], [*columns, "short", "prefix"])
+
+    def narrow(batches):
+        for batch in batches:
+            for bucket, *values in zip(*(batch.column(c).to_pylist() for c in ("bucket", *KINDS)), strict=True):
+                t = [np.frombuffer(x, kind) for x, kind in zip(values, KINDS.values(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(t[0], mask=np.full(len(t[0]), bucket == -2)), *map(pa.array, t[1:])], list(KINDS))
 
-    sketches = work.written(docs.mapInArrow(sketch, "d long, l int, n int, fp1 long, fp2 long, s0 long, s1 long, s2 long, s3 long, short binary, prefix array<long>"), "sketches")
+    sketches = work.written(docs.mapInArrow(sketch, "bucket long, " + ", ".join(f"{c} binary" for c in (*KINDS, *WIDE))), "sketches")
     key = ["fp1", "fp2", "n"]
-    one = sketches.filter("n > 0 and d is not null").groupBy(*key).agg(F.min(F.struct("d", "l", *setjoin.SIGNED, "short", "prefix")).alias("x"))
-    classes = work.written(one.select(*key, "x.*"), "classes")
-    firsts = work.written(classes.select(*key, F.col("d").alias("d0"), F.col("l").alias("l0")), "firsts")
-    members = work.written(sketches.select("d", "l", *key), "members")
+    told = "fp1 long, fp2 long, n int, d long, l int, s0 long, s1 long, s2 long, s3 long, short binary, prefix array<long>"
+    by_bucket = lambda turn: sketches.filter(f"bucket >= 0 and bucket % {setjoin.PARTS} = {turn}").repartition("bucket").sortWithinPartitions("bucket")
+    classes = reduce(DataFrame.union, [work.written(by_bucket(turn).mapInArrow(classify, told), f"classes-{turn}") for turn in range(setjoin.PARTS)])
+    firsts = classes.select(*key, F.col("d").alias("d0"), F.col("l").alias("l0"))
+    members = work.written(sketches.filter("bucket < 0").select("bucket", *KINDS).mapInArrow(narrow, "d long, l int, n int, fp1 long, fp2 long"), "members")
     work.drop("sketches")
 
     def load(bitmap):
@@ -94,7 +136,7 @@ def similar_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, wo
 
         return docs.mapInArrow(some, "d long, l int, tokens array<long>")
 
-    later = work.written(setjoin.later_matches(classes.select("d", "l", "n", *setjoin.SIGNED, "short", "prefix"), load, num, den, work), "later")
+    later = work.written(setjoin.later_matches(classes.select("d", "l", "n", *setjoin.SIGNED, "short", "prefix"), load, num, den, work, buckets), "later")
     lines = members.hint("shuffle_merge").join(firsts.hint("shuffle_merge"), key, "left")
     copies = lines.withColumn("copy", F.col("d0").isNotNull() & ((F.col("d") != F.col("d0")) | (F.col("l") != F.col("l0"))))
     again = later.select(F.col("d").alias("d0"), F.col("l").alias("l0"), F.lit(True).alias("again"))

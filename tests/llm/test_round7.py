@@ -54,3 +54,34 @@ def test_the_look_at_diagonals_says_what_alignment_does():
         assert passage[k] or not found
         closed_found, closed_none = closed_found + found, closed_none + (not passage[k])
     assert closed_found and closed_none
+
+
+def test_packed_rows_come_back_with_their_lists_and_in_pieces():
+    bucket, x = np.array([1, 0, 1, 2]), np.array([10, 20, 30, 40])
+    values, size = np.array([5, 6, 7, 8, 9]), np.array([2, 0, 1, 2])
+    row = setjoin.packed(bucket, {"v": (values, np.cumsum(size) - size, size)}, x=x)
+    found = {b: {c: v.tolist() for c, v in t.items()} for b, t in setjoin.unpacked([row], x=np.int64, v=np.int64)}
+    assert found == {0: {"x": [20], "v": []}, 1: {"x": [10, 30], "v": [5, 6, 7]}, 2: {"x": [40], "v": [8, 9]}}
+    one = [setjoin.packed(np.array([b]), x=np.array([k])) for k, b in enumerate((0, 1, 1, 1, 2))]
+    assert [(b, t["x"].tolist()) for b, t in setjoin.unpacked(one, 8, x=np.int64)] == [(0, [0]), (None, [1, 2]), (None, [3]), (2, [4])]
+
+
+def test_lines_are_the_same_where_lists_and_buckets_are_cut(spark, monkeypatch):
+    from evigraph.llm import line_dedup
+
+    rng = np.random.default_rng(3)
+    lines = [" ".join(f"w{k}" for k in rng.choice(40, 12, replace=False)) for _ in range(40)]
+    near = [" ".join([*x.split()[:-1], f"n{k % 3}"]) for k, x in enumerate(lines)]
+    picks = [[(lines + near + [""])[k] for k in rng.integers(0, 81, 6)] for _ in range(60)]
+    docs = spark.createDataFrame([(k if k % 9 else None, "\n".join(x)) for k, x in enumerate(picks)], "doc_id long, text string").repartition(5)
+    result = lambda: sorted((r.doc_id is None, r.doc_id, r.n_lines, r.n_removed, list(r.removed)) for r in line_dedup.similar_lines(docs, 1).collect())
+    sets = sorted((d, l, frozenset(x.split())) for d, texts in enumerate(picks) if d % 9 for l, x in enumerate(texts))
+    gone = {}
+    for k, (d, l, x) in enumerate(sets):
+        if x and any(y and 100 * len(x & y) >= 80 * len(x | y) for _, _, y in sets[:k]):
+            gone.setdefault(d, []).append(l)
+    whole = result()
+    assert {d: r for none, d, _, _, r in whole if not none and r} == gone
+    monkeypatch.setattr(setjoin, "LIST_ROWS", 7)
+    monkeypatch.setattr(setjoin, "BUCKET_BYTES", 300)
+    assert result() == whole
