@@ -32,40 +32,49 @@ def judged_chunks(asks: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], c
 
     schema = StructType([*keys.fields, *StructType.fromDDL(answers).fields, *StructType.fromDDL("error string").fields])
 
-    def ask(frame: pd.DataFrame) -> tuple[pd.DataFrame, list[list], list]:
-        """The rows of one chunk that have answers, the answers by name, the errors."""
-        out = frame[[*chunk, *item]]
+    def ask(frame: pd.DataFrame, own: list[tuple]) -> tuple[Sequence[int], list[list], str | None]:
+        """The rows of one chunk that come out, by number, the answers by name, the error."""
         try:
             got = fn(frame)
-            if not _same_items(frame, got, item):
-                out = out.merge(got[[*item, *names]], on=list(item), how="left")
-                got = out
-            return out[[*chunk, *item]], [got[name].tolist() for name in names], [None] * len(out)
+            rows: Sequence[int] = range(len(frame))
+            if not _same_items(own, got, item):
+                got = frame[list(item)].assign(_row=rows).merge(got[[*item, *names]], on=list(item), how="left")
+                rows = got["_row"].tolist()
+            return rows, [got[name].tolist() for name in names], None
         except Exception as e:  # noqa: BLE001  whatever a judge raises belongs to its chunk alone
-            return frame[[*chunk, *item]], [[None] * len(frame) for _ in names], [f"{type(e).__name__}: {e}"[:ERROR_CHARS]] * len(frame)
+            return range(len(frame)), [[None] * len(frame) for _ in names], f"{type(e).__name__}: {e}"[:ERROR_CHARS]
 
     def ask_all(batches):
-        for frames in _whole_chunks(batches, chunk):
-            done = [ask(frame) for frame in frames]
-            out = pd.concat([rows for rows, _, _ in done], ignore_index=True)
-            for n, name in enumerate(names):
-                out[name] = pd.Series([v for _, values, _ in done for v in values[n]], dtype=object)
-            out["error"] = pd.Series([e for _, _, errors in done for e in errors], dtype=object)
+        for batch, starts in _whole_chunks(batches, chunk):
+            own = list(zip(*(batch[c].tolist() for c in item), strict=True))
+            rows, values, errors = [], [[] for _ in names], []
+            for a, b in zip(starts, starts[1:], strict=False):
+                frame = batch.iloc[a:b]
+                frame.index = pd.RangeIndex(b - a)
+                some, told, error = ask(frame, own[a:b])
+                rows += [a + k for k in some]
+                errors += [error] * len(some)
+                for held, x in zip(values, told, strict=True):
+                    held += x
+            # one frame for all chunks of a batch, as a frame costs far more than most asks
+            out = batch[[*chunk, *item]].iloc[rows].reset_index(drop=True)
+            for name, held in zip([*names, "error"], [*values, errors], strict=True):
+                out[name] = pd.Series(held, dtype=object)
             yield out
 
     n = int(asks.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # told, as Spark would join partitions that are small in bytes
     return asks.repartition(n, *chunk).sortWithinPartitions(*chunk).mapInPandas(ask_all, schema)
 
 
-def _same_items(frame: pd.DataFrame, got: pd.DataFrame, item: Sequence[str]) -> bool:
-    """Whether got has the rows of frame, each once and in order, so that nothing need be looked up."""
-    own = list(zip(*(frame[c].tolist() for c in item), strict=True))
+def _same_items(own: list[tuple], got: pd.DataFrame, item: Sequence[str]) -> bool:
+    """Whether got has the items of own, each once and in order, so that nothing need be looked up."""
     return len(got) == len(own) and len(set(own)) == len(own) and own == list(zip(*(got[c].tolist() for c in item), strict=True))
 
 
-def _whole_chunks(batches: Iterable[pd.DataFrame], chunk: Sequence[str]) -> Iterator[list[pd.DataFrame]]:
-    """Sorted batches as lists of whole chunks; a chunk that goes on in the next batch waits for its end."""
+def _whole_chunks(batches: Iterable[pd.DataFrame], chunk: Sequence[str]) -> Iterator[tuple[pd.DataFrame, list[int]]]:
+    """Sorted batches as frames of whole chunks and where these start, with the end; a chunk that goes on in the next batch waits for its end."""
     held: list[pd.DataFrame] = []
+    goes_on: list = []
     for batch in batches:
         if batch.empty:
             continue
@@ -74,21 +83,23 @@ def _whole_chunks(batches: Iterable[pd.DataFrame], chunk: Sequence[str]) -> Iter
             last = batch[c].shift()
             new |= (batch[c] != last) & ~(batch[c].isna() & last.isna())
         ids = [tuple(None if pd.isna(v) else v for v in batch[list(chunk)].iloc[n]) for n in (0, -1)]
-        starts = [0, *(n for n in new.to_numpy().nonzero()[0].tolist() if n), len(batch)]
-        parts = [batch.iloc[a:b] for a, b in zip(starts, starts[1:], strict=False)]
-        if held and ids[0] == goes_on:
-            held.append(parts.pop(0))
-        whole = []
-        if held and parts:
-            whole.append(pd.concat(held, ignore_index=True))
+        starts = [0, *(n for n in new.to_numpy().nonzero()[0].tolist() if n)]
+        if held and ids[0] != goes_on:
+            whole = pd.concat(held, ignore_index=True)
+            yield whole, [0, len(whole)]
             held = []
-        whole += [part.reset_index(drop=True) for part in parts[:-1]]
-        held = parts[-1:] or held
+        before = sum(map(len, held))
+        if len(starts) > 1:
+            last = starts[-1]
+            whole = pd.concat([*held, batch.iloc[:last]], ignore_index=True)
+            yield whole, [0, *(before + n for n in starts[1:])]
+            held = [batch.iloc[last:]]
+        else:
+            held.append(batch)
         goes_on = ids[1]
-        if whole:
-            yield whole
     if held:
-        yield [pd.concat(held, ignore_index=True)]
+        whole = pd.concat(held, ignore_index=True)
+        yield whole, [0, len(whole)]
 
 
 def judged_with_retries(asks: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], chunk: Sequence[str], item: Sequence[str], answers: str, work: Work, rounds: int = 2) -> DataFrame:
