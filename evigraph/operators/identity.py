@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import ALTERNATES, DATASET_CAP, LONE_HIT_LEAST, ORTHOLOG_CAP
 from ..functions import ids as I
-from .stages import spread_join
+from .stages import TOGETHER, spread_join
 
 
 def exact_matches(queries: DataFrame, records: DataFrame) -> DataFrame:
@@ -19,7 +19,7 @@ def exact_matches(queries: DataFrame, records: DataFrame) -> DataFrame:
     each = records.select("record_id", F.explode(F.array_distinct(F.transform(F.array_compact("ids"), F.lower))).alias("key")).distinct()
     asked = queries.select("graph_id", F.lower(F.trim("query")).alias("key")).filter("key <> ''").distinct()
     asked = asked.withColumn("_times", F.count("*").over(Window.partitionBy("graph_id")))
-    met = lambda some: spread_join(asked.filter(some).drop("_times"), each, "key").select("graph_id", "record_id")
+    met = lambda some: spread_join(asked.filter(some).drop("_times"), each, "key", TOGETHER).select("graph_id", "record_id")
     return met("_times = 1").unionByName(met("_times > 1").distinct())
 
 

@@ -20,6 +20,8 @@ CANDIDATE_NAMESPACES = ("oma", "veupathdb")
 MERGE = "shuffle_merge"
 # Parts that the rows of one key are dealt to where both sides share it.
 SPREAD = 8
+# Right rows of one key, about, that each of its left rows meets at a time: what is written then repeats within what a file's compression looks back on.
+TOGETHER = 256
 
 
 def merge_join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
@@ -27,17 +29,26 @@ def merge_join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> Dat
     return left.hint(MERGE).join(right.hint(MERGE), on, how)
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, on: str, together: int | None = None) -> DataFrame:
     """An inner join on a key that many rows of both sides may share, so that its pairs outnumber the rows by far.
 
     Left rows are dealt to SPREAD parts of their key, right ones go to each, so
     no key falls to one task; the count of partitions is told, as Spark would
-    join small partitions whatever they give.
+    join small partitions whatever they give. With ``together`` the right rows of
+    keys with more are dealt to chunks of about so many, which left rows meet one
+    after the other; such keys, fewer than one in ``together`` right rows, are
+    told to every task. Files of such pairs take half the space or less, the
+    join more time.
     """
-    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n, keys = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), [on, "_part"]
     dealt = left.withColumn("_part", F.pmod(F.xxhash64(*left.columns), F.lit(SPREAD)).cast("int"))
     told = right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    return merge_join(dealt.repartition(n, on, "_part"), told.repartition(n, on, "_part"), [on, "_part"]).drop("_part")
+    if together:
+        many = F.broadcast(right.groupBy(on).agg(F.ceil(F.count("*") / together).cast("int").alias("_chunks")).filter("_chunks > 1"))
+        chunks, keys = F.coalesce("_chunks", F.lit(1)), [*keys, "_chunk"]
+        dealt = dealt.join(many, on, "left").withColumn("_chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).drop("_chunks")
+        told = told.join(many, on, "left").withColumn("_chunk", F.pmod(F.xxhash64(*right.columns), chunks).cast("int")).drop("_chunks")
+    return merge_join(dealt.repartition(n, *keys), told.repartition(n, *keys), keys).drop("_part", "_chunk")
 
 
 def evidence(source: str, endpoint: str, summary: Column, **payload: Column) -> Column:
