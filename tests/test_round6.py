@@ -3,6 +3,7 @@
 import itertools
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 from evigraph.operators import asking, identity, stages
 
@@ -52,3 +53,12 @@ def test_exact_matches_write_a_graph_in_runs_of_few_records(spark, tmp_path):
     assert got.count() == got.distinct().count() == 64 * 3000
     runs = [[r.graph_id for r in rows] for rows in got.rdd.glom().collect()]
     assert max(sum(1 for _ in run) for rows in runs for _, run in itertools.groupby(rows)) < 2 * stages.TOGETHER
+
+
+def test_bridges_write_a_row_in_runs_of_few_claims(spark):
+    rows = spark.range(64).selectExpr("id as k", "1 as place")
+    records = spark.range(1500).selectExpr("id as r", "1 as place", "array('a' || id) as aliases", "array('' || id) as pmids")
+    got = stages.bridge(rows, records, "place", ["k", "r"], F.lit("x"), "pmids")
+    assert got.count() == got.distinct().count() == 64 * 3000
+    runs = [[r.k for r in part] for part in got.rdd.glom().collect()]
+    assert max(sum(1 for _ in run) for part in runs for _, run in itertools.groupby(part)) < 2 * stages.TOGETHER
