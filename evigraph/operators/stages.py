@@ -37,8 +37,7 @@ def spread_join(left: DataFrame, right: DataFrame, on: str, together: int | None
     join small partitions whatever they give. With ``together`` the right rows of
     keys with more are dealt to chunks of about so many, which left rows meet one
     after the other; such keys, fewer than one in ``together`` right rows, are
-    told to every task. Files of such pairs take half the space or less, the
-    join more time.
+    told to every task. Files of such pairs take less space, the join more time.
     """
     n, keys = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), [on, "_part"]
     dealt = left.withColumn("_part", F.pmod(F.xxhash64(*left.columns), F.lit(SPREAD)).cast("int"))
